@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, token_store
+from . import common, quality_rules, token_store
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +15,37 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digests(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store,)}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(common.documents(spark, sf_dir), carry=["doc_id"])
+    return found.select("doc_id", "__rules.*", F.col("__rules_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.round("__host_rate", 9).alias("host_rate"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules)}
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+with texts as (select doc_id, source, coalesce(text, '') as t from documents),
+words as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w from texts),
+wins as (
+  select doc_id, i, struct_pack(a := w[i], b := w[i + 1], c := w[i + 2]) as g
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from words)),
+dup as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from wins) where c > 1),
+covered as (select doc_id, count(distinct i + k) as n from dup, (values (0), (1), (2)) as o(k) group by doc_id),
+lines as (select doc_id, x, count(*) as c from (select doc_id, unnest(string_split(t, chr(10))) as x from texts) where regexp_matches(x, '[^\x20\x09-\x0D]') group by all),
+dup_lines as (select doc_id, sum(c - 1) as n from lines group by doc_id),
+rules as (
+  select words.doc_id, source, cast(len(w) as bigint) as n_words,
+    cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(coalesce(dup_lines.n, 0) as bigint) as n_dup_lines, cast(coalesce(covered.n, 0) as bigint) as n_repeat_words
+  from words left join covered using (doc_id) left join dup_lines using (doc_id)),
+failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from rules),
+hosts as (select source, count(*) as n, sum(base_failed::int) as k from failed where source is not null group by source),
+sums as (select sum(n) as n, sum(k) / sum(n) as m, count(*) as h, sum(k * k / n) as kk from hosts),
+prior as (select m, least(greatest(m * (1 - m) / greatest(kk / n - m * m - m * (1 - m) * h / n, 1e-12) - 1, 1.0), 1e6) as w from sums),
+rates as (select source, (k + m * w) / (n + m * w + (1 - m) * w) as rate from hosts, prior)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(rate, 0) <= 0.8 as kept, round(rate, 9) as host_rate
+from failed left join rates using (source)""",
+}
