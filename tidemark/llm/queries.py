@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from public_tokenizers import PATTERN
 from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, quality_rules, token_store
+from . import common, fingerprints, line_dedup, packing, pii, quality_rules, rank_bpe, shard_store, simhash, token_store
+
+#: How many arrivals the documents come in, for the shard store.
+ARRIVALS = 8
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +24,44 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "__rules.*", F.col("__rules_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.round("__host_rate", 9).alias("host_rate"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules)}
+def op3_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    store = shard_store.ShardStore(spark, common.scratch_path(spark, "shards"), docs.schema)
+    store.append(docs, arrival=F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op4_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    encoded = rank_bpe.encode_documents(common.documents(spark, sf_dir), vocabulary, PATTERN)
+    return rank_bpe.decode_documents(encoded, vocabulary, PATTERN).select("doc_id", "n_tokens", "ids_sha256", F.sha2("content", 256).alias("decoded_sha256"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(common.documents(spark, sf_dir))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedupe(common.documents(spark, sf_dir), min_docs=10)
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.documents(spark, sf_dir), k=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"), end_id=0, most_tokens=2048)
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(common.documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op8_simhash, op9_packing, op10_fingerprints)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -48,4 +89,14 @@ rates as (select source, (k + m * w) / (n + m * w + (1 - m) * w) as rate from ho
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(rate, 0) <= 0.8 as kept, round(rate, 9) as host_rate
 from failed left join rates using (source)""",
+    "op3_shard_store": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256 from documents",
+    "op6_line_dedup": r"""
+with lines as (
+  select doc_id, i, x, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from (select doc_id, unnest(l) as x, unnest(range(len(l))) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))),
+frequent as (select k from lines where k <> '' group by k having count(distinct doc_id) >= 10),
+kept as (select doc_id, i, x, k in (select k from frequent) as gone from lines)
+select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from kept group by doc_id""",
 }
