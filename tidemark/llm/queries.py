@@ -7,7 +7,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, line_dedup, packing, pii, quality_rules, rank_bpe, shard_store, simhash, token_store
+from . import common, fingerprints, line_dedup, packing, pii, quality_model, quality_rules, rank_bpe, shard_store, simhash, token_store
 
 #: How many arrivals the documents come in, for the shard store.
 ARRIVALS = 8
@@ -48,6 +48,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(common.documents(spark, sf_dir), k=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -61,7 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op8_simhash, op9_packing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op7_quality_model, op8_simhash, op9_packing, op10_fingerprints)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
