@@ -91,7 +91,7 @@ def usage(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path).select("content")
     head = F.hex(F.substring("content", 1, 2))
     wide = head.isin("FFFE", "FEFF") | F.hex(F.substring("content", 1, 200)).rlike("^(..)*00")
-    body = F.when(wide, F.decode("content", F.lit("UTF-16"))).otherwise(F.decode("content", F.lit("UTF-8")))
+    body = F.when(wide, F.decode("content", "UTF-16")).otherwise(F.decode("content", "UTF-8"))
     lines = raw.select(F.explode(F.split(body, r"\r?\n")).alias("line"))
     part = lambda i: F.regexp_extract("line", USAGE_LINE, i)
     return lines.where(F.col("line").rlike(USAGE_LINE)).select(part(1).alias("event"), part(2).alias("content_hash"), part(3).cast("long").alias("input_tokens"), part(4).cast("long").alias("output_tokens"))
