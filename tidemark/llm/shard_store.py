@@ -23,6 +23,8 @@ from . import common
 from .manifest import Manifest
 
 TARGET_BYTES, FANOUT, SMALLEST_BYTES = 128 << 20, 4, 64 << 10
+#: Files that one job merges at most; it broadcasts a row of about 200 bytes for each.
+MOST_FILES = 50_000
 
 
 def tier(size: int, fanout: int = FANOUT, smallest: int = SMALLEST_BYTES) -> int:
@@ -100,16 +102,27 @@ class ShardStore:
         if not groups:
             return version
         folder = f"{self.path}/shards/{uuid.uuid4().hex}"
-        goes = [(s["path"], g) for g, group in enumerate(groups) for s in group]
-        table = self.spark.createDataFrame(goes, "__path string, __group int")
-        source = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/")
-        merged = self.spark.read.schema(self.schema).parquet(*[path for path, _ in goes]).withColumn("__path", source)
-        merged = merged.join(table.withColumn("__path", F.regexp_replace("__path", "^file:/+", "file:/")), "__path")
-        merged.repartitionById(len(groups), F.col("__group")).select(*[F.col(f"`{c}`") for c in self.schema.names]).write.option("compression", "zstd").parquet(folder)
-        gone = {path for path, _ in goes}
+        gone: set[str] = set()
+        wave: list[list[dict]] = []
+        for group in [*groups, None]:  # a wave per job, of as many files as may be broadcast
+            if wave and (group is None or sum(map(len, wave)) + len(group) > MOST_FILES):
+                gone |= self._merge(wave, folder)
+                wave = []
+            wave += [group] if group else []
         kept = [s for s in entries if s["path"] not in gone]
         return self.manifest.commit(version, kept + [s | {"order": version + 1} for s in self._files(folder)])
 
+    def _merge(self, groups: list[list[dict]], folder: str) -> set[str]:
+        """Write each group as one shard below ``folder``: rows move once, straight to their group's task. The paths merged."""
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        goes = [(s["path"], g) for g, group in enumerate(groups) for s in group]
+        table = self.spark.createDataFrame(goes, "__path string, __group int").withColumn("__path", plain("__path"))
+        merged = self.spark.read.schema(self.schema).parquet(*[path for path, _ in goes]).withColumn("__path", plain("_metadata.file_path"))
+        merged = merged.join(F.broadcast(table), "__path")  # MOST_FILES rows at most
+        merged = merged.repartitionById(len(groups), F.col("__group")).select(*[F.col(f"`{c}`") for c in self.schema.names])
+        merged.write.mode("append").option("compression", "zstd").parquet(folder)
+        return {path for path, _ in goes}
+
     def read(self, version: int | None = None) -> DataFrame:
         """The table at a version, the latest by default."""
         _, entries = self.manifest.read(version)
