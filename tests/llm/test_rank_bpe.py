@@ -38,12 +38,11 @@ def test_random_texts(text):
     assert np.frombuffer(pieces.encode([text])[0], encoder.kind).tolist() == library(text)
 
 
-def test_queue_gives_least_rank_and_place():
-    queue = rank_bpe.RankQueue(1000)
-    for rank, place in [(900, 1), (3, 9), (3, 2), (512, 0), (3, 5), (0, 7)]:
-        queue.push(rank, place)
-    found = [queue.pop() for _ in range(6)]
-    assert found == sorted(found) and queue.top == 0 and not any(queue.words)
+def test_queue_is_empty_after_each_piece():
+    encoder, _ = rank_bpe.rank_encoder(VOCABULARY, P.PATTERN)
+    for text in ODD:
+        encoder.encode(text)
+        assert not any(encoder.words)
 
 
 def test_rows(spark):

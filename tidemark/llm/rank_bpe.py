@@ -19,41 +19,6 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 
-class RankQueue:
-    """Positions by rank, lowest rank and then lowest position first."""
-
-    def __init__(self, ranks: int):
-        self.shift = max(1, (max(ranks - 1, 1).bit_length() + 1) // 2)
-        self.low = (1 << self.shift) - 1
-        self.words = [0] * ((ranks >> self.shift) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word = rank >> self.shift
-        self.words[word] |= 1 << (rank & self.low)
-        self.top |= 1 << word
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position); the queue is not empty."""
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.words[word]
-        rank = word << self.shift | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.words[word] = bits = bits & (bits - 1)
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
-
-
 class RankEncoder:
     """Ids of pre-tokens and texts by mergeable ranks (bytes to rank)."""
 
@@ -62,50 +27,88 @@ class RankEncoder:
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.shift = max(1, ((max(ranks.values())).bit_length() + 1) // 2)
+        self.words = [0] * ((max(ranks.values()) >> self.shift) + 1)  # bit r of word w: bucket w << shift | r is in use
         self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for text, rank in ranks.items():
             self.bytes_of[rank] = text
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        get, n = self.ranks.get, len(piece)
+        """Ids of one pre-token. The queue is written out in place, as calls would cost more than its steps. All words are
+        zero again at the end."""
+        ranks = self.ranks
+        get, n = ranks.get, len(piece)
         if (whole := get(piece)) is not None:
             return [whole]
-        queue = self.queue
-        push, pop = queue.push, queue.pop
+        shift, words, top = self.shift, self.words, 0
+        low = (1 << shift) - 1
+        buckets: dict[int, list[int]] = {}  # heaps of positions
+        find = buckets.get
         end = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n - 1))  # where the part before it starts
-        pair = [-1] * n  # rank of the part and the next one; -1: none
-        for i in range(n - 1):
-            if (rank := get(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part and the next one
+        pair.append(-1)
+        for i, rank in enumerate(pair):
+            if rank >= 0:
+                bucket = find(rank)
+                if bucket is None:
+                    buckets[rank] = [i]
+                    word = rank >> shift
+                    words[word] |= 1 << (rank & low)
+                    top |= 1 << word
+                else:
+                    bucket.append(i)  # ascending, so it is a heap
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            lowest = bits & -bits
+            rank = word << shift | lowest.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) == 1:
+                i = bucket[0]
+                del buckets[rank]
+                words[word] = bits = bits ^ lowest
+                if not bits:
+                    top &= top - 1
+            else:
+                i = heappop(bucket)
             if pair[i] != rank:
                 continue  # stale
             j = end[i]
             k = end[i] = end[j]
-            pair[j] = pair[i] = -1
+            pair[j] = -1
             if k < n:
                 before[k] = i
-                if (rank := get(piece[i : end[k]])) is not None:
-                    pair[i] = rank
-                    push(rank, i)
+                rank = pair[i] = get(piece[i : end[k]], -1)
+                if rank >= 0:
+                    bucket = find(rank)
+                    if bucket is None:
+                        buckets[rank] = [i]
+                        word = rank >> shift
+                        words[word] |= 1 << (rank & low)
+                        top |= 1 << word
+                    else:
+                        heappush(bucket, i)
+            else:
+                pair[i] = -1
             if i:
                 p = before[i]
-                rank = get(piece[p:k])
-                if rank is None:
-                    pair[p] = -1
-                elif pair[p] != rank:
-                    pair[p] = rank
-                    push(rank, p)
+                rank = pair[p] = get(piece[p:k], -1)
+                if rank >= 0:
+                    bucket = find(rank)
+                    if bucket is None:
+                        buckets[rank] = [p]
+                        word = rank >> shift
+                        words[word] |= 1 << (rank & low)
+                        top |= 1 << word
+                    else:
+                        heappush(bucket, p)
         ids, i = [], 0
         while i < n:
-            ids.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
+            k = end[i]
+            ids.append(ranks[piece[i:k]])
+            i = k
         return ids
 
     def encode(self, text: str) -> list[int]:
