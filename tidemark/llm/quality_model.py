@@ -25,6 +25,8 @@ from . import common
 HELD_OUT, FOLDS = 1, (0, 2)
 FOURIER, RIDGE, SEED = 256, 1.0, 11
 MOST_LABELS, BINS = 200_000, 400
+#: Partitions that sum the normal equations at most: each sends the driver half a megabyte per fold.
+SUMMING_PARTS = 32
 #: Raw scores are binned over this range; labels are 0 and 1.
 RANGE = (-0.5, 1.5)
 
@@ -113,7 +115,7 @@ def normal_equations(rows: DataFrame, fourier: Fourier) -> dict[int, tuple]:
         return common.record_batches(((f, a.tobytes(), b.tobytes()) for f, (a, b) in sums.items()), "fold int, gram binary, moment binary")
 
     found = {f: (np.zeros((FOURIER + 1, FOURIER + 1)), np.zeros(FOURIER + 1)) for f in FOLDS}
-    for f, gram, moment in rows.mapInArrow(run, "fold int, gram binary, moment binary").orderBy("fold").toLocalIterator():
+    for f, gram, moment in rows.coalesce(SUMMING_PARTS).mapInArrow(run, "fold int, gram binary, moment binary").orderBy("fold").toLocalIterator():
         found[f] = (found[f][0] + np.frombuffer(gram).reshape(FOURIER + 1, -1), found[f][1] + np.frombuffer(moment))
     return found
 
