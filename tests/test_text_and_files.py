@@ -1,0 +1,160 @@
+"""Classifiers, page functions, readers, writers and streams on small inputs."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import text, udfs
+from tidemark.plans.files import scratch
+from tidemark.sources import http, readers, schemas, sinks
+from tidemark.streaming import streams
+
+HEADLINES = [
+    ("Appendix 3Y", True, {"3y", "broad"}), ("Change of Director's Interest Notice", False, {"3y", "broad"}), ("Appendix 4E and Annual Report", True, {"broad", "p0", "earnings", "results_extraction", "results_trading"}),
+    ("Appendix 4E and Annual Report", False, {"broad"}), ("FY24 audited results", True, {"broad", "p0", "earnings"}), ("Results of Annual General Meeting", True, {"earnings"}),
+    ("Resignation of Auditor - results presentation", True, {"broad", "earnings", "results_trading"}), ("Appointment of CEO", False, {"broad", "p0", "appointment"}), ("Trading Update", False, {"broad", "guidance"}),
+    ("Notice of Annual General Meeting/Proxy Form", False, set()), ("Downgrades to FY guidance", False, {"broad", "guidance"}), ("Final Director's Interest Notice", False, {"3y", "broad", "p0", "appointment"}),
+]
+
+
+def test_classifiers(spark):
+    rows = spark.createDataFrame([(i, h, f) for i, (h, f, _) in enumerate(HEADLINES)], "i int, headline string, flag boolean")
+    marks = rows.select("i", *[keep(F.col("headline"), F.col("flag")).alias(name) for name, keep in text.FILTERS.items()]).collect()
+    for row in marks:
+        assert {n for n in text.FILTERS if row[n]} == HEADLINES[row["i"]][2], HEADLINES[row["i"]]
+
+
+def test_normalize_takes_unicode_space(spark):
+    rows = spark.createDataFrame([(" A  b\n",)], "t string")
+    assert rows.select(text.normalize(F.col("t"))).first()[0] == "a b"
+
+
+def test_page_functions(spark):
+    pages = spark.createDataFrame([(["one page of more than twenty characters", "   short"],)], "pages array<string>")
+    assert pages.select(text.marked_pages(F.col("pages"))).first()[0] == "[page 1]\none page of more than twenty characters\n\n[page 2]\n   short"
+    facts = pages.select(text.page_statistics(F.col("pages"))).first()[0]
+    assert tuple(facts) == (2, 1, 47, "partial")
+    audit = lambda q, p: pages.select(text.quote_audit(F.lit(q), F.lit(p), F.col("pages"))).first()[0]
+    assert [audit("page  of", 1), audit("page of", 2), audit("page of", 9), audit("page of", None), audit("nowhere", 1)] == ["OK", "WRONG PAGE", "WRONG PAGE", "WRONG PAGE", "MISSING"]
+
+
+ROW = """<table><tr><th>Date</th></tr><tr><td> {when}<br> <span class="dates-time">{time}</span> </td><td class="pricesens">{flag}</td>
+<td><a href="/x.do?display=pdf&idsId=0308495{n}"> Quarterly &amp; Activities<br> <span class="page">11 pages </span><span class="filesize"> 138.6KB </span></a></td></tr></table>"""
+
+
+def test_listing(spark, tmp_path):
+    flag = '<img title="price sensitive">'
+    pages = spark.createDataFrame([(1, ROW.format(when="22/04/2026", time="8:30 am", flag=flag, n=4)), (2, ROW.format(when="2/01/2026", time="8:30 pm", flag="", n=5)), (3, "<p>none</p>")], "k int, html string")
+    found = {r["k"]: r for r in readers.listings(pages).collect()}
+    assert set(found) == {1, 2} and found[1]["headline"] == "Quarterly & Activities" and found[1]["pages"] == 11 and found[1]["file_size"] == "138.6KB"
+    assert found[1]["price_sensitive"] and not found[2]["price_sensitive"] and found[1]["ids_id"] == "03084954"
+    assert found[1]["announced_at"] == datetime(2026, 4, 21, 22, 30) and found[2]["announced_at"] == datetime(2026, 1, 2, 9, 30)
+    with pytest.raises(ValueError):
+        udfs.listing_rows(ROW.format(when="soon", time="", flag="", n=1))
+    (tmp_path / "a.html").write_text(ROW.format(when="22/04/2026", time="8:30 am", flag="", n=4))
+    spark.dataSource.register(readers.ListingSource)
+    assert spark.read.format("listing").option("paths", str(tmp_path / "a.html")).load().first()["local_at"] == datetime(2026, 4, 22, 8, 30)
+
+
+def test_feed_maps_logs_and_universe(spark, tmp_path):
+    (tmp_path / "feed.json").write_text('{"data": {"items": [{"documentKey": "k", "headline": "h", "date": "2026-06-11T00:00:00Z", "isPriceSensitive": true, "more": 1}]}}')
+    assert readers.recent_announcements(spark, str(tmp_path / "feed.json")).first()["document_key"] == "k"
+    (tmp_path / "bad.json").write_text('{"data": {"items": [{"documentKey": "k", "date": "2026-06-11T00:00:00Z", "isPriceSensitive": true}]}}')
+    with pytest.raises(Exception, match="headline is missing"):
+        readers.recent_announcements(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "roles.json").write_text('{"AAA|Ann": {"ticker": "AAA", "name": "Ann", "bucket": "exec", "role": "CEO"}}')
+    assert readers.object_map(spark, str(tmp_path / "roles.json")).first()["bucket"] == "exec"
+    line = "x extract.3y.stored content_hash=0123abcd input_tokens=12 npat=3 output_tokens=4\nother\n"
+    (tmp_path / "a.log").write_bytes(line.encode("utf-16"))
+    (tmp_path / "b.log").write_bytes(line.encode())
+    rows = readers.usage(spark, f"{tmp_path}/*.log").collect()
+    assert [tuple(r) for r in rows] == [("extract.3y.stored", "0123abcd", 12, 4)] * 2
+    (tmp_path / "u.csv").write_bytes('﻿ticker,company,sector\n aaa ,"A, Ltd",s\n'.encode())
+    assert readers.universe(spark, str(tmp_path / "u.csv")).first()["ticker"] == "AAA"
+    (tmp_path / "e.csv").write_text("ticker,company,sector\n")
+    with pytest.raises(ValueError):
+        readers.universe(spark, str(tmp_path / "e.csv"))
+    wiki = spark.createDataFrame([("<table><tr><th>Code</th></tr><tr><td>ABC</td><td><a>Alpha</a></td></tr><tr><td>not a code</td><td>x</td></tr></table>",)], "html string")
+    assert [tuple(r) for r in readers.wiki_constituents(wiki).collect()] == [("ABC", "Alpha")]
+
+
+def test_checks_and_payloads(spark):
+    rows = spark.createDataFrame([("AB1", "a" * 64, "h", datetime(2026, 1, 1)), ("ab", "a" * 64, "h", datetime(2026, 1, 1)), ("ABC", "x", "", None)], "ticker string, content_hash string, headline string, announced_at timestamp")
+    good, bad = schemas.split_valid(rows, schemas.announcement_checks())
+    assert good.count() == 1 and sorted(map(tuple, (r["violations"] for r in bad.collect()))) == [("content_hash", "headline", "announced_at"), ("ticker",)]
+    payloads = spark.createDataFrame([(1, '{"trades": [{"quantity": {"value": "1e3"}}]}'), (2, "not json"), (3, '{"trades": []}')], "k int, payload string")
+    parsed, broken = schemas.parse_payload(payloads, "payload", schemas.TRADES_PAYLOAD)
+    assert sorted(r["k"] for r in parsed.collect()) == [1, 3] and [r["k"] for r in broken.collect()] == [2]
+    labels = spark.createDataFrame([("labeled", None, None, None), ("excluded", None, None, "scan"), ("odd", None, None, None)], "status string, labeled_by string, labeled_at string, exclusion_reason string")
+    assert schemas.split_valid(labels, schemas.label_checks())[0].count() == 1
+    ranges = spark.sql("select array(named_struct('range_low_aud', 2, 'range_high_aud', 1)) as s")
+    assert not ranges.select(schemas.guidance_check(F.col("s"))).first()[0]
+
+
+def test_stub_extraction_keeps_failures_apart(spark):
+    docs = spark.createDataFrame([("h1", "Ann Lee bought 100 at 2.50 on 2024-01-31."), ("h2", None)], "content_hash string, text string")
+    rows = {r["content_hash"]: r for r in udfs.extract(docs).collect()}
+    assert '"100"' in rows["h1"]["payload"] and rows["h2"]["error"] is None
+
+    def fails(body):
+        raise RuntimeError("no")
+
+    assert {r["error"] for r in udfs.extract(docs, fails).collect()} == {"no"}
+
+
+def test_writers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    with pytest.raises(sinks.SchemaMismatch):
+        sinks.append(rows.withColumnRenamed("v", "w"), str(tmp_path / "t"), rows.schema)
+    first = sinks.write_absent(rows, str(tmp_path / "t"), ["k"])
+    assert first.count() == 2
+    again = sinks.write_absent(spark.createDataFrame([(2, "changed"), (3, "c"), (3, "c")], rows.schema), str(tmp_path / "t"), ["k"])
+    assert sorted(map(tuple, again.collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sinks.create_if_absent(spark, "made_here", rows.schema) and not sinks.create_if_absent(spark, "made_here", rows.schema)
+    sinks.rebuild_table(rows, "made_here")
+    assert spark.table("made_here").count() == 2
+    spark.sql("drop table made_here")
+
+
+def test_prices_and_symbols(spark):
+    wide = spark.createDataFrame([("2024-01-02", 1.5, 1.4, 100.0, float("nan"))], "date string, `A.AX|Close` double, `A.AX|Adj Close` double, `A.AX|Volume` double, `^INDEX|Close` double")
+    assert [tuple(r[c] for c in ("ticker", "close", "adj_close", "volume")) for r in readers.prices_long(wide).collect()] == [("A", 1.5, 1.4, 100.0)]
+    assert [r[0] for r in spark.createDataFrame([("A",), ("INDEX",)], "t string").select(readers.symbol_of(F.col("t"))).collect()] == ["A.AX", "^INDEX"]
+
+
+def test_patience():
+    now, slept, tries = [0.0], [], []
+    limiter = http.RateLimiter(3.0, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    for _ in range(3):
+        limiter.wait()
+        now[0] += 1.0
+    assert slept == [2.0, 2.0]
+
+    def call(statuses):
+        def run():
+            tries.append(1)
+            status = statuses[len(tries) - 1]
+            if status != 200:
+                raise http.Refused(status)
+            return "ok"
+
+        tries.clear()
+        return run
+
+    waits = []
+    assert http.with_retries(call([429, 503, 200]), sleep=waits.append) == "ok" and waits == [1.0, 2.0]
+    with pytest.raises(http.Refused):
+        http.with_retries(call([404, 200]), sleep=waits.append)
+    with pytest.raises(http.Refused):
+        http.with_retries(call([500] * 4), sleep=waits.append)
+
+
+def test_late_events_are_dropped(spark):
+    folder = scratch(spark, "late")
+    for rows in ([(1, datetime(2024, 1, 10)), (2, datetime(2024, 1, 10))], [(3, datetime(2024, 1, 9))], [(4, datetime(2024, 1, 1))], [(5, datetime(2024, 1, 20))]):
+        made = spark.createDataFrame([(e, t, 1, "x", 1.0, "{}") for e, t in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+        made.coalesce(1).write.mode("append").parquet(f"{folder}")
+    found = streams.run_available(streams.tumbling(streams.read_events(spark, folder)), spark, "late_rows", scratch(spark, "state"))
+    got = {(r["start"].day, r["n"]) for r in found.collect()}
+    assert (10, 2) in got and (9, 1) in got and not any(day == 1 for day, _ in got)

@@ -15,7 +15,7 @@ ZONE = "Australia/Sydney"
 #: Headlines by o_orderkey modulo their number: some for each classifier, and some that only look alike.
 HEADLINES = (
     "Appendix 4E Preliminary Final Report", "Half Year Results Announcement", "Appendix 3Y Change of Director's Interest Notice", "Results of Annual General Meeting", "Trading Update and Guidance",
-    "FY24 full details and results", "Notice of Annual General Meeting", "Appointment of Chief Executive", "Resignation of Auditor", "Final Directors Interest Notice", "Cleansing Notice under Section 708A",
+    "FY24 audited results", "Notice of Annual General Meeting", "Appointment of Chief Executive", "Resignation of Auditor", "Final Directors Interest Notice", "Cleansing Notice under Section 708A",
     "Annual Report to Shareholders", "Quarterly Activities Report", "Profit Warning", "Change of Registered Office", "CEO succession announced",
 )
 

@@ -1,0 +1,53 @@
+"""Politeness and patience for clients of remote listings. They run on the driver, outside any plan."""
+
+from __future__ import annotations
+
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Seconds between requests, waits after failures, and what is worth another try.
+MIN_INTERVAL = 3.0
+BACKOFF = (1.0, 2.0, 4.0)
+LOAD_BACKOFF = (10.0, 20.0, 40.0, 80.0, 160.0)
+RETRY_STATUS = (429, 500, 502, 503, 504)
+# End of fixed values.
+
+
+class Refused(RuntimeError):
+    """A response whose status is not worth another try, or no longer."""
+
+    def __init__(self, status: int | None, message: str = ""):
+        super().__init__(message or f"status {status}")
+        self.status = status
+
+
+class RateLimiter:
+    """Lets callers through no more often than every ``interval`` seconds of a monotonic clock."""
+
+    def __init__(self, interval: float = MIN_INTERVAL, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.interval, self.clock, self.sleep, self.last = interval, clock, sleep, None
+
+    def wait(self) -> None:
+        if self.last is not None and (left := self.last + self.interval - self.clock()) > 0:
+            self.sleep(left)
+        self.last = self.clock()
+
+
+def with_retries(call: Callable[[], object], waits=BACKOFF, sleep: Callable[[float], None] = time.sleep):
+    """``call()``, again after each wait if the transport fails or the status is a passing one; other refusals are final."""
+    for wait in (*waits, None):
+        try:
+            return call()
+        except (OSError, Refused) as error:
+            passing = not isinstance(error, Refused) or error.status in RETRY_STATUS
+            if not passing or wait is None:
+                raise
+        sleep(wait)
+
+
+def document_url(page: Column) -> Column:
+    """The address of the document that an interstitial page leads to, or null."""
+    return F.nullif(F.regexp_extract(page, r"""name=["']pdfURL["']\s+value=["']([^"']+)["']""", 1), F.lit(""))
