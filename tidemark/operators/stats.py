@@ -40,23 +40,26 @@ def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("rho"))
 
 
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """Distinct values ``v`` with counts ``n`` (and other columns): adds mean_rank, the mean rank of the rows of each value.
+    Values are dealt to ranges, each range sums its own, and the totals of the ranges before are added: no task sees all."""
+    ranged = counts.repartitionByRange("v").withColumn("__part", F.spark_partition_id())
+    ranged = ranged.withColumn("__upto", F.sum("n").over(Window.partitionBy("__part").orderBy("v")))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = ranged.groupBy("__part").agg(F.sum("n").alias("__t")).select("__part", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__before"))
+    rank = F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2
+    return ranged.join(F.broadcast(before), "__part").withColumn("mean_rank", rank).drop("__part", "__upto", "__before")
+
+
 def binned_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """Distinct values with counts and the mean rank of each: what global ranks need, without sorting rows in one task.
-    The windows run over distinct values dealt to ranges, with the ranges' totals added."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    ranged = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy("v")))
-    before = ranged.groupBy("part").agg(F.sum("n").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = ranged.join(F.broadcast(before.select("part", "before")), "part")
-    return placed.select("v", "n", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2).alias("mean_rank"))
+    """v, n, mean_rank of each distinct value, over all rows."""
+    return ranked_counts(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")))
 
 
 def auc(rows: DataFrame, score: str, label: Column) -> DataFrame:
-    """Area under the ROC curve from rank sums, ties counted half."""
-    sums = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
-    ranks = sums.withColumn("upto", F.sum("n").over(Window.orderBy("v")))  # over distinct scores; bin them first where they are many
-    mean_rank = F.col("upto") - (F.col("n") - 1) / 2
-    total = ranks.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * mean_rank).alias("ranks"))
+    """n, pos, area under the ROC curve from rank sums, ties counted half."""
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
+    total = ranked_counts(counts).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * F.col("mean_rank")).alias("ranks"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     return total.select("n", "pos", F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, _nonzero((pos * neg).cast("double"))).alias("auc"))
 
