@@ -98,7 +98,7 @@ def test_injected_jump_is_found(spark):
         s[105] += 0.05
         rows += [("T", date(2024, 1, 1) + timedelta(e), 1, k, float(a), float(b)) for k, a, b in zip([*range(-120, -20), *range(-5, 21)], s, m, strict=True)]
     days = spark.createDataFrame(rows, "ticker string, day0 date, weight long, rel_day int, stock double, market double")
-    ab = study.abnormal(days, study.market_model(days))
+    ab = study.abnormal(days)
     assert study.bmp(ab).first()["z"] > 2
     z = {r["rel_day"]: r["z"] for r in study.corrado(ab).collect()}
     assert z[0] > 4 and abs(z[10]) < 4

@@ -46,26 +46,39 @@ def windows(studied: DataFrame, panel: DataFrame, estimation=ESTIMATION, event=E
     return days.withColumn("idx", F.col("pos") + F.col("rel_day")).join(panel.select("ticker", "idx", "stock", "market"), ["ticker", "idx"]).drop("idx", "pos")
 
 
-def market_model(days: DataFrame, estimation=ESTIMATION) -> DataFrame:
-    """ticker, day0, alpha, beta, residual_std (n - 2), market_mean, market_ss, n_obs. Residuals are summed in a second pass,
-    as a perfect fit must give zero. Degenerate fits have null beta."""
-    rows = days.where(F.col("rel_day").between(*estimation))
-    sums = rows.groupBy("ticker", "day0").agg(
-        F.regr_slope("stock", "market").alias("beta"), F.regr_intercept("stock", "market").alias("alpha"),
-        F.avg("market").alias("market_mean"), F.regr_sxx("stock", "market").alias("market_ss"), F.count("*").alias("n_obs"),
-    )
+MODEL = ("alpha", "beta", "residual_std", "market_mean", "market_ss", "n_obs")
+
+
+def fitted(days: DataFrame, estimation=ESTIMATION) -> DataFrame:
+    """Days with their event's market model: alpha, beta, residual_std (n - 2), market_mean, market_ss, n_obs. Residuals are
+    summed in a second pass, as a perfect fit must give zero. Degenerate fits have null beta.
+
+    The fit is a window over the event's days rather than an aggregate joined back, so days are computed and dealt once;
+    an event has as many days as its windows are long.
+    """
+    event = Window.partitionBy("ticker", "day0")
+    inside = F.col("rel_day").between(*estimation)
+    stock, market = F.when(inside, F.col("stock")), F.when(inside, F.col("market"))
+    rows = days.withColumns({
+        "n_obs": F.count(stock).over(event), "market_mean": F.avg(market).over(event), "market_ss": F.regr_sxx(stock, market).over(event),
+        "beta": F.regr_slope(stock, market).over(event), "alpha": F.regr_intercept(stock, market).over(event),
+    })
     good = (F.col("n_obs") >= 3) & (F.col("market_ss") >= LEAST_MARKET_SS)
-    sums = sums.withColumn("beta", F.when(good, F.col("beta"))).withColumn("alpha", F.when(good, F.col("alpha")))
-    residual = F.col("stock") - F.col("alpha") - F.col("beta") * F.col("market")
-    squares = rows.join(sums.select("ticker", "day0", "alpha", "beta"), ["ticker", "day0"]).groupBy("ticker", "day0").agg(F.sum(residual * residual).alias("rss"))
-    return sums.join(squares, ["ticker", "day0"]).withColumn("residual_std", F.sqrt(F.try_divide("rss", F.col("n_obs") - 2))).drop("rss")
+    rows = rows.withColumns({"beta": F.when(good, F.col("beta")), "alpha": F.when(good, F.col("alpha"))})
+    rows = rows.withColumn("ar", F.col("stock") - F.col("alpha") - F.col("beta") * F.col("market"))
+    rss = F.sum(F.when(inside, F.col("ar") * F.col("ar"))).over(event)
+    return rows.withColumn("residual_std", F.sqrt(F.try_divide(rss, F.col("n_obs") - 2)))
+
+
+def market_model(days: DataFrame, estimation=ESTIMATION) -> DataFrame:
+    """ticker, day0 and the model of each event."""
+    return fitted(days, estimation).where(F.col("rel_day") == estimation[0]).select("ticker", "day0", *MODEL)
 
 
-def abnormal(days: DataFrame, model: DataFrame, event=EVENT) -> DataFrame:
+def abnormal(days: DataFrame, estimation=ESTIMATION, event=EVENT) -> DataFrame:
     """Days with ar, sar (standardised by the forecast error, event days only) and Corrado's rank of ar within the event:
     ordinal, ties broken by day."""
-    rows = days.join(model, ["ticker", "day0"]).where("beta is not null")
-    rows = rows.withColumn("ar", F.col("stock") - F.col("alpha") - F.col("beta") * F.col("market"))
+    rows = fitted(days, estimation).where("beta is not null")
     factor = F.sqrt(1 + F.try_divide(F.lit(1.0), "n_obs") + F.pow(F.col("market") - F.col("market_mean"), 2) / F.col("market_ss"))
     rows = rows.withColumn("sar", F.when(F.col("rel_day").between(*event), F.try_divide("ar", F.col("residual_std") * factor)))
     rank = F.row_number().over(Window.partitionBy("ticker", "day0").orderBy("ar", "rel_day"))
@@ -102,7 +115,7 @@ def study(announcements: DataFrame, panel: DataFrame, calendar: DataFrame, estim
     """From announcements to abnormal returns."""
     studied = events(day_zero(announcements, calendar), panel, estimation, event)
     days = windows(studied, panel, estimation, event)
-    return abnormal(days, market_model(days, estimation), event)
+    return abnormal(days, estimation, event)
 
 
 def report(studied: DataFrame) -> DataFrame:
