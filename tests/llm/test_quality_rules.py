@@ -32,7 +32,9 @@ def test_measures(spark):
         assert (*[r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], row["__rules_failed"]) == plain(TEXTS[row["doc_id"]])
 
 
-def test_hosts_are_shrunk_and_join_back(spark):
+@pytest.mark.parametrize("broadcast", [0, 100])
+def test_hosts_are_shrunk_and_join_back(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", broadcast)
     good, bad = " ".join(f"w{i}" for i in range(80)), "too short"
     rows = [("awful", bad)] * 40 + [("awful", good)] + [(f"h{i}", good) for i in range(30) for _ in range(10)] + [("tiny", bad), (None, good), (None, bad)]
     docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")

@@ -20,6 +20,8 @@ WINDOW = 3
 SYMBOLS = r"[#*$%&|<>]"
 #: A host is rejected when its shrunk failure rate exceeds this.
 MAX_HOST_RATE = 0.8
+#: Hosts whose rates are broadcast at most; beyond, the join deals documents by host and adaptive execution splits large hosts.
+BROADCAST_HOSTS = 100_000
 #: Bounds of the prior's weight, in documents.
 PRIOR_WEIGHT = (1.0, 1e6)
 
@@ -79,12 +81,12 @@ def with_rules(docs: DataFrame, name: str = "__rules", text: str = "text") -> Da
     return docs.drop(f"{name}_text", f"{name}_words", f"{name}_hashes").withColumn(f"{name}_failed", failed)
 
 
-def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
-    """host, documents n, failures k, shrunk rate. The prior's four sums over all hosts are one row, read by the driver."""
+def host_rates(judged: DataFrame, host: str, failed: str) -> tuple[DataFrame, int]:
+    """(host, documents n, failures k, shrunk rate; number of hosts). The prior's four sums over all hosts are one row, read by the driver."""
     hosts = judged.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed).cast("long")).alias("k"))
     totals = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count("*").alias("hosts"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk")).first()
     alpha, beta = beta_prior(totals["n"] or 0, totals["k"] or 0, totals["hosts"], totals["kk"] or 0.0)
-    return hosts.select("host", "n", "k", ((F.col("k") + alpha) / (F.col("n") + alpha + beta)).alias("rate"))
+    return hosts.select("host", "n", "k", ((F.col("k") + alpha) / (F.col("n") + alpha + beta)).alias("rate")), totals["hosts"]
 
 
 def beta_prior(n: int, k: int, hosts: int, kk: float) -> tuple[float, float]:
@@ -101,13 +103,15 @@ def beta_prior(n: int, k: int, hosts: int, kk: float) -> tuple[float, float]:
 def judged(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = MAX_HOST_RATE, carry: list[str] | None = None) -> DataFrame:
     """Columns ``carry`` (all by default) with __rules, __rules_failed, __host_rate and __kept.
 
-    The measures are computed once and written to the shared folder; hosts join back on their key, where adaptive
-    execution broadcasts a small side by its measured size or splits the partitions of a large host.
+    The measures are computed once and written to the shared folder. Hosts join back on their key: their rates are
+    broadcast if there are no more than ``BROADCAST_HOSTS``, so that documents need not be dealt by host.
     """
     carry = docs.columns if carry is None else carry
     base = with_rules(docs, text=text).withColumn("__host", F.col(host))
     base = common.written(base.select(*[F.col(f"`{c}`") for c in carry], "__host", "__rules", "__rules_failed"), "rules")
-    rates = host_rates(base, "__host", "__rules_failed").select(F.col("host").alias("__host"), F.col("rate").alias("__host_rate"))
+    rates, n_hosts = host_rates(base, "__host", "__rules_failed")
+    rates = rates.select(F.col("host").alias("__host"), F.col("rate").alias("__host_rate"))
+    rates = F.broadcast(rates) if n_hosts <= BROADCAST_HOSTS else rates
     kept = ~F.col("__rules_failed") & (F.coalesce(F.col("__host_rate"), F.lit(0.0)) <= max_host_rate)
     return base.join(rates, "__host", "left").withColumn("__kept", kept).drop("__host")
 
