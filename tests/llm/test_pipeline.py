@@ -33,3 +33,51 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         made = stage(spark, docs, "")
         assert made.count() == 0
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """The whole pipeline, written and read between stages, against plain Python on the same rows."""
+    import zlib
+
+    import numpy as np
+    from public_tokenizers import path as vocabulary_path
+    from test_line_dedup import plain as plain_lines
+    from test_pii import plain as plain_pii
+    from test_quality_rules import plain as plain_rules
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import packing, quality_rules
+
+    rng = random.Random(7)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
+    texts = [prose(rng.randint(60, 250)) + rng.choice(["", "\nBoiler plate", "\n" + prose(20) + "\n boiler PLATE "]) for _ in range(60)]
+    texts += [texts[i] + " tail" for i in range(5)] + [texts[6]] * 3 + ["bad"] * 20 + [prose(99) + f" write a{i}@b.co now +1 (423) 555-73{i:02d}." for i in range(12)] + [None, ""]
+    hosts = [f"h{i % 6}" if t != "bad" else rng.choice(["junk", "h1"]) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", h, 0) for i, (t, h) in enumerate(zip(texts, hosts, strict=True))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    failed = {i: plain_rules(t)[-1] for i, t, *_ in rows}
+    counts = {}
+    for i, _, _, h, _ in rows:
+        n, k = counts.get(h, (0, 0))
+        counts[h] = n + 1, k + failed[i]
+    a, b = quality_rules.beta_prior(len(rows), sum(failed.values()), len(counts), sum(k * k / n for n, k in counts.values()))
+    kept = [(i, t) for i, t, _, h, _ in rows if not failed[i] and (counts[h][1] + a) / (counts[h][0] + a + b) <= 0.8]
+    cleaned = list(zip([i for i, _ in kept], plain_lines([t for _, t in kept], 10), strict=True))
+    left = []
+    for i, t in cleaned:
+        words = t.lower().split()
+        shingles = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+        if all(len(shingles & s) / len(shingles | s) < 0.8 for _, _, s in left):
+            left.append((i, t, shingles))
+    tokenizer = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    wanted = []
+    for i, t, _ in left:
+        at, out = 0, ""
+        for kind, start, end in sorted(plain_pii(t), key=lambda s: s[1]):
+            out, at = f"{out}{t[at:start]}[{kind.upper()}]", end
+        ids = np.array(tokenizer.encode(out + t[at:], add_special_tokens=False).ids + [0], "<u4")
+        wanted += [(i, start, n, zlib.crc32(ids[start : start + n].tobytes())) for start, n in packing.cut(len(ids), 2048)]
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in found) == sorted(wanted)
+    assert corpus_pipeline.ORACLE_SQL is None
