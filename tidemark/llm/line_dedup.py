@@ -95,7 +95,7 @@ def drop_frequent(docs: DataFrame, hashed: DataFrame, frequent: DataFrame, key:
     hits = pairs.join(frequent, "hash", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("hash").alias("__hits"))
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)
-    own = F.transform(F.arrays_zip(lines.alias("line"), line_hashes(whole).alias("hash")), lambda x: x)
+    own = F.arrays_zip(lines.alias("line"), line_hashes(whole).alias("hash"))
     kept = F.transform(F.filter(own, lambda x: ~F.coalesce(F.array_contains("__hits", x["hash"]), F.lit(False))), lambda x: x["line"])
     found = docs.join(hits, F.col(key).eqNullSafe(F.col("__id")), "left")
     found = found.withColumn("__lines", F.size(lines).cast("long")).withColumn("__kept", F.when(F.col("__hits").isNotNull(), kept))
