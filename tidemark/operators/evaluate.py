@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import outcome
+from ..functions.text import normalize
 
 OUTCOMES = ("correct", "wrong", "missed", "hallucinated")
 DETECTION = "trade_detection"
@@ -27,13 +28,20 @@ class Field:
     strong: bool = False
 
 
+def comparable(rows: DataFrame, keys: list, fields: Sequence[Field], name: str) -> DataFrame:
+    """keys and a struct of the fields, text normalised: done once per row, so that comparing pairs is plain equality."""
+    values = [normalize(F.col(f.name)).alias(f.name) if f.text else F.col(f.name) for f in fields]
+    return rows.select(*keys, F.struct(*values).alias(name))
+
+
+def _outcomes(fields: Sequence[Field]) -> list[Column]:
+    return [F.struct(F.lit(f.name).alias("field"), outcome(F.col("__g")[f.name], F.col("__p")[f.name]).alias("outcome")) for f in fields]
+
+
 def score_fields(golden: DataFrame, stated: DataFrame, keys: list[str], fields: Sequence[Field]) -> DataFrame:
     """keys, field, outcome: one row per field of every labelled document that has a prediction."""
-    names = [f.name for f in fields]
-    left = golden.select(*keys, F.struct(*names).alias("__g"))
-    right = stated.select(*keys, F.struct(*names).alias("__p"))
-    outcomes = F.array(*[F.struct(F.lit(f.name).alias("field"), outcome(F.col("__g")[f.name], F.col("__p")[f.name], f.text).alias("outcome")) for f in fields])
-    return left.join(right, keys).select(*keys, F.inline(outcomes))
+    both = comparable(golden, keys, fields, "__g").join(comparable(stated, keys, fields, "__p"), keys)
+    return both.select(*keys, F.inline(F.array(*_outcomes(fields))))
 
 
 def skipped(golden: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,23 +55,19 @@ def candidate_pairs(golden: DataFrame, stated: DataFrame, key: str, fields: Sequ
 
     The join is on (document, a strong field's value), once per strong field, never on the document alone.
     """
-    names = [f.name for f in fields]
-    left = golden.select(key, F.col("idx").alias("g"), F.struct(*names).alias("__g"))
-    right = stated.select(key, F.col("idx").alias("p"), F.struct(*names).alias("__p"))
+    left = comparable(golden, [key, F.col("idx").alias("g")], fields, "__g")
+    right = comparable(stated, [key, F.col("idx").alias("p")], fields, "__p")
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
-        from ..functions.text import normalize
-
-        shown = [(normalize(F.col(side)[f.name]) if f.text else F.col(side)[f.name]).cast("string") for f in fields if f.strong]
+        shown = [F.col(side)[f.name].cast("string") for f in fields if f.strong]
         strong = F.array(*[F.when(v.isNotNull(), F.concat(F.lit(f"{i}:"), v)) for i, v in enumerate(shown)])
         return rows.withColumn("__k", F.explode(F.array_compact(strong)))
 
     pairs = keyed(left, "__g").join(keyed(right, "__p"), [key, "__k"]).drop("__k").dropDuplicates([key, "g", "p"])
-    result = lambda f: outcome(F.col("__g")[f.name], F.col("__p")[f.name], f.text)
-    agreed = sum((result(f) == "correct").cast("int") for f in fields)
-    stated_both = lambda f: F.col("__g")[f.name].isNotNull() & F.col("__p")[f.name].isNotNull()
-    identity = sum((stated_both(f) & (result(f) == "correct")).cast("int") for f in fields if f.identity)
-    return pairs.withColumn("agreement", agreed).withColumn("identity", identity).where(F.col("identity") >= LEAST_IDENTITY)
+    equal = {f.name: F.col("__g")[f.name] == F.col("__p")[f.name] for f in fields}
+    agreed = sum(F.coalesce(equal[f.name], F.col("__g")[f.name].isNull() & F.col("__p")[f.name].isNull()).cast("int") for f in fields)
+    identity = sum(F.coalesce(equal[f.name], F.lit(False)).cast("int") for f in fields if f.identity)
+    return pairs.select(key, "g", "p", agreed.alias("agreement"), identity.alias("identity")).where(F.col("identity") >= LEAST_IDENTITY)
 
 
 def match(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
@@ -83,15 +87,12 @@ def score_lists(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence
     known = stated.select(key).distinct()
     golden = golden.join(known, key, "left_semi")
     found = match(golden, stated, key, fields)
-    names = [f.name for f in fields]
-    left = golden.select(key, F.col("idx").cast("int").alias("g"), F.struct(*names).alias("__g"))
-    right = stated.select(key, F.col("idx").cast("int").alias("p"), F.struct(*names).alias("__p"))
-    both = found.join(left, [key, "g"]).join(right, [key, "p"])
-    outcomes = [F.struct(F.lit(DETECTION).alias("field"), F.lit("correct").alias("outcome"))]
-    outcomes += [F.struct(F.lit(f.name).alias("field"), outcome(F.col("__g")[f.name], F.col("__p")[f.name], f.text).alias("outcome")) for f in fields]
-    missed = left.join(found, [key, "g"], "left_anti").select(key, F.lit(DETECTION).alias("field"), F.lit("missed").alias("outcome"))
-    made_up = right.join(found, [key, "p"], "left_anti").select(key, F.lit(DETECTION).alias("field"), F.lit("hallucinated").alias("outcome"))
-    return both.select(key, F.inline(F.array(*outcomes))).unionByName(missed).unionByName(made_up)
+    left = comparable(golden, [key, F.col("idx").cast("int").alias("g")], fields, "__g").join(found, [key, "g"], "left")
+    right = comparable(stated, [key, F.col("idx").cast("int").alias("p")], fields, "__p")
+    both = left.join(right, [key, "p"], "full")  # a golden item without a match has a null p, which joins nothing
+    detected = lambda o: F.struct(F.lit(DETECTION).alias("field"), F.lit(o).alias("outcome"))
+    outcomes = F.when(F.col("__p").isNull(), F.array(detected("missed"))).when(F.col("__g").isNull(), F.array(detected("hallucinated"))).otherwise(F.array(detected("correct"), *_outcomes(fields)))
+    return both.select(key, F.inline(outcomes))
 
 
 def tally(outcomes: DataFrame, fields: Sequence[str]) -> DataFrame:
