@@ -46,3 +46,11 @@ def test_runs_are_levelled(spark):
     assert sorted(r["docs"] for r in runs.counts().collect()) == [6, 6, 6, 18]
     runs.compact(everything=True)
     assert len(runs.manifest.read()[1]) == 1 and runs.frequent(7).count() == 1
+
+
+def test_batches_as_they_arrive(spark):
+    runs = line_dedup.LineRuns(spark, common.scratch_path(spark, "r"))
+    batch = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = runs.ingest(batch("a\nb", "a\nc"), min_docs=3).collect()
+    second = runs.ingest(batch("A \nd", "d"), min_docs=3).collect()
+    assert sorted(r["text"] for r in first) == ["a\nb", "a\nc"] and sorted(r["text"] for r in second) == ["d", "d"]

@@ -78,6 +78,13 @@ class LineRuns:
     def frequent(self, min_docs: int) -> DataFrame:
         return self.counts().where(F.col("docs") >= min_docs).select("hash")
 
+    def ingest(self, docs: DataFrame, min_docs: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """Clean a batch as it arrives: its run is added, and the batch loses the lines that at least ``min_docs`` documents
+        of all batches so far have. Documents of earlier batches are as they were."""
+        hashed = hashed_batches(docs, 1, key, text)
+        self.add(hashed)
+        return drop_frequent(docs, hashed, self.frequent(min_docs), key, text)
+
 
 def hashed_batches(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, hashes and a batch from 0 to ``n`` - 1, as they might have come in; the texts are read and hashed once, in one job."""
