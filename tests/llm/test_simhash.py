@@ -99,3 +99,40 @@ def test_large_anchors_are_searched_like_small_ones():
     keys, ids = np.zeros(130, np.int64), np.arange(130)
     found = simhash_similar.group_links(keys, ids, rows, 8)
     assert len(found) == 130 - len({tuple(c[1:]) for c in rows.tolist()})
+
+
+def shared_start(rng, size, tail):
+    """Two texts of ``size`` five-word shingles each that differ in the last ``tail``: of likeness (size - tail) / (size + tail)."""
+    words = [f"w{rng.getrandbits(40)}" for _ in range(size + 4 + tail)]
+    return " ".join(words[: size + 4]), " ".join(words[: size + 4 - tail] + words[size + 4 :])
+
+
+def plain_alike(a, b, likeness=0.8, k=5):
+    x, y = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(x & y) >= likeness * len(x | y) - 1e-9
+
+
+def test_pairs_below_the_likeness_are_not_linked(spark):
+    rng = random.Random(6)
+    texts = [t for tail in range(20, 70) for t in shared_start(rng, 270, tail)]  # likeness 0.59 to 0.86; 0.8 at a tail of 30
+    chain = [f"c{rng.getrandbits(40)}" for _ in range(274 + 5 * 35)]
+    texts += [" ".join(chain[35 * i : 35 * i + 274]) for i in range(6)]  # each is 0.77 like the next
+    wanted = plain_components(range(len(texts)), lambda a, b: plain_alike(texts[a], texts[b]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_similar.near_duplicates(docs).collect()}
+    assert [i for i in wanted if found[i] != i and wanted[i] != found[i]] == []
+    assert sum(wanted[i] != found[i] for i in wanted) <= 2
+
+
+def test_exact_links_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for most in (6, 40):
+        base = [rng.choice(2**40, most, replace=False) for _ in range(4)]
+        sets = [np.unique(np.concatenate([rng.choice(b, rng.integers(most // 2, most + 1), replace=False), rng.choice(2**40, rng.integers(0, 3))])).astype(np.uint64) for b in base for _ in range(30)]
+        sets += [np.array([], np.uint64)] * 3
+        like = lambda a, b: len({*sets[a].tolist()} & {*sets[b].tolist()}) / max(1, len({*sets[a].tolist()} | {*sets[b].tolist()})) >= 0.8 or not len(sets[a]) + len(sets[b])
+        found = simhash_similar.exact_links(sets, 0.8)
+        nodes = list(range(len(sets)))
+        pairs = {*found, *((b, a) for a, b in found)}
+        assert plain_components(nodes, lambda a, b: (a, b) in pairs) == plain_components(nodes, like)
+        assert all(like(a, b) for a, b in found) and len(found) < len(sets)
