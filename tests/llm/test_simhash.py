@@ -136,3 +136,13 @@ def test_exact_links_against_all_pairs():
         pairs = {*found, *((b, a) for a, b in found)}
         assert plain_components(nodes, lambda a, b: (a, b) in pairs) == plain_components(nodes, like)
         assert all(like(a, b) for a, b in found) and len(found) < len(sets)
+
+
+def test_isolated_pairs_at_the_likeness_are_linked(spark):
+    rng = random.Random(9)
+    texts = [t for _ in range(200) for t in shared_start(rng, 270, 30)]  # likeness 0.8
+    assert all(plain_alike(*texts[i : i + 2]) for i in range(0, 400, 2))
+    near = simhash_similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert near.where("component_id <> doc_id").count() >= 194  # expected 198
+    for n in (1000, 1_000_000, 100_000_000):
+        assert simhash_similar.recall(*simhash_similar.tables_for(n, 0.8), 0.8) >= 0.99
