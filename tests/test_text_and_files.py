@@ -158,3 +158,14 @@ def test_late_events_are_dropped(spark):
     found = streams.run_available(streams.tumbling(streams.read_events(spark, folder)), spark, "late_rows", scratch(spark, "state"))
     got = {(r["start"].day, r["n"]) for r in found.collect()}
     assert (10, 2) in got and (9, 1) in got and not any(day == 1 for day, _ in got)
+
+
+def test_every_document_is_hashed(spark, tmp_path):
+    import hashlib
+
+    from tidemark.plans import registry
+
+    texts = [f"text {i}\r\n\x00é" * (i % 70) for i in range(2500)] + [None, "null", "\n", "x" * 100]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    found = [r[0] for r in registry.QUERIES["source_binary_hash_all"].run(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, found)) == sorted(str(None if t is None else hashlib.sha256(t.encode()).hexdigest()) for t in texts)

@@ -11,6 +11,9 @@ from ..sources import readers, sinks
 from . import fixtures as fx
 from .registry import register
 
+#: Documents in a file of blobs.
+BLOBS = 1000
+
 
 def scratch(spark, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, or in a temporary one where that is unset."""
@@ -60,13 +63,24 @@ def source_csv_universe(spark, d):
 
 @register("source_binary_hash", "select sha256(text) as content_hash from documents where doc_id < 20")
 def source_binary_hash(spark, d):
-    """Blobs named and known by their hash: twenty small files are the feature here, not a limit."""
+    """The first twenty documents only, as its SQL says, as files of their own; source_binary_hash_all takes every document."""
     path = scratch(spark, "blobs")
     fx.table(spark, d, "documents").where("doc_id < 20").select("text", F.col("doc_id").cast("string").alias("k")).write.partitionBy("k").option("lineSep", "\x00").text(path)
     body = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path)
     return body.select(F.sha2(F.expr("left(decode(content, 'UTF-8'), char_length(decode(content, 'UTF-8')) - 1)"), 256).alias("content_hash"))
 
 
+@register("source_binary_hash_all", "select sha256(text) as content_hash from documents")
+def source_binary_hash_all(spark, d):
+    """Every document's blob: one base64 line each, in files of up to BLOBS lines, since a file for each would not scale."""
+    path = scratch(spark, "blobs")
+    line = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")
+    fx.table(spark, d, "documents").select(F.coalesce(line, F.lit("-")).alias("value")).write.option("maxRecordsPerFile", BLOBS).text(path)
+    body = F.decode("content", "UTF-8")
+    lines = spark.read.format("binaryFile").load(path).where("length > 0").select(F.explode(F.split(F.left(body, F.char_length(body) - 1), "\n")).alias("line"))
+    return lines.select(F.when(F.col("line") != "-", F.sha2(F.unbase64("line"), 256)).alias("content_hash"))
+
+
 @register("source_price_frame", "select 'S' || s_suppkey as ticker, s_acctbal as close from supplier where s_suppkey <= 20 and s_acctbal > 0")
 def source_price_frame(spark, d):
     rows = fx.table(spark, d, "supplier").where("s_suppkey <= 20").select(F.concat(F.lit("S"), "s_suppkey", F.lit(".AX|Close")).alias("f"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
