@@ -169,3 +169,14 @@ def test_every_document_is_hashed(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     found = [r[0] for r in registry.QUERIES["source_binary_hash_all"].run(spark, str(tmp_path)).collect()]
     assert sorted(map(str, found)) == sorted(str(None if t is None else hashlib.sha256(t.encode()).hexdigest()) for t in texts)
+
+
+def test_every_supplier_and_order_takes_part(spark, tmp_path):
+    from tidemark.plans import registry
+
+    spark.createDataFrame([(i, float(i % 7 - 1)) for i in range(1, 601)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = registry.QUERIES["source_price_frame_all"].run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((f"S{i}", float(i % 7 - 1)) for i in range(1, 601) if i % 7 > 1)
+    spark.createDataFrame([(i, datetime(1999 + i % 3, 5, 1)) for i in range(60)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.QUERIES["years_covering_all"].run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(i, y) for i in range(60) for y in range(1999 + i % 3, 2002)]

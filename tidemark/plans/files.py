@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import readers, sinks
@@ -13,6 +15,8 @@ from .registry import register
 
 #: Documents in a file of blobs.
 BLOBS = 1000
+#: Symbols in a wide frame of prices.
+SYMBOLS = 250
 
 
 def scratch(spark, name: str) -> str:
@@ -88,6 +92,19 @@ def source_price_frame(spark, d):
     return readers.prices_long(wide).select("ticker", "close")
 
 
+@register("source_price_frame_all", "select 'S' || s_suppkey as ticker, s_acctbal as close from supplier where s_acctbal > 0")
+def source_price_frame_all(spark, d):
+    """Every supplier, in wide frames of SYMBOLS symbols each."""
+    rows = fx.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("S"), "s_suppkey", F.lit(".AX|Close")).alias("f"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
+    rows = rows.withColumn("date", F.lit("2024-01-02").cast("date"))
+    least, most = rows.agg(F.coalesce(F.min("s_suppkey"), F.lit(0)), F.coalesce(F.max("s_suppkey"), F.lit(0))).first()
+    frames = []
+    for start in range(least, most + 1, SYMBOLS):
+        wide = rows.where(F.col("s_suppkey").between(start, start + SYMBOLS - 1)).groupBy("date").pivot("f", [f"S{i}.AX|Close" for i in range(start, start + SYMBOLS)]).agg(F.first("v"))
+        frames.append(readers.prices_long(wide).select("ticker", "close"))
+    return functools.reduce(DataFrame.union, frames)
+
+
 @register("source_usage_log", "select c_custkey % 100 as input_tokens, count(*) as n from customer group by 1")
 def source_usage_log(spark, d):
     path = scratch(spark, "logs")

@@ -206,6 +206,15 @@ RESULTS = f"""
 fx_results as (select distinct ticker, cast({LOCAL} as date) as d from fx_announcements where price_sensitive and ann_id % 60 = 1)"""
 
 
+def all_results_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticker, d: days of all results announcements."""
+    return announcements(spark, sf_dir).where("price_sensitive").select("ticker", F.to_date(F.from_utc_timestamp("announced_at", ZONE)).alias("d")).distinct()
+
+
+ALL_RESULTS = f"""
+fx_results as (select distinct ticker, cast({LOCAL} as date) as d from fx_announcements where price_sensitive)"""
+
+
 def oracle(*parts: str, body: str) -> str:
     """A DuckDB statement over the views that the parts define, each part once and in order."""
     return "with " + ",".join(dict.fromkeys(parts)) + "\n" + body

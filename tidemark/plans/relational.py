@@ -108,6 +108,15 @@ def join_asof_backward(spark, d):
     return found.withColumn("gap", F.datediff("filed", "last_result").cast("long"))
 
 
+@register(
+    "join_asof_backward_all",
+    fx.oracle(fx.ANNOUNCEMENTS, fx.FILINGS, fx.ALL_RESULTS, body="select f.ticker, director, filed, consideration, r.d as last_result, date_diff('day', r.d, filed) as gap from fx_filings f asof left join fx_results r on f.ticker = r.ticker and f.filed >= r.d"),
+)
+def join_asof_backward_all(spark, d):
+    found = asof.asof(fx.filings(spark, d), fx.all_results_dates(spark, d), ["ticker"], "filed", "d", name="last_result")
+    return found.withColumn("gap", F.datediff("filed", "last_result").cast("long"))
+
+
 @register(
     "join_asof_forward",
     fx.oracle(fx.ANNOUNCEMENTS, fx.FILINGS, fx.RESULTS, body="select f.ticker, director, filed, consideration, r.d as next_result from fx_filings f asof left join fx_results r on f.ticker = r.ticker and f.filed <= r.d"),
@@ -116,6 +125,14 @@ def join_asof_forward(spark, d):
     return asof.asof(fx.filings(spark, d), fx.results_dates(spark, d), ["ticker"], "filed", "d", forward=True, name="next_result")
 
 
+@register(
+    "join_asof_forward_all",
+    fx.oracle(fx.ANNOUNCEMENTS, fx.FILINGS, fx.ALL_RESULTS, body="select f.ticker, director, filed, consideration, r.d as next_result from fx_filings f asof left join fx_results r on f.ticker = r.ticker and f.filed <= r.d"),
+)
+def join_asof_forward_all(spark, d):
+    return asof.asof(fx.filings(spark, d), fx.all_results_dates(spark, d), ["ticker"], "filed", "d", forward=True, name="next_result")
+
+
 @register(
     "join_existence_within_91_days",
     fx.oracle(fx.ANNOUNCEMENTS, fx.FILINGS, fx.RESULTS, body="select ticker, director, filed from fx_filings f where exists (select 1 from fx_results r where r.ticker = f.ticker and r.d > f.filed and r.d <= f.filed + 91)"),
@@ -126,6 +143,16 @@ def join_existence(spark, d):
     return found.where(F.datediff("next_result", "filed") <= 91).select("ticker", "director", "filed")
 
 
+@register(
+    "join_existence_within_91_days_all",
+    fx.oracle(fx.ANNOUNCEMENTS, fx.FILINGS, fx.ALL_RESULTS, body="select ticker, director, filed from fx_filings f where exists (select 1 from fx_results r where r.ticker = f.ticker and r.d > f.filed and r.d <= f.filed + 91)"),
+)
+def join_existence_all(spark, d):
+    after = fx.filings(spark, d).withColumn("next_day", F.date_add("filed", 1))
+    found = asof.asof(after, fx.all_results_dates(spark, d), ["ticker"], "next_day", "d", forward=True, name="next_result")
+    return found.where(F.datediff("next_result", "filed") <= 91).select("ticker", "director", "filed")
+
+
 @register(
     "agg_global_tripwires",
     fx.oracle(
@@ -162,6 +189,21 @@ def agg_coverage_buckets(spark, d):
     return returns.coverage(own.union(index), part.select("ticker"), fx.INDEX, share=0.5)
 
 
+@register(
+    "agg_coverage_buckets_all",
+    fx.oracle(
+        "u as (select distinct p_brand as ticker from part)", "b as (select distinct p_brand as ticker, cast(l_shipdate as date) as date from lineitem join part on l_partkey = p_partkey)",
+        "i as (select count(distinct cast(l_shipdate as date)) as n from lineitem)", "c as (select ticker, count(*) as rows from b group by ticker)",
+        body="select ticker, coalesce(rows, 0) as rows, case when coalesce(rows, 0) = 0 then 'empty' when rows < floor(0.5 * i.n) then 'short' else 'ok' end as status from u left join c using (ticker), i",
+    ),
+)
+def agg_coverage_buckets_all(spark, d):
+    line, part = fx.table(spark, d, "lineitem"), fx.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("ticker"))
+    own = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("ticker", F.to_date("l_shipdate").alias("date")).distinct()
+    index = line.select(F.lit(fx.INDEX).alias("ticker"), F.to_date("l_shipdate").alias("date")).distinct()
+    return returns.coverage(own.union(index), part.select("ticker"), fx.INDEX, share=0.5)
+
+
 @register("agg_max_per_key", "select l_suppkey, l_returnflag, max(cast(l_shipdate as date)) as last_filed from lineitem group by all")
 def agg_max_per_key(spark, d):
     return fx.table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.max(F.to_date("l_shipdate")).alias("last_filed"))
@@ -172,6 +214,11 @@ def agg_date_list(spark, d):
     return fx.results_dates(spark, d).groupBy("ticker").agg(F.array_join(F.transform(F.sort_array(F.collect_set("d")), lambda x: x.cast("string")), ",").alias("dates"))
 
 
+@register("agg_date_list_all", fx.oracle(fx.ANNOUNCEMENTS, fx.ALL_RESULTS, body="select ticker, array_to_string(list_sort(list(distinct d))::varchar[], ',') as dates from fx_results group by ticker"))
+def agg_date_list_all(spark, d):
+    return fx.all_results_dates(spark, d).groupBy("ticker").agg(F.array_join(F.transform(F.sort_array(F.collect_set("d")), lambda x: x.cast("string")), ",").alias("dates"))
+
+
 @register(
     "agg_distinct_collapse_total",
     """with calls as (select distinct o_orderpriority as vertical, o_custkey, o_orderstatus, cast(floor(o_totalprice) as bigint) as tokens from orders)

@@ -185,6 +185,12 @@ def years_covering(spark, d):
     return years.select("o_orderkey", F.col("y").cast("long").alias("y"))
 
 
+@register("years_covering_all", "select o_orderkey, unnest(range(year(o_orderdate), 2002))::bigint as y from orders")
+def years_covering_all(spark, d):
+    years = fx.table(spark, d, "orders").select("o_orderkey", F.explode(scalar.years_covering(F.col("o_orderdate"), F.lit("2001-12-31").cast("date"))).alias("y"))
+    return years.select("o_orderkey", F.col("y").cast("long").alias("y"))
+
+
 @register("numeric_functions", "select l_orderkey, l_linenumber, round(ln(l_extendedprice), 9) as l, round(sqrt(l_quantity), 9) as r, abs(25 - l_quantity) as a, round(l_discount * l_discount, 9) as s from lineitem")
 def numeric_functions(spark, d):
     return fx.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.ln("l_extendedprice"), 9).alias("l"), F.round(F.sqrt("l_quantity"), 9).alias("r"), F.abs(25 - F.col("l_quantity")).alias("a"), F.round(F.col("l_discount") * F.col("l_discount"), 9).alias("s"))
