@@ -104,3 +104,13 @@ def test_rows_and_masks(spark):
     masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
     assert masked[3] == 'mail [EMAIL] token = "[SECRET]" end' and masked[1] is None and masked[None] == rows[4][1]
     assert pii.mask(docs).columns == docs.columns
+
+
+def test_addresses_in_any_case_and_with_spaces_in_brackets():
+    weights = pii.fitted()
+    for address in ("JOHN [AT] EXAMPLE [DOT] COM", "john [ at ] example [ dot ] com", "John (At) Example (Dot) Com", "averyveryverylongname.of.somebodyorotherindeed [ at ] example [ dot ] com"):
+        text = f"you may write to them: {address} if need be"
+        assert ("email", 23, 23 + len(address)) in pii.spans_of(text, weights)[1], address
+    wide = " ".join("w" * 15 for _ in range(40))
+    (begin, end), *_ = pii.regions(f"{wide} [at] {wide}")
+    assert len(pii.TOKEN.findall(f"{wide} [at] {wide}"[begin:end])) == 2 * pii.MOST_TOKENS - 1

@@ -1,10 +1,11 @@
 """Operator 5: personal data by exact rules and a semi-Markov conditional random field.
 
 The rules find the four base kinds; their spans always stay. The field adds what rules miss: it segments each region
-around a trigger (digits, an at sign, a long run of letters and digits) into single tokens outside and whole spans of a
+around a trigger (digits, an at sign or its word in brackets, a long run of letters and digits) into single tokens outside and whole spans of a
 kind, of at most ``MOST_TOKENS`` tokens. Features score whole candidate spans (shape, length, check digits, the words before it), and a
-dynamic programme over bounded segments picks boundaries and kinds jointly. Tokens outside regions cannot be part of a
-span, so the regions' optima are the text's optimum. Base spans are barriers. The weights maximise the penalised
+dynamic programme over bounded segments picks boundaries and kinds jointly. A region around an at sign or such a word takes in all
+tokens that a span of ``MOST_TOKENS`` may have beside it; around digits and long runs it ends with them, so words of letters that are more than
+three characters from any trigger are not candidates, and the optimum is that of the regions. Base spans are barriers. The weights maximise the penalised
 likelihood of lines made from templates with a fixed seed, and are fitted anew in each process that asks for them.
 
 A null text is empty and has no spans. Rows of equal or null doc_id are read each on its own; other columns are left out
@@ -13,6 +14,7 @@ of ``find`` and pass through ``mask``; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -79,7 +81,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # The field.
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-TRIGGER = re.compile(r"(?=[^\W_]*[0-9])[^\W_]+|@|[A-Za-z0-9]{20,}|\b(?:at|dot)\b(?=[\])}])")
+TRIGGER = re.compile(r"(?=[^\W_]*[0-9])[^\W_]+|@|[A-Za-z0-9]{20,}|\b(?i:at|dot)\b(?= ?[\])}])")
 #: Words that introduce a kind, as they are matched in lower case just before a span.
 CUES = {
     "email": ("email", "mail", "contact", "write"),
@@ -133,16 +135,15 @@ def features(text: str, start: int, end: int) -> list[float]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around triggers, near ones joined; all spans lie in them."""
+    """Stretches of text around triggers, near ones joined; only these are searched."""
     found: list[list[int]] = []
+    places = None
     for m in TRIGGER.finditer(text):
         start, end = m.span()
-        if m[0] in ("@", "at", "dot", "AT", "DOT"):
-            start, end = max(0, start - 40), min(len(text), end + 40)
-            while 0 < start < len(text) and text[start - 1].isalnum() and text[start].isalnum():
-                start -= 1
-            while 0 < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
-                end += 1
+        if m[0].lower() in ("@", "at", "dot"):  # with all the tokens that a span may have beside it
+            places = places or [t.span() for t in TOKEN.finditer(text)]
+            i = bisect.bisect_left(places, (start, end))
+            start, end = places[max(0, i - MOST_TOKENS + 1)][0], places[min(len(places) - 1, i + MOST_TOKENS - 1)][1]
         if start and text[start - 1] in "(+":
             start -= 1
         while found and start - found[-1][1] <= 3:
