@@ -180,3 +180,15 @@ def test_every_supplier_and_order_takes_part(spark, tmp_path):
     spark.createDataFrame([(i, datetime(1999 + i % 3, 5, 1)) for i in range(60)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     found = registry.QUERIES["years_covering_all"].run(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == [(i, y) for i in range(60) for y in range(1999 + i % 3, 2002)]
+
+
+def test_whole_quotes_are_found(spark, tmp_path):
+    from tidemark.plans import registry
+
+    opening = "the same forty characters open both items "
+    items = [(1, opening + "and end so"), (2, opening + "and end otherwise"), (3, "short one"), (4, "nowhere to be found at all")]
+    texts = [f"x {items[0][1]} y", f"{opening}only", "a short one", f"{items[1][1]} short one {items[1][1]}", "", None]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["pages_quote_in_documents_all"].run(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1), (2, 1), (3, 2)]

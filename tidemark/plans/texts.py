@@ -108,6 +108,18 @@ def pages_quote_in_documents(spark, d):
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_documents"))
 
 
+@register("pages_quote_in_documents_all", "select item_id, count(*) as n_documents from benchmark b join documents d on contains(d.text, b.text) group by item_id")
+def pages_quote_in_documents_all(spark, d):
+    """Whole benchmark texts inside documents: the first 16 characters only find candidates; shorter items are tried on every document."""
+    head = lambda c: F.substring(c, 1, 16)
+    items = fx.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), head(F.col("text")).alias("head"))
+    documents = fx.table(spark, d, "documents").select("doc_id", "text")
+    grams = documents.withColumn("head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text") - 15)), lambda i: F.substring(F.col("text"), i, F.lit(16))))))
+    long = grams.join(items.where("char_length(item) >= 16"), "head").where(F.contains("text", "item"))
+    short = documents.join(items.where("char_length(item) < 16"), F.contains("text", "item"))
+    return long.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
 @register("role_in_document", "select doc_id, case when contains(lower(text), 'with') then 'with' end as role from documents")
 def role_in_document(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.when(F.contains(F.lower("text"), F.lit("with")), "with").alias("role"))
