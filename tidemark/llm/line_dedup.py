@@ -1,8 +1,10 @@
 """Operator 6: lines that many documents share, found with levelled sorted runs of line hashes. Native: DataFrame functions only.
 
 A run holds, sorted by hash, each line hash of one batch and the number of its documents that have the line. Runs of a
-level are merged into one run of the next level once there are ``fanout`` of them. A batch is cleaned by a merge
-anti-join of its line hashes with the runs. The manifest lists the live runs and is committed atomically.
+level are merged into one run of the next level once there are ``fanout`` of them. The hashes that are frequent in the
+runs are found by a merge semi-join, and their lines dropped: by ``dedupe``, the registered path, once all batches are in
+the runs, as its counts are over all documents; by ``ingest`` for each batch as it arrives. The manifest lists the live
+runs and is committed atomically.
 
 A line's key is the line without white space at its ends and with A-Z lower-cased. Every row is a document. A null or
 empty text is one empty line; empty keys are never dropped; rows with equal or null doc_id are each cleaned on their
