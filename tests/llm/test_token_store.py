@@ -10,13 +10,12 @@ from tokenizers import Tokenizer
 from tidemark.llm import common, token_store, tokens
 
 VOCABULARY = vocabulary_path("byte_bpe_50k.json")
-ODD = ["", " ", "a", "\n", "\n\n", " a  b", "a \n b", "a\tb c", "x  y", "a\n\nb", "it's  'll", " é ñ", "a\x1cb \x1c c", "<|endoftext|> x", "tail \n", "word " * 3000, "z" * 5000, "1 2\n3"]
+ODD = ["", " ", "a", "\n", "\n\n", " a  b", "a \n b", "a\tb c", "x  y", "a\n\nb", "it's  'll", " é ñ", "a\x1cb \x1c c", "<|endoftext|> x", "see <|endoftext|> here", "a b<|endoftext|>", "a <|endof text|> b", "tail \n", "word " * 3000, "z" * 5000, "1 2\n3"]
 
 
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -53,3 +52,19 @@ def test_empty_table(spark):
     path = common.scratch_path(spark, "t")
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), path, VOCABULARY, end_id=2)
     assert token_store.digests(spark, path).collect() == []
+
+
+def test_hot_and_null_ids_are_split_and_fetch_prunes(spark):
+    rows = [(7, f"hot {i}") for i in range(300)] + [(None, f"none {i}") for i in range(300)] + [(i + 100, f"text {i}") for i in range(300)]
+    path = common.scratch_path(spark, "t")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        token_store.write(spark.createDataFrame(rows, "doc_id long, text string"), path, VOCABULARY, end_id=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    assert max(len(b["doc_ids"]) for b in blocks) < 200 and sum(len(b["doc_ids"]) for b in blocks) == 900
+    found = sorted(token_store.digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in found] == [sum(r["n_tokens"] for r in found[:i]) for i in range(900)]
+    assert [r["doc_id"] for r in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert len(token_store.fetch(spark, path, 7)) == 300 and len(token_store.fetch(spark, path, 150)) == 1 and token_store.fetch(spark, path, 99) == []

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text the contracts call white space: space and the controls from tab to carriage return.
@@ -24,10 +26,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset and the session is local, as in tests."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if root is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(context, "_tidemark_scratch", None)
         if root is None:
             root = context._tidemark_scratch = tempfile.mkdtemp(prefix="tidemark-")
@@ -37,8 +41,52 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. It goes with ``clear_scratch``, at the latest when the driver's Python ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if not hasattr(context, "_tidemark_paths"):
+        context._tidemark_paths = []
+        atexit.register(clear_scratch, spark)
+    context._tidemark_paths.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this session's operators have written to the shared folder. Frames that they have returned read it, so
+    call this once those are written elsewhere."""
+    paths = getattr(spark.sparkContext, "_tidemark_paths", [])
+    if spark.sparkContext._jsc is not None:
+        while paths:
+            with contextlib.suppress(Exception):  # a folder that cannot be deleted is no reason to stop
+                delete(spark, paths.pop())
+
+
+def fresh(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that is none of ``columns``, in any case."""
+    taken, found = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = next(n for n in itertools.chain([f"__{stem}"], (f"__{stem}_{i}" for i in itertools.count(1))) if n.lower() not in taken)
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def columns(names: list[str]) -> list[Column]:
+    """Top-level columns, whatever characters their names have."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """SQL settings for jobs that run within the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def file_system(spark: SparkSession, path: str):
@@ -69,22 +117,47 @@ def lower_ascii(text):
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def id_buckets(docs: DataFrame, key: str, count: int) -> list:
-    """Upper bounds (ascending, at most ``count`` - 1) that deal ``key`` into ranges of like size; reads that column only."""
-    bounds = docs.select(F.approx_percentile(key, [i / count for i in range(1, count)], 1000).alias("b")).first()["b"] if count > 1 else None
-    return sorted(set(bounds or []))
-
-
-def bucket_of(key: str, bounds: list):
-    """The range of ``key``: how many of the sorted bounds lie below it, looked up in two steps. Nulls get range 0."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, math.isqrt(len(bounds)))
-    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(key)))
-    row = F.greatest(below(F.array(*[F.lit(r[0]) for r in rows])), F.lit(1))
-    within = F.element_at(F.array(*[F.array(*[F.lit(b) for b in r]) for r in rows]), row)
-    return F.when(F.col(key).isNull(), 0).otherwise((row - 1) * width + below(within)).cast("int")
+class IdRanges:
+    """Ranges of (key, tie) of like size, numbered from 0 in that order, null keys first.
+
+    Bounds are approximate percentiles of the key, read from that column alone. A key that holds several shares of the
+    rows, or the null keys, are split further by ``tie``, a hash: percentiles that repeat a key tell how many shares it has.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, count: int):
+        self.key, self.bounds, self.extra, nulls = key, [], [], 0
+        if count > 1:
+            shares = [i / count for i in range(1, count)]
+            row = docs.agg(F.approx_percentile(key, shares, 1000).alias("b"), F.count_if(F.col(key).isNull()).alias("nulls"), F.count("*").alias("n")).first()
+            nulls = round(count * row["nulls"] / row["n"]) if row["n"] else 0
+            for bound, same in itertools.groupby(sorted(row["b"] or [])):
+                self.bounds.append(bound)
+                self.extra.append(sum(1 for _ in same) - 1)
+        self.nulls = max(1, nulls)
+        self.split = self.nulls > 1 or any(self.extra)
+        self.starts = [self.nulls if self.nulls > 1 else 0]  # the number of the range that ends with each bound, and of the last
+        for extra in self.extra:
+            self.starts.append(self.starts[-1] + 1 + extra)
+        self.count = self.starts[-1] + 1
+
+    def of(self, tie: Column | None = None) -> Column:
+        """The range of a row; ``tie`` (a long, spread over all values) is needed only if ``split``."""
+        key = F.col(self.key)
+        part = lambda n: F.least(F.floor((tie.cast("double") / 2.0**64 + 0.5) * n), F.lit(n - 1)).cast("int")
+        none = part(F.lit(self.nulls)) if self.nulls > 1 else F.lit(0)
+        if not self.bounds:
+            return F.when(key.isNull(), none).otherwise(self.starts[0]).cast("int")
+        width = max(1, math.isqrt(len(self.bounds)))
+        rows = [self.bounds[i : i + width] for i in range(0, len(self.bounds), width)]
+        below = lambda values: F.size(F.filter(values, lambda b: b < key))
+        row = F.greatest(below(F.array(*[F.lit(r[0]) for r in rows])), F.lit(1))
+        within = F.element_at(F.array(*[F.array(*[F.lit(b) for b in r]) for r in rows]), row)
+        place = (row - 1) * width + below(within)
+        found = F.get(F.array(*map(F.lit, self.starts)), place)
+        hot = {b: (s, e) for b, s, e in zip(self.bounds, self.starts, self.extra, strict=False) if e}
+        for bound, (start, extra) in hot.items():  # at most one for every two ranges
+            found = F.when(key == bound, start + 1 + part(F.lit(extra))).otherwise(found)
+        return F.when(key.isNull(), none).otherwise(found).cast("int")
 
 
 def record_batches(rows, schema: str, size: int = 4096):

@@ -3,7 +3,8 @@
 Format: Parquet rows are blocks of about ``BLOCK_BYTES``. A block's ``frames`` are zstandard frames end to end, one
 per document, each compressed on its own with the shared dictionary, so a short document is read alone. Its index
 holds doc_ids, the end offset of each frame, and token counts. ``shard``, ``block`` order the blocks; documents ascend
-by doc_id through blocks and shards (null ids first, equal ids by text hash). ``dictionary`` is a table of one row.
+by doc_id through blocks and shards (null ids first, equal ids by text hash), and first_id, last_id bound the ids of a
+block (null where all of its ids are). ``dictionary`` is a table of one row.
 Ids are unsigned little-endian integers of ``width`` bytes (2 where the vocabulary fits, else 4).
 
 Spark's commit protocol writes the blocks, so a lost executor's tasks just run again.
@@ -27,7 +28,7 @@ DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_CHARS = 1 << 16, 1000, 1 << 16
 LEVEL = 3
 
 FRAME_SCHEMA = "shard int, doc_id long, tie long, n_tokens long, frame binary"
-BLOCK_SCHEMA = "shard int, block long, first_token long, n_tokens long, dictionary_hash string, width int, doc_ids array<long>, ends array<long>, counts array<long>, frames binary"
+BLOCK_SCHEMA = "shard int, block long, first_id long, last_id long, first_token long, n_tokens long, dictionary_hash string, width int, doc_ids array<long>, ends array<long>, counts array<long>, frames binary"
 DIGEST_SCHEMA = "shard int, first long, doc_id long, n_tokens long, ids_crc32 long"
 
 
@@ -75,18 +76,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None) -> No
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_compression_dictionary(raw), write_content_size=True)
 
         def rows():
-            for part in tokens.in_batches(common.batch_rows(batches), 3):
+            for part in tokens.in_batches(common.batch_rows(batches), 3, tokens.LIBRARY_BATCH_CHARS):
                 for (shard, doc_id, tie, _), ids in zip(part, encoder.encode([r[3] for r in part]), strict=True):
                     yield shard, doc_id, tie, len(ids + tail) // width, press.compress(ids + tail)
 
         yield from common.record_batches(rows(), FRAME_SCHEMA, 1024)
 
-    n = common.shuffle_partitions(spark)
-    bounds = common.id_buckets(docs, "doc_id", n)
+    ranges = common.IdRanges(docs, "doc_id", common.shuffle_partitions(spark))
+    tie = F.xxhash64("text")
     (
-        docs.select(common.bucket_of("doc_id", bounds).alias("shard"), "doc_id", F.xxhash64("text").alias("tie"), "text")
+        docs.select(ranges.of(tie).alias("shard"), "doc_id", tie.alias("tie"), "text")
         .mapInArrow(frames, FRAME_SCHEMA)
-        .repartitionById(len(bounds) + 1, F.col("shard"))
+        .repartitionById(ranges.count, F.col("shard"))
         .sortWithinPartitions("doc_id", "tie")
         .mapInArrow(lambda batches: common.record_batches(_blocks(common.batch_rows(batches), digest, width), BLOCK_SCHEMA, 1), BLOCK_SCHEMA)
         .write.option("compression", "none")
@@ -97,15 +98,20 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None) -> No
 def _blocks(rows, digest: str, width: int) -> Iterator[tuple]:
     """Blocks of the frames of one shard, which come sorted."""
     ids, ends, counts, parts, size, start, block, shard = [], [], [], [], 0, 0, 0, None
+
+    def made():
+        known = [i for i in ids if i is not None]
+        return shard, block, known[0] if known else None, known[-1] if known else None, start, sum(counts), digest, width, ids, ends, counts, b"".join(parts)
+
     for shard, doc_id, _, count, frame in rows:
         if parts and size + len(frame) > BLOCK_BYTES:
-            yield shard, block, start, sum(counts), digest, width, ids, ends, counts, b"".join(parts)
+            yield made()
             start, block, size = start + sum(counts), block + 1, 0
             ids, ends, counts, parts = [], [], [], []
         size += len(frame)
         ids.append(doc_id), ends.append(size), counts.append(count), parts.append(frame)
     if parts:
-        yield shard, block, start, sum(counts), digest, width, ids, ends, counts, b"".join(parts)
+        yield made()
 
 
 def dictionaries(spark: SparkSession, path: str) -> dict[str, bytes]:
@@ -153,16 +159,16 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """The ids of the documents of one doc_id: the index picks the blocks, and only their frames are decompressed."""
+    """The ids of the documents of one doc_id. The blocks' first and last ids prune what is read, by Parquet's statistics
+    too; of the blocks left, only the document's own frames come to the driver."""
     import numpy as np
     import zstandard
 
     raw = dictionaries(spark, path)
-    found = []
-    for row in spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").where(F.array_contains("doc_ids", doc_id)).orderBy("shard", "block").collect():
-        for at, own in enumerate(row["doc_ids"]):
-            if own == doc_id:
-                frame = bytes(row["frames"][row["ends"][at - 1] if at else 0 : row["ends"][at]])
-                reader = zstandard.ZstdDecompressor(dict_data=_compression_dictionary(raw[row["dictionary_hash"]]))
-                found.append(np.frombuffer(reader.decompress(frame), f"<u{row['width']}").tolist())
-    return found
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    index = F.arrays_zip("doc_ids", "ends", F.array_insert("ends", 1, F.lit(0).cast("long")).alias("begins"))
+    found = blocks.select("shard", "block", "dictionary_hash", "width", "frames", F.posexplode(F.filter(index, lambda x: x["doc_ids"] == doc_id)).alias("at", "x"))
+    frame = F.substring("frames", (F.col("x.begins") + 1).cast("int"), (F.col("x.ends") - F.col("x.begins")).cast("int"))
+    rows = found.select("shard", "block", "at", "dictionary_hash", "width", frame.alias("frame")).orderBy("shard", "block", "at").collect()
+    open_with = {h: zstandard.ZstdDecompressor(dict_data=_compression_dictionary(c)) for h, c in raw.items()}
+    return [np.frombuffer(open_with[r["dictionary_hash"]].decompress(bytes(r["frame"])), f"<u{r['width']}").tolist() for r in rows]

@@ -2,8 +2,9 @@
 
 A text is cut before each space or line feed that a non-space follows. The splitting pattern of these
 vocabularies starts a new match at every such place, so ids of the pieces, in order, are the ids of the text.
-Each distinct piece is encoded once by the library and then looked up. Texts with other runs of white space
-are encoded whole. The table of pieces is bounded; a full one loses its later half, as frequent pieces come early.
+Each distinct piece is encoded once by the library and then looked up. Texts with other runs of white space, or that
+hold the string of a special token, which the library then gives its own id, are encoded whole. The table of pieces is
+bounded; a full one loses its later half, as frequent pieces come early.
 """
 
 from __future__ import annotations
@@ -15,15 +16,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 #: Characters of distinct pieces that a worker keeps at most.
 TABLE_CHARS = 6_000_000
-#: Characters that one call encodes at most, but for a single longer text.
-BATCH_CHARS = 1_000_000
+#: Characters that one call encodes at most, but for a single longer text; the library takes more at once.
+BATCH_CHARS, LIBRARY_BATCH_CHARS = 1_000_000, 3_000_000
 
 
 class PieceEncoder:
-    """``encode_many`` gives the ids of each string as little-endian bytes of ``width`` bytes an id."""
+    """``encode_many`` gives the ids of each string as little-endian bytes of ``width`` bytes an id; ``special`` are the
+    strings that it may not be given in parts."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], table_chars: int = TABLE_CHARS):
-        self.encode_many, self.table_chars = encode_many, table_chars
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], table_chars: int = TABLE_CHARS, special: tuple[str, ...] = ()):
+        self.encode_many, self.table_chars, self.special = encode_many, table_chars, special
         self.first: dict[str, bytes] = {}  # of text starts
         self.later: dict[str, bytes | None] = {}  # of what follows a space, or starts with a line feed; None: not to be cut here
         self.chars = 0
@@ -42,20 +44,18 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         self._trim()
         split = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads, tails = set(), set()
-        for words in split:
-            if words[0] not in self.first:
-                heads.add(words[0])
-            tails.update(set(words[1:]).difference(self.later))
+        heads = [words.pop(0) for words in split]
+        tails = set().union(*split).difference(self.later)
         uncut = [k for k in tails if (not k or k[0].isspace()) and not (len(k) > 1 and k[0] == "\n" and not k[1].isspace())]
         self.later.update(dict.fromkeys(uncut))
         tails.difference_update(uncut)
-        self._add(self.first, list(heads), list(heads))
-        self._add(self.later, keys := list(tails), [k if k[0] == "\n" else f" {k}" for k in keys])
-        found = []
-        for text, words in zip(texts, split, strict=True):
-            ids = [self.later[k] for k in words[1:]]
-            found.append(self.encode_many([text])[0] if None in ids else self.first[words[0]] + b"".join(ids))
+        self._add(self.first, new := list(set(heads).difference(self.first)), new)
+        self._add(self.later, new := list(tails), [k if k[0] == "\n" else f" {k}" for k in new])
+        found, look_up = [], self.later.__getitem__
+        for text, head, words in zip(texts, heads, split, strict=True):
+            ids = list(map(look_up, words))
+            whole = None in ids or any(s in text for s in self.special)
+            found.append(self.encode_many([text])[0] if whole else self.first[head] + b"".join(ids))
         return found
 
 
@@ -68,13 +68,13 @@ def library_encoder(path: str) -> tuple[PieceEncoder, int]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
     def encode_many(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    return PieceEncoder(encode_many), kind.itemsize
+    return PieceEncoder(encode_many, special=special), kind.itemsize
 
 
 def in_batches(rows: Iterable[tuple], text_at: int, most: int = BATCH_CHARS) -> Iterator[list[tuple]]:
