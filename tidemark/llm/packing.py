@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 GROUP_DOCS = 40_000
-#: Weights of the residual norm: tokens decide, the others break near-ties.
-WEIGHTS = (1.0, 1e-6, 1e-6)
+#: Weights of the residual norm: tokens, documents, attention cost.
+WEIGHTS = (1.0, 0.5, 0.5)
+#: Documents in a sequence at most, which bounds what a loader keeps for a block-diagonal mask.
+MOST_DOCUMENTS = 64
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
 PLACED_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -103,7 +105,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, key: str =
         tail = end_id.to_bytes(width, "little")
 
         def rows():
-            for part in tokens.in_batches(common.batch_rows(batches), 1):
+            for part in tokens.in_batches(common.batch_rows(batches), 1, tokens.LIBRARY_BATCH_CHARS):
                 for (doc_id, _, tie), ids in zip(part, encoder.encode([r[1] for r in part]), strict=True):
                     values = np.frombuffer(ids + tail, f"<u{width}").astype("<u4")
                     for i, (start, length) in enumerate(cut(len(values), most)):
@@ -123,10 +125,10 @@ def place_group(rows: Iterable[tuple], group: int, limits: tuple[int, int, int])
         yield doc_id, piece, start, length, crc, group << 40 | b, offset
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, most_tokens: int = 2048, most_documents: int | None = None, most_attention: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece with its place. By default the limits on documents and attention cost are the largest that
-    ``most_tokens`` tokens can reach, so that they cost no sequence; lower them to bound a sequence's masks and FLOPs."""
-    limits = (most_tokens, most_documents or most_tokens, most_attention or most_tokens**2)
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, most_tokens: int = 2048, most_documents: int = MOST_DOCUMENTS, most_attention: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per piece with its place. The limit on attention cost is by default that of one full piece, the least that
+    leaves pieces of ``most_tokens`` uncut: it then binds for such pieces alone, and decides among bins by the norm."""
+    limits = (most_tokens, most_documents, most_attention or most_tokens**2)
     groups = -(-docs.count() // GROUP_DOCS) or 1
     found = pieces(docs, vocabulary, end_id, min(most_tokens, int(limits[2] ** 0.5)), key, text)
     found = found.withColumn("group", F.pmod(F.xxhash64("tie", "piece"), F.lit(groups)).cast("int"))
