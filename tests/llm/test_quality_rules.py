@@ -28,8 +28,8 @@ def plain(text):
 def test_measures(spark):
     docs = spark.createDataFrame([(i, t, None if i % 3 else "h", "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, source string, n_words string")
     for row in quality_rules.judged(docs).collect():
-        r = row["__rules"]
-        assert (*[r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], row["__rules_failed"]) == plain(TEXTS[row["doc_id"]])
+        r = row["rules"]
+        assert (*[r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], row["base_failed"]) == plain(TEXTS[row["doc_id"]])
 
 
 @pytest.mark.parametrize("broadcast", [0, 100])
@@ -39,13 +39,35 @@ def test_hosts_are_shrunk_and_join_back(spark, monkeypatch, broadcast):
     rows = [("awful", bad)] * 40 + [("awful", good)] + [(f"h{i}", good) for i in range(30) for _ in range(10)] + [("tiny", bad), (None, good), (None, bad)]
     docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
     found = quality_rules.judged(docs).collect()
-    kept = {r["doc_id"]: r["__kept"] for r in found}
+    kept = {r["doc_id"]: r["kept"] for r in found}
     assert not kept[40], "a good document of a rejected host goes"
     assert all(kept[i] for i in range(41, 341)) and kept[342] and not kept[343]
-    rate = {r["source"]: r["__host_rate"] for r in found}
+    rate = {r["source"]: r["host_rate"] for r in found}
     assert 0.8 < rate["awful"] < 40 / 41 and rate["tiny"] < 1 and rate[None] is None
-    assert sorted(quality_rules.keep_good(docs).columns) == sorted(docs.columns)
+    assert quality_rules.keep_good(docs).columns == docs.columns
     assert quality_rules.keep_good(docs.limit(0)).count() == 0
+    whole = {r["doc_id"] for r in quality_rules.keep_good(docs, host_odds=1e9).collect()}
+    assert whole - {r["doc_id"] for r in quality_rules.keep_good(docs).collect()} == {40}
+
+
+def test_a_small_host_is_not_judged_by_its_rate_alone(spark):
+    """Both hosts fail wholly; one has too few documents to be sure."""
+    good, bad = " ".join(f"w{i}" for i in range(80)), "too short"
+    rows = [("many", bad)] * 30 + [("few", bad)] + [(f"h{i}", good if j else bad) for i in range(20) for j in range(10)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    judged = quality_rules.judged(docs)
+    hosts = {r["source"]: r for r in judged.select("source", "host_rate", "host_least").distinct().collect()}
+    rates, _, cut = quality_rules.host_rates(judged, "source", "base_failed")
+    assert hosts["many"]["host_least"] > cut > hosts["few"]["host_least"] and hosts["many"]["host_least"] < hosts["many"]["host_rate"]
+
+
+def test_names_that_clash(spark):
+    names = ["__rules", "__host", "__body", "__words", "__windows", "__kept", "kept", "rules", "base_failed", "__base_failed", "host_rate", "host", "Text_", "a b.c"]
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "h", *names), (2, "short", "h", *names)], ["doc_id", "text", "source", *names])
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and kept.collect() == docs.where("doc_id = 1").collect()
+    found = quality_rules.judged(docs)
+    assert [r["kept"] for r in found.orderBy("doc_id").collect()] == [True, False] and found.where("`a b.c` = 'a b.c'").count() == 2
 
 
 @pytest.mark.parametrize("sums", [(0, 0, 0, 0.0), (10, 0, 3, 0.0), (10, 10, 2, 10.0), (100, 20, 5, 12.0)])

@@ -21,7 +21,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(common.documents(spark, sf_dir), carry=["doc_id"])
-    return found.select("doc_id", "__rules.*", F.col("__rules_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.round("__host_rate", 9).alias("host_rate"))
+    return found.select("doc_id", "rules.*", "base_failed", "kept", F.round("host_rate", 9).alias("host_rate"))
 
 
 def op3_shard_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +89,10 @@ failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base
 hosts as (select source, count(*) as n, sum(base_failed::int) as k from failed where source is not null group by source),
 sums as (select sum(n) as n, sum(k) / sum(n) as m, count(*) as h, sum(k * k / n) as kk from hosts),
 prior as (select m, least(greatest(m * (1 - m) / greatest(kk / n - m * m - m * (1 - m) * h / n, 1e-12) - 1, 1.0), 1e6) as w from sums),
-rates as (select source, (k + m * w) / (n + m * w + (1 - m) * w) as rate from hosts, prior)
+shrunk as (select source, n, w, m, (k + m * w) / (n + m * w + (1 - m) * w) as rate from hosts, prior),
+rates as (select source, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (n + m * w + (1 - m) * w + 1)) as least, 8 * m / (8 * m + 1 - m) as cut from shrunk)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(rate, 0) <= 0.8 as kept, round(rate, 9) as host_rate
+  not base_failed and coalesce(least <= cut, true) as kept, round(rate, 9) as host_rate
 from failed left join rates using (source)""",
     "op3_shard_store": "select doc_id, lang, source, n_chars, sha256(coalesce(text, '')) as text_sha256 from documents",
     "op6_line_dedup": r"""
