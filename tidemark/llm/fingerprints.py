@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -139,27 +140,27 @@ def _rows(rows) -> Iterator[tuple]:
         held = doc_id, text, own
 
 
-def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """part, doc_id, text, tie, ahead: documents in ranges of doc_id, each range with the first of the next one (ahead) at its end.
+def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """(part, doc_id, text, tie, ahead; number of parts): documents in ranges of doc_id, each range with the first of the
+    next one (ahead) at its end.
 
-    Texts move once. Ranges and their first documents are found from the ids alone; there are as many as partitions.
+    Texts move once. Ranges and their first documents are found from the ids alone, and from the texts' hashes where a
+    key is split; there are as many as partitions.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    bounds = common.id_buckets(docs, "doc_id", common.shuffle_partitions(docs.sparkSession))
-    part = common.bucket_of("doc_id", bounds)
-    firsts = sorted((r["part"], r["none"], r["least"]) for r in docs.select(part.alias("part"), "doc_id").groupBy("part").agg(F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("none")).collect())
-    before = {}  # first doc_id of a part -> the part before it, going round
-    for i, (_, none, least) in enumerate(firsts):
-        before[None if none else least] = firsts[i - 1][0]
-    ahead = F.lit(None).cast("int")
-    if before:
-        keys = [k for k in before if k is not None]
-        table = F.create_map(*[F.lit(x) for k in keys for x in (k, before[k])]) if keys else None
-        ahead = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("int"))
-        if table is not None:
-            ahead = ahead.otherwise(F.try_element_at(table, F.col("doc_id")))
-    places = F.filter(F.array(F.struct(part.alias("part"), F.lit(False).alias("ahead")), F.struct(ahead.alias("part"), F.lit(True).alias("ahead"))), lambda x: x["part"].isNotNull())
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.inline(places)), len(bounds) + 1
+    ranges = common.IdRanges(docs, "doc_id", common.shuffle_partitions(docs.sparkSession))
+    tie = F.xxhash64("text") if ranges.split else F.lit(0).cast("long")
+    part = ranges.of(tie)
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", tie.alias("tie")))
+    firsts = sorted((r["part"], r["least"]["doc_id"], r["least"]["tie"]) for r in docs.select(part.alias("part"), "doc_id", *(["text"] if ranges.split else [])).groupBy("part").agg(least.alias("least")).collect())
+    before = [(doc_id, t, firsts[i - 1][0]) for i, (_, doc_id, t) in enumerate(firsts)]  # first of a part, and the part before it, going round
+    table = F.create_map(*[F.lit(x) for x in itertools.chain(*((f"{i},{t}", p) for i, t, p in before))]) if before else None
+    name = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), tie.cast("string"))
+    ids = {i for i, _, _ in before}
+    known = F.when(F.col("doc_id").isNull(), F.lit(None in ids)).otherwise(F.col("doc_id").isin([i for i in ids if i is not None]))
+    ahead = F.when(known, F.try_element_at(table, name)) if before else F.lit(None).cast("int")
+    places = F.filter(F.array(F.struct(part.alias("part"), F.lit(False).alias("ahead")), F.struct(ahead.cast("int").alias("part"), F.lit(True).alias("ahead"))), lambda x: x["part"].isNotNull())
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.inline(places)), ranges.count
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
