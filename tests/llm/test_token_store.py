@@ -21,7 +21,7 @@ def library():
 
 def test_pieces_give_the_ids_of_whole_texts(library):
     encoder, width = tokens.library_encoder(VOCABULARY)
-    small = tokens.PieceEncoder(encoder.encode_many, table_chars=10)  # is trimmed at each call
+    small = tokens.PieceEncoder(encoder.encode_many, encoder.encode_pieces, most=3)  # is trimmed at each call
     for one in (encoder, small):
         for _ in range(2):
             assert [np.frombuffer(x, f"<u{width}").tolist() for x in one.encode(ODD)] == [library(x) for x in ODD]

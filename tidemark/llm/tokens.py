@@ -2,61 +2,104 @@
 
 A text is cut before each space or line feed that a non-space follows. The splitting pattern of these
 vocabularies starts a new match at every such place, so ids of the pieces, in order, are the ids of the text.
-Each distinct piece is encoded once by the library and then looked up. Texts with other runs of white space, or that
-hold the string of a special token, which the library then gives its own id, are encoded whole. The table of pieces is
-bounded; a full one loses its later half, as frequent pieces come early.
+Each distinct piece is encoded once by the library and then looked up; texts are cut, and their ids put together,
+column-wise. Texts with other runs of white space, or that hold the string of a special token, which the library then
+gives its own id, are encoded whole. The table of pieces is bounded; a full one loses its later half, as frequent
+pieces come early.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 from collections.abc import Callable, Iterable, Iterator
 
-#: Characters of distinct pieces that a worker keeps at most.
-TABLE_CHARS = 6_000_000
+#: Distinct pieces that a worker keeps at most.
+TABLE_PIECES = 600_000
 #: Characters that one call encodes at most, but for a single longer text; the library takes more at once.
 BATCH_CHARS, LIBRARY_BATCH_CHARS = 1_000_000, 3_000_000
+#: Texts that are handed to the library as one when pieces are joined.
+JOINED = 1024
+
+
+class Pieces:
+    """Ids of pieces end to end, and where each ends."""
+
+    def __init__(self):
+        import numpy as np
+
+        self.row: dict = {}  # of a key; UNCUT: texts are not to be cut there
+        self.ends, self.ids = np.zeros(1, np.int64), b""
+
+    def add(self, keys: list, found: list[bytes]) -> None:
+        import numpy as np
+
+        n = len(self.ends) - 1
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        self.ids += b"".join(found)
+        self.row.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def trim(self, most: int) -> None:
+        if len(self.ends) > most + 1:
+            half = len(self.ends) // 2
+            self.row = {k: v for k, v in self.row.items() if 0 <= v < half}
+            self.ends = self.ends[: half + 1].copy()
+            self.ids = self.ids[: self.ends[-1]]
+
+    def joined(self, rows):
+        """(bytes of the pieces ``rows`` one after the other, where each begins and the last ends)."""
+        import numpy as np
+        import pyarrow as pa
+
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
+        taken = table.take(pa.array(rows))
+        _, ends, ids = taken.buffers()
+        return ids.to_pybytes() if ids else b"", np.frombuffer(ends, np.int64, len(rows) + 1, taken.offset * 8)
+
+
+UNCUT = -1
 
 
 class PieceEncoder:
-    """``encode_many`` gives the ids of each string as little-endian bytes of ``width`` bytes an id; ``special`` are the
-    strings that it may not be given in parts."""
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], table_chars: int = TABLE_CHARS, special: tuple[str, ...] = ()):
-        self.encode_many, self.table_chars, self.special = encode_many, table_chars, special
-        self.first: dict[str, bytes] = {}  # of text starts
-        self.later: dict[str, bytes | None] = {}  # of what follows a space, or starts with a line feed; None: not to be cut here
-        self.chars = 0
-
-    def _trim(self) -> None:
-        if self.chars > self.table_chars:
-            for table in (self.first, self.later):
-                for key in list(itertools.islice(reversed(table), len(table) // 2)):
-                    del table[key]
-            self.chars = sum(map(len, self.first)) + sum(map(len, self.later))
-
-    def _add(self, table: dict, keys: list[str], strings: list[str]) -> None:
-        table.update(zip(keys, self.encode_many(strings), strict=True))
-        self.chars += sum(map(len, keys))
+    """``encode_many`` gives the ids of each string as bytes; ``encode_pieces``, the same for strings of which each may follow
+    any other without a change of its ids; ``special`` are the strings that may not be given in parts."""
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], encode_pieces: Callable[[list[str]], list[bytes]] | None = None, most: int = TABLE_PIECES, special: tuple[str, ...] = ()):
+        self.encode_many, self.encode_pieces, self.most, self.special = encode_many, encode_pieces or encode_many, most, special
+        self.pieces = Pieces()  # keys: what follows a space, or starts with a line feed; of text starts, 1-tuples
+
+    def _learn(self, words: list[str], heads: list[tuple]) -> None:
+        """Of words and heads that the table lacks."""
+        uncut = [k for k in words if (not k or k[0].isspace()) and not (len(k) > 1 and k[0] == "\n" and not k[1].isspace())]
+        self.pieces.row.update(dict.fromkeys(uncut, UNCUT))
+        tails = [k for k in words if k not in self.pieces.row]
+        self.pieces.add(tails, self.encode_pieces([k if k[0] == "\n" else f" {k}" for k in tails]))
+        self.pieces.add(heads, self.encode_many([h for (h,) in heads]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self._trim()
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [words.pop(0) for words in split]
-        tails = set().union(*split).difference(self.later)
-        uncut = [k for k in tails if (not k or k[0].isspace()) and not (len(k) > 1 and k[0] == "\n" and not k[1].isspace())]
-        self.later.update(dict.fromkeys(uncut))
-        tails.difference_update(uncut)
-        self._add(self.first, new := list(set(heads).difference(self.first)), new)
-        self._add(self.later, new := list(tails), [k if k[0] == "\n" else f" {k}" for k in new])
-        found, look_up = [], self.later.__getitem__
-        for text, head, words in zip(texts, heads, split, strict=True):
-            ids = list(map(look_up, words))
-            whole = None in ids or any(s in text for s in self.special)
-            found.append(self.encode_many([text])[0] if whole else self.first[head] + b"".join(ids))
-        return found
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        self.pieces.trim(self.most)
+        column = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        cuts, words = column.offsets.to_numpy(), column.flatten().dictionary_encode()
+        which, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+        heads = [(distinct[i],) for i in which[cuts[:-1]].tolist()]
+        known = self.pieces.row
+        rows = list(map(known.get, distinct))
+        new = [i for i, r in enumerate(rows) if r is None]
+        self._learn([distinct[i] for i in new], [h for h in dict.fromkeys(heads) if h not in known])
+        for i in new:
+            rows[i] = known[distinct[i]]
+        rows = np.array(rows, np.int64)[which]
+        rows[cuts[:-1]] = [known[h] for h in heads]
+        whole = np.logical_or.reduceat(rows == UNCUT, cuts[:-1]).tolist()
+        ids, ends = self.pieces.joined(np.maximum(rows, 0))
+        at = ends[cuts].tolist()
+        return [self.encode_many([t])[0] if w or any(s in t for s in self.special) else ids[a:b] for t, w, a, b in zip(texts, whole, at, at[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=4)
@@ -70,11 +113,31 @@ def library_encoder(path: str) -> tuple[PieceEncoder, int]:
     tokenizer = Tokenizer.from_file(path)
     special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+    names = sorted(tokenizer.get_vocab().items(), key=lambda x: x[1])
+    n_bytes = np.zeros(names[-1][1] + 1, np.int64)  # a byte-level token has a character for each byte
+    n_bytes[[i for _, i in names]] = [len(name) for name, _ in names]
 
     def encode_many(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    return PieceEncoder(encode_many, special=special), kind.itemsize
+    def encode_pieces(texts: list[str]) -> list[bytes]:
+        """Joined, and told apart by the bytes that the ids stand for, which is faster; one by one if these do not add up."""
+        found = []
+        for at in range(0, len(texts), JOINED):
+            part = texts[at : at + JOINED]
+            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, kind)
+            ends = np.cumsum(n_bytes[ids])
+            wanted = np.cumsum([len(t.encode()) for t in part])
+            places = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and (ends[places] == wanted).all():
+                raw = ids.tobytes()
+                cuts = [0, *((places + 1) * kind.itemsize).tolist()]
+                found += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            else:
+                found += encode_many(part)
+        return found
+
+    return PieceEncoder(encode_many, encode_pieces, special=special), kind.itemsize
 
 
 def in_batches(rows: Iterable[tuple], text_at: int, most: int = BATCH_CHARS) -> Iterator[list[tuple]]:
