@@ -45,7 +45,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedupe(common.documents(spark, sf_dir), min_docs=10)
-    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
