@@ -114,3 +114,96 @@ def test_addresses_in_any_case_and_with_spaces_in_brackets():
     wide = " ".join("w" * 15 for _ in range(40))
     (begin, end), *_ = pii.regions(f"{wide} [at] {wide}")
     assert len(pii.TOKEN.findall(f"{wide} [at] {wide}"[begin:end])) == 2 * pii.MOST_TOKENS - 1
+
+
+def plain_added(text, weights):
+    """Regions, candidates, features and the optimum of the whole text at once, one segment at a time."""
+    barred = [(a, b) for _, a, b in pii.base_spans(text)]
+    marks = [t.span() for t in pii.TOKEN.finditer(text)]
+    found = []
+    for begin, end in pii.regions(text):
+        places = [(p, q) for p, q in marks if p < end and q > begin]
+        free = [not any(a < q and p < b for a, b in barred) for p, q in places]
+        segments, rows = [], []
+        for i in range(len(places)):
+            for j in range(i + 1, min(len(places), i + pii.MOST_TOKENS) + 1):
+                p, q = places[i][0], places[j - 1][1]
+                span, own = text[p:q], [text[a:b] for a, b in places[i:j]]
+                digits = re.findall("[0-9]", span)
+                strong = any(x == "@" or x.lower() == "at" or len(x) >= 20 for x in own) or 7 <= len(digits) <= 19
+                gaps = [text[a:b] for (_, a), (b, _) in itertools.pairwise(places[i:j])]
+                if not all(free[i:j]) or any("\n" in g for g in gaps) or not strong or not 6 <= q - p <= pii.MOST_CHARS:
+                    continue
+                if not (text[p].isalnum() or text[p] in "(+") or not text[q - 1].isalnum():
+                    continue
+                left, right = text[max(0, p - 24) : p + 1], text[q : q + 2]
+                card = 13 <= len(digits) <= 19 and pii.luhn("".join(digits)) and len(digits) >= len(span) - 4
+                quoted = left[-2:-1] in ("'", '"') and left[-2:-1] == right[:1]
+                segments.append((i, j))
+                rows.append(pii.span_features(span) + pii.start_features(left) + pii.end_features(right) + [float(card), float(quoted)])
+        if segments:
+            found += [(pii.KINDS[k], places[i][0], places[j - 1][1]) for i, j, k in pii.best_segments(len(places), segments, np.array(rows) @ weights)]
+    return found
+
+
+@pytest.mark.parametrize("block", [17, 40, 4096])
+def test_blocks_and_batches_change_nothing(monkeypatch, block):
+    import random
+
+    monkeypatch.setattr(pii, "BLOCK_TOKENS", block)
+    rng, weights = random.Random(block), pii.fitted()
+    texts = [" ".join(t for t, _ in pii.training_lines(6, seed=s)) for s in range(12)]
+    pieces = ["4111 1111 1111 1111", "12", "345", "6789 ", "\n", "a@b.co", "x [at] y [dot] com", "9" * 30, "é12", "+1 (423) 555-7379", "1.2.3.4", "_", "ab12" * 8, "(", "word", "555-44-3333"]
+    texts += [rng.choice(["", " "]).join(rng.choices(pieces, k=rng.randint(1, 60))) for _ in range(60)] + ["", "1 " * 400]
+    wanted = [plain_added(t, weights) for t in texts]
+    assert [more for _, more in pii.spans_of_all(texts, pii.Scorer(weights, most=50))] == wanted
+    assert [pii.spans_of(t, weights)[1] for t in texts] == wanted
+
+
+def test_long_texts_take_linear_time_and_little_memory():
+    import random
+    import time
+    import tracemalloc
+
+    rng, weights = random.Random(1), pii.fitted()
+    kinds = {
+        "integers": lambda n: " ".join(str(rng.randint(0, 99999)) for _ in range(n // 6)),
+        "addresses": lambda n: "1.2.3.4 " * (n // 8),
+        "one token": lambda n: "7" * n,
+        "letters": lambda n: "a" * n,
+        "at signs": lambda n: "a" * (n // 2) + "@" * (n // 20),
+        "one word in many parts": lambda n: "a1é" * (n // 3),
+    }
+    for name, make in kinds.items():
+        seconds = []
+        for n in (100_000, 400_000):
+            text = make(n)
+            began = time.process_time()
+            pii.spans_of(text, weights)
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 9 * seconds[0] + 0.5, (name, seconds)
+    text = kinds["integers"](1_000_000)
+    tracemalloc.start()
+    base, more = pii.spans_of(text, weights)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 60e6 and not base and len(more) < 400, (most, len(more))
+
+
+def test_planted_kinds_of_the_given_documents():
+    """Against what the documents hold by other, plainer patterns: numbers that pass as cards, +1 numbers, addresses, quoted tokens."""
+    import pyarrow.parquet as pq
+
+    weights = pii.fitted()
+    planted = {
+        "email": r"(?<![A-Za-z0-9._%+-])[a-z]+[.a-z0-9]*@[a-z0-9-]+(?:\.[a-z]+)+", "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9.])",
+        "card": r"(?<![0-9-])[0-9]{16}(?![0-9])", "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "secret": r'(?<=")[0-9a-fA-F]{40}(?=")',
+    }
+    wanted, caught, extra, added = 0, 0, 0, 0
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist():
+        base, more = pii.spans_of(text or "", weights)
+        spans = {(a, b) for _, a, b in base + more}
+        true = {m.span() for kind, x in planted.items() for m in re.finditer(x, text or "") if kind != "card" or pii.luhn(m[0])}
+        wanted, caught = wanted + len(true), caught + len(true & spans)
+        added, extra = added + len(more), extra + sum((a, b) not in true for _, a, b in more)
+    assert wanted > 500 and caught >= 0.98 * wanted and extra <= 0.02 * added, (wanted, caught, added, extra)

@@ -2,41 +2,51 @@
 
 The rules find the four base kinds; their spans always stay. The field adds what rules miss: it segments each region
 around a trigger (digits, an at sign or its word in brackets, a long run of letters and digits) into single tokens outside and whole spans of a
-kind, of at most ``MOST_TOKENS`` tokens. Features score whole candidate spans (shape, length, check digits, the words before it), and a
+kind, of at most ``MOST_TOKENS`` tokens and ``MOST_CHARS`` characters. A span has an at sign or its word, a token of 20
+characters or more, or 7 to 19 digits. Features score whole candidate spans (shape, length, check digits, the words before it), and a
 dynamic programme over bounded segments picks boundaries and kinds jointly. A region around an at sign or such a word takes in all
 tokens that a span of ``MOST_TOKENS`` may have beside it; around digits and long runs it ends with them, so words of letters that are more than
 three characters from any trigger are not candidates, and the optimum is that of the regions. Base spans are barriers. The weights maximise the penalised
 likelihood of lines made from templates with a fixed seed, and are fitted anew in each process that asks for them.
 
+Texts of any length take time and memory in proportion: tokens are read in blocks of ``BLOCK_TOKENS`` with the few before
+that a span may begin in. A segment whose best score is not positive never beats leaving its tokens outside, so only
+the others are kept, until none that is still to come can overlap them; then their optimum is final.
+
 A null text is empty and has no spans. Rows of equal or null doc_id are read each on its own; other columns are left out
 of ``find`` and pass through ``mask``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import bisect
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
 import string
+from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, tokens
 
 #: In the order in which spans are listed. The field adds spans of any kind.
 KINDS = ("email", "ip", "card", "phone", "secret", "id_number")
 BASE = KINDS[:4]
-MOST_TOKENS = 16
+MOST_TOKENS, MOST_CHARS = 16, 512
+#: Tokens that are scored together, and characters of short texts that are.
+BLOCK_TOKENS, BATCH_CHARS = 4096, 200_000
 
 LOCAL = string.ascii_letters + string.digits + "._%+-"
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 #: A run of digits that does not begin a match has no later place that does, hence the look-behind.
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+#: Possessive, so that a match as long as the text takes no memory; a lone digit is no card either way.
+CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
@@ -81,7 +91,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # The field.
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-TRIGGER = re.compile(r"(?=[^\W_]*[0-9])[^\W_]+|@|[A-Za-z0-9]{20,}|\b(?i:at|dot)\b(?= ?[\])}])")
+WORD = re.compile(r"[^\W_]*")
+TRIGGER = re.compile(r"[0-9]+|@|[A-Za-z0-9]{20,}|\b(?i:at|dot)\b(?= ?[\])}])")
 #: Words that introduce a kind, as they are matched in lower case just before a span.
 CUES = {
     "email": ("email", "mail", "contact", "write"),
@@ -92,86 +103,210 @@ CUES = {
     "id_number": ("ssn", "social", "security", "passport", "insurance", "id"),
 }
 SHAPES = (
-    re.compile(r"\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}"),
+    re.compile(r"(?:\+[0-9]{1,3} )?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}"),
     re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     re.compile(r"[A-Za-z0-9_.-]+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]+(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z]+|\.[A-Za-z]+)+", re.I),
     re.compile(r"[0-9a-fA-F]{24,}"),
     re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9]{20,}"),
     re.compile(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}"),
     re.compile(r"[0-9]+(?:[.,][0-9]+)*"),
+    re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"),
 )
-N_FEATURES = len(SHAPES) + len(KINDS) + 17
+#: Characters of a kind that span features do not tell apart, by what they become.
+ALIKE = str.maketrans(string.digits + string.ascii_letters, "0" * 10 + "b" * 6 + "x" * 20 + "B" * 6 + "X" * 20)
+ZEROS = str.maketrans(string.digits, "0" * 10)
 
 
-def features(text: str, start: int, end: int) -> list[float]:
-    """Of the whole span, for any kind."""
-    span = text[start:end]
-    before = text[max(0, start - 24) : start]
-    cue = set(re.findall(r"[a-z]+", before.lower())[-2:])
-    n_digits = len(DIGIT.findall(span))
-    inner = TOKEN.findall(span)
-    left, right = before[-1:], text[end : end + 1]
+def span_features(span: str) -> list[float]:
+    """Of the span's own characters."""
+    n_digits, inner = len(DIGIT.findall(span)), len(TOKEN.findall(span))
     return [
         1.0,
         *[float(bool(s.fullmatch(span))) for s in SHAPES],
-        *[float(bool(cue.intersection(CUES[k]))) for k in KINDS],
         math.log1p(len(span)) / 4,
         n_digits / len(span),
         float(n_digits == 9),
         float(n_digits in (7, 10, 11)),
-        float(13 <= n_digits <= 19 and n_digits >= len(span) - 4 and luhn(digits_in(span))),
         float("@" in span),
-        float("\n" in span),
-        float(len(inner) == 1),
-        len(inner) / MOST_TOKENS,
-        float(left.isalnum() or left in "-_+/" and left != ""),
-        float(right.isalnum() or right != "" and right in "-_/@"),
-        float(left in ".,-" and left != "" and text[max(0, start - 2) : start - 1].isalnum()),
         float("," in span),
-        float(right in ".," and right != "" and text[end + 1 : end + 2].isdigit()),
+        float(inner == 1),
+        inner / MOST_TOKENS,
+    ]
+
+
+def start_features(upto: str) -> list[float]:
+    """Of up to 24 characters before the span and its first."""
+    before, first = upto[:-1], upto[-1:]
+    cue, left = set(re.findall(r"[a-z]+", before.lower())[-2:]), before[-1:]
+    return [
+        *[float(bool(cue.intersection(CUES[k]))) for k in KINDS],
+        float(left.isalnum() or left in "-_+/" and left != ""),
+        float(left in ".,-" and left != "" and before[-2:-1].isalnum()),
+        float(left in " -" and left != "" and before[-2:-1].isdigit() and first.isdigit()),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
-        float(left in "\"'" and left != "" and right == left),
     ]
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around triggers, near ones joined; only these are searched."""
-    found: list[list[int]] = []
-    places = None
+def end_features(after: str) -> list[float]:
+    """Of the two characters after the span."""
+    right = after[:1]
+    return [
+        float(right.isalnum() or right in "-_/@" and right != ""),
+        float(right in ".," and right != "" and after[1:].isdigit()),
+        float(right in " -" and right != "" and after[1:].isdigit()),
+    ]
+
+
+N_SPAN, N_START, N_END = len(SHAPES) + 9, len(KINDS) + 4, 3
+#: The last two: a card's check digits, and the same quote on either side.
+N_FEATURES = N_SPAN + N_START + N_END + 2
+
+
+def _beside(text: str, start: int, end: int) -> tuple[int, int]:
+    """From the ``MOST_TOKENS`` - 1 tokens before ``start`` to those after ``end``."""
+    reach = 64
+    while True:  # a window's first token may be a part of one, unless the text begins there
+        low = max(0, start - reach)
+        before = [m.start() for m in TOKEN.finditer(text, low, start)][0 if low == 0 else 1 :]
+        if low == 0 or len(before) >= MOST_TOKENS - 1:
+            break
+        reach *= 2
+    last = end
+    for _, m in zip(range(MOST_TOKENS - 1), TOKEN.finditer(text, end), strict=False):
+        last = m.end()
+    return before[-(MOST_TOKENS - 1) :][0] if before else start, last
+
+
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of text around triggers, near ones joined; only these are searched. Linear in the text."""
+    starts, ends, word_end = array("q"), array("q"), 0
     for m in TRIGGER.finditer(text):
         start, end = m.span()
-        if m[0].lower() in ("@", "at", "dot"):  # with all the tokens that a span may have beside it
-            places = places or [t.span() for t in TOKEN.finditer(text)]
-            i = bisect.bisect_left(places, (start, end))
-            start, end = places[max(0, i - MOST_TOKENS + 1)][0], places[min(len(places) - 1, i + MOST_TOKENS - 1)][1]
+        if end <= word_end:
+            continue
+        if m[0].lower() in ("@", "at", "dot"):
+            start, end = _beside(text, start, end)
+        else:  # the whole run of letters and digits
+            while start > word_end and text[start - 1].isalnum():
+                start -= 1
+            end = word_end = WORD.match(text, end).end()
         if start and text[start - 1] in "(+":
             start -= 1
-        while found and start - found[-1][1] <= 3:
-            before = found.pop()
-            start, end = min(start, before[0]), max(end, before[1])
-        found.append([start, end])
-    return [(a, b) for a, b in found]
-
-
-def candidates(text: str, begin: int, end: int, barred: list[tuple[int, int]] = ()) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(places of the tokens, segments (i, j) of tokens i to j - 1 that a span may cover)."""
-    places = [m.span() for m in TOKEN.finditer(text, begin, end)]
-    free = [not any(a < q and p < b for a, b in barred) for p, q in places]
-    opens = [f and (text[p].isalnum() or text[p] in "(+") for f, (p, _) in zip(free, places, strict=True)]
-    closes = [f and text[q - 1].isalnum() for f, (_, q) in zip(free, places, strict=True)]
-    marked = [bool(DIGIT.search(text, p, q)) or text[p:q] == "@" or q - p >= 20 or text[p:q].lower() == "at" for p, q in places]
-    found = []
-    for i in range(len(places)):
-        if not opens[i]:
-            continue
-        seen = False
-        for j in range(i + 1, min(len(places), i + MOST_TOKENS) + 1):
-            if not free[j - 1] or (j > i + 1 and "\n" in text[places[j - 2][1] : places[j - 1][0]]):
-                break
-            seen = seen or marked[j - 1]
-            if seen and closes[j - 1] and places[j - 1][1] - places[i][0] >= 6:
-                found.append((i, j))
-    return places, found
+        while ends and start - ends[-1] <= 3:
+            start, end = min(start, starts.pop()), max(end, ends.pop())
+        starts.append(start), ends.append(end)
+    return zip(starts, ends, strict=True)
+
+
+class Lattice:
+    """The candidate segments of a block of tokens, with what their features are looked up by.
+
+    tokens: (start, end, whether a segment may not go on from the token before), by place; ``old`` of them were in the block before.
+    """
+
+    def __init__(self, text: str, block: list[tuple[int, int, bool]], old: int, barred=((), ())):
+        import numpy as np
+
+        self.text = text
+        p, q, breaks = (np.array(x, np.int64) for x in zip(*block, strict=True))
+        words = [text[a:b] for a, b, _ in block]
+        runs = ["".join(DIGIT.findall(w)) if q - p <= MOST_CHARS else "0" * (q - p) for w, p, q in zip(words, p.tolist(), q.tolist(), strict=True)]
+        digits = np.concatenate(([0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))))
+        at = np.array([w == "@" or len(w) == 2 and w.lower() == "at" for w in words])
+        since = lambda flags: np.concatenate(([0], np.cumsum(flags)))
+        ats, longs = since(at), since(q - p >= 20)
+        low, high = barred
+        place = np.searchsorted(high, p, side="right")
+        free = np.ones(len(p), bool) if not len(low) else ~((place < len(low)) & (np.append(low, np.iinfo(np.int64).max)[place] < q))
+        ends = [w[-1].isalnum() for w in words]
+        opens = free & np.array([w[0].isalnum() or w[0] in "(+" for w in words])
+        closes = free & np.array(ends)
+        breaks = since(breaks.astype(bool) | ~free | np.concatenate(([False], ~free[:-1])))
+        firsts, lasts = [], []
+        for length in range(1, min(MOST_TOKENS, len(p)) + 1):
+            i = np.arange(max(0, old - length + 1), len(p) - length + 1)
+            j = i + length
+            n, chars = digits[j] - digits[i], q[j - 1] - p[i]
+            marked = (ats[j] > ats[i]) | (longs[j] > longs[i]) | (n >= 7) & (n <= 19)
+            ok = opens[i] & closes[j - 1] & (breaks[j] == breaks[i + 1]) & marked & (chars >= 6) & (chars <= MOST_CHARS)
+            firsts.append(i[ok]), lasts.append(j[ok])
+        self.i, self.j = np.concatenate(firsts), np.concatenate(lasts)
+        self.begin, self.end = p[self.i], q[self.j - 1]
+        self.exact = ats[self.j] > ats[self.i]
+        value = np.frombuffer("".join(runs).encode(), np.uint8).astype(np.int64) - 48
+        self.luhn = self._luhn(value, digits[self.i], digits[self.j]) & (digits[self.j] - digits[self.i] >= self.end - self.begin - 4)
+
+    @staticmethod
+    def _luhn(value, low, high):
+        """Do the digits from ``low`` to ``high`` pass, and are they 13 to 19."""
+        import numpy as np
+
+        even = np.arange(len(value)) % 2 == 0
+        doubled = 2 * value - 9 * (value > 4)
+        since = lambda x: np.concatenate(([0], np.cumsum(x)))
+        ending_even, ending_odd = since(np.where(even, value, doubled)), since(np.where(even, doubled, value))
+        total = np.where((high - 1) % 2 == 0, ending_even[high] - ending_even[low], ending_odd[high] - ending_odd[low])
+        return (total % 10 == 0) & (high - low >= 13) & (high - low <= 19)
+
+    def keys(self):
+        """(span, before with the first character, after, joint features) of each segment; characters that a feature does not tell apart are as one."""
+        import numpy as np
+
+        text = self.text
+        begins, ends = self.begin.tolist(), self.end.tolist()
+        spans = [text[a:b] if exact else text[a:b].translate(ALIKE) for a, b, exact in zip(begins, ends, self.exact.tolist(), strict=True)]
+        before = [text[max(0, a - 24) : a + 1].translate(ZEROS) for a in begins]
+        after = [text[b : b + 2].translate(ZEROS) for b in ends]
+        quoted = np.array([x[-2:-1] in ("'", '"') and x[-2:-1] == y[:1] for x, y in zip(before, after, strict=True)], bool)
+        return spans, before, after, np.column_stack([self.luhn, quoted]).astype(float)
+
+
+def feature_matrix(lattice: Lattice):
+    """The features of each segment."""
+    import numpy as np
+
+    spans, before, after, joint = lattice.keys()
+    rows = [span_features(s) + start_features(b) + end_features(a) for s, b, a in zip(spans, before, after, strict=True)]
+    return np.column_stack([np.array(rows).reshape(len(rows), N_FEATURES - 2), joint])
+
+
+class Scorer:
+    """Scores of segments by kind. What recurs (shapes of spans, what stands before and after) is scored once; bounded by starting anew."""
+
+    def __init__(self, weights, most: int = 20_000):
+        cuts = (0, N_SPAN, N_SPAN + N_START, N_FEATURES - 2)
+        self.parts = [(f, weights[a:b], {}) for f, a, b in zip((span_features, start_features, end_features), cuts, cuts[1:], strict=False)]
+        self.joint, self.most = weights[N_FEATURES - 2 :], most
+
+    def __call__(self, lattice: Lattice):
+        import numpy as np
+
+        *keys, joint = lattice.keys()
+        total = joint @ self.joint
+        for (features, weights, known), own in zip(self.parts, keys, strict=True):
+            if len(known) > self.most:
+                known.clear()
+            for key in set(own).difference(known):
+                known[key] = np.array(features(key)) @ weights
+            total += np.array([known[k] for k in own])
+        return total
+
+
+def token_blocks(text: str, parts, old: int = MOST_TOKENS - 1) -> Iterator[tuple[list[tuple[int, int, bool]], int, int]]:
+    """(tokens, how many of them were in the block before, place of the first) of the regions ``parts``."""
+    block, kept, first = [], 0, 0
+    for begin, end in parts:
+        last = None
+        for m in TOKEN.finditer(text, begin, end):
+            p, q = m.span()
+            block.append((p, q, last is None or "\n" in text[last:p]))
+            last = q
+            if len(block) - kept >= BLOCK_TOKENS:
+                yield block, kept, first
+                first, block = first + len(block) - old, block[-old:]
+                kept = old
+    if len(block) > kept:
+        yield block, kept, first
 
 
 def best_segments(n: int, segments: list[tuple[int, int]], scores) -> list[tuple[int, int, int]]:
@@ -231,7 +366,7 @@ def training_lines(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[st
         "email": lambda: rng.choice([f"{word()}.{num(2)} [at] {word()} [dot] com", f"{word()}(at){word()}.org", f"{word()} {{at}} {word()} {{dot}} net", f"{word()}{num(1)}[at]{word()}[dot]{word()}[dot]de"]),
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
         "card": lambda: rng.choice([card(), " ".join(re.findall("....", card()))]),
-        "phone": lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]),
+        "phone": lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}"]),
         "secret": lambda: rng.choice([letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(24, string.ascii_letters) + num(6) + letters(6, string.ascii_letters)]),
         "id_number": lambda: f"{num(3)}-{num(2)}-{num(4)}",
     }
@@ -239,6 +374,7 @@ def training_lines(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[st
         lambda: f"{rng.randint(1900, 2030)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"version {num(1)}.{num(1)}.{num(2)}", lambda: num(rng.randint(1, 12)), lambda: num(16),
         lambda: f"{num(2)}.{num(2)} EUR", lambda: f"{num(3)}-{num(3)}", lambda: word() + num(2), lambda: f"page {num(3)} of {num(4)}", lambda: f"{num(10)}-{num(12)}", lambda: f"{num(2)}:{num(2)}:{num(2)}",
         lambda: letters(rng.randint(20, 45), string.ascii_lowercase), lambda: " | ".join(num(4) for _ in range(5)), lambda: f"sha1 {num(12)}", lambda: f"{num(4)} {num(4)}",
+        lambda: " ".join(num(rng.randint(1, 6)) for _ in range(rng.randint(5, 30))), lambda: ", ".join(num(rng.randint(2, 5)) for _ in range(rng.randint(4, 12))),
     )
     lines = []
     for i in range(n):
@@ -249,9 +385,14 @@ def training_lines(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[st
                 kind = KINDS[i % len(KINDS)] if rng.random() < 0.7 else rng.choice(KINDS)
                 if kind == "secret" or rng.random() < 0.4:
                     text += rng.choice(CUES[kind]) + (rng.choice([' = "', ": ", "=", ' "', " "]) if kind == "secret" else rng.choice([" ", ": "]))
-                made = makes[kind]()
-                spans.append((kind, len(text), len(text) + len(made)))
-                text += made + rng.choice(['"' if text[-1] == '"' else "", ""]) + rng.choice([" ", ". ", ", "])
+                while True:  # now and then the next one follows at once
+                    made = makes[kind]()
+                    spans.append((kind, len(text), len(text) + len(made)))
+                    text += made
+                    if kind not in BASE[1:] or rng.random() < 0.7:
+                        break
+                    text, kind = text + " ", rng.choice(BASE[1:])
+                text += rng.choice(['"' if text[spans[-1][1] - 1] == '"' else "", ""]) + rng.choice([" ", ". ", ", "])
             else:
                 text += rng.choice(others)() + rng.choice([" ", ". ", ", "])
         lines.append((text, spans))
@@ -265,17 +406,17 @@ def fitted(rounds: int = 80, penalty: float = 0.02):
 
     cases = []
     for text, spans in training_lines():
-        for begin, end in regions(text):
-            places, segments = candidates(text, begin, end)
+        for block, old, _ in token_blocks(text, regions(text)):
+            lattice = Lattice(text, block, old)
+            segments = list(zip(lattice.i.tolist(), lattice.j.tolist(), strict=True))
             if not segments:
                 continue
-            x = np.array([features(text, places[i][0], places[j - 1][1]) for i, j in segments])
             truth = np.zeros((len(segments), len(KINDS)))
-            at = {(places[i][0], places[j - 1][1]): s for s, (i, j) in enumerate(segments)}
+            at = {(a, b): s for s, (a, b) in enumerate(zip(lattice.begin.tolist(), lattice.end.tolist(), strict=True))}
             for kind, a, b in spans:
                 if (a, b) in at:
                     truth[at[a, b], KINDS.index(kind)] = 1
-            cases.append((len(places), segments, x, truth))
+            cases.append((len(block), segments, feature_matrix(lattice), truth))
     weights = np.zeros((N_FEATURES, len(KINDS)))
     weights[0] = -2.0
     squares = np.full_like(weights, 1e-3)
@@ -288,43 +429,87 @@ def fitted(rounds: int = 80, penalty: float = 0.02):
     return weights
 
 
-def added_spans(text: str, base: list[tuple[str, int, int]], weights) -> list[tuple[str, int, int]]:
-    """What the field finds outside the base spans."""
+def added_spans(text: str, parts, barred, scorer: Scorer) -> Iterator[tuple[str, int, int]]:
+    """What the field finds in the regions ``parts``, in order; ``barred``: starts and ends of disjoint stretches, as two arrays."""
     import numpy as np
 
-    found = []
-    for begin, end in regions(text):
-        barred = [(a, b) for _, a, b in base if a < end and begin < b]
-        places, segments = candidates(text, begin, end, barred)
-        if segments:
-            scores = np.array([features(text, places[i][0], places[j - 1][1]) for i, j in segments]) @ weights
-            found += [(KINDS[kind], places[i][0], places[j - 1][1]) for i, j, kind in best_segments(len(places), segments, scores)]
-    return found
+    held: list[tuple] = []  # segments (i, j, begin, end, scores) that later ones may overlap
+
+    def settled():
+        low = min(h[0] for h in held)
+        chosen = best_segments(max(h[1] for h in held) - low, [(h[0] - low, h[1] - low) for h in held], np.array([h[4] for h in held]))
+        places = {(h[0] - low, h[1] - low): h[2:4] for h in held}
+        return [(KINDS[kind], *places[i, j]) for i, j, kind in chosen]
+
+    reach = 0
+    for block, old, first in token_blocks(text, parts):
+        lattice = Lattice(text, block, old, barred)
+        if not len(lattice.i):
+            continue
+        scores = scorer(lattice)
+        good = np.flatnonzero(scores.max(axis=1) > 0)
+        for s in good[np.lexsort((lattice.i[good], lattice.j[good]))].tolist():
+            i, j = first + int(lattice.i[s]), first + int(lattice.j[s])
+            if held and j - MOST_TOKENS >= reach:
+                yield from settled()
+                held.clear()
+            held.append((i, j, int(lattice.begin[s]), int(lattice.end[s]), scores[s]))
+            reach = j
+    if held:
+        yield from settled()
 
 
 def listed(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
+#: Between texts that are searched as one: no span and no feature reaches over it.
+BETWEEN = "\n" * 32
+
+
+def spans_of_all(texts: list[str], scorer: Scorer) -> Iterator[tuple[list, list]]:
+    """(base spans, added spans) of each text."""
+    import numpy as np
+
+    bases = [base_spans(t) for t in texts]
+    starts = list(itertools.accumulate([0, *(len(t) + len(BETWEEN) for t in texts[:-1])]))
+    low, high = [], []
+    for start, base in zip(starts, bases, strict=True):
+        for a, b in sorted((a, b) for _, a, b in base):
+            if high and start + a <= high[-1]:
+                high[-1] = max(high[-1], start + b)
+            else:
+                low.append(start + a), high.append(start + b)
+    parts = ((start + a, start + b) for start, text in zip(starts, texts, strict=True) for a, b in regions(text))
+    found = added_spans(texts[0] if len(texts) == 1 else BETWEEN.join(texts), parts, (np.array(low, np.int64), np.array(high, np.int64)), scorer)
+    ahead = next(found, None)
+    for start, text, base in zip(starts, texts, bases, strict=True):
+        more = []
+        while ahead is not None and ahead[1] < start + len(text):
+            more.append((ahead[0], ahead[1] - start, ahead[2] - start))
+            ahead = next(found, None)
+        yield base, more
+
+
 def spans_of(text: str, weights) -> tuple[list, list]:
     """(base spans, added spans)."""
-    base = base_spans(text)
-    return base, added_spans(text, base, weights)
+    return next(spans_of_all([text], Scorer(weights)))
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts and digest of the base spans, and all spans."""
+    """One row per document: counts and digest of the base spans, all spans, how many the field added and how many there are."""
     weights = fitted()
 
     def run(batches):
         def rows():
-            for doc_id, body in common.batch_rows(batches):
-                base, more = spans_of(body or "", weights)
-                kinds = [k for k, _, _ in base]
-                yield doc_id, *[kinds.count(k) for k in BASE], hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more)
+            scorer = Scorer(weights)
+            for part in tokens.in_batches(((i, t or "") for i, t in common.batch_rows(batches)), 1, BATCH_CHARS):
+                for (doc_id, _), (base, more) in zip(part, spans_of_all([t for _, t in part], scorer), strict=True):
+                    kinds = [k for k, _, _ in base]
+                    yield doc_id, *[kinds.count(k) for k in BASE], hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more), len(base) + len(more)
 
         return common.record_batches(rows(), SCHEMA, 1024)
 
@@ -348,11 +533,14 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        scorer = Scorer(weights)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                clean = [t if t is None else masked(t, sum(spans_of(t, weights), [])) for t in part.column(at).to_pylist()]
+                clean = []
+                for rows in tokens.in_batches(((t, t or "") for t in part.column(at).to_pylist()), 1, BATCH_CHARS):
+                    clean += [t if t is None else masked(t, base + more) for (t, _), (base, more) in zip(rows, spans_of_all([t for _, t in rows], scorer), strict=True)]
                 yield part.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
