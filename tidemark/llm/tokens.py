@@ -15,35 +15,54 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 #: Distinct pieces that a worker keeps at most.
-TABLE_PIECES = 600_000
+TABLE_PIECES = 500_000
 #: Characters that one call encodes at most, but for a single longer text; the library takes more at once.
-BATCH_CHARS, LIBRARY_BATCH_CHARS = 1_000_000, 3_000_000
+BATCH_CHARS, LIBRARY_BATCH_CHARS = 1_000_000, 2_000_000
 #: Texts that are handed to the library as one when pieces are joined.
 JOINED = 1024
 
 
 class Pieces:
-    """Ids of pieces end to end, and where each ends."""
+    """Ids of pieces end to end, where each ends, and which places of a text may not be cut. All columns, so that a worker
+    holds many pieces in little memory."""
 
     def __init__(self):
         import numpy as np
+        import pyarrow as pa
+
+        self.ends, self.ids, self.uncut = np.zeros(1, np.int64), b"", np.zeros(0, bool)
+        #: Keys and their rows: of what follows a space or starts with a line feed, and of what starts a text.
+        self.known = {kind: (pa.array([], pa.large_string()), np.zeros(0, np.int64)) for kind in (TAIL, HEAD)}
 
-        self.row: dict = {}  # of a key; UNCUT: texts are not to be cut there
-        self.ends, self.ids = np.zeros(1, np.int64), b""
+    def __len__(self) -> int:
+        return len(self.uncut)
 
-    def add(self, keys: list, found: list[bytes]) -> None:
+    def rows(self, kind: int, keys, learn):
+        """The rows of distinct ``keys``; ``learn`` gives (ids, uncut) of those that are not known yet."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        n = len(self.ends) - 1
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
-        self.ids += b"".join(found)
-        self.row.update(zip(keys, range(n, n + len(keys)), strict=True))
+        have, places = self.known[kind]
+        at = pc.fill_null(pc.index_in(keys, have), -1).to_numpy()
+        rows, lacking = (places[at] if len(places) else np.zeros(len(at), np.int64)), at < 0
+        if lacking.any():
+            new, n = keys.filter(pa.array(lacking)), len(self)
+            found, uncut = learn(new.to_pylist())
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+            self.ids += b"".join(found)
+            self.uncut = np.concatenate((self.uncut, uncut))
+            rows[lacking] = np.arange(n, n + len(found))
+            self.known[kind] = (pa.concat_arrays([have, new]), np.concatenate((places, rows[lacking])))
+        return rows
 
     def trim(self, most: int) -> None:
-        if len(self.ends) > most + 1:
-            half = len(self.ends) // 2
-            self.row = {k: v for k, v in self.row.items() if 0 <= v < half}
-            self.ends = self.ends[: half + 1].copy()
+        import pyarrow as pa
+
+        if len(self) > most:
+            half = len(self) // 2
+            self.known = {kind: (keys.filter(pa.array(rows < half)), rows[rows < half]) for kind, (keys, rows) in self.known.items()}
+            self.ends, self.uncut = self.ends[: half + 1].copy(), self.uncut[:half].copy()
             self.ids = self.ids[: self.ends[-1]]
 
     def joined(self, rows):
@@ -51,13 +70,13 @@ class Pieces:
         import numpy as np
         import pyarrow as pa
 
-        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(self.ends), pa.py_buffer(self.ids)])
         taken = table.take(pa.array(rows))
         _, ends, ids = taken.buffers()
         return ids.to_pybytes() if ids else b"", np.frombuffer(ends, np.int64, len(rows) + 1, taken.offset * 8)
 
 
-UNCUT = -1
+TAIL, HEAD = 0, 1
 
 
 class PieceEncoder:
@@ -66,15 +85,20 @@ class PieceEncoder:
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], encode_pieces: Callable[[list[str]], list[bytes]] | None = None, most: int = TABLE_PIECES, special: tuple[str, ...] = ()):
         self.encode_many, self.encode_pieces, self.most, self.special = encode_many, encode_pieces or encode_many, most, special
-        self.pieces = Pieces()  # keys: what follows a space, or starts with a line feed; of text starts, 1-tuples
+        self.pieces = Pieces()
+
+    def _tails(self, words: list[str]):
+        """Words that stand after a space, or with a line feed of their own: those that other white space begins have no ids."""
+        import numpy as np
+
+        uncut = np.array([(not k or k[0].isspace()) and not (len(k) > 1 and k[0] == "\n" and not k[1].isspace()) for k in words], bool)
+        found = iter(self.encode_pieces([k if k[0] == "\n" else f" {k}" for k, u in zip(words, uncut, strict=True) if not u]))
+        return [b"" if u else next(found) for u in uncut], uncut
+
+    def _heads(self, words: list[str]):
+        import numpy as np
 
-    def _learn(self, words: list[str], heads: list[tuple]) -> None:
-        """Of words and heads that the table lacks."""
-        uncut = [k for k in words if (not k or k[0].isspace()) and not (len(k) > 1 and k[0] == "\n" and not k[1].isspace())]
-        self.pieces.row.update(dict.fromkeys(uncut, UNCUT))
-        tails = [k for k in words if k not in self.pieces.row]
-        self.pieces.add(tails, self.encode_pieces([k if k[0] == "\n" else f" {k}" for k in tails]))
-        self.pieces.add(heads, self.encode_many([h for (h,) in heads]))
+        return self.encode_many(words), np.zeros(len(words), bool)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -85,19 +109,12 @@ class PieceEncoder:
             return []
         self.pieces.trim(self.most)
         column = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
-        cuts, words = column.offsets.to_numpy(), column.flatten().dictionary_encode()
-        which, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
-        heads = [(distinct[i],) for i in which[cuts[:-1]].tolist()]
-        known = self.pieces.row
-        rows = list(map(known.get, distinct))
-        new = [i for i, r in enumerate(rows) if r is None]
-        self._learn([distinct[i] for i in new], [h for h in dict.fromkeys(heads) if h not in known])
-        for i in new:
-            rows[i] = known[distinct[i]]
-        rows = np.array(rows, np.int64)[which]
-        rows[cuts[:-1]] = [known[h] for h in heads]
-        whole = np.logical_or.reduceat(rows == UNCUT, cuts[:-1]).tolist()
-        ids, ends = self.pieces.joined(np.maximum(rows, 0))
+        cuts, words = column.offsets.to_numpy(), column.flatten()
+        tails, heads = words.dictionary_encode(), words.take(pa.array(cuts[:-1])).dictionary_encode()
+        rows = self.pieces.rows(TAIL, tails.dictionary, self._tails)[tails.indices.to_numpy()]
+        rows[cuts[:-1]] = self.pieces.rows(HEAD, heads.dictionary, self._heads)[heads.indices.to_numpy()]
+        whole = np.logical_or.reduceat(self.pieces.uncut[rows], cuts[:-1]).tolist()
+        ids, ends = self.pieces.joined(rows)
         at = ends[cuts].tolist()
         return [self.encode_many([t])[0] if w or any(s in t for s in self.special) else ids[a:b] for t, w, a, b in zip(texts, whole, at, at[1:], strict=False)]
 
