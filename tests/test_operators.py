@@ -276,3 +276,49 @@ def test_portfolio_costs_and_drawdown(spark):
     assert [round(r["ret"], 6) for r in days] == [0.008, 0.008, 0.008] and [r["n_open"] for r in days] == [1, 2, 1]
     fall = spark.createDataFrame([(date(2024, 1, i + 1), r) for i, r in enumerate([0.1, -0.2, 0.05, 0.2])], "date date, ret double")
     assert [round(r["drawdown"], 6) for r in portfolio.drawdown(fall).orderBy("date").collect()] == [0.0, -0.2, -0.15, 0.0]
+
+
+@pytest.mark.parametrize(("parts", "aqe", "advisory"), [(50, "true", "64m"), (50, "false", "64m"), (200, "true", "500k"), (7, "true", "10k"), (1, "true", "64m")])
+def test_ranks_over_many_ranges(spark, parts, aqe, advisory):
+    """Nearly all scores differ; the ranges must be the same wherever the plan asks for them."""
+    import numpy as np
+
+    n = 200_000
+    rows = spark.range(n, numPartitions=9).select((F.xxhash64("id") % 1_000_000 / 7).alias("score"), (F.xxhash64("id", F.lit(1)) % 5 == 0).alias("y"))
+    rows = rows.withColumn("score", F.col("score") + F.when(F.col("y"), 40_000).otherwise(0))
+    values = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.enabled": aqe, "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory}
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        found = stats.auc(rows, "score", F.col("y")).first()
+        cuts = stats.percentiles(rows, "score", [0.0, 0.013, 0.5, 1.0])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    data = rows.toPandas()
+    score, y = data["score"].to_numpy(), data["y"].to_numpy()
+    _, place, counts = np.unique(score, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(counts) - (counts - 1) / 2)[place]
+    pos = int(y.sum())
+    assert (found["n"], found["pos"]) == (n, pos)
+    assert found["auc"] == pytest.approx((ranks[y].sum() - pos * (pos + 1) / 2) / (pos * (n - pos)), abs=1e-12)
+    assert cuts == pytest.approx(np.quantile(score, [0.0, 0.013, 0.5, 1.0]).tolist())
+
+
+def test_percentiles_of_odd_tables(spark):
+    rows = spark.createDataFrame([(None,), (2.0,), (2.0,), (5.0,)], "v double")
+    assert stats.percentiles(rows, "v", [0.0, 0.5, 0.75, 1.0]) == [2.0, 2.0, 3.5, 5.0]
+    assert stats.percentiles(rows.where("v > 9"), "v", [0.5]) == [None]
+
+
+def test_hazard_auc_against_dense_ranks(spark):
+    from tidemark.operators import models
+
+    rows = spark.range(4000).select((F.xxhash64("id") % 1000 / 100).alias("a"), (F.xxhash64("id", F.lit(2)) % 1000 / 100).alias("b"), (F.col("id") % 3 > 0).alias("train"))
+    rows = rows.withColumn("label", (F.col("a") - F.col("b") + F.xxhash64("a", "b", F.lit(5)) % 7 > 0).cast("double"))
+    scored = models.logistic_hazard(rows, "label", ["a", "b"], F.col("train")).toPandas()
+    found = stats.auc(spark.createDataFrame(scored), "hazard", F.col("label") == 1).first()["auc"]
+    high, low = scored.hazard[scored.label == 1].to_numpy(), scored.hazard[scored.label == 0].to_numpy()
+    dense = ((high[:, None] > low).sum() + (high[:, None] == low).sum() / 2) / (len(high) * len(low))
+    assert found == pytest.approx(dense) and 0.6 < found < 1

@@ -52,9 +52,17 @@ def test_listing(spark, tmp_path):
     assert found[1]["announced_at"] == datetime(2026, 4, 21, 22, 30) and found[2]["announced_at"] == datetime(2026, 1, 2, 9, 30)
     with pytest.raises(ValueError):
         udfs.listing_rows(ROW.format(when="soon", time="", flag="", n=1))
-    (tmp_path / "a.html").write_text(ROW.format(when="22/04/2026", time="8:30 am", flag="", n=4))
+    (tmp_path / "faked_site.py").write_text("""from tidemark.sources.http import Response
+
+def get(address, parameters):
+    row = '<tr><td>%s/%s 8:30 am</td><td><a href="?idsId=1%s">A %s<br></a></td></tr>'
+    return Response(200, (row % ("22/04", parameters["year"], parameters["year"], parameters["asxCode"])).encode())
+""")
+    spark.sparkContext.addPyFile(str(tmp_path / "faked_site.py"))
     spark.dataSource.register(readers.ListingSource)
-    assert spark.read.format("listing").option("paths", str(tmp_path / "a.html")).load().first()["local_at"] == datetime(2026, 4, 22, 8, 30)
+    site = spark.read.format("listing").option("transport", "faked_site:get").option("address", "https://site").option("requests", "aaa|2026, BBB|2025")
+    got = site.load().orderBy("ticker").collect()
+    assert [(r["ticker"], r["ids_id"], r["headline"], r["local_at"]) for r in got] == [("BBB", "12025", "A BBB", datetime(2025, 4, 22, 8, 30)), ("aaa", "12026", "A AAA", datetime(2026, 4, 22, 8, 30))]
 
 
 def test_feed_maps_logs_and_universe(spark, tmp_path):
@@ -75,8 +83,6 @@ def test_feed_maps_logs_and_universe(spark, tmp_path):
     (tmp_path / "e.csv").write_text("ticker,company,sector\n")
     with pytest.raises(ValueError):
         readers.universe(spark, str(tmp_path / "e.csv"))
-    wiki = spark.createDataFrame([("<table><tr><th>Code</th></tr><tr><td>ABC</td><td><a>Alpha</a></td></tr><tr><td>not a code</td><td>x</td></tr></table>",)], "html string")
-    assert [tuple(r) for r in readers.wiki_constituents(wiki).collect()] == [("ABC", "Alpha")]
 
 
 def test_checks_and_payloads(spark):
@@ -155,7 +161,7 @@ def test_late_events_are_dropped(spark):
     for rows in ([(1, datetime(2024, 1, 10)), (2, datetime(2024, 1, 10))], [(3, datetime(2024, 1, 9))], [(4, datetime(2024, 1, 1))], [(5, datetime(2024, 1, 20))]):
         made = spark.createDataFrame([(e, t, 1, "x", 1.0, "{}") for e, t in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
         made.coalesce(1).write.mode("append").parquet(f"{folder}")
-    found = streams.run_available(streams.tumbling(streams.read_events(spark, folder)), spark, "late_rows", scratch(spark, "state"))
+    found = streams.run_available(streams.tumbling(streams.read_events(spark, folder)), spark, scratch(spark, "late"), scratch(spark, "state"))
     got = {(r["start"].day, r["n"]) for r in found.collect()}
     assert (10, 2) in got and (9, 1) in got and not any(day == 1 for day, _ in got)
 
@@ -167,7 +173,7 @@ def test_every_document_is_hashed(spark, tmp_path):
 
     texts = [f"text {i}\r\n\x00é" * (i % 70) for i in range(2500)] + [None, "null", "\n", "x" * 100]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
-    found = [r[0] for r in registry.QUERIES["source_binary_hash_all"].run(spark, str(tmp_path)).collect()]
+    found = [r[0] for r in registry.QUERIES["source_binary_hash"].run(spark, str(tmp_path)).collect()]
     assert sorted(map(str, found)) == sorted(str(None if t is None else hashlib.sha256(t.encode()).hexdigest()) for t in texts)
 
 
@@ -175,10 +181,10 @@ def test_every_supplier_and_order_takes_part(spark, tmp_path):
     from tidemark.plans import registry
 
     spark.createDataFrame([(i, float(i % 7 - 1)) for i in range(1, 601)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
-    found = registry.QUERIES["source_price_frame_all"].run(spark, str(tmp_path)).collect()
+    found = registry.QUERIES["source_price_frame"].run(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == sorted((f"S{i}", float(i % 7 - 1)) for i in range(1, 601) if i % 7 > 1)
     spark.createDataFrame([(i, datetime(1999 + i % 3, 5, 1)) for i in range(60)], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
-    found = registry.QUERIES["years_covering_all"].run(spark, str(tmp_path)).collect()
+    found = registry.QUERIES["years_covering"].run(spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == [(i, y) for i in range(60) for y in range(1999 + i % 3, 2002)]
 
 
@@ -186,9 +192,103 @@ def test_whole_quotes_are_found(spark, tmp_path):
     from tidemark.plans import registry
 
     opening = "the same forty characters open both items "
-    items = [(1, opening + "and end so"), (2, opening + "and end otherwise"), (3, "short one"), (4, "nowhere to be found at all")]
+    items = [(1, opening + "and end so"), (2, opening + "and end otherwise"), (3, "short one"), (4, "nowhere to be found at all"), (5, "ort  o"), (6, "a short one"), (7, "rty  chara"), (8, "x the same forty char")]
     texts = [f"x {items[0][1]} y", f"{opening}only", "a short one", f"{items[1][1]} short one {items[1][1]}", "", None]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = registry.QUERIES["pages_quote_in_documents_all"].run(spark, str(tmp_path)).collect()
-    assert sorted(tuple(r) for r in found) == [(1, 1), (2, 1), (3, 2)]
+    found = registry.QUERIES["pages_quote_in_documents"].run(spark, str(tmp_path)).collect()
+    wanted = [(i, sum(t is not None and item in t for t in texts)) for i, item in items]
+    assert sorted(tuple(r) for r in found) == [x for x in wanted if x[1]] and dict(wanted)[3] == 2 and dict(wanted)[8] == 1
+
+
+def test_constituents(spark):
+    table = lambda rows, heading="Code", kind="wikitable sortable": f'<table class="{kind}"><tr><th> {heading} </th><th>Company</th></tr>{rows}</table>'
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    code = lambda i: "".join(chr(65 + i // 26**k % 26) for k in range(3))
+    pages = [
+        table(row("ABC", "<a> Alpha </a>", " Mining &amp; more") + row("not a code", "x") + row("123", "digits") + row("A1", "short") + row("ABCDEF", "long") + row("abc", "lower") + row("XYZ")),
+        table(row("ABC", "a"), heading="Name") + table(row("ABC", "a"), kind="infobox") + table(row("DEF", "d"), heading="ASX symbol"),
+        table("".join(row(code(i), f"c{i}") for i in range(200))) + table(row("ZZZ", "after enough")),
+        table("".join(row(code(i), f"c{i}") for i in range(150))) + table(row("ZZZ", "one more table")), None, "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, html string")
+    found = {}
+    for r in readers.wiki_constituents(rows).collect():
+        found.setdefault(r["k"], []).append((r["ticker"], r["company"], r["sector"]))
+    assert found[0] == [("ABC", "Alpha", "Mining & more"), ("A1", "short", "")] and found[1] == [("DEF", "d", "")]
+    assert len(found[2]) == 200 and len(found[3]) == 151 and found.keys() == {0, 1, 2, 3}
+
+
+def test_client_with_a_faked_transport():
+    asked, slept = [], []
+    pages = {
+        "https://site/asx/v2/statistics/displayAnnouncement.do": http.Response(200, b'<INPUT type=hidden name="pdfURL" id="x" value="https://files/1.pdf">', "text/html"),
+        "https://files/1.pdf": http.Response(200, b"%PDF-1", "application/pdf;x", "https://files/1.pdf"),
+        "https://site/asx/v2/statistics/announcements.do": http.Response(200, b"<p>no Announcements this year</p>", "text/html"),
+    }
+
+    def get(address, parameters):
+        asked.append((address, parameters))
+        return http.Response(503, b"") if len(asked) == 1 else pages[address]
+
+    client = http.ListingClient(get, "https://site/", http.RateLimiter(0.0), slept.append)
+    assert client.document("7") == ("https://files/1.pdf", b"%PDF-1") and slept == [1.0] and asked[1][1]["idsId"] == "7"
+    assert client.listing("abc", 2026) == [] and asked[-1][1]["asxCode"] == "ABC"
+    pages["https://site/asx/v2/statistics/announcements.do"] = http.Response(200, b"<p>moved</p>")
+    with pytest.raises(http.Changed):
+        client.listing("abc", 2026)
+    pages["https://files/1.pdf"] = http.Response(200, b"x", "text/html")
+    with pytest.raises(http.Changed):
+        client.document("7")
+    pages["https://site/asx/v2/statistics/displayAnnouncement.do"] = http.Response(200, b"%PDF", "application/pdf", "u")
+    assert client.document("7") == ("u", b"%PDF")
+    pages["https://site/asx/v2/statistics/displayAnnouncement.do"] = http.Response(404, b"")
+    with pytest.raises(http.Refused):
+        client.document("7")
+
+
+def test_document_url(spark):
+    texts = ['<input type="hidden" name="pdfURL" class="x" value="https://a/b.pdf">', '<INPUT NAME="PDFURL" VALUE="u">', '<input name="pdfURL">', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, page string")
+    assert [r[0] for r in rows.orderBy("i").select(http.document_url(F.col("page"))).collect()] == ["https://a/b.pdf", "u", None, None]
+
+
+def test_case_folding(spark):
+    words = ["Stra\u00dfe STRASSE stra\u1e9ee", "\u03a3\u03b9\u03c3\u03c5\u03c6\u03bf\u03c2 \u03a3\u0399\u03a3\u03a5\u03a6\u039f\u03a3", "\u0130stanbul", "d\u0131\u015f", "\ufb01n", "\u01f0", "\u00c9t\u00e9"]
+    rows = spark.createDataFrame(list(enumerate(words)), "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(text.folded(F.col("t"))).collect()] == [w.casefold() for w in words]
+
+
+def minimal_pdf(*pages):
+    import zlib
+
+    made = [b"%PDF-1.4"]
+    for i, page in enumerate(pages):
+        body = zlib.compress(page) if i % 2 else page
+        made.append(b"%d 0 obj << /Type /Page /Contents %d 0 R >> endobj" % (10 + i, 20 + i))
+        made.append(b"%d 0 obj << /Length %d%s >>\nstream\n%s\nendstream\nendobj" % (20 + i, len(body), b" /Filter /FlateDecode" if i % 2 else b"", body))
+    return b"\n".join([*made, b"1 0 obj << /Type /Pages >> endobj"])
+
+
+def test_pages_of_blobs(spark):
+    pdf = minimal_pdf(b"BT (First \\(one\\)) Tj ET", b"BT [(Sec) -20 (ond)] TJ (line) ' ET", b"")
+    blobs = spark.createDataFrame([("a", bytearray(pdf)), ("b", bytearray(b"no pdf")), ("c", None)], "content_hash string, content binary")
+    found = {r["content_hash"]: r for r in udfs.parse_pages(blobs, udfs.pdf_pages, "pdf-1").collect()}
+    assert found["a"]["pages"] == ["First (one)", "Second\nline", ""] and found["a"]["error"] is None and found["a"]["parser_version"] == "pdf-1"
+    assert found["b"]["error"] == "not a PDF" and found["b"]["pages"] is None and found["c"]["pages"] is None
+    assert udfs.parse_pages(blobs.where("content_hash = 'b'")).first()["pages"] == ["no pdf"]
+
+
+def test_a_failed_rebuild_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.rebuild(spark.range(3), path)
+    with pytest.raises(Exception, match="broken"):
+        sinks.rebuild(spark.range(9).select(F.raise_error(F.lit("broken")).cast("long").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    sinks.rebuild(spark.read.parquet(path).where("id > 0"), path)  # of itself
+    assert spark.read.parquet(path).count() == 2 and len(list(tmp_path.iterdir())) == 1
+
+
+def test_the_least_of_equal_keys_is_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (1, "a", 1), (2, None, 5)], "k int, v string, w int").repartition(4)
+    assert sorted(tuple(r) for r in sinks.write_absent(rows, str(tmp_path / "t"), ["k"]).collect()) == [(1, "a", 1), (2, None, 5)]

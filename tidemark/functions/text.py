@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The patterns must be these for results to agree. Four of them look alike and differ on purpose.
@@ -45,7 +45,7 @@ GUIDANCE = (
     r"|(upgrade|downgrade)s? (to )?(fy|hy|earnings|profit|guidance)"
     r"|business update|operational update"
 )
-DEMO_KEYWORDS = ("appendix 3y", "change of director's interest", "director's interest notice")
+DEMO_KEYWORDS = ("appendix 3y", "change in director", "director's interest", "directors interest")
 NO_REVENUE_TICKERS = ("ANZ", "CBA", "NAB", "WBC", "MQG", "BEN", "BOQ", "QBE", "IAG", "SUN", "AMP", "MFG", "PPT", "CPU", "IFL", "HUB", "NWL", "PDL")
 # End of fixed values.
 
@@ -108,9 +108,18 @@ def collapse_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
+def folded(text: Column) -> Column:
+    """Full case folding for comparisons: upper and then lower case brings what folds together to one form (a sharp s to
+    two), but for a dotless i, which must not become a dotted one, and a final sigma. Cherokee comes out in lower case."""
+    kept = F.translate(text, "\u0131", "\ue000")
+    upper = F.upper(F.replace(F.replace(kept, F.lit("\u1e9e"), F.lit("ss")), F.lit("\u0130"), F.lit("i\u0307")))
+    # what stands between keeps the optimizer from taking lower(upper(x)) for lower(x)
+    return F.translate(F.lower(F.translate(upper, "\ue000", "\u0131")), "\u03c2", "\u03c3")
+
+
 def normalize(text: Column) -> Column:
-    """For comparison: white space collapsed, ends stripped, lower case. Unlike full case folding, it keeps sharp s."""
-    return F.lower(F.trim(collapse_space(text)))
+    """For comparison: white space collapsed, ends stripped, case folded."""
+    return folded(F.trim(collapse_space(text)))
 
 
 def strip(text: Column) -> Column:
@@ -143,3 +152,27 @@ def lexicon_density(text: Column, words: list[str]) -> Column:
     """Occurrences of any of the words per word of the text."""
     pattern = r"(?i)\b(" + "|".join(words) + r")\b"
     return F.try_divide(F.regexp_count(text, F.lit(pattern)), F.size(F.regexp_extract_all(text, F.lit(r"[^\s]+"), F.lit(0))))
+
+
+def items_within(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item: str) -> DataFrame:
+    """key, item_key for each document whose text holds the whole item. The items' inner words (all but the first and last,
+    three at most) stand whole in any text that holds the item, so documents meet items on their hashes; the texts are read
+    again for what meets. Items of fewer than three words have no inner word and are tried on every document."""
+    words = lambda c: F.split(c, r"\s+", -1)
+    gram = lambda n: lambda i: F.xxhash64(*[F.get("__words", i + k) for k in range(n)])
+    inner = F.least(F.size(words(F.col(item))) - 2, F.lit(3))
+    items = items.select(F.col(item_key).alias("__item_key"), F.col(item).alias("__item"), F.greatest(inner, F.lit(0)).alias("__n"))
+    documents = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    sizes = sorted(r[0] for r in items.where("__item is not null").select("__n").distinct().collect())  # 0 to 3
+    found = documents.join(items.where("__n = 0"), F.contains("__text", "__item")).select("__key", "__item_key") if 0 in sizes else None
+    for n in (n for n in sizes if n):
+        own = items.where(F.col("__n") == n).withColumn("__words", words(F.col("__item"))).select("__item_key", "__item", gram(n)(F.lit(1)).alias("__gram"))
+        starts = F.sequence(F.lit(0), F.size("__words") - n)
+        grams = documents.select("__key", words(F.col("__text")).alias("__words")).where(F.size("__words") >= n)
+        grams = grams.select("__key", F.explode(F.array_distinct(F.transform(starts, gram(n)))).alias("__gram"))
+        met = grams.join(own, "__gram").select("__key", "__item_key", "__item")
+        whole = documents.join(met, "__key").where(F.contains("__text", "__item")).select("__key", "__item_key")
+        found = whole if found is None else found.union(whole)
+    if found is None:
+        found = documents.join(items, F.lit(False)).select("__key", "__item_key")
+    return found.select(F.col("__key").alias(key), F.col("__item_key").alias(item_key))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -91,6 +92,66 @@ class ListingRows:
             yield from listing_rows(html)
 
 
+# Which tables list constituents, how many of their first headings are read, and after how many rows no further table is.
+CONSTITUENT_CLASS, CONSTITUENT_HEADINGS, HEADINGS_READ, ENOUGH_ROWS = "wikitable", ("code", "symbol", "ticker"), 5, 150
+# End of fixed values.
+
+
+class _Tables(HTMLParser):
+    """Rows of the tables of a class: for each table its headings, and for each row its cells; text is stripped node by node."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tables, self.open, self.cell = [], 0, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            if self.open:
+                self.open += 1
+            elif CONSTITUENT_CLASS in (dict(attrs).get("class") or "").split():
+                self.open = 1
+                self.tables.append({"headings": [], "rows": []})
+        elif self.open and tag == "tr":
+            self.tables[-1]["rows"].append([])
+            self.cell = None
+        elif self.open and tag in ("td", "th"):
+            table = self.tables[-1]
+            into = table["headings"] if tag == "th" else table["rows"][-1] if table["rows"] else []
+            into.append("")
+            self.cell = into
+
+    def handle_endtag(self, tag):
+        if tag == "table" and self.open:
+            self.open -= 1
+        if tag in ("td", "th", "tr"):
+            self.cell = None
+
+    def handle_data(self, data):
+        if self.cell:
+            self.cell[-1] += data.strip()
+
+
+def constituent_rows(html: str) -> list[tuple[str, str, str]]:
+    """(ticker, company, sector) of the rows of a page's tables of constituents, whole tables only: none is begun once there
+    are more than ``ENOUGH_ROWS`` rows. A ticker has two to five characters, letters among them, all in upper case."""
+    parser, found = _Tables(), []
+    parser.feed(html or "")
+    for table in parser.tables:
+        if len(found) > ENOUGH_ROWS:
+            break
+        if any(word in h.lower() for h in table["headings"][:HEADINGS_READ] for word in CONSTITUENT_HEADINGS):
+            found += [(r[0], r[1], r[2] if len(r) > 2 else "") for r in table["rows"][1:] if len(r) >= 2 and r[0].isupper() and 2 <= len(r[0]) <= 5]
+    return found
+
+
+@F.udtf(returnType="ticker string, company string, sector string")
+class ConstituentRows:
+    """Table function over a page's HTML."""
+
+    def eval(self, html: str):
+        yield from constituent_rows(html)
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -154,3 +215,52 @@ def extract(documents: DataFrame, extractor=stub_extract, key: str = "content_ha
             yield pd.DataFrame({key: frame[key], "payload": made, "error": errors})
 
     return documents.select(key, text).mapInPandas(run, f"{key} {dict(documents.dtypes)[key]}, payload string, error string")
+
+
+def text_pages(content: bytes) -> list[str]:
+    """The pages of a text in UTF-8, which form feeds part."""
+    return content.decode("utf-8", "replace").split("\f")
+
+
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\]\\]|\\.)*)\]\s*TJ", re.S)
+
+
+def pdf_pages(content: bytes) -> list[str]:
+    """The pages' text of a plainly written PDF: content streams, deflated or not, with strings in parentheses. It stands
+    where a PDF library would be given to ``parse_pages``; encodings of embedded fonts are beyond it."""
+    objects = dict(re.findall(rb"(?s)(\d+) 0 obj(.*?)endobj", content))
+
+    def shown(body: bytes) -> str:
+        found = _STREAM.search(body)
+        if found is None:
+            return ""
+        stream = zlib.decompress(found[1]) if b"FlateDecode" in body else found[1]
+        strings = (m[1] if m[1] is not None else b"".join(re.findall(rb"\(((?:[^()\\]|\\.)*)\)", m[2])) for m in _SHOWN.finditer(stream))
+        return "\n".join(re.sub(rb"\\(.)", rb"\1", x).decode("latin-1") for x in strings)
+
+    if not content.startswith(b"%PDF"):
+        raise ValueError("not a PDF")
+    pages = [body for body in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
+    refs = [re.findall(rb"(\d+) 0 R", m[1]) if (m := re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ 0 R)", body)) else [] for body in pages]
+    return ["\n".join(filter(None, (shown(objects.get(r, b"")) for r in own))) for own in refs]
+
+
+def parse_pages(blobs: DataFrame, parse=text_pages, version: str = "text-1") -> DataFrame:
+    """content_hash, parser_version, pages, error of each blob (content_hash, content): ``parse`` turns bytes into pages. One
+    that fails keeps its error. Blobs are taken a few at a time, as they may be large."""
+
+    def run(frames):
+        for frame in frames:
+            for at in range(0, len(frame), 16):
+                part, made, errors = frame.iloc[at : at + 16], [], []
+                for content in part["content"]:
+                    try:
+                        made.append(None if content is None else parse(bytes(content)))
+                        errors.append(None)
+                    except Exception as error:  # any parser's failure is that blob's
+                        made.append(None)
+                        errors.append(str(error))
+                yield pd.DataFrame({"content_hash": part["content_hash"], "parser_version": version, "pages": made, "error": errors})
+
+    return blobs.select("content_hash", "content").mapInPandas(run, "content_hash string, parser_version string, pages array<string>, error string")

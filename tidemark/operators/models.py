@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .stats import ols, percentiles, welch_t
+
 
 def logistic_hazard(rows: DataFrame, label: str, xs: list[str], train: Column, ridge: float = 1e-4) -> DataFrame:
     """The rows outside ``train`` with hazard, the fitted chance of the label."""
@@ -21,17 +23,16 @@ def logistic_hazard(rows: DataFrame, label: str, xs: list[str], train: Column, r
 
 
 def decile_lift(rows: DataFrame, score: str, label: str, n: int = 10) -> DataFrame:
-    """decile (1 the highest scores), n, rate, lift over the whole rate. Deciles come from exact percentiles, so no row
-    passes a single window."""
-    cuts = rows.agg(F.percentile(score, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("c"), F.avg(label).alias("base")).first()
-    place = n - sum((F.col(score) > c).cast("int") for c in (cuts["c"] or []))
-    return rows.groupBy(place.cast("int").alias("decile")).agg(F.count("*").alias("n"), F.avg(label).alias("rate")).withColumn("lift", F.try_divide("rate", F.lit(cuts["base"])))
+    """decile (1 the highest scores), n, rate, lift over the whole rate. Cuts are exact percentiles from ranks over ranges of
+    scores, so neither a window nor a buffer holds all of them."""
+    cuts = percentiles(rows, score, [i / n for i in range(1, n)])
+    base = rows.agg(F.avg(label)).first()[0]
+    place = n - sum((F.col(score) > c).cast("int") for c in cuts)
+    return rows.groupBy(place.cast("int").alias("decile")).agg(F.count("*").alias("n"), F.avg(label).alias("rate")).withColumn("lift", F.try_divide("rate", F.lit(base)))
 
 
 def ridge_composite(rows: DataFrame, y: str, xs: list[str], train: Column, ridge: float = 10.0) -> DataFrame:
     """Rows outside ``train`` with composite: the ridge prediction from terms fitted on ``train``. Its strength is ours; the source leaves it open."""
-    from .stats import ols
-
     terms = {r["term"]: r["coefficient"] for r in ols(rows.where(train), y, xs, ridge=ridge).collect()}  # one row per term
     composite = F.lit(terms["const"])
     for x in xs:
@@ -46,6 +47,4 @@ def quintiles(rows: DataFrame, value: str, by: list[str], n: int = 5) -> DataFra
 
 def spread(rows: DataFrame, y: str, bucket: str = "bucket", n: int = 5) -> DataFrame:
     """Mean of ``y`` in the highest bucket less that in the lowest, with Welch's t."""
-    from .stats import welch_t
-
     return welch_t(rows.where(F.col(bucket).isin(1, n)), y, F.col(bucket) == n)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import share_size
+from ..functions.text import folded
 from .asof import asof, next_on_calendar
 
 # The frozen rules.
@@ -22,8 +23,8 @@ HEDGE_THRESHOLD = 5_000
 
 
 def person(name: Column) -> Column:
-    """The key of a person in the gates: stripped and lower-cased."""
-    return F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    """The key of a person in the gates: stripped and case-folded."""
+    return folded(F.trim(F.coalesce(name, F.lit(""))))
 
 
 def gated(filings: DataFrame, results: DataFrame, today: Column, least=LEAST_CONSIDERATION, stale=MOST_STALE_DAYS, clean=CLEAN_DAYS) -> DataFrame:

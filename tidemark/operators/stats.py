@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,25 +42,66 @@ def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("rho"))
 
 
+def range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` lie below ``value``, looked up in two steps."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, math.isqrt(len(bounds)))
+    rows = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < value))
+    row = F.greatest(below(F.array(*[F.lit(r[0]) for r in rows])), F.lit(1))
+    within = F.element_at(F.array(*[F.array(*[F.lit(b) for b in r]) for r in rows]), row)
+    return (row - 1) * width + below(within)
+
+
 def ranked_counts(counts: DataFrame) -> DataFrame:
-    """Distinct values ``v`` with counts ``n`` (and other columns): adds mean_rank, the mean rank of the rows of each value.
-    Values are dealt to ranges, each range sums its own, and the totals of the ranges before are added: no task sees all."""
-    ranged = counts.repartitionByRange("v").withColumn("__part", F.spark_partition_id())
-    ranged = ranged.withColumn("__upto", F.sum("n").over(Window.partitionBy("__part").orderBy("v")))
-    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    before = ranged.groupBy("__part").agg(F.sum("n").alias("__t")).select("__part", F.coalesce(F.sum("__t").over(ahead), F.lit(0)).alias("__before"))
-    rank = F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2
-    return ranged.join(F.broadcast(before), "__part").withColumn("mean_rank", rank).drop("__part", "__upto", "__before")
+    """Distinct values ``v`` with counts ``n`` (and other columns): adds upto, the rows up to each value, and mean_rank, the
+    mean rank of its rows. Values are dealt to ranges, each range sums its own, and the totals of the ranges before are
+    added: no task sees all. The ranges' bounds are approximate percentiles, found first and then fixed, so that a value is
+    in the same range wherever the plan asks; any bounds give the same ranks."""
+    part, own, total, before = _fresh(counts.columns, "part", "own", "total", "before")
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = counts.agg(F.approx_percentile("v", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    ranged = counts.withColumn(part, range_of(F.col("v"), sorted(set(bounds or []))))
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sums = ranged.groupBy(part).agg(F.sum("n").alias(total)).select(part, F.coalesce(F.sum(total).over(ahead), F.lit(0)).alias(before))
+    summed = ranged.withColumn(own, F.sum("n").over(Window.partitionBy(part).orderBy("v")))
+    found = summed.join(F.broadcast(sums), part).withColumn("upto", F.col(before) + F.col(own))
+    return found.withColumn("mean_rank", F.col("upto") - (F.col("n") - 1) / 2).drop(part, own, before)
+
+
+def _fresh(columns: list[str], *stems: str) -> list[str]:
+    """Names like ``stems`` that no column has."""
+    return [next(n for n in (f"__{s}" + "_" * i for i in range(len(columns) + 1)) if n.lower() not in {c.lower() for c in columns}) for s in stems]
+
+
+def value_counts(rows: DataFrame, value: str, *more: Column) -> DataFrame:
+    return rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), *more)
+
+
+def percentiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
+    """Exact percentiles, interpolated between the two values next to each; null where there are no rows. Two values for
+    each share come to the driver, and no task holds all values."""
+    ranked = ranked_counts(value_counts(rows, value))
+    n = ranked.agg(F.sum("n")).first()[0]
+    if not n:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    wanted = sorted({r for x in places for r in (math.floor(x) + 1, math.ceil(x) + 1)})
+    hit = F.filter(F.array(*map(F.lit, wanted)), lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))
+    at = {r["k"]: r["v"] for r in ranked.select("v", F.explode(hit).alias("k")).collect()}
+    low, high = [at[math.floor(x) + 1] for x in places], [at[math.ceil(x) + 1] for x in places]
+    return [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, places, strict=True)]
 
 
 def binned_ranks(rows: DataFrame, value: str) -> DataFrame:
     """v, n, mean_rank of each distinct value, over all rows."""
-    return ranked_counts(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")))
+    return ranked_counts(value_counts(rows, value)).drop("upto")
 
 
 def auc(rows: DataFrame, score: str, label: Column) -> DataFrame:
     """n, pos, area under the ROC curve from rank sums, ties counted half."""
-    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("v")).agg(F.count("*").alias("n"), F.count_if(label).alias("pos"))
+    counts = value_counts(rows, score, F.count_if(label).alias("pos"))
     total = ranked_counts(counts).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("pos") * F.col("mean_rank")).alias("ranks"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     return total.select("n", "pos", F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, _nonzero((pos * neg).cast("double"))).alias("auc"))

@@ -16,12 +16,11 @@ LEAST = 200_000  # filings here are smaller than the real ones
 _GAPS = "gp as (select f.*, r.d as last_result, date_diff('day', r.d, f.filed) as gap from fx_filings f asof left join fx_results r on f.ticker = r.ticker and f.filed >= r.d)"
 _GATED = f"""gt as (select *, case when consideration is null or consideration < {LEAST} then 'SIZE' when date_diff('day', filed, date '{TODAY}') > 400 then 'STALE' when gap is null then 'NO_RESULTS' when gap <= 30 then 'NOT_CLEAN' end as reason from gp where filed <= date '{TODAY}')"""
 GATES = (fx.ANNOUNCEMENTS, fx.FILINGS, fx.RESULTS, _GAPS, _GATED)
-ALL_GATES = (fx.ANNOUNCEMENTS, fx.FILINGS, fx.ALL_RESULTS, _GAPS, _GATED)
 
 
-def _gated(spark, d, results=fx.results_dates):
+def _gated(spark, d):
     filings = fx.filings(spark, d).where(F.col("filed") <= F.lit(TODAY))
-    return signals.gated(filings, results(spark, d), F.lit(TODAY), least=LEAST, stale=400)
+    return signals.gated(filings, fx.results_dates(spark, d), F.lit(TODAY), least=LEAST, stale=400)
 
 
 def _open(spark):
@@ -37,11 +36,6 @@ def gates_per_row(spark, d):
     return _gated(spark, d).groupBy(F.coalesce("reason", F.lit("PASS")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@register("gates_per_row_all", fx.oracle(*ALL_GATES, body="select coalesce(reason, 'PASS') as verdict, count(*) as n from gt group by all"))
-def gates_per_row_all(spark, d):
-    return _gated(spark, d, fx.all_results_dates).groupBy(F.coalesce("reason", F.lit("PASS")).alias("verdict")).agg(F.count("*").alias("n"))
-
-
 #: The oracle walks the filings one by one; state is a map of each key's last entry, the set of open keys and the slots left.
 _WALK = """
 ps as (select *, upper(ticker) || '|' || lower(trim(director)) as key, row_number() over (order by filed, upper(ticker), director, consideration) as i from gt where reason is null),
@@ -63,20 +57,14 @@ def entry_selection(spark, d):
     return found.withColumn("gap", F.col("gap").cast("long"))
 
 
-@register("entry_selection_all", fx.oracle(*ALL_GATES, _WALK.strip(), body="select ticker, director, filed, consideration, gap, action from decided union all select ticker, director, filed, consideration, gap, 'SKIP_' || reason from gt where reason is not null"))
-def entry_selection_all(spark, d):
-    found = signals.select_entries(_gated(spark, d, fx.all_results_dates), _open(spark), _recent(spark))
-    return found.withColumn("gap", F.col("gap").cast("long"))
-
-
-_CAL = "cl as (select date, row_number() over (order by date) - 1 as o from (select distinct cast(l_shipdate as date) as date from lineitem where l_orderkey % 3 = 0))"
+_CAL = "cl as (select date, row_number() over (order by date) - 1 as o from (select distinct cast(l_shipdate as date) as date from lineitem))"
 _OPEN = "op as (select distinct 'T' || l_suppkey as ticker, 'Director ' || l_linenumber as director, cast(l_shipdate as date) + 1 as entry_date from lineitem where l_returnflag = 'A' and l_quantity > 48)"
 
 
 @register("exits_due", fx.oracle(_CAL, _OPEN, f"rl as (select op.*, cl.o from op asof join cl on op.entry_date <= cl.date)", body=f"select ticker, director, entry_date from rl where (select min(o) from cl where date >= date '{TODAY}') - o >= 63"))  # noqa: F541
 def exits_due(spark, d):
     line = fx.table(spark, d, "lineitem")
-    days = returns.calendar(line.where("l_orderkey % 3 = 0").select(F.to_date("l_shipdate").alias("date")))
+    days = returns.calendar(line.select(F.to_date("l_shipdate").alias("date")))
     opened = line.where("l_returnflag = 'A' and l_quantity > 48").select(F.concat(F.lit("T"), "l_suppkey").alias("ticker"), F.concat(F.lit("Director "), "l_linenumber").alias("director"), F.date_add("l_shipdate", 1).alias("entry_date")).distinct()
     return signals.exits_due(opened, days, TODAY).select("ticker", "director", "entry_date")
 
@@ -112,14 +100,6 @@ def ledger_append(spark, d):
     return rows.groupBy("mode", "action").agg(F.count("*").alias("n"))
 
 
-@register("ledger_append_all", fx.oracle(*ALL_GATES, _WALK.strip(), body="select 'dry' as mode, case action when 'ENTER' then 'DRY_ENTER' else action end as action, count(*) as n from (select action from decided union all select 'SKIP_' || reason from gt where reason is not null union all select 'DRY_EXIT') group by all"))
-def ledger_append_all(spark, d):
-    decided = signals.select_entries(_gated(spark, d, fx.all_results_dates), _open(spark), _recent(spark))
-    due = _open(spark).where("ticker = 'MACHINERY'")
-    rows = signals.ledger_rows(decided, due, F.lit("1998-06-01").cast("timestamp"), "dry")
-    return rows.groupBy("mode", "action").agg(F.count("*").alias("n"))
-
-
 @register("hedge_orders", "select s_suppkey, case when abs(floor(s_suppkey % 12 * 10000 / (s_acctbal + 2000)) - s_suppkey % 40) * (s_acctbal + 2000) > 5000 then floor(s_suppkey % 12 * 10000 / (s_acctbal + 2000)) - s_suppkey % 40 else 0 end::bigint as shares from supplier")
 def hedge_orders(spark, d):
     shares = signals.hedge_order(F.col("s_suppkey") % 12, F.col("s_suppkey") % 40, F.col("s_acctbal") + 2000)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,11 @@ SYMBOLS = 250
 
 
 def scratch(spark, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or in a temporary one where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of spark.checkpoint.dir; in a temporary one only where that is unset and the session is local."""
+    root, master = spark.sparkContext.getConf().get("spark.checkpoint.dir"), spark.sparkContext.master
+    if root is None and not re.match(r"local(\[|$)", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.gettempdir()).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
 @register("sink_append_pinned", "select c_custkey, c_acctbal from customer")
@@ -65,17 +68,8 @@ def source_csv_universe(spark, d):
     return readers.universe(spark, path).select("ticker").distinct()
 
 
-@register("source_binary_hash", "select sha256(text) as content_hash from documents where doc_id < 20")
+@register("source_binary_hash", "select sha256(text) as content_hash from documents")
 def source_binary_hash(spark, d):
-    """The first twenty documents only, as its SQL says, as files of their own; source_binary_hash_all takes every document."""
-    path = scratch(spark, "blobs")
-    fx.table(spark, d, "documents").where("doc_id < 20").select("text", F.col("doc_id").cast("string").alias("k")).write.partitionBy("k").option("lineSep", "\x00").text(path)
-    body = spark.read.option("recursiveFileLookup", True).format("binaryFile").load(path)
-    return body.select(F.sha2(F.expr("left(decode(content, 'UTF-8'), char_length(decode(content, 'UTF-8')) - 1)"), 256).alias("content_hash"))
-
-
-@register("source_binary_hash_all", "select sha256(text) as content_hash from documents")
-def source_binary_hash_all(spark, d):
     """Every document's blob: one base64 line each, in files of up to BLOBS lines, since a file for each would not scale."""
     path = scratch(spark, "blobs")
     line = F.translate(F.base64(F.encode("text", "UTF-8")), "\r\n", "")
@@ -85,15 +79,8 @@ def source_binary_hash_all(spark, d):
     return lines.select(F.when(F.col("line") != "-", F.sha2(F.unbase64("line"), 256)).alias("content_hash"))
 
 
-@register("source_price_frame", "select 'S' || s_suppkey as ticker, s_acctbal as close from supplier where s_suppkey <= 20 and s_acctbal > 0")
+@register("source_price_frame", "select 'S' || s_suppkey as ticker, s_acctbal as close from supplier where s_acctbal > 0")
 def source_price_frame(spark, d):
-    rows = fx.table(spark, d, "supplier").where("s_suppkey <= 20").select(F.concat(F.lit("S"), "s_suppkey", F.lit(".AX|Close")).alias("f"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
-    wide = rows.withColumn("date", F.lit("2024-01-02").cast("date")).groupBy("date").pivot("f").agg(F.first("v"))
-    return readers.prices_long(wide).select("ticker", "close")
-
-
-@register("source_price_frame_all", "select 'S' || s_suppkey as ticker, s_acctbal as close from supplier where s_acctbal > 0")
-def source_price_frame_all(spark, d):
     """Every supplier, in wide frames of SYMBOLS symbols each."""
     rows = fx.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("S"), "s_suppkey", F.lit(".AX|Close")).alias("f"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
     rows = rows.withColumn("date", F.lit("2024-01-02").cast("date"))

@@ -198,21 +198,15 @@ fx_filings as (
 
 
 def results_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, d: days of results announcements; a ticker has some thirty a year here, so only one in 60 is used."""
-    return announcements(spark, sf_dir).where("price_sensitive and ann_id % 60 = 1").select("ticker", F.to_date(F.from_utc_timestamp("announced_at", ZONE)).alias("d")).distinct()
+    """ticker, d: the day of each ticker's first flagged announcement of a half-year, as companies report twice a year."""
+    day = F.to_date(F.from_utc_timestamp("announced_at", ZONE))
+    days = announcements(spark, sf_dir).where("price_sensitive").select("ticker", day.alias("d"))
+    return days.groupBy("ticker", F.year("d").alias("y"), (F.month("d") > 6).alias("second")).agg(F.min("d").alias("d")).select("ticker", "d")
 
 
 RESULTS = f"""
-fx_results as (select distinct ticker, cast({LOCAL} as date) as d from fx_announcements where price_sensitive and ann_id % 60 = 1)"""
-
-
-def all_results_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, d: days of all results announcements."""
-    return announcements(spark, sf_dir).where("price_sensitive").select("ticker", F.to_date(F.from_utc_timestamp("announced_at", ZONE)).alias("d")).distinct()
-
-
-ALL_RESULTS = f"""
-fx_results as (select distinct ticker, cast({LOCAL} as date) as d from fx_announcements where price_sensitive)"""
+fx_result_days as (select ticker, cast({LOCAL} as date) as d from fx_announcements where price_sensitive),
+fx_results as (select ticker, min(d) as d from fx_result_days group by ticker, year(d), month(d) > 6)"""
 
 
 def oracle(*parts: str, body: str) -> str:

@@ -84,6 +84,19 @@ def _hazard_rows(spark, d):
     return line.select(F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"), F.year("l_shipdate").alias("y"), (F.col("l_quantity") / 50 + F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) / 100 > 1.1).cast("double").alias("label"))
 
 
+@register("auc_rank_sum_of_prices", "with r as (select l_returnflag = 'R' as y, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2 as k from lineitem) select count(*) as n, count(*) filter (y) as pos, round((sum(k) filter (y) - count(*) filter (y) * (count(*) filter (y) + 1) / 2) / (count(*) filter (y) * count(*) filter (not y)), 9) as auc from r")
+def auc_rank_sum_of_prices(spark, d):
+    """As auc_rank_sum, over a score with nearly as many values as rows."""
+    return stats.auc(fx.table(spark, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R").select("n", "pos", F.round("auc", 9).alias("auc"))
+
+
+@register("percentiles_of_prices", "select unnest([0.0, 0.1, 0.5, 0.9, 1.0]) as share, round(unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.9, 1.0])), 6) as value from lineitem")
+def percentiles_of_prices(spark, d):
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    found = stats.percentiles(fx.table(spark, d, "lineitem"), "l_extendedprice", shares)
+    return spark.createDataFrame(list(zip(shares, found, strict=True)), "share double, value double").withColumn("value", F.round("value", 6))
+
+
 @register("logistic_hazard_auc")
 def logistic_hazard_auc(spark, d):
     found = models.logistic_hazard(_hazard_rows(spark, d), "label", ["x1", "x2"], F.col("y") <= 1999)
@@ -95,9 +108,24 @@ def logistic_decile_lift(spark, d):
     return models.decile_lift(models.logistic_hazard(_hazard_rows(spark, d), "label", ["x1", "x2"], F.col("y") <= 1999), "hazard", "label")
 
 
-@register("ridge_composite_spread")
+def _late_rows(spark, d):
+    """A label that both engines can make: lines that were dear for their quantity."""
+    line = fx.table(spark, d, "lineitem")
+    return line.select(F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"), F.year("l_shipdate").alias("y"), (F.col("l_extendedprice") / 1000 + F.col("l_discount") * 100).alias("label"))
+
+
+@register(
+    "ridge_composite_spread",
+    """with v as (select l_extendedprice / 1000 + l_discount * 100 as y, l_quantity as x1, l_discount as x2, year(l_shipdate) <= 1999 as train from lineitem),
+m as (select count(*) as n, avg(y) as my, avg(x1) as m1, avg(x2) as m2, var_pop(x1) * count(*) + 10 as s11, var_pop(x2) * count(*) + 10 as s22, covar_pop(x1, x2) * count(*) as s12, covar_pop(x1, y) * count(*) as s1, covar_pop(x2, y) * count(*) as s2 from v where train),
+b as (select *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as b2 from m),
+c as (select y, my + b1 * (x1 - m1) + b2 * (x2 - m2) as composite from v, b where not train),
+q as (select quantile_cont(composite, 0.2) as low, quantile_cont(composite, 0.8) as high from c),
+s as (select count(y) filter (composite > high) as n1, count(y) filter (composite <= low) as n2, avg(y) filter (composite > high) as a1, avg(y) filter (composite <= low) as a2, var_samp(y) filter (composite > high) as v1, var_samp(y) filter (composite <= low) as v2 from c, q)
+select n1, n2, round(a1 - a2, 3) as difference, round((a1 - a2) / sqrt(v1 / n1 + v2 / n2), 2) as t from s""",
+)
 def ridge_composite_spread(spark, d):
-    rows = _hazard_rows(spark, d).withColumn("g", F.lit(1))
-    found = models.ridge_composite(rows, "label", ["x1", "x2"], F.col("y") <= 1999)
-    cuts = found.agg(F.percentile("composite", F.array(F.lit(0.2), F.lit(0.4), F.lit(0.6), F.lit(0.8)))).first()[0]
-    return models.spread(found.withColumn("bucket", sum((F.col("composite") > c).cast("int") for c in cuts) + 1), "label")
+    found = models.ridge_composite(_late_rows(spark, d), "label", ["x1", "x2"], F.col("y") <= 1999)
+    cuts = stats.percentiles(found, "composite", [0.2, 0.4, 0.6, 0.8])
+    found = models.spread(found.withColumn("bucket", sum((F.col("composite") > c).cast("int") for c in cuts) + 1), "label")
+    return found.select("n1", "n2", F.round("difference", 3).alias("difference"), F.round("t", 2).alias("t"))

@@ -1,8 +1,11 @@
-"""Streaming queries, run over what the event table holds and compared with the same windows in batch."""
+"""Streaming queries over the event table as it arrives week by week, against the same in batch.
 
-from __future__ import annotations
+Each week's rows are written, the stream runs over what is new and stops; the next run goes on from its checkpoint, so
+state is carried from batch to batch. Some queries take events late: up to four days after their time, by the event's
+number. A row counts unless its window had closed by the watermark of the batches before, and only closed windows come out.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import functions as F
 
@@ -11,33 +14,45 @@ from . import fixtures as fx
 from .files import scratch
 from .registry import register
 
+#: Weeks from here; the number of an event tells how many days it comes late.
+EPOCH, MOST_LATE = "2024-01-01", 5
+
+
+def _arrivals(rows, late: bool):
+    """Rows with the week in which they arrive."""
+    delay = F.make_dt_interval((F.col("event_id") % MOST_LATE).cast("int")) if late else F.make_dt_interval(F.lit(0))
+    return rows.withColumn("week", F.floor(F.datediff(F.col("ts") + delay, F.lit(EPOCH).cast("date")) / 7).cast("int"))
 
-def _source(spark, d):
-    """The event table as a stream; it is one file, so one batch, in which nothing is late."""
-    folder = scratch(spark, "events")
-    fx.table(spark, d, "events").write.parquet(folder)
-    return streams.read_events(spark, folder, files_per_batch=1000)
 
+def _run(spark, d, make, late: bool = False):
+    """What ``make`` (a stream to a stream) gives over the weeks, one run each."""
+    rows = _arrivals(fx.table(spark, d, "events"), late)
+    folder, path, state = scratch(spark, "events"), scratch(spark, "stream"), scratch(spark, "state")
+    found = None
+    for (week,) in sorted(rows.select("week").distinct().collect()):  # as many as weeks
+        rows.where(F.col("week") == week).drop("week").write.mode("append").parquet(folder)
+        found = streams.run_available(make(streams.read_events(spark, folder, files_per_batch=100_000)), spark, path, state)
+    return found
 
-def _run(spark, stream, mode="append"):
-    """Streaming results go to the shared folder as Parquet, so they need not fit the driver."""
-    if mode == "complete":
-        return streams.run_available(stream, spark, f"s{uuid.uuid4().hex}", scratch(spark, "state"), mode)
-    path = scratch(spark, "stream")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
 
+#: Rows with the watermark (two days behind the newest row of the weeks before) that they meet, and the last watermark.
+_LATE = f"""
+arrived as (select *, floor(date_diff('day', date '{EPOCH}', cast(ts + to_days((event_id % {MOST_LATE})::int) as date)) / 7) as week from events),
+weeks as (select week, max(ts) as newest from arrived group by week),
+marks as (select week, max(newest) over (order by week rows between unbounded preceding and 1 preceding) - interval 2 day as mark from weeks),
+met as (select a.*, mark from arrived a join marks using (week)),
+final as (select max(ts) - interval 2 day as mark from events)"""
 
-@register("stream_tumbling", "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by all")
+
+@register("stream_tumbling", fx.oracle(_LATE, body="select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 4) as value from met, final where (met.mark is null or date_trunc('day', ts) + interval 1 day > met.mark) and date_trunc('day', ts) + interval 1 day <= final.mark group by 1, 2"))
 def stream_tumbling(spark, d):
-    found = _run(spark, streams.tumbling(_source(spark, d)), "complete")
+    found = _run(spark, d, streams.tumbling, late=True)
     return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
 
 
 @register("stream_deduplicated", "select distinct user_id from events")
 def stream_deduplicated(spark, d):
-    return _run(spark, streams.first_sightings(_source(spark, d).select("user_id", "ts"), "user_id", late="60 days")).select("user_id")
+    return _run(spark, d, lambda events: streams.first_sightings(events.select("user_id", "ts"), "user_id", late="60 days"), late=True).select("user_id")
 
 
 @register(
@@ -48,15 +63,27 @@ kept as (select user_id, min(filed) as filed from days group by user_id
 select cast(user_id as varchar) as key, filed from kept where filed is not null""",
 )
 def stream_greedy_gate(spark, d):
-    rows = _source(spark, d).select(F.col("user_id").cast("string").alias("key"), F.to_date("ts").alias("filed"))
-    return _run(spark, streams.greedy_gate(rows, days=5))
+    return _run(spark, d, lambda events: streams.greedy_gate(events.select(F.col("user_id").cast("string").alias("key"), F.to_date("ts").alias("filed")), days=5))
 
 
-@register("stream_sessions")
+@register(
+    "stream_sessions",
+    """with marked as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hour then 0 else 1 end as first from events),
+numbered as (select *, sum(first) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from marked),
+found as (select user_id, min(ts) as start, max(ts) + interval 12 hour as "end", count(*) as n from numbered group by user_id, k)
+select user_id, start::timestamp as start, "end"::timestamp as "end", n from found where "end" <= (select max(ts) - interval 2 day from events)""",
+)
 def stream_sessions(spark, d):
-    return _run(spark, streams.sessions(_source(spark, d)), "complete")
+    found = _run(spark, d, streams.sessions)
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@register("stream_sliding", "select start::timestamp as start, event_type, count(*) as n from (select event_type, unnest(generate_series(date_trunc('day', ts) - interval 6 day, date_trunc('day', ts), interval 1 day)) as start from events) group by all")
+@register(
+    "stream_sliding",
+    fx.oracle(
+        _LATE, "slid as (select event_type, mark, unnest(generate_series(date_trunc('day', ts) - interval 6 day, date_trunc('day', ts), interval 1 day)) as start from met)",
+        body="select start::timestamp as start, event_type, count(*) as n from slid, final where (slid.mark is null or start + interval 7 day > slid.mark) and start + interval 7 day <= final.mark group by 1, 2",
+    ),
+)
 def stream_sliding(spark, d):
-    return _run(spark, streams.sliding(_source(spark, d)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return _run(spark, d, streams.sliding, late=True).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")

@@ -1,18 +1,25 @@
-"""Politeness and patience for clients of remote listings. They run on the driver, outside any plan."""
+"""Clients of remote listings, with politeness and patience. What does a request is passed in."""
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.udfs import listing_rows
+
 # Seconds between requests, waits after failures, and what is worth another try.
 MIN_INTERVAL = 3.0
 BACKOFF = (1.0, 2.0, 4.0)
 LOAD_BACKOFF = (10.0, 20.0, 40.0, 80.0, 160.0)
 RETRY_STATUS = (429, 500, 502, 503, 504)
+# The address of a document on the page that stands before it, letters of either case.
+DOCUMENT_URL = r'''<input[^>]*name="pdfURL"[^>]*value="([^"]+)"'''
+LISTING_PATH, DOCUMENT_PATH = "/asx/v2/statistics/announcements.do", "/asx/v2/statistics/displayAnnouncement.do"
 # End of fixed values.
 
 
@@ -50,4 +57,57 @@ def with_retries(call: Callable[[], object], waits=BACKOFF, sleep: Callable[[flo
 
 def document_url(page: Column) -> Column:
     """The address of the document that an interstitial page leads to, or null."""
-    return F.nullif(F.regexp_extract(page, r"""name=["']pdfURL["']\s+value=["']([^"']+)["']""", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(page, f"(?i){DOCUMENT_URL}", 1), F.lit(""))
+
+
+@dataclass(frozen=True)
+class Response:
+    status: int
+    body: bytes
+    content_type: str = ""
+    url: str = ""
+
+
+class Changed(RuntimeError):
+    """A page that does not look as it should: the site must have changed."""
+
+
+class ListingClient:
+    """The listing's pages and documents through ``transport``, which does one GET: (address, parameters) -> Response.
+
+    Requests keep their distance and are tried again as ``with_retries`` says."""
+
+    def __init__(self, transport: Callable[[str, dict], Response], address: str, limiter: RateLimiter | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.transport, self.address, self.sleep = transport, address.rstrip("/"), sleep
+        self.limiter = limiter or RateLimiter(sleep=sleep)
+
+    def get(self, address: str, parameters: dict | None = None) -> Response:
+        def once():
+            self.limiter.wait()
+            response = self.transport(address, parameters or {})
+            if response.status >= 400:
+                raise Refused(response.status, f"{address}: status {response.status}")
+            return response
+
+        return with_retries(once, sleep=self.sleep)
+
+    def listing(self, ticker: str, year: int) -> list[tuple]:
+        """A year's rows, newest first as the page has them. A page without rows must at least be a listing's."""
+        body = self.get(self.address + LISTING_PATH, {"by": "asxCode", "asxCode": ticker.upper(), "timeframe": "Y", "year": year}).body.decode("utf-8", "replace")
+        rows = listing_rows(body)
+        if not rows and "announcements" not in body.lower():
+            raise Changed(f"{ticker} {year}: not a listing: {body[:200]!r}")
+        return rows
+
+    def document(self, ids_id: str) -> tuple[str, bytes]:
+        """(address, content) of a document: at once if that is what comes, else by the page in between."""
+        first = self.get(self.address + DOCUMENT_PATH, {"display": "pdf", "idsId": ids_id})
+        if first.content_type.startswith("application/pdf"):
+            return first.url, first.body
+        found = re.search(DOCUMENT_URL, first.body.decode("utf-8", "replace"), re.I)
+        if found is None:
+            raise Changed(f"{ids_id}: no address of a document")
+        second = self.get(found[1])
+        if not second.content_type.startswith("application/pdf"):
+            raise Changed(f"{found[1]}: {second.content_type!r} instead of a document")
+        return found[1], second.body

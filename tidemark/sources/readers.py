@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalar import utc_from_local
-from ..functions.udfs import ListingRows, listing_rows
+from ..functions.udfs import ConstituentRows, ListingRows
 from . import schemas
+from .http import ListingClient
 
 
 def parameterised(spark: SparkSession, query: str, **parameters) -> DataFrame:
@@ -97,42 +99,42 @@ def usage(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("line").rlike(USAGE_LINE)).select(part(1).alias("event"), part(2).alias("content_hash"), part(3).cast("long").alias("input_tokens"), part(4).cast("long").alias("output_tokens"))
 
 
-def wiki_constituents(pages: DataFrame, column: str = "html", most: int = 150) -> DataFrame:
-    """ticker, company of table rows that begin with a code of two to five capitals or digits; a table's rows after the
-    first ``most`` are another list's and are left out."""
-    rows = pages.select(F.posexplode(F.regexp_extract_all(column, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("i", "row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, "<[^>]+>", "")))
-    return rows.where(F.col("i") <= most).select(F.get(cells, 0).alias("ticker"), F.get(cells, 1).alias("company")).where(F.col("ticker").rlike("^[A-Z0-9]{2,5}$"))
+def wiki_constituents(pages: DataFrame, column: str = "html") -> DataFrame:
+    """Other columns, then ticker, company, sector of the tables of constituents."""
+    others = [c for c in pages.columns if c != column]
+    return pages.lateralJoin(ConstituentRows(F.col(column).outer())).select(*others, "ticker", "company", "sector")
 
 
-class _ListingPart(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Request(InputPartition):
+    def __init__(self, ticker: str, year: int):
+        self.ticker, self.year = ticker, year
 
 
 class _ListingReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p for p in options.get("paths", "").split(",") if p]
+        module, _, name = options["transport"].partition(":")
+        self.module, self.function, self.address = module, name, options["address"]
+        self.requests = [r.strip().split("|") for r in options.get("requests", "").split(",") if r.strip()]
 
     def partitions(self):
-        return [_ListingPart(p) for p in self.paths]
+        return [_Request(ticker, int(year)) for ticker, year in self.requests]
 
     def read(self, partition):
-        with open(partition.path, encoding="utf-8") as file:
-            for ids_id, when, sensitive, headline, pages, size in listing_rows(file.read()):
-                yield ids_id, datetime.strptime(when, "%d/%m/%Y %I:%M %p"), sensitive, headline, pages, size
+        transport = getattr(importlib.import_module(self.module), self.function)
+        for ids_id, when, sensitive, headline, pages, size in ListingClient(transport, self.address).listing(partition.ticker, partition.year):
+            yield partition.ticker, partition.year, ids_id, datetime.strptime(when, "%d/%m/%Y %I:%M %p"), sensitive, headline, pages, size
 
 
 class ListingSource(DataSource):
-    """``spark.read.format("listing").option("paths", "a.html,b.html")``: saved listing pages, one partition each. It stands
-    where a network client would; times are local wall times."""
+    """``spark.read.format("listing")``: a request per (ticker, year), one partition each. Options: requests ("AAA|2025,BBB|2026"),
+    address (of the site), transport ("module:function", what does one GET). Times are local wall times."""
 
     @classmethod
     def name(cls):
         return "listing"
 
     def schema(self):
-        return "ids_id string, local_at timestamp_ntz, price_sensitive boolean, headline string, pages int, file_size string"
+        return "ticker string, listing_year int, ids_id string, local_at timestamp_ntz, price_sensitive boolean, headline string, pages int, file_size string"
 
     def reader(self, schema):
         return _ListingReader(self.options)

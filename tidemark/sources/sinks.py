@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +28,32 @@ def append(rows: DataFrame, path: str, schema: T.StructType, max_records: int =
     conform(rows, schema).write.mode("append").option("maxRecordsPerFile", max_records).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def rebuild(rows: DataFrame, path: str) -> None:
-    """Replace the whole table. Spark commits the new files at the end of the job."""
-    rows.write.mode("overwrite").parquet(path)
+    """Replace the whole table: the new one is written beside it and takes its place by renames, so a job that fails leaves the
+    old table, and ``rows`` may read it. Between the two renames there is none; if the second fails, the old one is put back."""
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    target, system = _file_system(spark, path)
+    made, _ = _file_system(spark, f"{path.rstrip('/')}-new-{mark}")
+    old, _ = _file_system(spark, f"{path.rstrip('/')}-old-{mark}")
+    try:
+        rows.write.parquet(made.toString())
+    except Exception:
+        system.delete(made, True)
+        raise
+    there = system.exists(target)
+    if there and not system.rename(target, old):
+        raise OSError(f"{path} could not be moved aside")
+    if not system.rename(made, target):
+        if there:
+            system.rename(old, target)
+        raise OSError(f"{made.toString()} could not take the place of {path}")
+    if there:
+        system.delete(old, True)
 
 
 def rebuild_table(rows: DataFrame, name: str) -> None:
@@ -45,12 +70,13 @@ def create_if_absent(spark: SparkSession, name: str, schema: T.StructType) -> bo
 
 
 def write_absent(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Append the rows whose keys the table lacks, one per key, and return them as they now stand in it. Nothing is overwritten."""
+    """Append the rows whose keys the table lacks, one per key, and return them as they now stand in it. Nothing is
+    overwritten. Of rows with equal keys the one that is least in the other columns, in their order, is written."""
     spark = rows.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    new = rows.dropDuplicates(keys)
-    if there:
+    where, system = _file_system(spark, path)
+    rest = [c for c in rows.columns if c not in keys]
+    new = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__rest")).select(*keys, "__rest.*").select(*rows.columns) if rest else rows.distinct()
+    if system.exists(where):
         new = new.join(spark.read.schema(rows.schema).parquet(path).select(*keys), keys, "left_anti")
     new.write.mode("append").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

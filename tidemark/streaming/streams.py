@@ -56,8 +56,9 @@ def greedy_gate(filings: DataFrame, days: int = 30) -> DataFrame:
     return filings.groupBy("key").applyInPandasWithState(gate, "key string, filed date", "last date", "append", "NoTimeout")
 
 
-def run_available(stream: DataFrame, spark: SparkSession, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what came out, from an in-memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there now, in append mode, and return all that has come out at ``path`` so far. State and
+    offsets are kept at ``checkpoint``, so that the next run goes on; nothing passes the driver."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
