@@ -322,3 +322,47 @@ def test_hazard_auc_against_dense_ranks(spark):
     high, low = scored.hazard[scored.label == 1].to_numpy(), scored.hazard[scored.label == 0].to_numpy()
     dense = ((high[:, None] > low).sum() + (high[:, None] == low).sum() / 2) / (len(high) * len(low))
     assert found == pytest.approx(dense) and 0.6 < found < 1
+
+
+def test_permutations_keep_the_sizes_of_the_groups(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 97).cast("double").alias("v"), (F.col("id") % 7 == 0).alias("l")).withColumn("v", F.when(F.col("id") % 50 != 3, F.col("v")))
+    found = {r["draw"]: r["difference"] for r in resample.permutation(rows, "v", F.col("l"), F.col("id"), draws=20, seed=4).collect()}
+    hashed = rows.where("v is not null").crossJoin(spark.range(1, 21).select(F.col("id").cast("int").alias("draw"))).withColumn("h", F.xxhash64(F.lit(4), "draw", "id")).toPandas()
+    k = int(rows.where("v is not null and l").count())
+    for draw, part in hashed.groupby("draw"):
+        part = part.assign(r=part.h % resample.HASH_RANGES).sort_values(["r", "h", "id"])
+        assert found[draw] == pytest.approx(part.v[:k].mean() - part.v[k:].mean())
+    assert len(found) == 20 and len(set(found.values())) == 20
+    none = resample.permutation(rows, "v", F.lit(False), F.col("id"), draws=2).collect()
+    assert [r["difference"] for r in none] == [None, None]
+
+
+def test_placebo_and_bootstrap_against_their_picks(spark):
+    values = spark.range(60).select((F.col("id") % 2).cast("string").alias("ticker"), (F.col("id") / 2).cast("int").alias("i"), F.sqrt("id").alias("value"))
+    events = spark.createDataFrame([("0", 5), ("1", 6), ("1", 7), ("none", 8)], "ticker string, event_id long")
+    found = {r["draw"]: r["mean"] for r in resample.placebo(events, values, draws=9, seed=3).collect()}
+    by = {(r["ticker"], r["i"]): r["value"] for r in values.collect()}
+    picks = spark.range(1, 10).select(F.col("id").cast("int").alias("draw"), *[resample.pick(30, 3, F.col("id").cast("int"), F.lit(e).cast("long")).alias(str(e)) for e in (5, 6, 7)]).collect()
+    for r in picks:
+        assert found[r["draw"]] == pytest.approx((by["0", r["5"]] + by["1", r["6"]] + by["1", r["7"]]) / 3)
+    rows = values.withColumn("id", F.concat_ws("#", "ticker", "i"))
+    means = {r["draw"]: r["mean"] for r in resample.poisson_bootstrap(rows, "value", F.col("id"), 30).collect()}
+    u = rows.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("draw"))).withColumn("u", F.pmod(F.xxhash64(F.lit(1), "draw", "id"), F.lit(1 << 30)) / float(1 << 30)).toPandas()
+    edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(6)])
+    u["w"] = [int((x >= edges).sum()) for x in u.u]
+    for draw, part in u.groupby("draw"):
+        assert means[draw] == pytest.approx((part.w * part.value).sum() / part.w.sum())
+
+
+def test_page_facts_against_plain_patterns(spark):
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    found = {r["page_id"]: r["f"] for r in pages.select("page_id", udfs.page_facts("html").alias("f")).collect()}
+    for page_id, source in pages.collect():
+        bare = re.sub(r"(?is)<(script|style|title)\b.*?</\1>", "", re.sub(r"(?s)<!--.*?-->", "", source))
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title>", source)
+        words = html.unescape(re.sub(r"(?s)<[^>]*>", " ", bare)).split()
+        f = found[page_id]
+        assert f["title"] == (html.unescape(title[1]).strip() if title else "") and f["n_links"] == len(re.findall(r"(?i)<a\s[^>]*href", source)) and f["n_words"] == len(words)

@@ -38,12 +38,32 @@ def poisson_bootstrap(rows: DataFrame, value: str, key: Column, draws: int, seed
     return many.groupBy("draw").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("mean"))
 
 
+#: Ranges of hashes that a draw's labels are counted in.
+HASH_RANGES = 4096
+
+
 def permutation(rows: DataFrame, value: str, label: Column, key: Column, draws: int, seed: int = 1) -> DataFrame:
-    """draw, difference: labels are dealt anew by hash, keeping their share in expectation."""
-    share = rows.agg(F.avg(label.cast("double")).alias("s")).first()["s"] or 0.0
-    many = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    dealt = pick(1 << 30, seed, F.col("draw"), key) < int(share * (1 << 30))
-    return many.groupBy("draw").agg((F.avg(F.when(dealt, F.col(value))) - F.avg(F.when(~dealt, F.col(value)))).alias("difference"))
+    """draw, difference: the labels are shuffled, so in each draw as many rows have one as in truth: those of the least hashes.
+    Rows without a value take no part; ``key`` tells rows apart.
+
+    Ranges of hashes are summed first; a draw's cut falls into one range, and only that range's rows are put in order.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("__v"), label.cast("int").alias("__l"), key.alias("__key"))
+    known = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("__l"), F.lit(0)).alias("k")).first()
+    many = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__h", F.xxhash64(F.lit(seed), "draw", "__key"))
+    many = many.withColumn("__r", F.pmod("__h", F.lit(HASH_RANGES)))
+    sums = many.groupBy("draw", "__r").agg(F.count("*").alias("__n"), F.sum("__v").alias("__s"))
+    before = Window.partitionBy("draw").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # HASH_RANGES rows a draw
+    placed = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    whole = F.col("__before") + F.col("__n") <= known["k"]
+    totals = placed.groupBy("draw").agg(F.sum("__s").alias("__all"), F.sum(F.when(whole, F.col("__s"))).alias("__below"))
+    cut = placed.where(~whole & (F.col("__before") < known["k"])).select("draw", "__r", (F.lit(known["k"]) - F.col("__before")).alias("__need"))
+    place = F.row_number().over(Window.partitionBy("draw", "__r").orderBy("__h", "__key"))
+    part = many.join(F.broadcast(cut), ["draw", "__r"]).withColumn("__i", place).where("__i <= __need")  # a row a draw
+    found = totals.join(part.groupBy("draw").agg(F.sum("__v").alias("__part")), "draw", "left")
+    own = F.coalesce("__below", F.lit(0)) + F.coalesce("__part", F.lit(0))
+    mean = lambda total, n: F.try_divide(total, F.nullif(F.lit(float(n)), F.lit(0.0)))
+    return found.select("draw", (mean(own, known["k"]) - mean(F.col("__all") - own, known["n"] - known["k"])).alias("difference"))
 
 
 def nearest_match(treated: DataFrame, pool: DataFrame, by: list[str], value: str, key: str) -> DataFrame:

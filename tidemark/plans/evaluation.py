@@ -78,9 +78,12 @@ def score_run_overall(spark, d):
     return run.select(F.round("overall_accuracy", 9).alias("overall_accuracy"), F.size("field_scores").cast("long").alias("n_fields"))
 
 
-@register("score_run_nested")
+@register("score_run_nested", fx.oracle(*LISTS, *_OUTCOMES, _counts("outs"), body="select (select round(sum(correct) / sum(total), 9) from tl) as overall_accuracy, list_position(" + str(REPORT) + ", field) - 1 as position, *, round(correct / total, 9) as accuracy from tl"))
 def score_run_nested(spark, d):
-    return evaluate.evaluation_run(evaluate.tally(_lists(spark, d), REPORT))
+    """The run's nested scores, laid out again in their order."""
+    run = evaluate.evaluation_run(evaluate.tally(_lists(spark, d), REPORT))
+    rows = run.select(F.round("overall_accuracy", 9).alias("overall_accuracy"), F.posexplode("field_scores").alias("position", "s"))
+    return rows.select("overall_accuracy", "position", "s.*").withColumn("accuracy", F.round("accuracy", 9))
 
 
 @register("score_scalar_documents", fx.oracle(fx.GOLDEN, fx.PREDICTED, "g as (select * from fx_golden where idx = 1)", "p as (select * from fx_pred where idx = 1)", "o as (" + " union all ".join(f"select '{f.name}' as field, {_out(f)} as outcome from g join p using (ann_id)" for f in FIELDS) + ")", body="select field, outcome, count(*) as n from o group by all"))

@@ -237,6 +237,14 @@ def status_counts(spark, d):
     return fx.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
+@register("parsed_pages", fx.oracle(_PAGES, body="select sha256(conv_id::varchar) as content_hash, len(pages) as page_count, list_sum(list_transform(pages, lambda p: length(p)))::bigint as total_chars from fx_pages"))
+def parsed_pages(spark, d):
+    """Blobs to pages by the parser that is passed in; here texts whose pages form feeds part."""
+    pages = _pages(spark, d).select(F.sha2(F.col("conv_id").cast("string"), 256).alias("content_hash"), F.encode(F.array_join("pages", "\f"), "UTF-8").alias("content"))
+    found = udfs.parse_pages(pages).where("error is null").select("content_hash", text.page_statistics(F.col("pages")).alias("s"))
+    return found.select("content_hash", "s.page_count", "s.total_chars")
+
+
 @register("html_page_facts")
 def html_page_facts(spark, d):
     facts = fx.table(spark, d, "pages").select("page_id", udfs.page_facts("html").alias("f"))
