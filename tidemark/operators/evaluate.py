@@ -51,48 +51,63 @@ def skipped(golden: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def candidate_pairs(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
-    """key, g, p (list positions), agreement, identity for pairs of one document that may be matched.
+    """key, g, p (list positions), agreement, identity, outcomes (of the fields, in order) for pairs of one document that may
+    be matched.
 
-    The join is on (document, a strong field's value), once per strong field, never on the document alone.
+    The join is on (document, a strong field's value), never on the document alone. A pair that agrees on several strong
+    fields counts where it meets on the first of them, so nothing has to be deduplicated after the join.
     """
     left = comparable(golden, [key, F.col("idx").alias("g")], fields, "__g")
     right = comparable(stated, [key, F.col("idx").alias("p")], fields, "__p")
+    strong = [f.name for f in fields if f.strong]
 
     def keyed(rows: DataFrame, side: str) -> DataFrame:
-        shown = [F.col(side)[f.name].cast("string") for f in fields if f.strong]
-        strong = F.array(*[F.when(v.isNotNull(), F.concat(F.lit(f"{i}:"), v)) for i, v in enumerate(shown)])
-        return rows.withColumn("__k", F.explode(F.array_compact(strong)))
+        values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(side)[n].cast("string").alias("v")) for i, n in enumerate(strong)])
+        return rows.withColumn("__k", F.explode(F.filter(values, lambda x: x["v"].isNotNull())))
 
-    pairs = keyed(left, "__g").join(keyed(right, "__p"), [key, "__k"]).drop("__k").dropDuplicates([key, "g", "p"])
+    pairs = keyed(left, "__g").join(keyed(right, "__p"), [key, "__k"])
     equal = {f.name: F.col("__g")[f.name] == F.col("__p")[f.name] for f in fields}
+    for i, name in enumerate(strong[:-1]):
+        pairs = pairs.where((F.col("__k")["i"] <= i) | ~F.coalesce(equal[name], F.lit(False)))
     agreed = sum(F.coalesce(equal[f.name], F.col("__g")[f.name].isNull() & F.col("__p")[f.name].isNull()).cast("int") for f in fields)
     identity = sum(F.coalesce(equal[f.name], F.lit(False)).cast("int") for f in fields if f.identity)
-    return pairs.select(key, "g", "p", agreed.alias("agreement"), identity.alias("identity")).where(F.col("identity") >= LEAST_IDENTITY)
+    outcomes = F.array(*[o["outcome"] for o in _outcomes(fields)])
+    return pairs.select(key, "g", "p", agreed.alias("agreement"), identity.alias("identity"), outcomes.alias("outcomes")).where(F.col("identity") >= LEAST_IDENTITY)
 
 
-def match(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
-    """key, g, p: greedy matching within each document, most agreement first, then identity, then list order. The fold goes
-    over one document's candidate pairs."""
+def _matched(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
+    """key, matches: greedy matching within each document, most agreement first, then identity, then list order. The fold goes
+    over one document's candidate pairs and keeps which positions are taken."""
     pairs = candidate_pairs(golden, stated, key, fields)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("agreement")).alias("a"), (-F.col("identity")).alias("i"), "g", "p")))
-    start = F.array().cast("array<struct<g:int,p:int>>")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("agreement")).alias("a"), (-F.col("identity")).alias("i"), "g", "p", "outcomes")))
+    start = F.array().cast("array<struct<g:int,p:int,outcomes:array<string>>>")
     free = lambda done, x: ~F.exists(done, lambda m: (m["g"] == x["g"]) | (m["p"] == x["p"]))
-    take = lambda done, x: F.when(free(done, x), F.array_append(done, F.struct(x["g"].cast("int").alias("g"), x["p"].cast("int").alias("p")))).otherwise(done)
-    return pairs.groupBy(key).agg(ordered.alias("__c")).select(key, F.inline(F.aggregate("__c", start, take)))
+    pair = lambda x: F.struct(x["g"].cast("int").alias("g"), x["p"].cast("int").alias("p"), x["outcomes"].alias("outcomes"))
+    take = lambda done, x: F.when(free(done, x), F.array_append(done, pair(x))).otherwise(done)
+    return pairs.groupBy(key).agg(F.aggregate(ordered, start, take).alias("matches"))
+
+
+def match(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
+    """key, g, p of the matched pairs."""
+    return _matched(golden, stated, key, fields).select(key, F.inline(F.transform("matches", lambda m: F.struct(m["g"].alias("g"), m["p"].alias("p")))))
 
 
 def score_lists(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
     """key, field, outcome: detection of every labelled and stated item, and the fields of matched pairs. Documents that
-    lack a prediction altogether belong in ``skipped`` and are left out."""
-    known = stated.select(key).distinct()
-    golden = golden.join(known, key, "left_semi")
-    found = match(golden, stated, key, fields)
-    left = comparable(golden, [key, F.col("idx").cast("int").alias("g")], fields, "__g").join(found, [key, "g"], "left")
-    right = comparable(stated, [key, F.col("idx").cast("int").alias("p")], fields, "__p")
-    both = left.join(right, [key, "p"], "full")  # a golden item without a match has a null p, which joins nothing
-    detected = lambda o: F.struct(F.lit(DETECTION).alias("field"), F.lit(o).alias("outcome"))
-    outcomes = F.when(F.col("__p").isNull(), F.array(detected("missed"))).when(F.col("__g").isNull(), F.array(detected("hallucinated"))).otherwise(F.array(detected("correct"), *_outcomes(fields)))
-    return both.select(key, F.inline(outcomes))
+    lack a prediction altogether belong in ``skipped`` and are left out.
+
+    Matched pairs bring their outcomes along; of the other items only the number counts, so items are not joined again.
+    """
+    one, none = F.lit(1), F.lit(0)
+    both = golden.select(key, one.alias("__g"), none.alias("__p")).union(stated.select(key, none, one))
+    sizes = both.groupBy(key).agg(F.sum("__g").alias("__g"), F.sum("__p").alias("__p")).where("__p > 0")
+    found = sizes.join(_matched(golden, stated, key, fields), key, "left").withColumn("matches", F.coalesce("matches", F.array()))
+    taken = F.size("matches")
+    row = lambda field, outcome: F.struct(F.lit(field).alias("field"), outcome.alias("outcome"))
+    detected = lambda o, n: F.array_repeat(row(DETECTION, F.lit(o)), n.cast("int"))
+    of_pair = lambda m: F.array(*[row(f.name, m["outcomes"][i]) for i, f in enumerate(fields)])
+    rows = F.concat(detected("correct", taken), detected("missed", F.col("__g") - taken), detected("hallucinated", F.col("__p") - taken), F.flatten(F.transform("matches", of_pair)))
+    return found.select(key, F.inline(rows))
 
 
 def tally(outcomes: DataFrame, fields: Sequence[str]) -> DataFrame:

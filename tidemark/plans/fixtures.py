@@ -156,15 +156,12 @@ fx_golden as (
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The golden trades as a model might state them: some dropped, nulled, altered or invented, by modulus of a mixed key."""
     rows = golden(spark, sf_dir).withColumn("k", F.col("ann_id") * 7 + F.col("idx"))
-    kept = rows.where("k % 11 <> 0").withColumns(
-        {
-            "director_name": F.when(F.col("k") % 5 == 1, F.concat(F.lit("  "), F.upper("director_name"))).when(F.col("k") % 23 == 2, F.lit("Somebody Else")).otherwise(F.col("director_name")),
-            "quantity": F.when(F.col("k") % 13 != 0, F.col("quantity")),
-            "total_consideration": F.when(F.col("k") % 17 == 0, F.col("total_consideration") + 1).otherwise(F.col("total_consideration")).cast("decimal(18,2)"),
-        }
-    )
-    extra = rows.where("k % 19 = 0").withColumns({"idx": F.col("idx") + 100, "director_name": F.lit("Nobody"), "trade_date": F.lit("1990-01-01").cast("date")})
-    return kept.unionByName(extra).drop("k")
+    stated = F.struct(
+        "idx", F.when(F.col("k") % 5 == 1, F.concat(F.lit("  "), F.upper("director_name"))).when(F.col("k") % 23 == 2, F.lit("Somebody Else")).otherwise(F.col("director_name")).alias("director_name"), "trade_type", "security_class",
+        F.when(F.col("k") % 13 != 0, F.col("quantity")).alias("quantity"), F.when(F.col("k") % 17 == 0, F.col("total_consideration") + 1).otherwise(F.col("total_consideration")).cast("decimal(18,2)").alias("total_consideration"), "trade_date",
+    )
+    invented = F.struct((F.col("idx") + 100).alias("idx"), F.lit("Nobody").alias("director_name"), "trade_type", "security_class", "quantity", "total_consideration", F.lit("1990-01-01").cast("date").alias("trade_date"))
+    return rows.select("ann_id", F.inline(F.array_compact(F.array(F.when(F.col("k") % 11 != 0, stated), F.when(F.col("k") % 19 == 0, invented)))))
 
 
 PREDICTED = """

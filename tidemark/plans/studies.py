@@ -60,7 +60,7 @@ from fx_trades join fx_announcements using (ann_id)""",
 def event_store(spark, d):
     """Versioned extractions to one row per trade: latest version, typed JSON, positions, announcements, disclosure lag."""
     rows = fx.extractions(spark, d).where("prompt_version = 'trades_v3' and model = 'bulk'")
-    latest = dedupe.latest_by_aggregate(rows.select("ann_id", "extracted_at", "payload"), ["ann_id"], F.struct("extracted_at", F.xxhash64("payload")))
+    latest = dedupe.latest(rows.select("ann_id", "extracted_at", "payload"), ["ann_id"], [F.desc("extracted_at"), F.desc(F.xxhash64("payload"))])
     parsed, _ = schemas.parse_payload(latest, "payload", schemas.TRADES_PAYLOAD)
     trades = parsed.select("ann_id", F.posexplode("parsed.trades").alias("idx", "t"))
     value = lambda f: F.col(f"t.{f}.value")
