@@ -2,12 +2,15 @@
 
 Arrivals are appended as small immutable Parquet shards. Shards are tiered by size, each tier ``fanout`` times the last;
 when a tier has ``fanout`` shards, runs of them are merged, and so on until no tier has as many or shards reach the
-target size. Merges are planned on sizes alone and then done by one job. A version of the manifest names the live
-shards; it is committed by an atomic rename, so readers see all of a change or nothing, and a failed or lost job leaves
-the last version as it was. Shards that no version since ``keep`` ago names can be removed.
-
-Nulls, repeated rows and other columns are stored as they are; an empty arrival commits a version without new shards;
-reading an empty store gives an empty table of the given schema.
+target size. Merges are planned on sizes alone and then done by one job, in which no task writes more than the target.
+A version of the manifest names the live shards; it is committed by an atomic rename, so readers see all of a change or
+nothing, and a failed or lost job leaves the last version as it was. A writer that finds its version taken plans its
+change anew on the version that took it. Shards that no version since ``keep`` ago names can be removed, and those that no
+version ever named (of writers that failed) once they are old.
+
+Nulls, repeated rows and other columns are stored as they are, whatever their names; rows whose arrival is null are an
+arrival of their own, before all others; an empty arrival commits a version without new shards; reading an empty store
+gives an empty table of the given schema.
 """
 
 from __future__ import annotations
@@ -68,35 +71,36 @@ class ShardStore:
         self.spark, self.path, self.schema, self.target, self.fanout = spark, path, schema, target, fanout
         self.manifest = Manifest(spark, f"{path}/manifest")
 
-    def _files(self, folder: str) -> list[dict]:
-        """Shards below a folder that a job has just committed, as the file system lists them."""
+    def _files(self, folder: str) -> DataFrame:
+        """path, bytes, modified of the shards below a folder, listed by Spark without reading them."""
         where, system = common.file_system(self.spark, folder)
         if not system.exists(where):
-            return []
-        found, listed = [], system.listFiles(where, True)
-        while listed.hasNext():
-            status = listed.next()
-            if status.getPath().getName().startswith("part-"):
-                found.append({"path": status.getPath().toString(), "bytes": status.getLen()})
-        return sorted(found, key=lambda s: s["path"])
+            return self.spark.createDataFrame([], "path string, bytes long, modified timestamp")
+        found = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(folder)
+        return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+
+    def _made(self, folder: str) -> list[dict]:
+        """What a job has just committed: one row of the manifest a shard."""
+        return sorted(({"path": r["path"], "bytes": r["bytes"]} for r in self._files(folder).select("path", "bytes").collect()), key=lambda s: s["path"])
 
     def append(self, rows: DataFrame, arrival: Column | None = None) -> int:
         """Append ``rows`` without a shuffle, each task writing small shards. With ``arrival`` (a long), rows of each value are
         an arrival of their own: one job writes them all, and each is then committed as its own version, in order."""
         folder = f"{self.path}/shards/{uuid.uuid4().hex}"
-        rows = rows.select(*[F.col(f"`{c}`") for c in self.schema.names], (F.lit(0) if arrival is None else arrival).cast("long").alias("__arrival"))
-        rows.write.option("compression", "zstd").partitionBy("__arrival").parquet(folder)
+        (own,) = common.fresh(self.schema.names, "arrival")
+        rows = rows.withColumn(own, (F.lit(0) if arrival is None else arrival).cast("long")).select(*common.columns(self.schema.names), own)
+        rows.write.option("compression", "zstd").partitionBy(own).parquet(folder)
         arrivals: dict[str, list[dict]] = {}
-        for shard in self._files(folder):
+        for shard in self._made(folder):
             arrivals.setdefault(shard["path"].rpartition("/")[0], []).append(shard)
-        version, entries = self.manifest.read()
-        for name in sorted(arrivals, key=lambda x: int(x.rpartition("=")[2])) or [None]:
-            entries = entries + [s | {"order": version + 1} for s in arrivals.get(name, [])]
-            version = self.manifest.commit(version, entries)
+        version = 0
+        for name in sorted(arrivals, key=_arrival) or [None]:
+            version = self.manifest.update(lambda version, _, name=name: ([s | {"order": version + 1} for s in arrivals.get(name, [])], []))
         return version
 
     def compact(self) -> int:
-        """Merge by size tiers and commit the outcome; the version after it."""
+        """Merge by size tiers and commit the outcome; the version after it. Another writer's appends meanwhile are kept; if
+        one has merged a shard that this merge took, this merge is given up."""
         version, entries = self.manifest.read()
         groups = plan_merges(entries, self.target, self.fanout)
         if not groups:
@@ -109,19 +113,30 @@ class ShardStore:
                 gone |= self._merge(wave, folder)
                 wave = []
             wave += [group] if group else []
-        kept = [s for s in entries if s["path"] not in gone]
-        return self.manifest.commit(version, kept + [s | {"order": version + 1} for s in self._files(folder)])
+        made = self._made(folder)
+
+        def swap(version: int, now: list[dict]):
+            if not gone <= {s["path"] for s in now}:
+                return None
+            return [s | {"order": version + 1} for s in made], sorted(gone)
+
+        before = version
+        version = self.manifest.update(swap)
+        if version > before and not {s["path"] for s in made} <= {s["path"] for s in self.manifest.read(version)[1]}:
+            common.delete(self.spark, folder)
+        return version
 
     def _merge(self, groups: list[list[dict]], folder: str) -> set[str]:
         """Write each group as one shard below ``folder``: rows move once, straight to their group's task. The paths merged."""
         plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        path, place = common.fresh(self.schema.names, "path", "group")
         goes = [(s["path"], g) for g, group in enumerate(groups) for s in group]
-        table = self.spark.createDataFrame(goes, "__path string, __group int").withColumn("__path", plain("__path"))
-        merged = self.spark.read.schema(self.schema).parquet(*[path for path, _ in goes]).withColumn("__path", plain("_metadata.file_path"))
-        merged = merged.join(F.broadcast(table), "__path")  # MOST_FILES rows at most
-        merged = merged.repartitionById(len(groups), F.col("__group")).select(*[F.col(f"`{c}`") for c in self.schema.names])
+        table = self.spark.createDataFrame(goes, f"{path} string, {place} int").withColumn(path, plain(path))
+        merged = self.spark.read.schema(self.schema).parquet(*[p for p, _ in goes]).withColumn(path, plain("_metadata.file_path"))
+        merged = merged.join(F.broadcast(table), path)  # MOST_FILES rows at most
+        merged = merged.repartitionById(len(groups), F.col(place)).select(*common.columns(self.schema.names))
         merged.write.mode("append").option("compression", "zstd").parquet(folder)
-        return {path for path, _ in goes}
+        return {p for p, _ in goes}
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table at a version, the latest by default."""
@@ -130,12 +145,27 @@ class ShardStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[s["path"] for s in entries])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Remove the shards that none of the last ``keep`` versions names; how many."""
+    def vacuum(self, keep: int = 1, orphans_after: float | None = 86_400.0) -> int:
+        """Remove the shards that none of the last ``keep`` versions names, and those that no version names and that are older
+        than ``orphans_after`` seconds (None: none of these), as a writer at work may still name younger ones. How many."""
         known = self.manifest.versions()
-        named = [{s["path"] for s in self.manifest.read(v)[1]} for v in known]
-        live = set().union(*named[-keep:])
-        gone = set().union(*named) - live
-        for path in gone:
-            common.delete(self.spark, path)
-        return len(gone)
+        live = {s["path"] for v in known[-keep:] for s in self.manifest.read(v)[1]}
+        named, gone = set(), 0
+        for version in known:
+            change = self.manifest._load(f"v{version:012d}.json")
+            named |= {s["path"] for s in change["added"]}
+        there = self._files(f"{self.path}/shards")
+        if orphans_after is None:
+            there = there.where(F.lit(False))
+        old = there.where(F.col("modified") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(float(orphans_after or 0.0))))
+        lost = {r["path"] for r in old.select("path").toLocalIterator()} - named
+        for path in (named | lost) - live:
+            where, system = common.file_system(self.spark, path)
+            gone += bool(system.exists(where) and system.delete(where, False))
+        return gone
+
+
+def _arrival(folder: str) -> float:
+    """The arrival that a partition's folder names; a null one is least."""
+    value = folder.rpartition("=")[2]
+    return -math.inf if value == "__HIVE_DEFAULT_PARTITION__" else int(value)
