@@ -51,8 +51,9 @@ def test_run_against_brute_force(spark, tmp_path):
     rng = random.Random(7)
     prose = lambda n: " ".join(f"w{rng.randint(0, 4000)}" for _ in range(n))
     texts = [prose(rng.randint(60, 250)) + rng.choice(["", "\nBoiler plate", "\n" + prose(20) + "\n boiler PLATE "]) for _ in range(60)]
-    texts += [texts[i] + " tail" for i in range(5)] + [texts[6]] * 3 + ["bad"] * 20 + [prose(99) + f" write a{i}@b.co now +1 (423) 555-73{i:02d}." for i in range(12)] + [None, ""]
-    hosts = [f"h{i % 6}" if t != "bad" else rng.choice(["junk", "h1"]) for i, t in enumerate(texts)]
+    texts += [texts[i] + " tail" for i in range(5)] + [texts[6]] * 3 + ["bad"] * 60 + [prose(99) + f" write a{i}@b.co now +1 (423) 555-73{i:02d}." for i in range(12)] + [None, ""]
+    hosts = [f"h{i % 6}" if t != "bad" else rng.choice(["junk"] * 9 + ["h1"]) for i, t in enumerate(texts)]
+    hosts[10], hosts[20] = "junk", "junk"  # good documents of a host to be rejected
     rows = [(i, t, "en", h, 0) for i, (t, h) in enumerate(zip(texts, hosts, strict=True))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
 
@@ -62,7 +63,10 @@ def test_run_against_brute_force(spark, tmp_path):
         n, k = counts.get(h, (0, 0))
         counts[h] = n + 1, k + failed[i]
     a, b = quality_rules.beta_prior(len(rows), sum(failed.values()), len(counts), sum(k * k / n for n, k in counts.values()))
-    kept = [(i, t) for i, t, _, h, _ in rows if not failed[i] and (counts[h][1] + a) / (counts[h][0] + a + b) <= 0.8]
+    cut, rates = 8 * a / (8 * a + b), {h: ((k + a) / (n + a + b), n + a + b + 1) for h, (n, k) in counts.items()}
+    rejected = {h for h, (r, n) in rates.items() if r - 1.645 * (r * (1 - r) / n) ** 0.5 > cut}
+    assert rejected == {"junk"}
+    kept = [(i, t) for i, t, _, h, _ in rows if not failed[i] and h not in rejected]
     cleaned = list(zip([i for i, _ in kept], plain_lines([t for _, t in kept], 10), strict=True))
     left = []
     for i, t in cleaned:

@@ -146,3 +146,47 @@ def test_isolated_pairs_at_the_likeness_are_linked(spark):
     assert near.where("component_id <> doc_id").count() >= 194  # expected 198
     for n in (1000, 1_000_000, 100_000_000):
         assert simhash_similar.recall(*simhash_similar.tables_for(n, 0.8), 0.8) >= 0.99
+
+
+def wandering(rng, n, size=120, edits=6):
+    """Texts of which each is an edited copy of an earlier one: a group of chains, of which some reach the likeness."""
+    texts = [[f"v{rng.getrandbits(40)}" for _ in range(size)]]
+    while len(texts) < n:
+        words = list(rng.choice(texts[-8:]))
+        for _ in range(rng.randint(1, edits)):
+            words[rng.randrange(size)] = f"v{rng.getrandbits(40)}"
+        texts.append(words)
+    return [" ".join(w) for w in texts]
+
+
+def test_groups_that_no_task_may_hold(spark, monkeypatch):
+    """Blocks, what stands for them, and links across, against all pairs; anchors are joined before the shuffle and after."""
+    for name, value in {"BLOCK": 6, "SAME_ANCHOR": 4, "HELD": 12, "BROADCAST_PARTS": 1}.items():
+        monkeypatch.setattr(simhash_similar, name, value)
+    rng = random.Random(12)
+    texts = [t for _ in range(4) for t in wandering(rng, 60)] + [" ".join(f"x{rng.getrandbits(40)}" for _ in range(90)) for _ in range(30)]
+    texts += [texts[i] for i in range(0, 60, 3)]
+    rng.shuffle(texts)
+    wanted = plain_components(range(len(texts)), lambda a, b: plain_alike(texts[a], texts[b]))
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    rows = simhash_similar.near_duplicates(docs).collect()
+    found = {r["doc_id"]: r["component_id"] for r in rows}
+    assert len(rows) == len(texts) + 1 and len(set(wanted.values())) > 40
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    together = [(found[a] == found[b], wanted[a] == wanted[b]) for a, b in pairs]
+    assert (True, False) not in together
+    assert together.count((False, True)) <= 0.02 * together.count((True, True))
+
+
+def test_a_large_group_of_near_copies_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(simhash_similar, "BLOCK", 32)
+    rng = random.Random(13)
+    words = [f"v{rng.getrandbits(40)}" for _ in range(200)]
+    texts = [" ".join(words[: i % 200] + [f"e{i}"] + words[i % 200 + 1 :]) for i in range(600)] + [" ".join(f"x{rng.getrandbits(40)}" for _ in range(90)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_similar.near_duplicates(docs).collect()}
+    assert found == {i: 0 if i < 600 else i for i in range(620)}
+    names = ["__gone", "gone", "node", "part", "x y"]
+    more = docs.selectExpr("*", *[f"'a' as `{n}`" for n in names])
+    kept = simhash_similar.keep_first(more)
+    assert kept.columns == more.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, *range(600, 620)]
