@@ -91,3 +91,5 @@ def test_names_that_clash(spark):
     found = line_dedup.dedupe(docs)
     assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert {tuple(r) for r in found.drop("doc_id").collect()} == {("", *names, 2, 2)}
+    more = docs.selectExpr("*", "'own' as n_lines", "7 as __n_dropped")
+    assert {tuple(r) for r in line_dedup.clean(more).drop("doc_id").collect()} == {("", *names, "own", 7)} and line_dedup.clean(more).columns == more.columns

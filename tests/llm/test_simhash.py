@@ -38,7 +38,7 @@ def test_fingerprint():
 
 def test_near_values_meet_at_an_anchor():
     rng = random.Random(1)
-    for blocks in (8, 10, 14, 20):
+    for blocks in (8, 10, 14, 20, 26, 32, 40):
         lengths = simhash.block_lengths(blocks)
         assert sum(lengths) == 64 and len(lengths) == blocks and all(n % 2 for n in lengths)
         xs = [rng.getrandbits(64) for _ in range(200)]

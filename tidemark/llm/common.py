@@ -109,7 +109,30 @@ def written(df: DataFrame, name: str, *partition_by: str, compression: str = "zs
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     # partition columns come last on reading
     fields = [f for f in df.schema if f.name not in partition_by] + [df.schema[c] for c in partition_by]
-    return spark.read.schema(type(df.schema)(fields)).parquet(path)
+    found = spark.read.schema(type(df.schema)(fields)).parquet(path)
+    found._tidemark_path = path
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``written`` wrote, once nothing is left to read it."""
+    path, paths = df._tidemark_path, df.sparkSession.sparkContext._tidemark_paths
+    delete(df.sparkSession, path)
+    if path in paths:
+        paths.remove(path)
+
+
+def step(spark: SparkSession, make, name: str) -> DataFrame:
+    """What ``make`` gives, written; what was written on the way goes."""
+    checkpoint_root(spark)
+    start = len(getattr(spark.sparkContext, "_tidemark_paths", []))
+    made = written(make(), name)
+    paths = spark.sparkContext._tidemark_paths
+    for path in paths[start:]:
+        if path != made._tidemark_path:
+            delete(spark, path)
+            paths.remove(path)
+    return made
 
 
 def lower_ascii(text):

@@ -34,6 +34,7 @@ def connected_components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         moved = common.written(_small_star(_large_star(edges)), "edges")
         now = moved.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        common.forget(edges)
         edges, before, state = moved, state, (now["n"], now["h"])
         if before == state:
             break

@@ -147,14 +147,15 @@ def hashed_batches(docs: DataFrame, n: int, key: str = "doc_id", text: str = "te
     return common.written(hashed, "line-hashes", "batch")
 
 
-def drop_frequent(docs: DataFrame, hashed: DataFrame, frequent: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines whose hash is in ``frequent``, with N_LINES and N_DROPPED.
+def drop_frequent(docs: DataFrame, hashed: DataFrame, frequent: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, str] = (N_LINES, N_DROPPED)) -> DataFrame:
+    """``docs`` without the lines whose hash is in ``frequent``, and how many lines there were and went, called ``names``.
 
     hashed: doc_id, hashes of the same documents. Hashes meet the frequent ones by a merge join; each document then gets
     only its own frequent hashes, so no broadcast grows with the corpus, and texts move at most once.
     """
-    docs = docs.select(*common.columns([c for c in docs.columns if c not in (N_LINES, N_DROPPED)]))
-    own_id, hits, kept = common.fresh([*docs.columns, N_LINES, N_DROPPED], "id", "hits", "kept")
+    n_lines, n_dropped = names
+    docs = docs.select(*common.columns([c for c in docs.columns if c not in names]))
+    own_id, hits, kept = common.fresh([*docs.columns, *names], "id", "hits", "kept")
     pairs = hashed.select("doc_id", own_hashes("hashes").alias("hash"))
     found = pairs.join(frequent, "hash", "left_semi").groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("hash").alias(hits))
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -163,13 +164,18 @@ def drop_frequent(docs: DataFrame, hashed: DataFrame, frequent: DataFrame, key:
     left = F.transform(F.filter(with_hashes, lambda x: ~F.coalesce(F.array_contains(hits, x["hash"]), F.lit(False))), lambda x: x["line"])
     others = common.columns(docs.columns)
     found = docs.join(found, F.col(key).eqNullSafe(F.col(own_id)), "left")
-    found = found.select(*others, F.size(lines).cast("long").alias(N_LINES), F.when(F.col(hits).isNotNull(), left).alias(kept))
-    dropped = F.when(F.col(kept).isNull(), 0).otherwise(F.col(N_LINES) - F.size(kept)).cast("long")
+    found = found.select(*others, F.size(lines).cast("long").alias(n_lines), F.when(F.col(hits).isNotNull(), left).alias(kept))
+    dropped = F.when(F.col(kept).isNull(), 0).otherwise(F.col(n_lines) - F.size(kept)).cast("long")
     cleaned = F.when(F.col(kept).isNull(), whole).otherwise(F.array_join(kept, "\n")).alias(text)
-    return found.select(*[cleaned if n == text else c for n, c in zip(docs.columns, others, strict=True)], N_LINES, dropped.alias(N_DROPPED))
+    return found.select(*[cleaned if n == text else c for n, c in zip(docs.columns, others, strict=True)], n_lines, dropped.alias(n_dropped))
 
 
-def dedupe(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, min_docs: int = 10, **options) -> DataFrame:
+    """``docs`` without the frequent lines, with their columns."""
+    return dedupe(docs, min_docs, names=tuple(common.fresh(docs.columns, N_LINES, N_DROPPED)), **options).select(*common.columns(docs.columns))
+
+
+def dedupe(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, key: str = "doc_id", text: str = "text", names: tuple[str, str] = (N_LINES, N_DROPPED)) -> DataFrame:
     """Let all of ``docs`` arrive in batches, then drop lines of at least ``min_docs`` documents from every document."""
     spark = docs.sparkSession
     runs = LineRuns(spark, common.scratch_path(spark, "line-runs"), min_docs)
@@ -178,4 +184,4 @@ def dedupe(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, key: str = "
         runs.add(hashed.where(F.col("batch") == i))
     frequent = common.written(runs.frequent(), "frequent-lines")
     runs.close()
-    return drop_frequent(docs, hashed, frequent, key, text)
+    return drop_frequent(docs, hashed, frequent, key, text, names)

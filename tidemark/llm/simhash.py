@@ -25,7 +25,7 @@ from .components import connected_components
 
 BITS, SEED = 64, 42
 #: Homes an anchor has on average, and the least and most blocks.
-HOMES, LEAST_BLOCKS, MOST_BLOCKS = 256, 8, 20
+HOMES, LEAST_BLOCKS, MOST_BLOCKS = 256, 8, 40
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -150,5 +150,6 @@ def near_duplicates(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str
 
 def keep_first(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One document of each component, that with the least doc_id, with its columns; of rows that share it, one stays."""
-    kept = near_duplicates(docs, k, key, text, words).where("doc_id <=> component_id").select(F.col("component_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([key])
+    (own,) = common.fresh(docs.columns, "kept")
+    kept = near_duplicates(docs, k, key, text, words).where("doc_id <=> component_id").select(F.col("component_id").alias(own)).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(own)), "left_semi").dropDuplicates([key])
