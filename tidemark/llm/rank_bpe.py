@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 
+#: Pre-tokens that an encoder remembers at most, none longer than so many characters: the same word stands before many marks.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+
+
 class RankEncoder:
     """Ids of pre-tokens and texts by mergeable ranks (bytes to rank)."""
 
@@ -30,6 +34,8 @@ class RankEncoder:
         self.shift = max(1, ((max(ranks.values())).bit_length() + 1) // 2)
         self.words = [0] * ((max(ranks.values()) >> self.shift) + 1)  # bit r of word w: bucket w << shift | r is in use
         self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {}
+        self.first = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]  # of pairs of bytes
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for text, rank in ranks.items():
             self.bytes_of[rank] = text
@@ -47,7 +53,8 @@ class RankEncoder:
         find = buckets.get
         end = list(range(1, n + 1))  # where the part that starts here ends
         before = list(range(-1, n - 1))  # where the part before it starts
-        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part and the next one
+        first = self.first
+        pair = [first[a][b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of the part and the next one
         pair.append(-1)
         for i, rank in enumerate(pair):
             if rank >= 0:
@@ -115,9 +122,21 @@ class RankEncoder:
         return [x for match in self.find(text) for x in self.encode_piece(match.encode())]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(self.encode(t), self.kind).tobytes() for t in texts]
+        known, width = self.known, self.kind.itemsize
+        found = []
+        for text in texts:
+            parts = []
+            for match in self.find(text):
+                ids = known.get(match)
+                if ids is None:
+                    ids = b"".join([i.to_bytes(width, "little") for i in self.encode_piece(match.encode())])
+                    if len(match) <= REMEMBERED_CHARS:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[match] = ids
+                parts.append(ids)
+            found.append(b"".join(parts))
+        return found
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
