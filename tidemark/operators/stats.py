@@ -54,19 +54,20 @@ def range_of(value: Column, bounds: list) -> Column:
     return (row - 1) * width + below(within)
 
 
-def ranked_counts(counts: DataFrame) -> DataFrame:
-    """Distinct values ``v`` with counts ``n`` (and other columns): adds upto, the rows up to each value, and mean_rank, the
-    mean rank of its rows. Values are dealt to ranges, each range sums its own, and the totals of the ranges before are
-    added: no task sees all. The ranges' bounds are approximate percentiles, found first and then fixed, so that a value is
-    in the same range wherever the plan asks; any bounds give the same ranks."""
+def ranked_counts(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Distinct values ``v`` of each group with counts ``n`` (and other columns): adds upto, the group's rows up to each value,
+    and mean_rank, the mean rank of its rows. Values are dealt to ranges, each range sums its own, and the totals of the
+    ranges before are added: no task sees all of a group. The ranges' bounds are approximate percentiles, found first and
+    then fixed, so that a value is in the same range wherever the plan asks; any bounds give the same ranks."""
+    by = by or []
     part, own, total, before = _fresh(counts.columns, "part", "own", "total", "before")
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = counts.agg(F.approx_percentile("v", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
     ranged = counts.withColumn(part, range_of(F.col("v"), sorted(set(bounds or []))))
-    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    sums = ranged.groupBy(part).agg(F.sum("n").alias(total)).select(part, F.coalesce(F.sum(total).over(ahead), F.lit(0)).alias(before))
-    summed = ranged.withColumn(own, F.sum("n").over(Window.partitionBy(part).orderBy("v")))
-    found = summed.join(F.broadcast(sums), part).withColumn("upto", F.col(before) + F.col(own))
+    ahead = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sums = ranged.groupBy(*by, part).agg(F.sum("n").alias(total)).select(*by, part, F.coalesce(F.sum(total).over(ahead), F.lit(0)).alias(before))
+    summed = ranged.withColumn(own, F.sum("n").over(Window.partitionBy(*by, part).orderBy("v")))
+    found = summed.join(sums if by else F.broadcast(sums), [*by, part]).withColumn("upto", F.col(before) + F.col(own))
     return found.withColumn("mean_rank", F.col("upto") - (F.col("n") - 1) / 2).drop(part, own, before)
 
 
@@ -75,23 +76,25 @@ def _fresh(columns: list[str], *stems: str) -> list[str]:
     return [next(n for n in (f"__{s}" + "_" * i for i in range(len(columns) + 1)) if n.lower() not in {c.lower() for c in columns}) for s in stems]
 
 
-def value_counts(rows: DataFrame, value: str, *more: Column) -> DataFrame:
-    return rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"), *more)
+def value_counts(rows: DataFrame, value: str, *more: Column, by: list[str] | None = None) -> DataFrame:
+    return rows.where(F.col(value).isNotNull()).groupBy(*(by or []), F.col(value).alias("v")).agg(F.count("*").alias("n"), *more)
+
+
+def percentiles_by(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, p0, p1, ...: exact percentiles of each group, interpolated between the two values next to each. No task holds a
+    group's values. Without ``by`` one row, of nulls where there are no values; groups are taken to have names, not nulls."""
+    ranked, by = ranked_counts(value_counts(rows, value, by=by), by), by or []
+    sizes = ranked.groupBy(*by).agg(F.sum("n").alias("__n"))
+    placed = ranked.join(sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+    at = lambda share, rounded: F.max(F.when((rounded(share * (F.col("__n") - 1)) + 1).between(F.col("upto") - F.col("n") + 1, F.col("upto")), F.col("v")))
+    found = placed.groupBy(*by).agg(F.max("__n").alias("__n"), *[at(F.lit(s), f).alias(f"__{n}{i}") for i, s in enumerate(shares) for n, f in (("low", F.floor), ("high", F.ceil))])
+    beyond = lambda share: (x := F.lit(share) * (F.col("__n") - 1)) - F.floor(x)
+    return found.select(*by, *[(F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * beyond(s)).alias(f"p{i}") for i, s in enumerate(shares)])
 
 
 def percentiles(rows: DataFrame, value: str, shares: list[float]) -> list[float | None]:
-    """Exact percentiles, interpolated between the two values next to each; null where there are no rows. Two values for
-    each share come to the driver, and no task holds all values."""
-    ranked = ranked_counts(value_counts(rows, value))
-    n = ranked.agg(F.sum("n")).first()[0]
-    if not n:
-        return [None] * len(shares)
-    places = [s * (n - 1) for s in shares]
-    wanted = sorted({r for x in places for r in (math.floor(x) + 1, math.ceil(x) + 1)})
-    hit = F.filter(F.array(*map(F.lit, wanted)), lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))
-    at = {r["k"]: r["v"] for r in ranked.select("v", F.explode(hit).alias("k")).collect()}
-    low, high = [at[math.floor(x) + 1] for x in places], [at[math.ceil(x) + 1] for x in places]
-    return [a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, places, strict=True)]
+    """The same of all rows, read by the driver."""
+    return list(percentiles_by(rows, value, shares).first())
 
 
 def binned_ranks(rows: DataFrame, value: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalar
-from ..operators import asof, dedupe, returns
+from ..operators import asof, dedupe, returns, stats
 from ..sources import readers
 from . import fixtures as fx
 from .registry import register
@@ -193,7 +193,8 @@ def agg_argmax(spark, d):
 
 @register("agg_quantile_median", "select l_returnflag, round(median(l_extendedprice), 6) as median, round(quantile_cont(l_extendedprice, 0.333), 6) as lower_tercile from lineitem group by l_returnflag")
 def agg_quantile_median(spark, d):
-    return fx.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 6).alias("median"), F.round(F.percentile("l_extendedprice", 0.333), 6).alias("lower_tercile"))
+    found = stats.percentiles_by(fx.table(spark, d, "lineitem"), "l_extendedprice", [0.5, 0.333], ["l_returnflag"])
+    return found.select("l_returnflag", F.round("p0", 6).alias("median"), F.round("p1", 6).alias("lower_tercile"))
 
 
 @register("sort_limit", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 50")
