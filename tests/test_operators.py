@@ -366,3 +366,23 @@ def test_page_facts_against_plain_patterns(spark):
         words = html.unescape(re.sub(r"(?s)<[^>]*>", " ", bare)).split()
         f = found[page_id]
         assert f["title"] == (html.unescape(title[1]).strip() if title else "") and f["n_links"] == len(re.findall(r"(?i)<a\s[^>]*href", source)) and f["n_words"] == len(words)
+
+
+def test_decile_lift_against_numpy(spark):
+    from tidemark.operators import models
+
+    rows = spark.range(5000).select((F.xxhash64("id") % 9973 / 3).alias("score"), (F.xxhash64("id", F.lit(1)) % 3 == 0).cast("double").alias("label"))
+    found = {r["decile"]: (r["n"], r["rate"], r["lift"]) for r in models.decile_lift(rows, "score", "label").collect()}
+    data = rows.toPandas()
+    cuts = np.quantile(data.score, [i / 10 for i in range(1, 10)])
+    decile = 10 - (data.score.to_numpy()[:, None] > cuts).sum(axis=1)
+    for d in range(1, 11):
+        own = data.label[decile == d]
+        assert found[d] == (len(own), pytest.approx(own.mean()), pytest.approx(own.mean() / data.label.mean()))
+
+
+def test_percentiles_of_groups(spark):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.xxhash64("id") % 500 / 7).alias("v")).union(spark.createDataFrame([(9, None), (8, 1.5)], "g long, v double"))
+    found = {r["g"]: (r["p0"], r["p1"]) for r in stats.percentiles_by(rows, "v", [0.333, 0.5], ["g"]).collect()}
+    data = rows.toPandas().dropna()
+    assert found == {g: pytest.approx(tuple(np.quantile(own.v, [0.333, 0.5]))) for g, own in data.groupby("g")}
