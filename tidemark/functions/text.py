@@ -105,7 +105,7 @@ FILTERS: dict[str, Callable[[Column, Column], Column]] = {
 
 def collapse_space(text: Column) -> Column:
     """Runs of white space, Unicode's included, as one space."""
-    return F.regexp_replace(text, r"(?U)\s+", " ")
+    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")
 
 
 def folded(text: Column) -> Column:
@@ -118,13 +118,14 @@ def folded(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """For comparison: white space collapsed, ends stripped, case folded."""
-    return folded(F.trim(collapse_space(text)))
+    """For comparison: white space collapsed, ends stripped, case folded. Plain ASCII takes a shorter way to the same."""
+    plain = F.lower(F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f]+", " ")))
+    return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(folded(F.trim(collapse_space(text))))
 
 
 def strip(text: Column) -> Column:
     """Without white space, Unicode's included, at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def marked_pages(pages: Column) -> Column:

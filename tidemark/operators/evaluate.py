@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -50,63 +51,62 @@ def skipped(golden: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
     return golden.select(*keys).distinct().join(there, keys, "left").agg(F.count_if("__there").alias("n_documents"), F.count_if(F.col("__there").isNull()).alias("n_skipped"))
 
 
+def documents(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field], how: str = "inner") -> DataFrame:
+    """key and the two lists, gs and ps, of structs (i, v): position and fields, text normalised. One row a document; each
+    side is dealt by document once, and not at all where it comes so."""
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return comparable(rows, [key, F.col("idx").cast("int").alias("i")], fields, "v").groupBy(key).agg(F.collect_list(F.struct("i", "v")).alias(name))
+
+    return listed(golden, "gs").join(listed(stated, "ps"), key, how)
+
+
+def candidate_list(fields: Sequence[Field]) -> Column:
+    """Of a row of ``documents``, the pairs that may be matched: structs (a, i, g, p, outcomes) of agreement and identity, both
+    negative so that the best sort first, the positions, and the fields' outcomes. Both sides must state a strong field alike."""
+    equal = lambda g, p, f: F.coalesce(g["v"][f.name] == p["v"][f.name], F.lit(False))
+    unstated = lambda g, p, f: g["v"][f.name].isNull() & p["v"][f.name].isNull()
+    strong = lambda g, p: functools.reduce(Column.__or__, [equal(g, p, f) for f in fields if f.strong])
+    identity = lambda g, p: sum(equal(g, p, f).cast("int") for f in fields if f.identity)
+    agreement = lambda g, p: sum((equal(g, p, f) | unstated(g, p, f)).cast("int") for f in fields)
+    outcomes = lambda g, p: F.array(*[outcome(g["v"][f.name], p["v"][f.name]) for f in fields])
+    pair = lambda g, p: F.struct((-agreement(g, p)).alias("a"), (-identity(g, p)).alias("i"), g["i"].alias("g"), p["i"].alias("p"), outcomes(g, p).alias("outcomes"))
+    of = lambda g: F.transform(F.filter("ps", lambda p: strong(g, p) & (identity(g, p) >= LEAST_IDENTITY)), lambda p: pair(g, p))
+    return F.flatten(F.transform("gs", of))
+
+
 def candidate_pairs(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
-    """key, g, p (list positions), agreement, identity, outcomes (of the fields, in order) for pairs of one document that may
-    be matched.
-
-    The join is on (document, a strong field's value), never on the document alone. A pair that agrees on several strong
-    fields counts where it meets on the first of them, so nothing has to be deduplicated after the join.
-    """
-    left = comparable(golden, [key, F.col("idx").alias("g")], fields, "__g")
-    right = comparable(stated, [key, F.col("idx").alias("p")], fields, "__p")
-    strong = [f.name for f in fields if f.strong]
-
-    def keyed(rows: DataFrame, side: str) -> DataFrame:
-        values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(side)[n].cast("string").alias("v")) for i, n in enumerate(strong)])
-        return rows.withColumn("__k", F.explode(F.filter(values, lambda x: x["v"].isNotNull())))
-
-    pairs = keyed(left, "__g").join(keyed(right, "__p"), [key, "__k"])
-    equal = {f.name: F.col("__g")[f.name] == F.col("__p")[f.name] for f in fields}
-    for i, name in enumerate(strong[:-1]):
-        pairs = pairs.where((F.col("__k")["i"] <= i) | ~F.coalesce(equal[name], F.lit(False)))
-    agreed = sum(F.coalesce(equal[f.name], F.col("__g")[f.name].isNull() & F.col("__p")[f.name].isNull()).cast("int") for f in fields)
-    identity = sum(F.coalesce(equal[f.name], F.lit(False)).cast("int") for f in fields if f.identity)
-    outcomes = F.array(*[o["outcome"] for o in _outcomes(fields)])
-    return pairs.select(key, "g", "p", agreed.alias("agreement"), identity.alias("identity"), outcomes.alias("outcomes")).where(F.col("identity") >= LEAST_IDENTITY)
-
-
-def _matched(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
-    """key, matches: greedy matching within each document, most agreement first, then identity, then list order. The fold goes
-    over one document's candidate pairs and keeps which positions are taken."""
-    pairs = candidate_pairs(golden, stated, key, fields)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("agreement")).alias("a"), (-F.col("identity")).alias("i"), "g", "p", "outcomes")))
+    """key, g, p, agreement, identity of the pairs that may be matched."""
+    found = documents(golden, stated, key, fields).select(key, F.inline(candidate_list(fields)))
+    return found.select(key, "g", "p", (-F.col("a")).alias("agreement"), (-F.col("i")).alias("identity"))
+
+
+def matches(fields: Sequence[Field]) -> Column:
+    """Of a row of ``documents``, the greedy matching: most agreement first, then identity, then list order."""
     start = F.array().cast("array<struct<g:int,p:int,outcomes:array<string>>>")
     free = lambda done, x: ~F.exists(done, lambda m: (m["g"] == x["g"]) | (m["p"] == x["p"]))
-    pair = lambda x: F.struct(x["g"].cast("int").alias("g"), x["p"].cast("int").alias("p"), x["outcomes"].alias("outcomes"))
+    pair = lambda x: F.struct(x["g"].alias("g"), x["p"].alias("p"), x["outcomes"].alias("outcomes"))
     take = lambda done, x: F.when(free(done, x), F.array_append(done, pair(x))).otherwise(done)
-    return pairs.groupBy(key).agg(F.aggregate(ordered, start, take).alias("matches"))
+    return F.aggregate(F.array_sort(candidate_list(fields)), start, take)
 
 
 def match(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
     """key, g, p of the matched pairs."""
-    return _matched(golden, stated, key, fields).select(key, F.inline(F.transform("matches", lambda m: F.struct(m["g"].alias("g"), m["p"].alias("p")))))
+    found = documents(golden, stated, key, fields).withColumn("matches", matches(fields))
+    return found.select(key, F.inline(F.transform("matches", lambda m: F.struct(m["g"].alias("g"), m["p"].alias("p")))))
 
 
 def score_lists(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
     """key, field, outcome: detection of every labelled and stated item, and the fields of matched pairs. Documents that
-    lack a prediction altogether belong in ``skipped`` and are left out.
-
-    Matched pairs bring their outcomes along; of the other items only the number counts, so items are not joined again.
-    """
-    one, none = F.lit(1), F.lit(0)
-    both = golden.select(key, one.alias("__g"), none.alias("__p")).union(stated.select(key, none, one))
-    sizes = both.groupBy(key).agg(F.sum("__g").alias("__g"), F.sum("__p").alias("__p")).where("__p > 0")
-    found = sizes.join(_matched(golden, stated, key, fields), key, "left").withColumn("matches", F.coalesce("matches", F.array()))
+    lack a prediction altogether belong in ``skipped`` and are left out. A document's items are matched and scored in its
+    own row, so nothing is joined back."""
+    both = documents(golden, stated, key, fields, "right").withColumn("gs", F.coalesce("gs", F.array()))
+    found = both.withColumn("matches", matches(fields))
     taken = F.size("matches")
     row = lambda field, outcome: F.struct(F.lit(field).alias("field"), outcome.alias("outcome"))
-    detected = lambda o, n: F.array_repeat(row(DETECTION, F.lit(o)), n.cast("int"))
+    detected = lambda o, n: F.array_repeat(row(DETECTION, F.lit(o)), n)
     of_pair = lambda m: F.array(*[row(f.name, m["outcomes"][i]) for i, f in enumerate(fields)])
-    rows = F.concat(detected("correct", taken), detected("missed", F.col("__g") - taken), detected("hallucinated", F.col("__p") - taken), F.flatten(F.transform("matches", of_pair)))
+    rows = F.concat(detected("correct", taken), detected("missed", F.size("gs") - taken), detected("hallucinated", F.size("ps") - taken), F.flatten(F.transform("matches", of_pair)))
     return found.select(key, F.inline(rows))
 
 
