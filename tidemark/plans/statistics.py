@@ -41,9 +41,19 @@ def incidence_z(spark, d):
     return stats.incidence(rows, F.col("l_returnflag") == "R", "p").select("observed", F.round("expected", 4).alias("expected"), F.round("z", 6).alias("z"))
 
 
-@register("regression_multivariate", "with v as (select l_extendedprice as y, l_quantity as x1, l_discount as x2 from lineitem), m as (select avg(y) as my, avg(x1) as m1, avg(x2) as m2, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12, covar_pop(x1, y) as s1, covar_pop(x2, y) as s2 from v), b as (select *, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as b2 from m) select 'const' as term, round(my - b1 * m1 - b2 * m2, 3) as coefficient from b union all select 'l_quantity', round(b1, 3) from b union all select 'l_discount', round(b2, 3) from b")
+@register(
+    "regression_multivariate",
+    """with v as (select l_extendedprice as y, l_quantity as x1, l_discount as x2 from lineitem),
+m as (select count(*) as n, avg(y) as my, avg(x1) as m1, avg(x2) as m2, var_pop(y) * count(*) as syy, var_pop(x1) * count(*) as s11, var_pop(x2) * count(*) as s22, covar_pop(x1, x2) * count(*) as s12, covar_pop(x1, y) * count(*) as s1, covar_pop(x2, y) * count(*) as s2 from v),
+b as (select *, s11 * s22 - s12 * s12 as det, (s1 * s22 - s2 * s12) / (s11 * s22 - s12 * s12) as b1, (s2 * s11 - s1 * s12) / (s11 * s22 - s12 * s12) as b2 from m),
+e as (select *, my - b1 * m1 - b2 * m2 as b0, (syy - b1 * s1 - b2 * s2) / (n - 3) as error from b)
+select 'const' as term, round(b0, 3) as coefficient, round(b0 / sqrt(error * (1 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det)), 3) as t from e
+union all select 'l_quantity', round(b1, 3), round(b1 / sqrt(error * s22 / det), 3) from e
+union all select 'l_discount', round(b2, 3), round(b2 / sqrt(error * s11 / det), 3) from e""",
+)
 def regression_multivariate(spark, d):
-    return stats.ols(fx.table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"]).select("term", F.round("coefficient", 3).alias("coefficient"))
+    found = stats.ols(fx.table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
+    return found.select("term", F.round("coefficient", 3).alias("coefficient"), F.round("t", 3).alias("t"))
 
 
 @register("late_filing_histogram", "select case when g <= 5 then 'on time' when g <= 30 then 'late' else 'very late' end as bin, count(*) as n from (select date_diff('day', cast(o_orderdate as date), cast(l_shipdate as date)) as g from lineitem join orders on l_orderkey = o_orderkey) group by 1")
