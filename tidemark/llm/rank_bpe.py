@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
@@ -28,17 +29,20 @@ class RankEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import numpy as np
+        import pyarrow as pa
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.shift = max(1, ((max(ranks.values())).bit_length() + 1) // 2)
         self.words = [0] * ((max(ranks.values()) >> self.shift) + 1)  # bit r of word w: bucket w << shift | r is in use
-        self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")
+        self.kind = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")  # as the machine has it: workers are little-endian
         self.known: dict[str, bytes] = {}
+        self.single = [ranks[bytes((a,))] for a in range(256)]
         self.first = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]  # of pairs of bytes
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for text, rank in ranks.items():
             self.bytes_of[rank] = text
+        self.table = pa.array(self.bytes_of, pa.large_binary())
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token. The queue is written out in place, as calls would cost more than its steps. All words are
@@ -56,6 +60,8 @@ class RankEncoder:
         first = self.first
         pair = [first[a][b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of the part and the next one
         pair.append(-1)
+        single = self.single
+        own = [single[a] for a in piece]  # rank of the part that starts here
         for i, rank in enumerate(pair):
             if rank >= 0:
                 bucket = find(rank)
@@ -82,6 +88,7 @@ class RankEncoder:
                 i = heappop(bucket)
             if pair[i] != rank:
                 continue  # stale
+            own[i] = rank
             j = end[i]
             k = end[i] = end[j]
             pair[j] = -1
@@ -113,23 +120,22 @@ class RankEncoder:
                         heappush(bucket, p)
         ids, i = [], 0
         while i < n:
-            k = end[i]
-            ids.append(ranks[piece[i:k]])
-            i = k
+            ids.append(own[i])
+            i = end[i]
         return ids
 
     def encode(self, text: str) -> list[int]:
         return [x for match in self.find(text) for x in self.encode_piece(match.encode())]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        known, width = self.known, self.kind.itemsize
+        known, code = self.known, self.kind.char
         found = []
         for text in texts:
             parts = []
             for match in self.find(text):
                 ids = known.get(match)
                 if ids is None:
-                    ids = b"".join([i.to_bytes(width, "little") for i in self.encode_piece(match.encode())])
+                    ids = array(code, self.encode_piece(match.encode())).tobytes()
                     if len(match) <= REMEMBERED_CHARS:
                         if len(known) >= REMEMBERED:
                             known.clear()
@@ -138,8 +144,14 @@ class RankEncoder:
             found.append(b"".join(parts))
         return found
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids) -> bytes:
+        """The bytes that ids (a list, or an array of unsigned integers) stand for, put together column-wise."""
+        import pyarrow as pa
+
+        taken = self.table.take(pa.array(ids, None if len(ids) else pa.uint32()))
+        _, ends, content = taken.buffers()
+        last = int.from_bytes(ends[8 * len(taken) : 8 * len(taken) + 8].to_pybytes(), "little") if len(taken) else 0
+        return content[:last].to_pybytes() if last else b""
 
 
 @functools.lru_cache(maxsize=4)
@@ -177,7 +189,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataF
         import numpy as np
 
         encoder, _ = rank_encoder(vocabulary, pattern)
-        rows = ((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), encoder.decode(np.frombuffer(ids, "<u4").tolist())) for doc_id, ids in common.batch_rows(batches))
+        rows = ((doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), encoder.decode(np.frombuffer(ids, "<u4"))) for doc_id, ids in common.batch_rows(batches))
         return common.record_batches(rows, schema, 256)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
