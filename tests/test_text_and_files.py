@@ -30,6 +30,16 @@ def test_normalize_takes_unicode_space(spark):
     assert rows.select(text.normalize(F.col("t"))).first()[0] == "a b"
 
 
+def test_space_is_collapsed_as_the_source_does(spark):
+    import re
+
+    words = ["a  b", " a\tb ", "a\n\n b", "a b", "a\x1c\x1fb", "a\u00a0 b\u2003", "\u3000é \t", "", "   ", "a \x0b\x0c b\r\n", "é\x85è"]
+    rows = spark.createDataFrame(list(enumerate(words)), "i int, t string").orderBy("i")
+    found = rows.select(text.collapse_space(F.col("t")), text.strip(F.col("t")), text.normalize(F.col("t"))).collect()
+    for word, (collapsed, stripped, normal) in zip(words, found, strict=True):
+        assert (collapsed, stripped, normal) == (re.sub(r"\s+", " ", word), re.sub(r"^\s+|\s+$", "", word), re.sub(r"\s+", " ", word).strip().casefold())
+
+
 def test_page_functions(spark):
     pages = spark.createDataFrame([(["one page of more than twenty characters", "   short"],)], "pages array<string>")
     assert pages.select(text.marked_pages(F.col("pages"))).first()[0] == "[page 1]\none page of more than twenty characters\n\n[page 2]\n   short"

@@ -103,29 +103,34 @@ FILTERS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+#: White space as the source has it: Unicode's, and four control characters. Runs that are not a single space already.
+_SPACE = r"\s\x1c-\x1f"
+_RUNS = rf"(?: [{_SPACE}]+|[{_SPACE}&&[^ ]][{_SPACE}]*)"
+
+
 def collapse_space(text: Column) -> Column:
     """Runs of white space, Unicode's included, as one space."""
-    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")
+    return F.regexp_replace(text, f"(?U){_RUNS}", " ")
 
 
 def folded(text: Column) -> Column:
     """Full case folding for comparisons: upper and then lower case brings what folds together to one form (a sharp s to
     two), but for a dotless i, which must not become a dotted one, and a final sigma. Cherokee comes out in lower case."""
-    kept = F.translate(text, "\u0131", "\ue000")
-    upper = F.upper(F.replace(F.replace(kept, F.lit("\u1e9e"), F.lit("ss")), F.lit("\u0130"), F.lit("i\u0307")))
+    put = lambda text, old, new: F.replace(text, F.lit(old), F.lit(new))
+    upper = F.upper(put(put(put(text, "\u0131", "\ue000"), "\u1e9e", "ss"), "\u0130", "i\u0307"))
     # what stands between keeps the optimizer from taking lower(upper(x)) for lower(x)
-    return F.translate(F.lower(F.translate(upper, "\ue000", "\u0131")), "\u03c2", "\u03c3")
+    return put(F.lower(put(upper, "\ue000", "\u0131")), "\u03c2", "\u03c3")
 
 
 def normalize(text: Column) -> Column:
     """For comparison: white space collapsed, ends stripped, case folded. Plain ASCII takes a shorter way to the same."""
-    plain = F.lower(F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f]+", " ")))
+    plain = F.lower(F.trim(F.regexp_replace(text, _RUNS, " ")))
     return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(folded(F.trim(collapse_space(text))))
 
 
 def strip(text: Column) -> Column:
     """Without white space, Unicode's included, at the ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(text, f"(?U)^[{_SPACE}]+|[{_SPACE}]+$", "")
 
 
 def marked_pages(pages: Column) -> Column:
