@@ -34,11 +34,11 @@ STUDY = (fx.BARS, fx.ANNOUNCEMENTS, RETURNS, DAY0, WINDOWS)
 
 
 def panel(spark, d):
-    """Aligned returns and the index's calendar. The bars are one row per ticker and week, read several times by each study,
-    so they are kept; an executor that is lost takes only its part, which is computed again."""
-    rets = returns.calendar_returns(fx.bars(spark, d).persist())
+    """Aligned returns and the index's calendar. Returns and their alignment are one row per ticker and week, read several
+    times by each study, so they are kept; an executor that is lost takes only its part, which is computed again."""
+    rets = returns.calendar_returns(fx.bars(spark, d)).persist()
     index = rets.where(F.col("ticker") == fx.INDEX).select("date").distinct()
-    return returns.aligned(rets, fx.INDEX), index
+    return returns.aligned(rets, fx.INDEX).persist(), index
 
 
 def studied(spark, d):
