@@ -121,9 +121,9 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = trades(spark, sf_dir).groupBy("ann_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.struct(*sourced).alias("t")))).alias("rows"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ann_id"), F.col("o_orderdate").alias("at"))
     both = orders.join(lists, "ann_id", "left").withColumn("rows", F.transform(F.coalesce("rows", F.array()), lambda x: x["t"]))
-    full = both.select("ann_id", F.expr("at + interval 2 days").alias("extracted_at"), F.to_json(F.struct(F.col("rows").alias("trades"))).alias("payload"))
-    first = both.where("ann_id % 7 = 0").select("ann_id", F.expr("at + interval 1 day").alias("extracted_at"), F.to_json(F.struct(F.slice("rows", 1, 1).alias("trades"))).alias("payload"))
-    return full.unionByName(first).select("ann_id", F.lit("bulk").alias("model"), F.lit("trades_v3").alias("prompt_version"), "extracted_at", "payload")
+    version = lambda days, rows: F.struct(F.expr(f"at + interval {days} days").alias("extracted_at"), F.to_json(F.struct(rows.alias("trades"))).alias("payload"))
+    versions = F.array(version(2, F.col("rows")), F.when(F.col("ann_id") % 7 == 0, version(1, F.slice("rows", 1, 1))))
+    return both.select("ann_id", F.lit("bulk").alias("model"), F.lit("trades_v3").alias("prompt_version"), F.inline(versions)).where("extracted_at is not null")
 
 
 #: Line numbers repeat within an order; rows that agree in all of these are the same to every score.
@@ -161,7 +161,7 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 13 != 0, F.col("quantity")).alias("quantity"), F.when(F.col("k") % 17 == 0, F.col("total_consideration") + 1).otherwise(F.col("total_consideration")).cast("decimal(18,2)").alias("total_consideration"), "trade_date",
     )
     invented = F.struct((F.col("idx") + 100).alias("idx"), F.lit("Nobody").alias("director_name"), "trade_type", "security_class", "quantity", "total_consideration", F.lit("1990-01-01").cast("date").alias("trade_date"))
-    return rows.select("ann_id", F.inline(F.array_compact(F.array(F.when(F.col("k") % 11 != 0, stated), F.when(F.col("k") % 19 == 0, invented)))))
+    return rows.select("ann_id", F.inline(F.array(F.when(F.col("k") % 11 != 0, stated), F.when(F.col("k") % 19 == 0, invented)))).where("idx is not null")
 
 
 PREDICTED = """

@@ -79,8 +79,9 @@ def split_valid(rows: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame,
 
 
 def parse_payload(rows: DataFrame, payload: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``parsed``, rows whose payload is no JSON of that shape at all)."""
-    parsed = rows.withColumn("parsed", F.from_json(payload, schema))
+    """(rows with ``parsed``, rows whose payload is no JSON of that shape at all). The payload is parsed once, by a generator
+    of one row, as a filter on a plain column would be pushed down and parse it again."""
+    parsed = rows.select("*", F.explode(F.array(F.from_json(payload, schema))).alias("parsed"))
     top = [f.name for f in schema.fields]
     broken = F.col("parsed").isNull() | sum(F.col(f"parsed.{n}").isNull().cast("int") for n in top).__eq__(len(top))
     return parsed.where(~broken), parsed.where(broken).drop("parsed")
