@@ -199,3 +199,45 @@ def batch_rows(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             yield from zip(*(column.to_pylist() for column in batch.slice(at, 512).columns), strict=True)
+
+
+def with_row(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a column that names each of its rows for good: the Parquet file it is in and its place there. A frame that
+    is not read straight from Parquet is written first. Equal rows have different names, so they can be dealt apart."""
+    from pyspark.errors import AnalysisException
+
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias(name)
+    if "_metadata" not in df.columns:
+        with contextlib.suppress(AnalysisException):
+            found = df.select("*", place)
+            found.schema  # resolved now, not when it is read
+            return found
+    (held,) = fresh(df.columns, "metadata")
+    df = df.withColumnRenamed("_metadata", held) if "_metadata" in df.columns else df
+    found = written(df, "rows").select("*", place)
+    return found.withColumnRenamed(held, "_metadata") if held in found.columns else found
+
+
+#: A key that holds one row in so many, or more, is broadcast by ``lookup``: there are at most so many such keys.
+HOT_SHARE = 1000
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row a key; ``n`` says how many rows have it, out of ``total``).
+
+    The at most ``HOT_SHARE`` keys with that share of the rows are broadcast. Their rows, and those with a null key, then go
+    to tasks by their place in the scan, so no task of the join of the rest gets all rows of a key. ``rows`` is read from
+    files, so that places stay the same if a task runs again.
+    """
+    values = [c for c in table.columns if c not in keys]
+    tie, hot, rest = fresh([*rows.columns, *table.columns], "tie", "hot", "rest")
+    packed = lambda name: F.struct(*columns(values)).alias(name)
+    often = table.where(F.col(n) * HOT_SHARE >= total).select(*columns(keys), packed(hot))
+    seldom = table.where(F.col(n) * HOT_SHARE < total).select(*columns(keys), F.lit(0).cast("long").alias(tie), packed(rest))
+    none = F.lit(False)
+    for key in columns(keys):
+        none = none | key.isNull()
+    spread = F.xxhash64(F.monotonically_increasing_id()).bitwiseOR(F.lit(1))  # never 0
+    dealt = rows.join(F.broadcast(often), keys, "left").withColumn(tie, F.when(none | F.col(hot).isNotNull(), spread).otherwise(F.lit(0).cast("long")))
+    found = dealt.join(seldom, [*keys, tie], "left")
+    return found.select(*columns(rows.columns), *[F.coalesce(F.col(hot)[v], F.col(rest)[v]).alias(v) for v in values])

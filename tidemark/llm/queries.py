@@ -7,7 +7,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprints, line_dedup, packing, pii, quality_model, quality_rules, rank_bpe, shard_store, simhash, token_store
+from . import common, dominance, fingerprints, line_dedup, packing, pii, quality_model, quality_rules, rank_bpe, shard_store, simhash, token_store
 
 #: How many arrivals the documents come in, for the shard store.
 ARRIVALS = 8
@@ -65,7 +65,16 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(common.documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op7_quality_model, op8_simhash, op9_packing, op10_fingerprints)}
+def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales = spark.read.parquet(f"{sf_dir}/sales.parquet")
+    kind = sales.schema["sold_at"].dataType.typeName()
+    hours = F.floor(F.unix_seconds("sold_at") / 3600) if kind == "timestamp" else F.datediff(F.col("sold_at").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour("sold_at")
+    crc = F.coalesce(F.crc32(F.col("sale_id").cast("string").cast("binary")), F.lit(0).cast("long"))
+    rows = sales.select("sale_id", hours.alias("slot"), F.floor(F.floor(100 * F.col("total") + 0.5) / 100).alias("level"), (1 + crc % 2).alias("stands_for"))
+    return dominance.above(rows, weight="stands_for", names=("n_sales", "n_rows")).drop("stands_for")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op7_quality_model, op8_simhash, op9_packing, op10_fingerprints, op13_dominance)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +113,15 @@ kept as (select doc_id, i, x, k in (select k from frequent) as gone from lines)
 select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
   sha256(coalesce(string_agg(x, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from kept group by doc_id""",
+    "op13_dominance": r"""
+with steps as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) as t),
+rows as (
+  select sale_id, cast(floor(floor(epoch(sold_at)) / 3600) as bigint) as slot, cast(floor(floor(100 * total + 0.5) / 100) as bigint) as level,
+    1 + (xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(sale_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) & 1) as w
+  from sales, steps),
+cells as (select slot, level, count(*) as n, sum(w) as w from rows where slot is not null and level is not null group by all),
+over as (
+  select a.slot, a.level, cast(coalesce(sum(b.n), 0) as bigint) as n_sales, cast(coalesce(sum(b.w), 0) as bigint) as n_rows
+  from cells a left join cells b on b.slot <= a.slot and b.level > a.level group by all)
+select sale_id, slot, level, n_sales, n_rows from rows left join over using (slot, level)""",
 }
