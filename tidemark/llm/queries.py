@@ -7,7 +7,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, dominance, fingerprints, line_dedup, packing, pii, quality_model, quality_rules, rank_bpe, shard_store, simhash, token_store
+from . import common, dominance, fingerprints, hard_negatives, line_dedup, packing, pii, quality_model, quality_rules, rank_bpe, shard_store, simhash, token_store
 
 #: How many arrivals the documents come in, for the shard store.
 ARRIVALS = 8
@@ -65,6 +65,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(common.documents(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("id") % 100 == 0, positives=5, negatives=10, least=30, most=90)
+
+
 def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales = spark.read.parquet(f"{sf_dir}/sales.parquet")
     kind = sales.schema["sold_at"].dataType.typeName()
@@ -74,7 +80,7 @@ def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.above(rows, weight="stands_for", names=("n_sales", "n_rows")).drop("stands_for")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op7_quality_model, op8_simhash, op9_packing, op10_fingerprints, op13_dominance)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op7_quality_model, op8_simhash, op9_packing, op10_fingerprints, op12_hard_negatives, op13_dominance)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -113,6 +119,20 @@ kept as (select doc_id, i, x, k in (select k from frequent) as gone from lines)
 select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
   sha256(coalesce(string_agg(x, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from kept group by doc_id""",
+    "op12_hard_negatives": """
+with sound as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from sound a join sound b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, other as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+ranked as (
+  select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, other) as rank, other as negative_id, positive_score, score as negative_score
+  from positives join scored using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select * from ranked where rank <= 10""",
     "op13_dominance": r"""
 with steps as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) as t),
 rows as (
