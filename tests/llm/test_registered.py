@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_simhash": "doc_id fingerprint component_id",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op11_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op12_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
     "op13_dominance": "sale_id slot level n_sales n_rows",
 }

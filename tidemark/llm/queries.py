@@ -7,7 +7,7 @@ from public_tokenizers import path as vocabulary_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, dominance, fingerprints, hard_negatives, line_dedup, packing, pii, quality_model, quality_rules, rank_bpe, shard_store, simhash, token_store
+from . import common, dominance, fingerprints, hard_negatives, line_dedup, packing, pii, quality_model, quality_rules, rank_bpe, shard_store, simhash, token_store, warc
 
 #: How many arrivals the documents come in, for the shard store.
 ARRIVALS = 8
@@ -65,6 +65,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(common.documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.scratch_path(spark, "warc")
+    archives = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{folder}/monolithic")
+    found = warc.read(warc.normalise(archives, f"{folder}/by-record"), payloads=False)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_to_key").alias("refers_to"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -80,7 +87,7 @@ def op13_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominance.above(rows, weight="stands_for", names=("n_sales", "n_rows")).drop("stands_for")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op7_quality_model, op8_simhash, op9_packing, op10_fingerprints, op12_hard_negatives, op13_dominance)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_quality_rules, op3_shard_store, op4_rank_bpe, op5_pii, op6_line_dedup, op7_quality_model, op8_simhash, op9_packing, op10_fingerprints, op11_warc, op12_hard_negatives, op13_dominance)}
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
@@ -119,6 +126,17 @@ kept as (select doc_id, i, x, k in (select k from frequent) as gone from lines)
 select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
   sha256(coalesce(string_agg(x, chr(10) order by i) filter (not gone), '')) as kept_sha256
 from kept group by doc_id""",
+    "op11_warc": """
+with rows as (select page_id, coalesce(html, '') as t from pages),
+firsts as (select t, min(page_id) as first from rows group by t),
+bits as (
+  select page_id, t, first, list_transform(range(40), lambda i: strpos('0123456789abcdef', sha1(t)[i + 1]) - 1) as x
+  from rows join firsts using (t))
+select page_id, cast(strlen(t) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((list_sum(list_transform(range(5), lambda k: x[5 * g + k + 1] << (4 * (4 - k)))) >> (15 - 5 * j)) & 31 as int), 1)), '')), '') as payload_digest,
+  if(page_id = first, 'response', 'revisit') as record_type, if(page_id = first, null, first) as refers_to
+from bits""",
     "op12_hard_negatives": """
 with sound as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
