@@ -1,17 +1,17 @@
 """Operator 5: personal data by exact rules and a semi-Markov conditional random field.
 
 The rules find the four base kinds; their spans always stay. The field adds what rules miss: it segments each region
-around a trigger (digits, an at sign or its word in brackets, a long run of letters and digits) into single tokens outside and whole spans of a
+around a trigger (digits, groups of hexadecimal digits between colons, an at sign or its word in brackets, a long run of letters and digits) into single tokens outside and whole spans of a
 kind, of at most ``MOST_TOKENS`` tokens and ``MOST_CHARS`` characters. A span has an at sign or its word, a token of 20
-characters or more, or 7 to 19 digits. Features score whole candidate spans (shape, length, check digits, the words before it), and a
-dynamic programme over bounded segments picks boundaries and kinds jointly. A region around an at sign or such a word takes in all
+characters or more, two colons, or 7 to 34 digits. Features score whole candidate spans (shape, length, check digits, the words before it), and a
+dynamic programme over bounded segments picks boundaries and kinds jointly; a kind has a cost for each kind that it follows at once. A region around an at sign or such a word takes in all
 tokens that a span of ``MOST_TOKENS`` may have beside it; around digits and long runs it ends with them, so words of letters that are more than
 three characters from any trigger are not candidates, and the optimum is that of the regions. Base spans are barriers. The weights maximise the penalised
 likelihood of lines made from templates with a fixed seed, and are fitted anew in each process that asks for them.
 
 Texts of any length take time and memory in proportion: tokens are read in blocks of ``BLOCK_TOKENS`` with the few before
-that a span may begin in. A segment whose best score is not positive never beats leaving its tokens outside, so only
-the others are kept, until none that is still to come can overlap them; then their optimum is final.
+that a span may begin in. As such costs never add to a score, a segment whose best score is not positive never beats leaving its tokens
+outside, so only the others are kept, until none that is still to come can overlap them; then their optimum is final.
 
 A null text is empty and has no spans. Rows of equal or null doc_id are read each on its own; other columns are left out
 of ``find`` and pass through ``mask``; an empty table gives an empty result.
@@ -92,16 +92,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 WORD = re.compile(r"[^\W_]*")
-TRIGGER = re.compile(r"[0-9]+|@|[A-Za-z0-9]{20,}|\b(?i:at|dot)\b(?= ?[\])}])")
+TRIGGER = re.compile(r"\b[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){2,7}\b|\b[A-Z]{2}[0-9]{2} [A-Z]{4}(?= [0-9])|[0-9]+|@|[A-Za-z0-9]{20,}|\b(?i:at|dot)\b(?= ?[\])}])")
+#: What keys begin with.
+PREFIX = re.compile(r"(?<![^\W_])(?:[A-Za-z]{2,5}[_-]){1,2}\Z")
 #: Words that introduce a kind, as they are matched in lower case just before a span.
 CUES = {
     "email": ("email", "mail", "contact", "write"),
-    "ip": ("ip", "host", "address", "server"),
+    "ip": ("ip", "host", "address", "server", "from", "peer"),
     "card": ("card", "visa", "credit", "payment"),
     "phone": ("phone", "tel", "telephone", "call", "mobile", "fax", "cell"),
     "secret": ("token", "key", "secret", "password", "passwd", "apikey", "bearer", "credential"),
-    "id_number": ("ssn", "social", "security", "passport", "insurance", "id"),
+    "id_number": ("ssn", "social", "security", "passport", "insurance", "id", "iban", "account"),
 }
+#: Words that introduce numbers and codes which are nobody's.
+OTHER_CUES = frozenset("commit sha md5 hash digest checksum etag revision rev isbn issn doi uuid guid version build release order value measured lat lon coordinates parcel ticket invoice page".split())
 SHAPES = (
     re.compile(r"(?:\+[0-9]{1,3} )?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}"),
     re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
@@ -111,6 +115,18 @@ SHAPES = (
     re.compile(r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}"),
     re.compile(r"[0-9]+(?:[.,][0-9]+)*"),
     re.compile(r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}"),
+    re.compile(r"[0-9]{4}([./_])[0-9]{4}(?:\1[0-9]{4}){2}"),  # a card with other separators
+    re.compile(r"[0-9]+[.,][0-9]{3,}"),
+    re.compile(r"(?:\+[0-9]{1,3} )?\([0-9]{2,5}\) ?[0-9]{3}(?:[0-9]{2,5}|-[0-9]{4})"),  # an area code in brackets
+    re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=.*::)(?!.*::.*::)[0-9A-Fa-f]{1,4}(?:::?[0-9A-Fa-f]{1,4}){1,7}"),
+    re.compile(r"(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}"),
+    re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?"),  # an account number
+    re.compile(r"[A-Za-z]{2,5}[_-](?:[A-Za-z]{2,5}_)?[A-Za-z0-9]{20,}"),  # a key with a prefix
+    re.compile(r"(?=.*[0-9])[A-Z]{4}[A-Z0-9]{16}"),
+    re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
+    re.compile(r"[0-9]{3}-[0-9]{1,5}-[0-9]{1,7}-[0-9]{1,7}-[0-9]"),
+    re.compile(r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?(?:[.,][0-9]+)?|[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|X)?"),
+    re.compile(r"[0-9]{2}(?:[ .-][0-9]{2}){4}|[0-9]{2,3}[ /-][0-9]{3,4}[ -]?[0-9]{3,5}|[0-9]{4,5}[ /-][0-9]{4,8}|[0-9]{5} [0-9]{6}|[0-9]{2}[0-9]{2} [0-9]{2} [0-9]{3,8}(?: [0-9]{3,5})?"),  # national numbers
 )
 #: Characters of a kind that span features do not tell apart, by what they become.
 ALIKE = str.maketrans(string.digits + string.ascii_letters, "0" * 10 + "b" * 6 + "x" * 20 + "B" * 6 + "X" * 20)
@@ -131,6 +147,10 @@ def span_features(span: str) -> list[float]:
         float("," in span),
         float(inner == 1),
         inner / MOST_TOKENS,
+        float(n_digits > 19),
+        float(":" in span),
+        float("." in span),
+        float(" " in span),
     ]
 
 
@@ -140,8 +160,9 @@ def start_features(upto: str) -> list[float]:
     cue, left = set(re.findall(r"[a-z]+", before.lower())[-2:]), before[-1:]
     return [
         *[float(bool(cue.intersection(CUES[k]))) for k in KINDS],
+        float(not cue.isdisjoint(OTHER_CUES)),
         float(left.isalnum() or left in "-_+/" and left != ""),
-        float(left in ".,-" and left != "" and before[-2:-1].isalnum()),
+        float(left in ".,-:" and left != "" and before[-2:-1].isalnum()),
         float(left in " -" and left != "" and before[-2:-1].isdigit() and first.isdigit()),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))),
     ]
@@ -152,14 +173,15 @@ def end_features(after: str) -> list[float]:
     right = after[:1]
     return [
         float(right.isalnum() or right in "-_/@" and right != ""),
-        float(right in ".," and right != "" and after[1:].isdigit()),
+        float(right in ".,:" and right != "" and after[1:].isalnum()),
         float(right in " -" and right != "" and after[1:].isdigit()),
     ]
 
 
-N_SPAN, N_START, N_END = len(SHAPES) + 9, len(KINDS) + 4, 3
-#: The last two: a card's check digits, and the same quote on either side.
-N_FEATURES = N_SPAN + N_START + N_END + 2
+N_SPAN, N_START, N_END = len(SHAPES) + 13, len(KINDS) + 5, 3
+#: The last: a card's check digits, the same quote on either side, and a zero as the first digit.
+N_JOINT = 3
+N_FEATURES = N_SPAN + N_START + N_END + N_JOINT
 
 
 def _beside(text: str, start: int, end: int) -> tuple[int, int]:
@@ -190,6 +212,8 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
             while start > word_end and text[start - 1].isalnum():
                 start -= 1
             end = word_end = WORD.match(text, end).end()
+            if end - start >= 20 and (prefix := PREFIX.search(text, max(0, start - 12), start)):
+                start = prefix.start()
         if start and text[start - 1] in "(+":
             start -= 1
         while ends and start - ends[-1] <= 3:
@@ -214,24 +238,26 @@ class Lattice:
         digits = np.concatenate(([0], np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))))
         at = np.array([w == "@" or len(w) == 2 and w.lower() == "at" for w in words])
         since = lambda flags: np.concatenate(([0], np.cumsum(flags)))
-        ats, longs = since(at), since(q - p >= 20)
+        ats, longs, colons = since(at), since(q - p >= 20), since([w == ":" for w in words])
         low, high = barred
         place = np.searchsorted(high, p, side="right")
         free = np.ones(len(p), bool) if not len(low) else ~((place < len(low)) & (np.append(low, np.iinfo(np.int64).max)[place] < q))
         ends = [w[-1].isalnum() for w in words]
         opens = free & np.array([w[0].isalnum() or w[0] in "(+" for w in words])
         closes = free & np.array(ends)
+        self.fresh = breaks.astype(bool)
         breaks = since(breaks.astype(bool) | ~free | np.concatenate(([False], ~free[:-1])))
         firsts, lasts = [], []
         for length in range(1, min(MOST_TOKENS, len(p)) + 1):
             i = np.arange(max(0, old - length + 1), len(p) - length + 1)
             j = i + length
             n, chars = digits[j] - digits[i], q[j - 1] - p[i]
-            marked = (ats[j] > ats[i]) | (longs[j] > longs[i]) | (n >= 7) & (n <= 19)
+            marked = (ats[j] > ats[i]) | (longs[j] > longs[i]) | (colons[j] > colons[i] + 1) | (n >= 7) & (n <= 34)
             ok = opens[i] & closes[j - 1] & (breaks[j] == breaks[i + 1]) & marked & (chars >= 6) & (chars <= MOST_CHARS)
             firsts.append(i[ok]), lasts.append(j[ok])
         self.i, self.j = np.concatenate(firsts), np.concatenate(lasts)
         self.begin, self.end = p[self.i], q[self.j - 1]
+        self.fresh = self.fresh[self.i]  # no segment ends just before it in the same line and region
         self.exact = ats[self.j] > ats[self.i]
         value = np.frombuffer("".join(runs).encode(), np.uint8).astype(np.int64) - 48
         self.luhn = self._luhn(value, digits[self.i], digits[self.j]) & (digits[self.j] - digits[self.i] >= self.end - self.begin - 4)
@@ -258,7 +284,8 @@ class Lattice:
         before = [text[max(0, a - 24) : a + 1].translate(ZEROS) for a in begins]
         after = [text[b : b + 2].translate(ZEROS) for b in ends]
         quoted = np.array([x[-2:-1] in ("'", '"') and x[-2:-1] == y[:1] for x, y in zip(before, after, strict=True)], bool)
-        return spans, before, after, np.column_stack([self.luhn, quoted]).astype(float)
+        zero = np.array([text[a] == "0" or text[a : a + 2] == "(0" for a in begins], bool)
+        return spans, before, after, np.column_stack([self.luhn, quoted, zero]).astype(float)
 
 
 def feature_matrix(lattice: Lattice):
@@ -267,16 +294,16 @@ def feature_matrix(lattice: Lattice):
 
     spans, before, after, joint = lattice.keys()
     rows = [span_features(s) + start_features(b) + end_features(a) for s, b, a in zip(spans, before, after, strict=True)]
-    return np.column_stack([np.array(rows).reshape(len(rows), N_FEATURES - 2), joint])
+    return np.column_stack([np.array(rows).reshape(len(rows), N_FEATURES - N_JOINT), joint])
 
 
 class Scorer:
     """Scores of segments by kind. What recurs (shapes of spans, what stands before and after) is scored once; bounded by starting anew."""
 
     def __init__(self, weights, most: int = 20_000):
-        cuts = (0, N_SPAN, N_SPAN + N_START, N_FEATURES - 2)
+        cuts = (0, N_SPAN, N_SPAN + N_START, N_FEATURES - N_JOINT)
         self.parts = [(f, weights[a:b], {}) for f, a, b in zip((span_features, start_features, end_features), cuts, cuts[1:], strict=False)]
-        self.joint, self.most = weights[N_FEATURES - 2 :], most
+        self.joint, self.moves, self.most = weights[N_FEATURES - N_JOINT : N_FEATURES], weights[N_FEATURES:], most
 
     def __call__(self, lattice: Lattice):
         import numpy as np
@@ -309,51 +336,99 @@ def token_blocks(text: str, parts, old: int = MOST_TOKENS - 1) -> Iterator[tuple
         yield block, kept, first
 
 
-def best_segments(n: int, segments: list[tuple[int, int]], scores) -> list[tuple[int, int, int]]:
-    """Segments (i, j, kind) of greatest total score; a token outside scores 0."""
+def best_segments(n: int, segments: list[tuple[int, int]], scores, moves=None, fresh=None) -> list[tuple[int, int, int]]:
+    """Segments (i, j, kind) of greatest total score; a token outside scores 0. A kind that follows another at once gets the
+    weight ``moves`` [before, own], unless its segment is ``fresh``."""
+    import numpy as np
+
+    kinds = scores.shape[1] if len(segments) else 0
+    moves = np.zeros((kinds, kinds)) if moves is None else moves
     ending: list[list[int]] = [[] for _ in range(n + 1)]
     for s, (_, j) in enumerate(segments):
         ending[j].append(s)
-    value, back = [0.0] * (n + 1), [None] * (n + 1)
+    value, back = np.full((n + 1, kinds + 1), -np.inf), {}  # by what ends there: a token outside (0) or a kind
+    value[0, 0] = 0.0
     for j in range(1, n + 1):
-        value[j] = value[j - 1]
+        last = int(value[j - 1].argmax())
+        value[j, 0], back[j, 0] = value[j - 1, last], (j - 1, last)
         for s in ending[j]:
-            kind = int(scores[s].argmax())
-            if (total := value[segments[s][0]] + float(scores[s][kind])) > value[j]:
-                value[j], back[j] = total, (segments[s][0], kind)
-    found, j = [], n
+            i = segments[s][0]
+            ways = value[i][:, None] + (0.0 if fresh is not None and fresh[s] else np.vstack([np.zeros(kinds), moves]))
+            ways = np.broadcast_to(ways, (kinds + 1, kinds)) + scores[s]
+            for kind, last in enumerate(ways.argmax(axis=0).tolist()):
+                if ways[last, kind] > value[j, kind + 1]:
+                    value[j, kind + 1], back[j, kind + 1] = ways[last, kind], (i, last)
+    found, j, last = [], n, int(value[n].argmax())
     while j:
-        if back[j] is None:
-            j -= 1
-        else:
-            i, kind = back[j]
-            found.append((i, j, kind))
-            j = i
+        i, before = back[j, last]
+        if last:
+            found.append((i, j, last - 1))
+        j, last = i, before
     return found[::-1]
 
 
-def expected(n: int, segments: list[tuple[int, int]], scores):
-    """(log partition function, probability of each segment and kind), by forward and backward sums over segmentations."""
-    import numpy as np
+class Lines:
+    """Lines as one batch: expected segments and moves by forward and backward sums over all segmentations of each line."""
 
-    pooled = np.logaddexp.reduce(scores, axis=1) if len(segments) else []
-    ahead, behind = [0.0] + [-np.inf] * n, [-np.inf] * n + [0.0]
-    starting: list[list[int]] = [[] for _ in range(n + 1)]
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    for s, (i, j) in enumerate(segments):
-        starting[i].append(s)
-        ending[j].append(s)
-    for j in range(1, n + 1):
-        ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[segments[s][0]] + pooled[s] for s in ending[j])])
-    for i in range(n - 1, -1, -1):
-        behind[i] = np.logaddexp.reduce([behind[i + 1], *(behind[segments[s][1]] + pooled[s] for s in starting[i])])
-    outside = np.array([ahead[i] + behind[j] for i, j in segments]) - ahead[n]
-    return ahead[n], np.exp(outside[:, None] + scores) if len(segments) else np.zeros((0, len(KINDS)))
+    def __init__(self, cases):
+        """cases: (tokens, segments, fresh) of each line."""
+        import numpy as np
+
+        self.count, self.most = len(cases), max(n for n, _, _ in cases)
+        self.line = np.repeat(np.arange(len(cases)), [len(x) for _, x, _ in cases])
+        self.i, self.j = (np.array([x[k] for _, segments, _ in cases for x in segments], np.int64) for k in (0, 1))
+        self.joined = ~np.concatenate([np.asarray(f, bool) for _, _, f in cases])
+        self.by_start, self.by_end = (self._steps(of) for of in (self.i, self.j))
+
+    def _steps(self, of):
+        """For each place its segments, by line, and where a line's begin."""
+        import numpy as np
 
+        found = []
+        for place in range(self.most + 1):
+            own = np.flatnonzero(of == place)
+            own = own[np.argsort(self.line[own], kind="stable")]
+            lines, starts = np.unique(self.line[own], return_index=True)
+            found.append((own, lines, starts))
+        return found
 
-def training_lines(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    def expected(self, scores, moves):
+        """(log partition function of each line, probability of each segment and kind, expected moves of kind to kind)."""
+        import numpy as np
+
+        pool = np.logaddexp.reduce
+        kinds = scores.shape[1]
+        ahead = np.full((self.count, self.most + 1, kinds + 1), -np.inf)
+        behind = np.zeros((self.count, self.most + 1, kinds + 1))
+        ahead[:, 0, 0] = 0
+        into = np.empty((len(self.i), kinds))  # all that may stand before a segment of a kind
+        for j in range(1, self.most + 1):
+            ahead[:, j, 0] = pool(ahead[:, j - 1], axis=1)
+            own, lines, starts = self.by_end[j]
+            if len(own):
+                before = ahead[self.line[own], self.i[own]]
+                after_kind = pool(before[:, 1:, None] + np.where(self.joined[own], 1.0, 0.0)[:, None, None] * moves, axis=1)
+                into[own] = np.logaddexp(before[:, :1], after_kind)
+                ahead[lines, j, 1:] = np.logaddexp.reduceat(into[own] + scores[own], starts, axis=0)
+        for i in range(self.most - 1, -1, -1):
+            behind[:, i] = behind[:, i + 1, :1]
+            own, lines, starts = self.by_start[i]
+            if len(own):
+                ways = scores[own] + behind[self.line[own], self.j[own], 1:]
+                after_kind = pool(ways[:, None, :] + np.where(self.joined[own], 1.0, 0.0)[:, None, None] * moves, axis=2)
+                total = np.column_stack([pool(ways, axis=1), after_kind])
+                behind[lines, i] = np.logaddexp(behind[lines, i], np.logaddexp.reduceat(total, starts, axis=0))
+        whole = pool(ahead[:, -1], axis=1)
+        rest = scores + behind[self.line, self.j, 1:] - whole[self.line, None]
+        own = self.joined
+        pairs = ahead[self.line[own], self.i[own], 1:, None] + moves + rest[own][:, None, :]
+        return whole, np.exp(into + rest), np.exp(pairs).sum(axis=0)
+
+
+def training_lines(n: int = 700, seed: int = 7) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Made lines with their spans, and lines whose numbers are nobody's."""
     rng = random.Random(seed)
+    HEX = "0123456789abcdef"  # noqa: N806
     word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9)))
     num = lambda k: "".join(rng.choices(string.digits, k=k))
     letters = lambda k, of: "".join(rng.choices(of, k=k))
@@ -362,19 +437,49 @@ def training_lines(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[st
         body = num(k - 1)
         return next(body + d for d in string.digits if luhn(body + d))
 
+    def v6():
+        groups = [f"{rng.randrange(1 << rng.choice([4, 8, 16, 16, 16])):x}" for _ in range(8)]
+        if rng.random() < 0.5:
+            at = rng.randint(1, 5)
+            return ":".join(groups[:at]) + "::" + ":".join(groups[at + rng.randint(1, 7 - at) :])
+        return ":".join(g.zfill(4) for g in groups) if rng.random() < 0.5 else ":".join(groups)
+
+    def national():
+        """Made to the length of the numbers of several countries."""
+        first = lambda k: rng.choice("123456789") + num(k - 1)
+        german, french = "0" + first(rng.choice([2, 3, 4])), ["0" + first(1), num(2), num(2), num(2), num(2)]
+        return [f"{german}{rng.choice([' ', '/', '-', ' / '])}{first(rng.randint(6, 8))}", f"({german}) {first(rng.randint(5, 7))}", f"{german} {num(3)} {num(4)}", " ".join(french), rng.choice(["-", ""]).join(french), f"0{first(2)} {num(4)} {num(4)}", f"0{first(4)} {num(6)}", f"00{num(2)} {first(2)} {num(3)} {num(4)}"]
+
+    def keys():
+        mixed = string.ascii_letters + string.digits
+        return [f"{rng.choice(['ghp', 'gho', 'glpat', 'xoxb'])}{rng.choice('_-')}{letters(36, mixed)}", f"AKIA{letters(16, string.ascii_uppercase + string.digits)}", f"{rng.choice(['sk', 'pk'])}{rng.choice(['_live_', '_test_', '-'])}{letters(rng.randint(24, 40), mixed)}"]
+
+    def account():
+        return rng.choice([f"DE{num(20)}", f"FR{num(25)}", f"GB{num(2)}{letters(4, string.ascii_uppercase)}{num(14)}", f"NL{num(2)}{letters(4, string.ascii_uppercase)}{num(10)}", f"ES{num(22)}", f"IT{num(2)}{letters(1, string.ascii_uppercase)}{num(22)}"])
+
     makes = {
         "email": lambda: rng.choice([f"{word()}.{num(2)} [at] {word()} [dot] com", f"{word()}(at){word()}.org", f"{word()} {{at}} {word()} {{dot}} net", f"{word()}{num(1)}[at]{word()}[dot]{word()}[dot]de"]),
-        "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
-        "card": lambda: rng.choice([card(), " ".join(re.findall("....", card()))]),
-        "phone": lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}"]),
-        "secret": lambda: rng.choice([letters(40, "0123456789abcdef"), letters(32, "0123456789abcdef"), letters(24, string.ascii_letters) + num(6) + letters(6, string.ascii_letters)]),
-        "id_number": lambda: f"{num(3)}-{num(2)}-{num(4)}",
+        "ip": lambda: rng.choice([v6(), v6(), v6(), ".".join(str(rng.randint(0, 255)) for _ in range(4))]),
+        "card": lambda: rng.choice([card(), " ".join(re.findall("....", card())), rng.choice("./_").join(re.findall("....", card()))]),
+        "phone": lambda: rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", *national()]),
+        "secret": lambda: rng.choice([letters(40, HEX), letters(32, HEX), letters(64, HEX), letters(24, string.ascii_letters) + num(6) + letters(6, string.ascii_letters), *keys(), *keys()]),
+        "id_number": lambda: rng.choice([f"{num(3)}-{num(2)}-{num(4)}", account(), " ".join(re.findall(".{1,4}", account()))]),
     }
+    code = lambda k: letters(k, HEX)
+    day = lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02d}-{rng.randint(10, 28)}"
+    clock = lambda: f"{rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}"
     others = (
-        lambda: f"{rng.randint(1900, 2030)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"version {num(1)}.{num(1)}.{num(2)}", lambda: num(rng.randint(1, 12)), lambda: num(16),
+        day, lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"version {num(1)}.{num(1)}.{num(2)}", lambda: num(rng.randint(1, 12)), lambda: num(16), lambda: num(rng.randint(7, 11)),
         lambda: f"{num(2)}.{num(2)} EUR", lambda: f"{num(3)}-{num(3)}", lambda: word() + num(2), lambda: f"page {num(3)} of {num(4)}", lambda: f"{num(10)}-{num(12)}", lambda: f"{num(2)}:{num(2)}:{num(2)}",
         lambda: letters(rng.randint(20, 45), string.ascii_lowercase), lambda: " | ".join(num(4) for _ in range(5)), lambda: f"sha1 {num(12)}", lambda: f"{num(4)} {num(4)}",
-        lambda: " ".join(num(rng.randint(1, 6)) for _ in range(rng.randint(5, 30))), lambda: ", ".join(num(rng.randint(2, 5)) for _ in range(rng.randint(4, 12))),
+        lambda: " ".join(num(rng.randint(1, 6)) for _ in range(rng.randint(5, 30))), lambda: " ".join(num(rng.randint(1, 8)) for _ in range(rng.randint(5, 20))), lambda: " ".join(num(rng.randint(2, 7)) for _ in range(rng.randint(3, 6))), lambda: ", ".join(num(rng.randint(2, 5)) for _ in range(rng.randint(4, 12))),
+        lambda: f"{num(rng.randint(1, 4))}.{num(rng.randint(2, 12))}", lambda: f"{rng.choice(['', '-'])}{num(2)}.{num(rng.randint(4, 7))}, {rng.choice(['', '-'])}{num(rng.randint(1, 3))}.{num(rng.randint(4, 7))}",
+        lambda: f"0.{num(rng.randint(4, 10))} {num(1)}.{num(rng.randint(3, 8))}", lambda: f"{num(1)}.{num(5)}e-{num(2)}", lambda: f"{num(1)}.{num(3)}.{num(3)},{num(2)}", lambda: f"{num(1)} {num(3)} {num(3)}",
+        lambda: f"v{num(1)}.{num(2)}.{num(1)}-rc{num(1)}", lambda: f"{num(2)}.{num(1)}.{num(4)}.{num(5)}", lambda: f"{day()}T{clock()}:{num(2)}Z", lambda: f"{day()} {clock()}:{num(2)}.{num(3)}", lambda: f"{clock()} to {clock()}",
+        lambda: f"{clock()}:{num(2)} {clock()}:{num(2)}", lambda: f"{code(8)}-{code(4)}-{code(4)}-{code(4)}-{code(12)}", lambda: f"{rng.choice(['', 'ISBN '])}97{rng.choice('89')}-{num(1)}-{num(2)}-{num(6)}-{num(1)}", lambda: f"ISBN {num(10)}",
+        lambda: f"{rng.choice(['commit', 'sha256', 'md5', 'sha1', 'etag', 'hash', 'checksum'])}{rng.choice([' ', ': ', ':', '=', ' is '])}{code(rng.choice([32, 40, 40, 64, 64]))}", lambda: f"ISSN {num(4)}-{num(4)}", lambda: f"10.{num(4)}/{word()}.{num(4)}.{num(6)}",
+        lambda: ":".join(code(2) for _ in range(6)), lambda: f"{num(4)}-{num(4)}", lambda: f"order {num(4)}-{num(6)}", lambda: f"no. {num(2)}-{num(3)}-{num(3)}", lambda: f"{num(1)}:{num(2)}:{num(2)}:{num(2)}", lambda: f"{num(2)}.{num(2)}.{num(4)} {clock()}",
+        lambda: f"std::{word()}::{word()}", lambda: f"{num(5)} {num(5)}", lambda: f"{num(3)}x{num(3)}x{num(4)}", lambda: f"{word()}{letters(20, string.ascii_lowercase)}", lambda: f"http://{word()}.org/{num(8)}/{word()}-{num(6)}",
     )
     lines = []
     for i in range(n):
@@ -383,15 +488,17 @@ def training_lines(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[st
             text += " ".join(word() for _ in range(rng.randint(1, 4))) + " "
             if rng.random() < 0.55:
                 kind = KINDS[i % len(KINDS)] if rng.random() < 0.7 else rng.choice(KINDS)
-                if kind == "secret" or rng.random() < 0.4:
+                made = makes[kind]()
+                bare = kind == "secret" and (made.isalnum() and not made.startswith("AKIA"))  # nothing but what stands before tells what it is
+                if bare or rng.random() < 0.4:
                     text += rng.choice(CUES[kind]) + (rng.choice([' = "', ": ", "=", ' "', " "]) if kind == "secret" else rng.choice([" ", ": "]))
                 while True:  # now and then the next one follows at once
-                    made = makes[kind]()
                     spans.append((kind, len(text), len(text) + len(made)))
                     text += made
                     if kind not in BASE[1:] or rng.random() < 0.7:
                         break
                     text, kind = text + " ", rng.choice(BASE[1:])
+                    made = makes[kind]()
                 text += rng.choice(['"' if text[spans[-1][1] - 1] == '"' else "", ""]) + rng.choice([" ", ". ", ", "])
             else:
                 text += rng.choice(others)() + rng.choice([" ", ". ", ", "])
@@ -401,31 +508,41 @@ def training_lines(n: int = 300, seed: int = 7) -> list[tuple[str, list[tuple[st
 
 @functools.lru_cache(maxsize=1)
 def fitted(rounds: int = 80, penalty: float = 0.02):
-    """Weights (feature by kind) by gradient ascent with per-weight steps on the penalised log-likelihood."""
+    """Weights (feature by kind, then kind before by kind) by gradient ascent with per-weight steps on the penalised log-likelihood.
+
+    What the rules find is a barrier in training too, so the field learns what is left to it."""
     import numpy as np
 
-    cases = []
+    cases, features, truths, chain = [], [], [], np.zeros((len(KINDS), len(KINDS)))
     for text, spans in training_lines():
+        base = base_spans(text)
+        taken = sorted((a, b) for _, a, b in base)
+        barred = tuple(np.array([x[k] for x in taken], np.int64) for k in (0, 1))
         for block, old, _ in token_blocks(text, regions(text)):
-            lattice = Lattice(text, block, old)
-            segments = list(zip(lattice.i.tolist(), lattice.j.tolist(), strict=True))
-            if not segments:
+            lattice = Lattice(text, block, old, barred)
+            if not len(lattice.i):
                 continue
-            truth = np.zeros((len(segments), len(KINDS)))
+            truth = np.zeros((len(lattice.i), len(KINDS)))
             at = {(a, b): s for s, (a, b) in enumerate(zip(lattice.begin.tolist(), lattice.end.tolist(), strict=True))}
+            ends = {}
             for kind, a, b in spans:
-                if (a, b) in at:
-                    truth[at[a, b], KINDS.index(kind)] = 1
-            cases.append((len(block), segments, feature_matrix(lattice), truth))
-    weights = np.zeros((N_FEATURES, len(KINDS)))
+                if (s := at.get((a, b))) is not None:
+                    truth[s, KINDS.index(kind)] = 1
+                    if not lattice.fresh[s] and int(lattice.i[s]) in ends:
+                        chain[ends[int(lattice.i[s])], KINDS.index(kind)] += 1
+                    ends[int(lattice.j[s])] = KINDS.index(kind)
+            cases.append((len(block), list(zip(lattice.i.tolist(), lattice.j.tolist(), strict=True)), lattice.fresh))
+            features.append(feature_matrix(lattice)), truths.append(truth)
+    lines, x, truth = Lines(cases), np.concatenate(features), np.concatenate(truths)
+    weights = np.zeros((N_FEATURES + len(KINDS), len(KINDS)))
     weights[0] = -2.0
     squares = np.full_like(weights, 1e-3)
     for _ in range(rounds):
-        gradient = -penalty * weights
-        for n, segments, x, truth in cases:
-            gradient = gradient + x.T @ (truth - expected(n, segments, x @ weights)[1])
+        _, found, moved = lines.expected(x @ weights[:N_FEATURES], weights[N_FEATURES:])
+        gradient = np.concatenate([x.T @ (truth - found), chain - moved]) - penalty * weights
         squares += gradient**2
         weights = weights + 0.5 * gradient / np.sqrt(squares)
+        weights[N_FEATURES:] = np.minimum(weights[N_FEATURES:], 0)  # so that a segment of no gain by itself can be left out at once
     return weights
 
 
@@ -433,11 +550,11 @@ def added_spans(text: str, parts, barred, scorer: Scorer) -> Iterator[tuple[str,
     """What the field finds in the regions ``parts``, in order; ``barred``: starts and ends of disjoint stretches, as two arrays."""
     import numpy as np
 
-    held: list[tuple] = []  # segments (i, j, begin, end, scores) that later ones may overlap
+    held: list[tuple] = []  # segments (i, j, begin, end, scores, fresh) that later ones may overlap
 
     def settled():
         low = min(h[0] for h in held)
-        chosen = best_segments(max(h[1] for h in held) - low, [(h[0] - low, h[1] - low) for h in held], np.array([h[4] for h in held]))
+        chosen = best_segments(max(h[1] for h in held) - low, [(h[0] - low, h[1] - low) for h in held], np.array([h[4] for h in held]), scorer.moves, [h[5] for h in held])
         places = {(h[0] - low, h[1] - low): h[2:4] for h in held}
         return [(KINDS[kind], *places[i, j]) for i, j, kind in chosen]
 
@@ -450,10 +567,10 @@ def added_spans(text: str, parts, barred, scorer: Scorer) -> Iterator[tuple[str,
         good = np.flatnonzero(scores.max(axis=1) > 0)
         for s in good[np.lexsort((lattice.i[good], lattice.j[good]))].tolist():
             i, j = first + int(lattice.i[s]), first + int(lattice.j[s])
-            if held and j - MOST_TOKENS >= reach:
+            if held and j - MOST_TOKENS > reach:
                 yield from settled()
                 held.clear()
-            held.append((i, j, int(lattice.begin[s]), int(lattice.end[s]), scores[s]))
+            held.append((i, j, int(lattice.begin[s]), int(lattice.end[s]), scores[s], bool(lattice.fresh[s])))
             reach = j
     if held:
         yield from settled()
