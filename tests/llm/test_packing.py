@@ -71,3 +71,11 @@ def test_rows(spark):
             assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
             assert sum(n for _, n in own) <= 512 and len(own) <= limits.get("most_documents", 512) and sum(n * n for _, n in own) <= limits.get("most_attention", 512**2)
     assert packing.pack(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_equal_rows_are_dealt_to_groups(spark, monkeypatch):
+    """No group is larger than twice what groups are made for, though all rows are alike."""
+    monkeypatch.setattr(packing, "GROUP_DOCS", 500)
+    docs = spark.range(0, 8000, 1, 4).selectExpr("cast(null as long) as doc_id", "if(id % 3 = 0, '', 'one two') as text")
+    found = packing.pack(docs, vocabulary_path("byte_bpe_50k.json")).selectExpr("sequence_id >> 40 as g").groupBy("g").count().collect()
+    assert len(found) == 16 and max(r["count"] for r in found) <= 1000 and sum(r["count"] for r in found) == 8000

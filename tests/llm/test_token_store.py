@@ -68,3 +68,17 @@ def test_hot_and_null_ids_are_split_and_fetch_prunes(spark):
     assert [r["start"] for r in found] == [sum(r["n_tokens"] for r in found[:i]) for i in range(900)]
     assert [r["doc_id"] for r in found] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
     assert len(token_store.fetch(spark, path, 7)) == 300 and len(token_store.fetch(spark, path, 150)) == 1 and token_store.fetch(spark, path, 99) == []
+
+
+def test_equal_rows_are_dealt_apart(spark):
+    """Rows that repeat whole go to all shards, and ids are still those of all rows in order."""
+    docs = spark.range(0, 40_000, 1, 4).selectExpr("if(id % 2 = 0, 7, null) as doc_id", "'same text' as text")
+    path = common.scratch_path(spark, "same")
+    with common.settings(spark, {"spark.sql.shuffle.partitions": "16"}):
+        token_store.write(docs, path, VOCABULARY, end_id=2)
+        found = token_store.digests(spark, path)
+    sizes = [r["count"] for r in spark.read.parquet(f"{path}/blocks").selectExpr("shard", "size(doc_ids) as n").groupBy("shard").sum("n").selectExpr("`sum(n)` as count").collect()]
+    assert len(sizes) >= 14 and max(sizes) < 3 * 40_000 / 16
+    rows = found.orderBy("start").collect()
+    n = rows[0]["n_tokens"]
+    assert [r["start"] for r in rows] == [i * n for i in range(40_000)] and len({r["ids_crc32"] for r in rows}) == 1

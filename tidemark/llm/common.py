@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Text the contracts call white space: space and the controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -218,6 +219,36 @@ def with_row(df: DataFrame, name: str) -> DataFrame:
     return found.withColumnRenamed(held, "_metadata") if held in found.columns else found
 
 
+def row_hash(*columns: str) -> Column:
+    """A hash of values and of the row's own name (``with_row``), so that rows that repeat whole are dealt apart."""
+    *values, row = columns
+    return F.xxhash64(*values, F.col(row)["file"], F.col(row)["row"])
+
+
+def with_number(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a long of its own for each row, the same whenever it is read: the number of its file and its place there."""
+    (row,) = fresh([*df.columns, name], "row")
+    named = with_row(df, row)
+    files = named.select(F.col(row)["file"].alias("file")).distinct()
+    at, no = fresh(named.columns, "file", "no")
+    numbered = files.select(F.col("file").alias(at), (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias(no))  # as many as the scan lists
+    found = named.join(F.broadcast(numbered), F.col(row)["file"] == F.col(at))
+    return found.withColumn(name, F.shiftleft(no, 40) + F.col(row)["row"]).drop(row, at, no)
+
+
+def first_of_components(rows: DataFrame, near: DataFrame, key: str, own: str) -> DataFrame:
+    """``rows`` but for those that are not the first of their component by ``key`` (null last), then ``own``, a long of each
+    row's own. near: doc_id (that long), component_id."""
+    (id_,) = columns([key])
+    ids = rows.select(id_.alias("id"), F.col(own).alias("doc_id"))
+    placed = written(near.select("doc_id", "component_id").join(ids, "doc_id"), "components")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("doc_id"))
+    groups = written(placed.groupBy("component_id").agg(F.min_by("doc_id", order).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    gone = lookup(placed, groups, ["component_id"], "n", total).where("doc_id <> first").select(F.col("doc_id").alias(own))
+    return rows.join(gone, own, "left_anti").drop(own)
+
+
 #: A key that holds one row in so many, or more, is broadcast by ``lookup``: there are at most so many such keys.
 HOT_SHARE = 1000
 

@@ -113,8 +113,9 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, key: str =
 
         return common.record_batches(rows(), PIECE_SCHEMA)
 
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(key, whole).alias("tie")).mapInArrow(run, PIECE_SCHEMA)
+    k, t = common.columns([key, text])
+    rows = common.with_row(docs.select(k.cast("long").alias("doc_id"), F.coalesce(t, F.lit("")).alias("text")), "row")
+    return rows.select("doc_id", "text", common.row_hash("doc_id", "text", "row").alias("tie")).mapInArrow(run, PIECE_SCHEMA)
 
 
 def place_group(rows: Iterable[tuple], group: int, limits: tuple[int, int, int]) -> Iterator[tuple]:

@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str
 
 
 def keep_first(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """One document of each component, that with the least doc_id, with its columns; of rows that share it, one stays."""
-    (own,) = common.fresh(docs.columns, "kept")
-    kept = near_duplicates(docs, k, key, text, words).where("doc_id <=> component_id").select(F.col("component_id").alias(own)).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(own)), "left_semi").dropDuplicates([key])
+    """One row of each component with its columns: that with the least doc_id, null ids last, and of rows that share it the
+    first of the table's files. Rows, not ids, are linked and dropped."""
+    (own,) = common.fresh(docs.columns, "row")
+    rows = common.with_number(docs, own)
+    return common.first_of_components(rows, near_duplicates(rows, k, own, text, words), key, own)

@@ -3,7 +3,7 @@
 Format: Parquet rows are blocks of about ``BLOCK_BYTES``. A block's ``frames`` are zstandard frames end to end, one
 per document, each compressed on its own with the shared dictionary, so a short document is read alone. Its index
 holds doc_ids, the end offset of each frame, and token counts. ``shard``, ``block`` order the blocks; documents ascend
-by doc_id through blocks and shards (null ids first, equal ids by text hash), and first_id, last_id bound the ids of a
+by doc_id through blocks and shards (null ids first, equal ids by a hash of text and row), and first_id, last_id bound the ids of a
 block (null where all of its ids are). ``dictionary`` is a table of one row.
 Ids are unsigned little-endian integers of ``width`` bytes (2 where the vocabulary fits, else 4).
 
@@ -62,7 +62,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None) -> No
     Each document's ids end with ``end_id`` unless that is None. Empty texts, repeated rows and empty tables are kept as they are.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = common.with_row(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
     encoder, width = tokens.library_encoder(vocabulary)
     tail = b"" if end_id is None else end_id.to_bytes(width, "little")
     raw = train_dictionary([x + tail for x in encoder.encode(sample_texts(docs))])
@@ -83,7 +83,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int | None) -> No
         yield from common.record_batches(rows(), FRAME_SCHEMA, 1024)
 
     ranges = common.IdRanges(docs, "doc_id", common.shuffle_partitions(spark))
-    tie = F.xxhash64("text")
+    tie = common.row_hash("text", "row")
     (
         docs.select(ranges.of(tie).alias("shard"), "doc_id", tie.alias("tie"), "text")
         .mapInArrow(frames, FRAME_SCHEMA)
