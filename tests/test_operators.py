@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar, udfs
-from tidemark.operators import asof, dedupe, evaluate, portfolio, resample, returns, signals, stats, study
+from tidemark.operators import asof, dedupe, evaluate, matching, portfolio, resample, returns, signals, stats, study
 
 
 def weekdays(n, start=date(2022, 1, 3)):
@@ -231,6 +231,36 @@ def test_greedy_matching_against_a_walk(spark):
     assert {(r["k"], r["g"], r["p"]) for r in evaluate.match(*frames, "k", fields).collect()} == wanted
 
 
+def test_dominant_edges_against_a_walk(spark):
+    """Rounds of locally dominant edges take what a walk from the best edge on takes, ties and all."""
+    rng = random.Random(5)
+    edges = {(k, rng.randrange(12), rng.randrange(12)): rng.randrange(4) for k in range(60) for _ in range(rng.randint(0, 60))}
+    frame = spark.createDataFrame([(*e, w) for e, w in edges.items()], "k int, g int, p int, w int")
+    wanted, used = set(), set()
+    for w, k, g, p in sorted((w, k, g, p) for (k, g, p), w in edges.items()):
+        if ("g", k, g) not in used and ("p", k, p) not in used:
+            used |= {("g", k, g), ("p", k, p)}
+            wanted.add((k, g, p))
+    found = matching.dominant(frame, ["k", "g"], ["k", "p"], ["w"]).collect()
+    assert len(found) == len(wanted) and {(r["k"], r["g"], r["p"]) for r in found} == wanted
+    assert matching.dominant(frame.limit(0), ["k", "g"], ["k", "p"], ["w"]).count() == 0
+
+
+def test_a_document_of_many_items(spark):
+    """100,000 items a side in one document, a third of them equal; every item finds its own."""
+    fields = (evaluate.Field("n", text=True, identity=True, strong=True), evaluate.Field("t", text=True, identity=True), evaluate.Field("d", identity=True, strong=True), evaluate.Field("q"))
+    n = 100_000
+    base = spark.range(n).select(F.lit(1).alias("k"), F.col("id").cast("int").alias("idx"), F.col("id").alias("__id"))
+    equal = F.col("__id") % 3 == 0
+    golden = base.select("k", "idx", F.when(equal, "same").otherwise(F.concat(F.lit("n"), "__id")).alias("n"), F.lit("buy").alias("t"), F.lit(date(2024, 1, 1)).alias("d").cast("date"), F.when(equal, 1).otherwise(F.col("__id")).cast("long").alias("q"))
+    golden = golden.withColumn("d", F.when(F.col("n") == "same", F.col("d")).otherwise(F.date_add("d", (F.col("idx") / 4).cast("int"))))
+    stated = golden.withColumn("q", F.when(F.col("idx") % 5 == 1, F.col("q") + 1).otherwise(F.col("q"))).withColumn("n", F.upper("n")).withColumn("n", F.when((F.col("idx") % 7 == 2) & (F.col("n") != "SAME"), F.lit(None)).otherwise(F.col("n")))
+    pairs = evaluate.match(golden, stated, "k", fields)
+    assert pairs.agg(F.count("*"), F.count_distinct("g"), F.count_distinct("p")).first() == (n, n, n)
+    unlike = evaluate.score_lists(golden, stated, "k", fields).where("field <> 'q' and outcome not in ('correct', 'missed')").count()
+    assert unlike == 0
+
+
 def test_outcomes_and_empty_tally(spark):
     rows = spark.createDataFrame([(None, None), (None, "x"), ("x", None), (" A  b", "a B "), ("a", "b")], "g string, p string")
     assert [r[0] for r in rows.select(scalar.outcome(F.col("g"), F.col("p"), text=True)).collect()] == ["correct", "hallucinated", "missed", "correct", "wrong"]

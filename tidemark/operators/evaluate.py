@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import scratch
 from ..functions.scalar import outcome
 from ..functions.text import normalize
+from . import matching
 
 OUTCOMES = ("correct", "wrong", "missed", "hallucinated")
 DETECTION = "trade_detection"
@@ -51,63 +52,27 @@ def skipped(golden: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
     return golden.select(*keys).distinct().join(there, keys, "left").agg(F.count_if("__there").alias("n_documents"), F.count_if(F.col("__there").isNull()).alias("n_skipped"))
 
 
-def documents(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field], how: str = "inner") -> DataFrame:
-    """key and the two lists, gs and ps, of structs (i, v): position and fields, text normalised. One row a document; each
-    side is dealt by document once, and not at all where it comes so."""
-
-    def listed(rows: DataFrame, name: str) -> DataFrame:
-        return comparable(rows, [key, F.col("idx").cast("int").alias("i")], fields, "v").groupBy(key).agg(F.collect_list(F.struct("i", "v")).alias(name))
-
-    return listed(golden, "gs").join(listed(stated, "ps"), key, how)
-
-
-def candidate_list(fields: Sequence[Field]) -> Column:
-    """Of a row of ``documents``, the pairs that may be matched: structs (a, i, g, p, outcomes) of agreement and identity, both
-    negative so that the best sort first, the positions, and the fields' outcomes. Both sides must state a strong field alike."""
-    equal = lambda g, p, f: F.coalesce(g["v"][f.name] == p["v"][f.name], F.lit(False))
-    unstated = lambda g, p, f: g["v"][f.name].isNull() & p["v"][f.name].isNull()
-    strong = lambda g, p: functools.reduce(Column.__or__, [equal(g, p, f) for f in fields if f.strong])
-    identity = lambda g, p: sum(equal(g, p, f).cast("int") for f in fields if f.identity)
-    agreement = lambda g, p: sum((equal(g, p, f) | unstated(g, p, f)).cast("int") for f in fields)
-    outcomes = lambda g, p: F.array(*[outcome(g["v"][f.name], p["v"][f.name]) for f in fields])
-    pair = lambda g, p: F.struct((-agreement(g, p)).alias("a"), (-identity(g, p)).alias("i"), g["i"].alias("g"), p["i"].alias("p"), outcomes(g, p).alias("outcomes"))
-    of = lambda g: F.transform(F.filter("ps", lambda p: strong(g, p) & (identity(g, p) >= LEAST_IDENTITY)), lambda p: pair(g, p))
-    return F.flatten(F.transform("gs", of))
-
-
-def candidate_pairs(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
-    """key, g, p, agreement, identity of the pairs that may be matched."""
-    found = documents(golden, stated, key, fields).select(key, F.inline(candidate_list(fields)))
-    return found.select(key, "g", "p", (-F.col("a")).alias("agreement"), (-F.col("i")).alias("identity"))
-
-
-def matches(fields: Sequence[Field]) -> Column:
-    """Of a row of ``documents``, the greedy matching: most agreement first, then identity, then list order."""
-    start = F.array().cast("array<struct<g:int,p:int,outcomes:array<string>>>")
-    free = lambda done, x: ~F.exists(done, lambda m: (m["g"] == x["g"]) | (m["p"] == x["p"]))
-    pair = lambda x: F.struct(x["g"].alias("g"), x["p"].alias("p"), x["outcomes"].alias("outcomes"))
-    take = lambda done, x: F.when(free(done, x), F.array_append(done, pair(x))).otherwise(done)
-    return F.aggregate(F.array_sort(candidate_list(fields)), start, take)
+def listed(rows: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
+    """key, i, v: the items of lists with their places and a struct of the fields, text normalised."""
+    return comparable(rows, [key, F.col("idx").cast("int").alias("i")], fields, "v")
 
 
 def match(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
-    """key, g, p of the matched pairs."""
-    found = documents(golden, stated, key, fields).withColumn("matches", matches(fields))
-    return found.select(key, F.inline(F.transform("matches", lambda m: F.struct(m["g"].alias("g"), m["p"].alias("p")))))
+    """key, g, p of the matched pairs: most agreement first, then identity, then list order."""
+    return matching.match(listed(golden, key, fields), listed(stated, key, fields), [key], fields, LEAST_IDENTITY).select(key, "g", "p")
 
 
 def score_lists(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
     """key, field, outcome: detection of every labelled and stated item, and the fields of matched pairs. Documents that
-    lack a prediction altogether belong in ``skipped`` and are left out. A document's items are matched and scored in its
-    own row, so nothing is joined back."""
-    both = documents(golden, stated, key, fields, "right").withColumn("gs", F.coalesce("gs", F.array()))
-    found = both.withColumn("matches", matches(fields))
-    taken = F.size("matches")
-    row = lambda field, outcome: F.struct(F.lit(field).alias("field"), outcome.alias("outcome"))
-    detected = lambda o, n: F.array_repeat(row(DETECTION, F.lit(o)), n)
-    of_pair = lambda m: F.array(*[row(f.name, m["outcomes"][i]) for i, f in enumerate(fields)])
-    rows = F.concat(detected("correct", taken), detected("missed", F.size("gs") - taken), detected("hallucinated", F.size("ps") - taken), F.flatten(F.transform("matches", of_pair)))
-    return found.select(key, F.inline(rows))
+    lack a prediction altogether belong in ``skipped`` and are left out."""
+    left, right = listed(golden, key, fields), listed(stated, key, fields)
+    pairs = scratch.written(matching.match(left, right, [key], fields, LEAST_IDENTITY), "matched")
+    scored = F.array(F.struct(F.lit(DETECTION).alias("field"), F.lit("correct").alias("outcome")), *[F.struct(F.lit(f.name).alias("field"), outcome(F.col("gv")[f.name], F.col("pv")[f.name]).alias("outcome")) for f in fields])
+    count = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
+    sizes = count(right, "__p").join(count(left, "__g"), key, "left").join(count(pairs, "__m"), key, "left").na.fill(0, ["__g", "__m"])
+    times = lambda outcome, n: F.array_repeat(F.struct(F.lit(DETECTION).alias("field"), F.lit(outcome).alias("outcome")), n.cast("int"))
+    others = sizes.select(key, F.inline(F.concat(times("missed", F.col("__g") - F.col("__m")), times("hallucinated", F.col("__p") - F.col("__m")))))
+    return pairs.select(key, F.inline(scored)).unionByName(others)
 
 
 def tally(outcomes: DataFrame, fields: Sequence[str]) -> DataFrame:
