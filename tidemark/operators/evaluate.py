@@ -59,19 +59,18 @@ def listed(rows: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
 
 def match(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
     """key, g, p of the matched pairs: most agreement first, then identity, then list order."""
-    return matching.match(listed(golden, key, fields), listed(stated, key, fields), [key], fields, LEAST_IDENTITY).select(key, "g", "p")
+    return matching.match(listed(golden, key, fields), listed(stated, key, fields), [key], fields, LEAST_IDENTITY)[0].select(key, "g", "p")
 
 
 def score_lists(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
     """key, field, outcome: detection of every labelled and stated item, and the fields of matched pairs. Documents that
     lack a prediction altogether belong in ``skipped`` and are left out."""
-    left, right = listed(golden, key, fields), listed(stated, key, fields)
-    pairs = scratch.written(matching.match(left, right, [key], fields, LEAST_IDENTITY), "matched")
+    pairs, sizes = matching.match(listed(golden, key, fields), listed(stated, key, fields), [key], fields, LEAST_IDENTITY)
+    pairs = scratch.written(pairs, "matched")
     scored = F.array(F.struct(F.lit(DETECTION).alias("field"), F.lit("correct").alias("outcome")), *[F.struct(F.lit(f.name).alias("field"), outcome(F.col("gv")[f.name], F.col("pv")[f.name]).alias("outcome")) for f in fields])
-    count = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
-    sizes = count(right, "__p").join(count(left, "__g"), key, "left").join(count(pairs, "__m"), key, "left").na.fill(0, ["__g", "__m"])
+    sizes = sizes.where("n_stated > 0").join(pairs.groupBy(key).agg(F.count("*").alias("__m")), key, "left").na.fill(0, ["__m"])
     times = lambda outcome, n: F.array_repeat(F.struct(F.lit(DETECTION).alias("field"), F.lit(outcome).alias("outcome")), n.cast("int"))
-    others = sizes.select(key, F.inline(F.concat(times("missed", F.col("__g") - F.col("__m")), times("hallucinated", F.col("__p") - F.col("__m")))))
+    others = sizes.select(key, F.inline(F.concat(times("missed", F.col("n_golden") - F.col("__m")), times("hallucinated", F.col("n_stated") - F.col("__m")))))
     return pairs.select(key, F.inline(scored)).unionByName(others)
 
 

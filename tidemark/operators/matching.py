@@ -52,10 +52,23 @@ def _both_null(a: Column, b: Column) -> Column:
     return a.isNull() & b.isNull()
 
 
-def classes(items: DataFrame, keys: list[str], name: str, own: str) -> DataFrame:
-    """Items (keys, i, v) with ``name``, the least i of the equal ones, and ``own``, their place among these from 1."""
-    equal = Window.partitionBy(*keys, "v")
-    return items.withColumn(own, F.row_number().over(equal.orderBy("i"))).withColumn(name, F.min("i").over(equal))
+def classes(golden: DataFrame, stated: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, v, A, ta, B, tb: for each value the least place on either side and how many items have it."""
+    items = golden.withColumn("side", F.lit(0)).unionByName(stated.withColumn("side", F.lit(1)))
+    of = lambda n, what: what(F.when(F.col("side") == n, F.col("i")))
+    return items.groupBy(*keys, "v").agg(of(0, F.min).alias("A"), of(0, F.count).alias("ta"), of(1, F.min).alias("B"), of(1, F.count).alias("tb"))
+
+
+def places(items: DataFrame, large: DataFrame, keys: list[str], head: str) -> DataFrame:
+    """keys, ``head``, r, i: the items of classes of several, numbered from 1 within each."""
+    own = items.join(large.select(*keys, "v", head), [*keys, "v"])
+    return own.select(*keys, head, "i", F.row_number().over(Window.partitionBy(*keys, head).orderBy("i")).cast("long").alias("r"))
+
+
+def may_match(value: Column, fields: Sequence, least: int) -> Column:
+    """Has an item ``least`` identity fields and a strong one at all?"""
+    known = lambda f: value[f.name].isNotNull()
+    return (sum(known(f).cast("int") for f in fields if f.identity) >= least) & functools.reduce(Column.__or__, [known(f) for f in fields if f.strong])
 
 
 def untied(edges: DataFrame, keys: list[str], most_rounds: int = 50) -> tuple[DataFrame | None, DataFrame]:
@@ -74,10 +87,11 @@ def untied(edges: DataFrame, keys: list[str], most_rounds: int = 50) -> tuple[Da
         spent = seen.withColumn("__sb", F.sum("n").over(at("B"))).withColumn("__sa", F.sum("n").over(at("A")))
         step = scratch.written(spent.where("n > 0 or na > __sa and nb > __sb").select(*edges.columns, "n", "__sa", "__sb"), "class-edges")
         now = step.where("n > 0").select(*edges.columns, "n")
-        rest = step.where("n = 0").select(*keys, "A", "B", "gv", "pv", "__a", "__i", *[(F.col(c) + F.col(d)).alias(c) for c, d in (("ua", "__sa"), ("ub", "__sb"))], (F.col("na") - F.col("__sa")).alias("na"), (F.col("nb") - F.col("__sb")).alias("nb"))
-        if now.isEmpty():
-            break
+        rest = step.where("n = 0").select(*keys, "A", "B", "ta", "tb", "gv", "pv", "__a", "__i", *[(F.col(c) + F.col(d)).alias(c) for c, d in (("ua", "__sa"), ("ub", "__sb"))], (F.col("na") - F.col("__sa")).alias("na"), (F.col("nb") - F.col("__sb")).alias("nb"))
+        n, left = step.agg(F.count_if(F.col("n") > 0), F.count_if(F.col("n") == 0)).first()
         taken = now if taken is None else taken.unionByName(now)
+        if not n or not left:
+            break
     return taken, rest
 
 
@@ -100,20 +114,31 @@ def candidates(golden: DataFrame, stated: DataFrame, keys: list[str], fields: Se
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def match(golden: DataFrame, stated: DataFrame, keys: list[str], fields: Sequence, least: int) -> DataFrame:
-    """keys, g, p, gv, pv of the matched pairs: most agreement first, then identity, then list order. Both: keys, i, v."""
-    left = scratch.written(classes(golden, keys, "A", "ra"), "golden")
-    right = scratch.written(classes(stated, keys, "B", "rb"), "stated")
-    heads = lambda rows, name, n, used, value: rows.groupBy(*keys, name).agg(F.count("*").alias(n), F.first("v").alias(value)).withColumn(used, F.lit(0).cast("long"))
-    found = candidates(heads(left, "A", "na", "ua", "gv"), heads(right, "B", "nb", "ub", "pv"), keys, fields, least)
-    edges = found.withColumn("__a", -F.col("agreement")).withColumn("__i", -F.col("identity")).drop("agreement", "identity")
+def match(golden: DataFrame, stated: DataFrame, keys: list[str], fields: Sequence, least: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, g, p, gv, pv of the matched pairs; keys, n_golden, n_stated): most agreement first, then identity, then list order.
+    Both: keys, i, v."""
+    known = scratch.written(classes(golden, stated, keys), "classes")
+    sizes = known.groupBy(*keys).agg(F.sum("ta").alias("n_golden"), F.sum("tb").alias("n_stated"))
+    # items that agree in everything rank above all others
+    left = known.withColumn("n", F.when(may_match(F.col("v"), fields, least), F.least("ta", "tb")).otherwise(0))
+    zero = F.lit(0).cast("long")
+    equal = left.where("n > 0").select(*keys, "A", "B", "ta", "tb", F.col("v").alias("gv"), F.col("v").alias("pv"), zero.alias("ua"), zero.alias("ub"), "n")
+    heads = lambda head, total, used, free, value: left.where(F.col(total) > F.col("n")).select(*keys, head, total, F.col("n").alias(used), (F.col(total) - F.col("n")).alias(free), F.col("v").alias(value))
+    edges = candidates(heads("A", "ta", "ua", "na", "gv"), heads("B", "tb", "ub", "nb", "pv"), keys, fields, least)
+    edges = edges.withColumn("__a", -F.col("agreement")).withColumn("__i", -F.col("identity")).drop("agreement", "identity")
     taken, rest = untied(edges, keys)
-
-    g, p = left.select(*keys, "A", "ra", F.col("i").alias("g")), right.select(*keys, "B", "rb", F.col("i").alias("p"))
-    tied = rest.join(g, [*keys, "A"]).where("ra > ua").join(p, [*keys, "B"]).where("rb > ub").select(*keys, "g", "p", "gv", "pv", "__a", "__i")
-    pairs = dominant(tied, [*keys, "g"], [*keys, "p"], ["__a", "__i", "g", "p"]).select(*keys, "g", "p", "gv", "pv")
-    if taken is None:
-        return pairs
-    # the k-th free item of one class goes to the k-th of the other
-    each = taken.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("ra", F.col("ua") + F.col("__k")).withColumn("rb", F.col("ub") + F.col("__k"))
-    return each.join(g, [*keys, "A", "ra"]).join(p, [*keys, "B", "rb"]).select(*keys, "g", "p", "gv", "pv").unionByName(pairs)
+    each = equal if taken is None else equal.unionByName(taken.select(*equal.columns))
+
+    large = known.where("ta > 1 or tb > 1")
+    if large.isEmpty():  # every class is one item, named by its place
+        each, tied = each.select(*keys, F.col("A").alias("g"), F.col("B").alias("p"), "gv", "pv"), rest.select(*keys, F.col("A").alias("g"), F.col("B").alias("p"), "gv", "pv", "__a", "__i")
+    else:
+        a, b = (places(side, large, keys, head).select(*keys, head, F.col("r").alias(r), F.col("i").alias(i)) for side, head, r, i in ((golden, "A", "ra", "g"), (stated, "B", "rb", "p")))
+        one = F.lit(1).cast("long")
+        item = lambda rows: rows.withColumn("g", F.coalesce("g", "A")).withColumn("p", F.coalesce("p", "B"))
+        # the k-th free item of one class goes to the k-th of the other
+        each = each.withColumn("__k", F.explode(F.sequence(one, F.col("n")))).withColumn("ra", F.col("ua") + F.col("__k")).withColumn("rb", F.col("ub") + F.col("__k"))
+        each = item(each.join(a, [*keys, "A", "ra"], "left").join(b, [*keys, "B", "rb"], "left")).select(*keys, "g", "p", "gv", "pv")
+        tied = item(rest.join(a, [*keys, "A"], "left").where("ra is null or ra > ua").join(b, [*keys, "B"], "left").where("rb is null or rb > ub")).select(*keys, "g", "p", "gv", "pv", "__a", "__i")
+    walked = dominant(tied, [*keys, "g"], [*keys, "p"], ["__a", "__i", "g", "p"])
+    return each.unionByName(walked.select(*keys, "g", "p", "gv", "pv")), sizes
