@@ -1,5 +1,6 @@
 """Operators against numpy and plain Python: synthetic truth, boundary values and stateful rules."""
 
+import hashlib
 import math
 import random
 from datetime import date, datetime, timedelta
@@ -288,6 +289,37 @@ def test_resampling_repeats(spark):
     assert np.mean([r["mean"] for r in a]) == pytest.approx(rows.agg(F.avg("v")).first()[0], abs=0.05)
 
 
+def test_disjoint_windows_against_all_sets(spark):
+    """As many windows as any set without two that share a day, chosen by earliest end."""
+    import itertools
+
+    rng = random.Random(2)
+    day = lambda n: date(2024, 1, 1) + timedelta(n)
+    groups = {k: [(a := rng.randrange(20), a + rng.randrange(6)) for _ in range(rng.randint(1, 8))] for k in range(25)}
+    rows = [(k, i, day(a), day(b)) for k, xs in groups.items() for i, (a, b) in enumerate(xs)] + [(99, 0, None, day(1)), (99, 1, day(1), None), (98, 0, day(3), day(2))]
+    found = {}
+    for r in resample.disjoint(spark.createDataFrame(rows, "k int, i int, s date, e date"), ["k"], "s", "e").collect():
+        found.setdefault(r["k"], []).append((r["s"], r["e"]))
+    apart = lambda xs: all(x[1] < y[0] for x, y in itertools.pairwise(sorted(xs)))
+    assert set(found) == set(groups)
+    for k, xs in groups.items():
+        most = max(len(c) for n in range(len(xs) + 1) for c in itertools.combinations(xs, n) if apart(c))
+        assert len(found[k]) == most and apart(found[k])
+
+
+def test_windows_clear_of_events(spark):
+    day = lambda n: date(2024, 1, 1) + timedelta(n)
+    windows = spark.createDataFrame([("a", day(n)) for n in (0, 91, 92, 183, 300)] + [("b", day(0))], "t string, d date")
+    events = spark.createDataFrame([("a", day(183)), ("a", day(209))], "t string, x date")
+    assert sorted((r["t"], r["d"]) for r in resample.clear_of_events(windows, events, ["t"], "d", "x").collect()) == [("a", day(0)), ("a", day(91)), ("b", day(0))]
+
+
+def test_interval_of_draws(spark):
+    draws = spark.createDataFrame([(i, float(i)) for i in range(1, 201)], "draw int, mean double")
+    assert tuple(resample.interval(draws, 50.0).first()) == (200, 5.0, 195.0, 0.25)
+    assert tuple(resample.interval(draws.limit(0), 1.0).first()) == (0, None, None, None)
+
+
 def test_regression_against_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 2))
@@ -354,13 +386,19 @@ def test_hazard_auc_against_dense_ranks(spark):
     assert found == pytest.approx(dense) and 0.6 < found < 1
 
 
+def bits(digits, *seed):
+    """The generator's bits, by the standard library."""
+    return int(hashlib.md5(":".join(map(str, seed)).encode()).hexdigest()[:digits], 16)
+
+
 def test_permutations_keep_the_sizes_of_the_groups(spark):
     rows = spark.range(3000).select("id", (F.col("id") % 97).cast("double").alias("v"), (F.col("id") % 7 == 0).alias("l")).withColumn("v", F.when(F.col("id") % 50 != 3, F.col("v")))
     found = {r["draw"]: r["difference"] for r in resample.permutation(rows, "v", F.col("l"), F.col("id"), draws=20, seed=4).collect()}
-    hashed = rows.where("v is not null").crossJoin(spark.range(1, 21).select(F.col("id").cast("int").alias("draw"))).withColumn("h", F.xxhash64(F.lit(4), "draw", "id")).toPandas()
+    hashed = rows.where("v is not null").crossJoin(spark.range(1, 21).select(F.col("id").cast("int").alias("draw"))).toPandas()
+    hashed["h"] = [bits(15, 4, d, i) for d, i in zip(hashed.draw, hashed.id, strict=True)]
     k = int(rows.where("v is not null and l").count())
     for draw, part in hashed.groupby("draw"):
-        part = part.assign(r=part.h % resample.HASH_RANGES).sort_values(["r", "h", "id"])
+        part = part.sort_values(["h", "id"])
         assert found[draw] == pytest.approx(part.v[:k].mean() - part.v[k:].mean())
     assert len(found) == 20 and len(set(found.values())) == 20
     none = resample.permutation(rows, "v", F.lit(False), F.col("id"), draws=2).collect()
@@ -372,12 +410,13 @@ def test_placebo_and_bootstrap_against_their_picks(spark):
     events = spark.createDataFrame([("0", 5), ("1", 6), ("1", 7), ("none", 8)], "ticker string, event_id long")
     found = {r["draw"]: r["mean"] for r in resample.placebo(events, values, draws=9, seed=3).collect()}
     by = {(r["ticker"], r["i"]): r["value"] for r in values.collect()}
-    picks = spark.range(1, 10).select(F.col("id").cast("int").alias("draw"), *[resample.pick(30, 3, F.col("id").cast("int"), F.lit(e).cast("long")).alias(str(e)) for e in (5, 6, 7)]).collect()
+    picks = [{"draw": n} | {str(e): bits(8, 3, n, e) * 30 >> 32 for e in (5, 6, 7)} for n in range(1, 10)]
     for r in picks:
         assert found[r["draw"]] == pytest.approx((by["0", r["5"]] + by["1", r["6"]] + by["1", r["7"]]) / 3)
     rows = values.withColumn("id", F.concat_ws("#", "ticker", "i"))
     means = {r["draw"]: r["mean"] for r in resample.poisson_bootstrap(rows, "value", F.col("id"), 30).collect()}
-    u = rows.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("draw"))).withColumn("u", F.pmod(F.xxhash64(F.lit(1), "draw", "id"), F.lit(1 << 30)) / float(1 << 30)).toPandas()
+    u = rows.crossJoin(spark.range(1, 31).select(F.col("id").cast("int").alias("draw"))).toPandas()
+    u["u"] = [bits(8, 1, d, i) / 2.0**32 for d, i in zip(u.draw, u.id, strict=True)]
     edges = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(6)])
     u["w"] = [int((x >= edges).sum()) for x in u.u]
     for draw, part in u.groupby("draw"):

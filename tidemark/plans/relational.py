@@ -81,9 +81,10 @@ def join_anti_pending(spark, d):
     return dedupe.pending(fx.table(spark, d, "orders").select("o_orderkey"), fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
 
 
-@register("join_anti_not_in", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@register("join_anti_not_in", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def join_anti_not_in(spark, d):
-    return fx.table(spark, d, "customer").join(fx.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    urgent = fx.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return fx.table(spark, d, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
 
 
 @register("join_semi_done", "select count(*) as already_done from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey)")

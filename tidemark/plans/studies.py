@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scalar, udfs
 from ..operators import dedupe, portfolio, resample, returns, stats, study
@@ -172,8 +173,6 @@ def peer_basket_excess(spark, d):
 
 @register("cross_section_top_decile", fx.oracle(fx.BARS, RETURNS, body="select ticker, date from (select *, percent_rank() over (partition by date order by stock) as r from panel) where r >= 0.9"))
 def cross_section_top_decile(spark, d):
-    from pyspark.sql.window import Window
-
     rank = F.percent_rank().over(Window.partitionBy("date").orderBy("stock"))
     return panel(spark, d)[0].withColumn("r", rank).where("r >= 0.9").select("ticker", "date")
 
@@ -204,21 +203,76 @@ def portfolio_summary(spark, d):
     return portfolio.summary(rows, periods=52, by=["ticker", "y"]).select("ticker", "y", "n", F.round("mean", 8).alias("mean"), F.round("sharpe", 5).alias("sharpe"), F.round("hit_rate", 8).alias("hit_rate"))
 
 
-@register("placebo_draws")
+def _bits(digits: int, *seed: str) -> str:
+    """What ``resample.random_bits`` gives, in SQL."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(seed)})), 1, {digits}))::bigint"
+
+
+@register("placebo_draws", fx.oracle(fx.BARS, RETURNS, FORWARD, fx.ANNOUNCEMENTS, "vals as (select ticker, idx, car from fwd where n = 21)", "sizes as (select ticker, count(*) as n from vals group by ticker)",
+    f"drawn as (select a.ticker, draw, ({_bits(8, '1', 'draw', 'ann_id')} * n) >> 32 as i from fx_announcements a join sizes using (ticker), range(1, 101) r(draw) where price_sensitive)",
+    body="select cast(draw as int) as draw, round(avg(car), 8) as mean from drawn join vals on drawn.ticker = vals.ticker and drawn.i = vals.idx group by draw"))
 def placebo_draws(spark, d):
     prices = panel(spark, d)[0]
-    values = returns.forward_car(prices, 21).select("ticker", F.col("idx").alias("i"), F.col("car").alias("value")).cache()
-    return resample.placebo(fx.announcements(spark, d).where("price_sensitive").select("ticker", F.col("ann_id").alias("event_id")), values, draws=100)
+    values = returns.forward_car(prices, 21).select("ticker", F.col("idx").alias("i"), F.col("car").alias("value"))
+    found = resample.placebo(fx.announcements(spark, d).where("price_sensitive").select("ticker", F.col("ann_id").alias("event_id")), values, draws=100)
+    return found.select("draw", F.round("mean", 8).alias("mean"))
+
+
+_EDGES = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+_BOOT = (
+    f"drawn as (select draw, car, {_bits(8, '1', 'draw', 'ticker', 'idx')} / 4294967296.0 as u from fwd, range(1, 201) r(draw) where n = 21)",
+    "times as (select draw, car, " + " + ".join(f"(u >= {e}::double)::int" for e in _EDGES) + " as w from drawn)",
+    "boot as (select cast(draw as int) as draw, sum(w * car) / sum(w) as mean from times group by draw)",
+)
+
+
+def _bootstrap(cars):
+    return resample.poisson_bootstrap(cars, "car", F.concat_ws(":", "ticker", "idx"), draws=200)
 
 
-@register("bootstrap_means")
+@register("bootstrap_means", fx.oracle(fx.BARS, RETURNS, FORWARD, *_BOOT, body="select draw, round(mean, 8) as mean from boot"))
 def bootstrap_means(spark, d):
-    return resample.poisson_bootstrap(returns.forward_car(panel(spark, d)[0], 21), "car", F.struct("ticker", "idx"), draws=200)
+    return _bootstrap(returns.forward_car(panel(spark, d)[0], 21)).select("draw", F.round("mean", 8).alias("mean"))
 
 
-@register("permutation_differences")
+@register("bootstrap_interval", fx.oracle(fx.BARS, RETURNS, FORWARD, *_BOOT, "truth as (select avg(car) as mean from fwd where n = 21)", "ranked as (select mean, row_number() over (order by mean) as k from boot)",
+    body="select count(*) as draws, round(max(case when k = 5 then ranked.mean end), 8) as lower, round(max(case when k = 195 then ranked.mean end), 8) as upper, round(avg((ranked.mean <= truth.mean)::int), 8) as percentile from ranked, truth"))
+def bootstrap_interval(spark, d):
+    cars = returns.forward_car(panel(spark, d)[0], 21)
+    found = resample.interval(_bootstrap(cars), cars.agg(F.avg("car")).first()[0])
+    return found.select("draws", *[F.round(c, 8).alias(c) for c in ("lower", "upper", "percentile")])
+
+
+@register("permutation_differences", fx.oracle(fx.BARS, RETURNS,
+    f"drawn as (select cast(draw as int) as draw, stock, {_bits(15, '1', 'draw', 'ticker', 'idx')} as h, ticker || ':' || idx as key from panel, range(1, 201) r(draw))",
+    "ranked as (select draw, stock, row_number() over (partition by draw order by h, key) as k from drawn)", "many as (select count(*) as n from panel where ticker = 'BUILDING')",
+    body="select draw, round(avg(stock) filter (k <= n) - avg(stock) filter (k > n), 8) as difference from ranked, many group by draw"))
 def permutation_differences(spark, d):
-    return resample.permutation(panel(spark, d)[0], "stock", F.col("ticker") == "BUILDING", F.struct("ticker", "idx"), draws=200)
+    found = resample.permutation(panel(spark, d)[0], "stock", F.col("ticker") == "BUILDING", F.concat_ws(":", "ticker", "idx"), draws=200)
+    return found.select("draw", F.round("difference", 8).alias("difference"))
+
+
+#: Trailing excess that a regime control has to have, and its length in weekly bars (a quarter, as 63 daily bars are).
+GATE, AHEAD = 0.02, 13
+_CONTROLS = (
+    f"win as (select ticker, date, idx, lead(date, 1) over w as s, lead(date, {AHEAD}) over w as e, sum(stock - market) over (w rows between 1 following and {AHEAD} following) as car from panel window w as (partition by ticker order by idx))",
+    "ev as (select ticker, d from fx_results where year(d) % 3 = 0)",
+    f"ok as (select win.* from win join feats using (ticker, idx) where idx >= 26 and round(momentum, 9) >= {GATE} and e is not null and not exists (select 1 from ev where ev.ticker = win.ticker and abs(date_diff('day', ev.d, win.date)) <= 91))",
+    "nx as (select a.ticker, a.date, min(b.date) as then_date from ok a join ok b on a.ticker = b.ticker and a.e < b.s group by all)",
+    "chain as (select ticker, min(date) as date from ok group by ticker union all select c.ticker, nx.then_date from chain c join nx on nx.ticker = c.ticker and nx.date = c.date)",
+)
+
+
+@register("regime_controls", fx.oracle(fx.BARS, RETURNS, FEATURES, fx.ANNOUNCEMENTS, fx.RESULTS, *_CONTROLS, body='select ticker, date, s as start, e as "end", round(car, 8) as car from chain join ok using (ticker, date)').replace("with ", "with recursive ", 1))
+def regime_controls(spark, d):
+    prices = panel(spark, d)[0]
+    window = Window.partitionBy("ticker").orderBy("idx")
+    ahead = F.sum(F.col("stock") - F.col("market")).over(window.rowsBetween(1, AHEAD))
+    windows = prices.select("ticker", "idx", F.lead("date", 1).over(window).alias("start"), F.lead("date", AHEAD).over(window).alias("end"), ahead.alias("car"))
+    gate = returns.trailing_features(prices).where((F.col("idx") >= 26) & (F.round("momentum", 9) >= GATE)).select("ticker", "date", "idx")
+    events = fx.results_dates(spark, d).where(F.year("d") % 3 == 0)
+    free = resample.clear_of_events(gate.join(windows, ["ticker", "idx"]).where(F.col("end").isNotNull()), events, ["ticker"], "date", "d")
+    return resample.disjoint(free, ["ticker"], "start", "end").select("ticker", "date", "start", "end", F.round("car", 8).alias("car"))
 
 
 @register("matched_controls", fx.oracle(fx.BARS, RETURNS, FEATURES, "f as (select ticker, date, round(momentum, 9) as momentum from feats where idx >= 26)",
