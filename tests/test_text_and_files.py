@@ -1,5 +1,6 @@
 """Classifiers, page functions, readers, writers and streams on small inputs."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -70,7 +71,7 @@ def get(address, parameters):
 """)
     spark.sparkContext.addPyFile(str(tmp_path / "faked_site.py"))
     spark.dataSource.register(readers.ListingSource)
-    site = spark.read.format("listing").option("transport", "faked_site:get").option("address", "https://site").option("requests", "aaa|2026, BBB|2025")
+    site = spark.read.format("listing").option("transport", "faked_site:get").option("address", "https://site").option("requests", "aaa|2026, BBB|2025").option("interval", "0.05")
     got = site.load().orderBy("ticker").collect()
     assert [(r["ticker"], r["ids_id"], r["headline"], r["local_at"]) for r in got] == [("BBB", "12025", "A BBB", datetime(2025, 4, 22, 8, 30)), ("aaa", "12026", "A AAA", datetime(2026, 4, 22, 8, 30))]
 
@@ -140,12 +141,7 @@ def test_prices_and_symbols(spark):
 
 
 def test_patience():
-    now, slept, tries = [0.0], [], []
-    limiter = http.RateLimiter(3.0, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
-    for _ in range(3):
-        limiter.wait()
-        now[0] += 1.0
-    assert slept == [2.0, 2.0]
+    tries = []
 
     def call(statuses):
         def run():
@@ -229,32 +225,59 @@ def test_constituents(spark):
     assert len(found[2]) == 200 and len(found[3]) == 151 and found.keys() == {0, 1, 2, 3}
 
 
-def test_client_with_a_faked_transport():
-    asked, slept = [], []
-    pages = {
-        "https://site/asx/v2/statistics/displayAnnouncement.do": http.Response(200, b'<INPUT type=hidden name="pdfURL" id="x" value="https://files/1.pdf">', "text/html"),
-        "https://files/1.pdf": http.Response(200, b"%PDF-1", "application/pdf;x", "https://files/1.pdf"),
-        "https://site/asx/v2/statistics/announcements.do": http.Response(200, b"<p>no Announcements this year</p>", "text/html"),
-    }
-
-    def get(address, parameters):
-        asked.append((address, parameters))
-        return http.Response(503, b"") if len(asked) == 1 else pages[address]
-
-    client = http.ListingClient(get, "https://site/", http.RateLimiter(0.0), slept.append)
-    assert client.document("7") == ("https://files/1.pdf", b"%PDF-1") and slept == [1.0] and asked[1][1]["idsId"] == "7"
-    assert client.listing("abc", 2026) == [] and asked[-1][1]["asxCode"] == "ABC"
-    pages["https://site/asx/v2/statistics/announcements.do"] = http.Response(200, b"<p>moved</p>")
-    with pytest.raises(http.Changed):
-        client.listing("abc", 2026)
-    pages["https://files/1.pdf"] = http.Response(200, b"x", "text/html")
-    with pytest.raises(http.Changed):
-        client.document("7")
-    pages["https://site/asx/v2/statistics/displayAnnouncement.do"] = http.Response(200, b"%PDF", "application/pdf", "u")
-    assert client.document("7") == ("u", b"%PDF")
-    pages["https://site/asx/v2/statistics/displayAnnouncement.do"] = http.Response(404, b"")
-    with pytest.raises(http.Refused):
-        client.document("7")
+FAKED_SITE = """from tidemark.sources.http import Response
+SITE = "https://site/asx/v2/statistics/displayAnnouncement.do"
+def get(address, parameters):
+    if address == SITE:
+        return {
+            "page": Response(200, b'<INPUT type=hidden name="pdfURL" id="x" value="https://files/1.pdf">', "text/html"),
+            "lost": Response(200, b'<input name="pdfURL" value="https://files/gone.pdf">', "text/html"),
+            "odd": Response(200, b"<p>moved</p>", "text/html"),
+            "direct": Response(200, b"%PDF", "application/pdf", "u"),
+            "none": Response(404, b""),
+        }[parameters["idsId"]]
+    return Response(200, b"%PDF-1", "application/pdf;x", address) if address == "https://files/1.pdf" else Response(200, b"x", "text/html")
+"""
+
+
+def test_documents_in_two_steps(spark, tmp_path, monkeypatch):
+    (tmp_path / "faked_documents.py").write_text(FAKED_SITE)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "faked_documents.py"))
+    wanted = spark.createDataFrame([("page",), ("lost",), ("odd",), ("direct",), ("none",)], "ids_id string")
+    found = {r["ids_id"]: r for r in http.documents(wanted, "https://site/", "faked_documents:get", interval=0.01, waits=()).collect()}
+    assert (found["page"]["url"], bytes(found["page"]["content"])) == ("https://files/1.pdf", b"%PDF-1") and bytes(found["direct"]["content"]) == b"%PDF"
+    assert {k for k, r in found.items() if r["problem"]} == {"lost", "odd", "none"} and found["none"]["problem"] == "status 404"
+    assert all(found[k]["content"] is None for k in ("lost", "odd", "none"))
+    asked = http.listing_requests(spark.createDataFrame([("abc", 2026)], "ticker string, year int"), "https://site/").first()
+    assert asked["address"].endswith("announcements.do") and asked["parameters"]["asxCode"] == "ABC" and asked["parameters"]["year"] == "2026"
+
+
+def test_turns_hold_across_fifty_tasks():
+    """Each task has a clock of its own that nobody moves but it; all starts together keep their distance, tries again included."""
+    turns, starts = http.Turns(1000.0, 50), []
+    rng = random.Random(1)
+    for place in range(50):
+        now, left = [1000.0 + rng.random() * 20], [rng.choice([0, 0, 1, 3])]
+
+        def call(now=now, left=left):
+            starts.append(now[0])
+            now[0] += rng.random() * 5
+            left[0] -= 1
+            return http.Response(503 if left[0] >= 0 else 200, b"")
+
+        assert http.in_turn(call, place, turns, clock=lambda now=now: now[0], sleep=lambda s, now=now: now.__setitem__(0, now[0] + s)).status == 200
+    starts.sort()
+    assert len(starts) > 60 and min(b - a for a, b in zip(starts, starts[1:], strict=False)) > 2.999
+
+
+def test_turns_end_with_refusals():
+    for statuses, asked in (([404], 1), ([500] * 9, 4)):
+        calls, now = iter(statuses), [0.0]
+        seen = []
+        with pytest.raises(http.Refused):
+            http.in_turn(lambda: seen.append(1) or http.Response(next(calls), b""), 0, http.Turns(0.0, 1), clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+        assert len(seen) == asked
 
 
 def test_document_url(spark):

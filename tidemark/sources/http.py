@@ -1,16 +1,19 @@
-"""Clients of remote listings, with politeness and patience. What does a request is passed in."""
+"""Requests to remote listings as frames, with a timetable that tasks keep and with patience. What does a request is passed in."""
 
 from __future__ import annotations
 
-import re
+import importlib
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from ..functions.udfs import listing_rows
+from .. import scratch
 
 # Seconds between requests, waits after failures, and what is worth another try.
 MIN_INTERVAL = 3.0
@@ -31,18 +34,6 @@ class Refused(RuntimeError):
         self.status = status
 
 
-class RateLimiter:
-    """Lets callers through no more often than every ``interval`` seconds of a monotonic clock."""
-
-    def __init__(self, interval: float = MIN_INTERVAL, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.interval, self.clock, self.sleep, self.last = interval, clock, sleep, None
-
-    def wait(self) -> None:
-        if self.last is not None and (left := self.last + self.interval - self.clock()) > 0:
-            self.sleep(left)
-        self.last = self.clock()
-
-
 def with_retries(call: Callable[[], object], waits=BACKOFF, sleep: Callable[[float], None] = time.sleep):
     """``call()``, again after each wait if the transport fails or the status is a passing one; other refusals are final."""
     for wait in (*waits, None):
@@ -72,42 +63,93 @@ class Changed(RuntimeError):
     """A page that does not look as it should: the site must have changed."""
 
 
-class ListingClient:
-    """The listing's pages and documents through ``transport``, which does one GET: (address, parameters) -> Response.
-
-    Requests keep their distance and are tried again as ``with_retries`` says."""
-
-    def __init__(self, transport: Callable[[str, dict], Response], address: str, limiter: RateLimiter | None = None, sleep: Callable[[float], None] = time.sleep):
-        self.transport, self.address, self.sleep = transport, address.rstrip("/"), sleep
-        self.limiter = limiter or RateLimiter(sleep=sleep)
-
-    def get(self, address: str, parameters: dict | None = None) -> Response:
-        def once():
-            self.limiter.wait()
-            response = self.transport(address, parameters or {})
-            if response.status >= 400:
-                raise Refused(response.status, f"{address}: status {response.status}")
-            return response
-
-        return with_retries(once, sleep=self.sleep)
-
-    def listing(self, ticker: str, year: int) -> list[tuple]:
-        """A year's rows, newest first as the page has them. A page without rows must at least be a listing's."""
-        body = self.get(self.address + LISTING_PATH, {"by": "asxCode", "asxCode": ticker.upper(), "timeframe": "Y", "year": year}).body.decode("utf-8", "replace")
-        rows = listing_rows(body)
-        if not rows and "announcements" not in body.lower():
-            raise Changed(f"{ticker} {year}: not a listing: {body[:200]!r}")
-        return rows
-
-    def document(self, ids_id: str) -> tuple[str, bytes]:
-        """(address, content) of a document: at once if that is what comes, else by the page in between."""
-        first = self.get(self.address + DOCUMENT_PATH, {"display": "pdf", "idsId": ids_id})
-        if first.content_type.startswith("application/pdf"):
-            return first.url, first.body
-        found = re.search(DOCUMENT_URL, first.body.decode("utf-8", "replace"), re.I)
-        if found is None:
-            raise Changed(f"{ids_id}: no address of a document")
-        second = self.get(found[1])
-        if not second.content_type.startswith("application/pdf"):
-            raise Changed(f"{found[1]}: {second.content_type!r} instead of a document")
-        return found[1], second.body
+@dataclass(frozen=True)
+class Turns:
+    """A timetable that tasks keep without talking to each other: of ``count`` requests to a host, the one with place i may start
+    ``interval`` * (i + k * count) seconds after ``began``, for every k. So no two starts are closer than the interval, tries
+    that are made again included, wherever they run. Clocks of the machines have to agree, as far as that distance matters."""
+
+    began: float
+    count: int
+    interval: float = MIN_INTERVAL
+
+    def start(self, place: int, earliest: float) -> float:
+        """The first of its turns that is not before ``earliest``."""
+        own = self.began + place * self.interval
+        cycle = self.count * self.interval
+        return own if earliest <= own or not cycle else own + math.ceil(round((earliest - own) / cycle, 9)) * cycle
+
+
+def in_turn(call: Callable[[], Response], place: int, turns: Turns, waits=BACKOFF, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> Response:
+    """What ``call`` answers at one of its turns; after a passing failure and a wait it has another, until the waits are used up."""
+    earliest = turns.began
+    for wait in (*waits, None):
+        begin = turns.start(place, max(earliest, clock()))
+        if begin > clock():
+            sleep(begin - clock())
+        try:
+            answer = call()
+        except OSError:
+            if wait is None:
+                raise
+        else:
+            if answer.status < 400:
+                return answer
+            if wait is None or answer.status not in RETRY_STATUS:
+                raise Refused(answer.status)
+        earliest = clock() + wait
+
+
+FETCHED = "status int, content_type string, url string, body binary, problem string"
+
+
+def fetch(requests: DataFrame, transport: str, interval: float = MIN_INTERVAL, waits=BACKOFF) -> DataFrame:
+    """requests (address, parameters: map of strings, and more) with FETCHED: one GET each through ``transport`` ("module:function",
+    (address, parameters) -> Response). Requests of a host keep their distance across tasks; one that is refused for good
+    has a problem and no body. Written, so that nothing is asked for twice by what reads it."""
+    host = F.coalesce(F.parse_url("address", F.lit("HOST")), F.lit(""))
+    names = requests.columns
+    placed = requests.withColumn("__host", host).withColumn("__place", F.row_number().over(Window.partitionBy("__host").orderBy("address", F.to_json("parameters"))) - 1)
+    placed = placed.withColumn("__count", F.count("*").over(Window.partitionBy("__host")))
+    answer = StructType.fromDDL(FETCHED)
+    schema, fields = StructType([*requests.schema.fields, *answer.fields]), answer.fieldNames()
+    began = time.time()
+
+    def run(frames):
+        module, _, name = transport.partition(":")
+        get = getattr(importlib.import_module(module), name)
+        for frame in frames:
+            frame, answers = frame.sort_values("__place"), []
+            for row in frame.itertuples(index=False, name=None):
+                own = dict(zip(frame.columns, row, strict=True))
+                try:
+                    r = in_turn(lambda own=own: get(own["address"], dict(own["parameters"] or {})), own["__place"], Turns(began, own["__count"], interval), waits)
+                    answers.append((r.status, r.content_type, r.url or own["address"], r.body, None))
+                except (Refused, OSError) as error:
+                    answers.append((getattr(error, "status", None), None, own["address"], None, str(error)))
+            made = frame[names].reset_index(drop=True)
+            for at, field in enumerate(fields):
+                made[field] = [x[at] for x in answers]
+            yield made
+
+    return scratch.written(placed.mapInPandas(run, schema), "fetched")
+
+
+def listing_requests(wanted: DataFrame, address: str) -> DataFrame:
+    """ticker, year with the request for each listing."""
+    text = lambda c: F.col(c).cast("string")
+    parameters = F.create_map(F.lit("by"), F.lit("asxCode"), F.lit("asxCode"), F.upper("ticker"), F.lit("timeframe"), F.lit("Y"), F.lit("year"), text("year"))
+    return wanted.withColumn("address", F.lit(address.rstrip("/") + LISTING_PATH)).withColumn("parameters", parameters)
+
+
+def documents(wanted: DataFrame, address: str, transport: str, interval: float = MIN_INTERVAL, waits=BACKOFF) -> DataFrame:
+    """ids_id, url, content, problem: each document in two steps, the page or document that its id leads to, and, for pages, what
+    their address column leads to. What is no document after that has a problem."""
+    parameters = F.create_map(F.lit("display"), F.lit("pdf"), F.lit("idsId"), F.col("ids_id"))
+    first = fetch(wanted.select("ids_id").withColumn("address", F.lit(address.rstrip("/") + DOCUMENT_PATH)).withColumn("parameters", parameters), transport, interval, waits)
+    is_document = F.col("content_type").startswith("application/pdf")
+    found = first.withColumn("next", F.when(F.col("problem").isNull() & ~is_document, document_url(F.decode("body", "utf-8"))))
+    more = fetch(found.where("next is not null").select("ids_id", F.col("next").alias("address"), F.create_map().cast("map<string,string>").alias("parameters")), transport, interval, waits)
+    problem = F.coalesce("problem", F.when(~is_document, F.lit("no document and no address of one")))
+    result = lambda rows: rows.select("ids_id", "url", F.when(is_document, F.col("body")).alias("content"), problem.alias("problem"))
+    return result(found.where("next is null")).unionByName(result(more))

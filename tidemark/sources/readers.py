@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,9 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalar import utc_from_local
-from ..functions.udfs import ConstituentRows, ListingRows
+from ..functions.udfs import ConstituentRows, ListingRows, listing_rows
 from . import schemas
-from .http import ListingClient
+from . import http
 
 
 def parameterised(spark: SparkSession, query: str, **parameters) -> DataFrame:
@@ -106,28 +107,35 @@ def wiki_constituents(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 class _Request(InputPartition):
-    def __init__(self, ticker: str, year: int):
-        self.ticker, self.year = ticker, year
+    def __init__(self, ticker: str, year: int, place: int, turns: http.Turns):
+        self.ticker, self.year, self.place, self.turns = ticker, year, place, turns
 
 
 class _ListingReader(DataSourceReader):
     def __init__(self, options):
         module, _, name = options["transport"].partition(":")
-        self.module, self.function, self.address = module, name, options["address"]
+        self.module, self.function, self.address = module, name, options["address"].rstrip("/") + http.LISTING_PATH
         self.requests = [r.strip().split("|") for r in options.get("requests", "").split(",") if r.strip()]
+        self.interval = float(options.get("interval", http.MIN_INTERVAL))
 
     def partitions(self):
-        return [_Request(ticker, int(year)) for ticker, year in self.requests]
+        turns = http.Turns(time.time(), len(self.requests), self.interval)
+        return [_Request(ticker, int(year), place, turns) for place, (ticker, year) in enumerate(self.requests)]
 
     def read(self, partition):
-        transport = getattr(importlib.import_module(self.module), self.function)
-        for ids_id, when, sensitive, headline, pages, size in ListingClient(transport, self.address).listing(partition.ticker, partition.year):
+        get = getattr(importlib.import_module(self.module), self.function)
+        asked = {"by": "asxCode", "asxCode": partition.ticker.upper(), "timeframe": "Y", "year": partition.year}
+        page = http.in_turn(lambda: get(self.address, asked), partition.place, partition.turns).body.decode("utf-8", "replace")
+        rows = listing_rows(page)
+        if not rows and "announcements" not in page.lower():
+            raise http.Changed(f"{partition.ticker} {partition.year}: this is no listing: {page[:100]!r}")
+        for ids_id, when, sensitive, headline, pages, size in rows:
             yield partition.ticker, partition.year, ids_id, datetime.strptime(when, "%d/%m/%Y %I:%M %p"), sensitive, headline, pages, size
 
 
 class ListingSource(DataSource):
     """``spark.read.format("listing")``: a request per (ticker, year), one partition each. Options: requests ("AAA|2025,BBB|2026"),
-    address (of the site), transport ("module:function", what does one GET). Times are local wall times."""
+    address (of the site), transport ("module:function", what does one GET), interval (seconds between any two requests). Times are local wall times."""
 
     @classmethod
     def name(cls):
