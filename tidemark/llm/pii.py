@@ -472,7 +472,8 @@ def training_lines(n: int = 700, seed: int = 7) -> list[tuple[str, list[tuple[st
         day, lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"version {num(1)}.{num(1)}.{num(2)}", lambda: num(rng.randint(1, 12)), lambda: num(16), lambda: num(rng.randint(7, 11)),
         lambda: f"{num(2)}.{num(2)} EUR", lambda: f"{num(3)}-{num(3)}", lambda: word() + num(2), lambda: f"page {num(3)} of {num(4)}", lambda: f"{num(10)}-{num(12)}", lambda: f"{num(2)}:{num(2)}:{num(2)}",
         lambda: letters(rng.randint(20, 45), string.ascii_lowercase), lambda: " | ".join(num(4) for _ in range(5)), lambda: f"sha1 {num(12)}", lambda: f"{num(4)} {num(4)}",
-        lambda: " ".join(num(rng.randint(1, 6)) for _ in range(rng.randint(5, 30))), lambda: " ".join(num(rng.randint(1, 8)) for _ in range(rng.randint(5, 20))), lambda: " ".join(num(rng.randint(2, 7)) for _ in range(rng.randint(3, 6))), lambda: ", ".join(num(rng.randint(2, 5)) for _ in range(rng.randint(4, 12))),
+        lambda: " ".join(num(rng.randint(1, 6)) for _ in range(rng.randint(5, 30))), lambda: " ".join(num(rng.randint(1, 8)) for _ in range(rng.randint(5, 20))), lambda: " ".join(num(rng.randint(2, 7)) for _ in range(rng.randint(3, 6))),
+        *[lambda: " ".join(num(rng.randint(1, 7)) for _ in range(rng.randint(6, 16)))] * 4, lambda: ", ".join(num(rng.randint(2, 5)) for _ in range(rng.randint(4, 12))),
         lambda: f"{num(rng.randint(1, 4))}.{num(rng.randint(2, 12))}", lambda: f"{rng.choice(['', '-'])}{num(2)}.{num(rng.randint(4, 7))}, {rng.choice(['', '-'])}{num(rng.randint(1, 3))}.{num(rng.randint(4, 7))}",
         lambda: f"0.{num(rng.randint(4, 10))} {num(1)}.{num(rng.randint(3, 8))}", lambda: f"{num(1)}.{num(5)}e-{num(2)}", lambda: f"{num(1)}.{num(3)}.{num(3)},{num(2)}", lambda: f"{num(1)} {num(3)} {num(3)}",
         lambda: f"v{num(1)}.{num(2)}.{num(1)}-rc{num(1)}", lambda: f"{num(2)}.{num(1)}.{num(4)}.{num(5)}", lambda: f"{day()}T{clock()}:{num(2)}Z", lambda: f"{day()} {clock()}:{num(2)}.{num(3)}", lambda: f"{clock()} to {clock()}",
