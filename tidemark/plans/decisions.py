@@ -36,22 +36,22 @@ def gates_per_row(spark, d):
     return _gated(spark, d).groupBy(F.coalesce("reason", F.lit("PASS")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-#: The oracle walks the filings one by one; state is a map of each key's last entry, the set of open keys and the slots left.
+#: The oracle walks entry by entry with the whole state: what is open or was entered, by key, and the slots left.
 _WALK = """
 ps as (select *, upper(ticker) || '|' || lower(trim(director)) as key, row_number() over (order by filed, upper(ticker), director, consideration) as i from gt where reason is null),
-seed as (select [{'k': 'BUILDING|director 1', 'd': null::date, 'open': true}, {'k': 'MACHINERY|director 2', 'd': null::date, 'open': true}, {'k': 'HOUSEHOLD|director 3', 'd': date '1998-02-01', 'open': false}] as st),
-firsts as (select key, min(i) as i from ps where not (key in ('BUILDING|director 1', 'MACHINERY|director 2')) and not (key = 'HOUSEHOLD|director 3' and filed - date '1998-02-01' <= 30) group by key),
-taken as (select f.key, f.i, ps.filed as entered from firsts f join ps using (i) qualify row_number() over (order by f.i) <= 10),
-decided as (select ps.*, case
-    when t.i = ps.i then 'ENTER'
-    when t.i < ps.i and ps.filed - t.entered <= 30 then 'SKIP_DUPLICATE'
-    when t.i < ps.i then 'SKIP_ALREADY_OPEN'
-    when ps.key = 'HOUSEHOLD|director 3' and ps.filed - date '1998-02-01' <= 30 then 'SKIP_DUPLICATE'
-    when ps.key in ('BUILDING|director 1', 'MACHINERY|director 2') then 'SKIP_ALREADY_OPEN'
-    else 'SKIP_CAP' end as action from ps left join taken t on t.key = ps.key)"""
-
-
-@register("entry_selection", fx.oracle(*GATES, _WALK.strip(), body="select ticker, director, filed, consideration, gap, action from decided union all select ticker, director, filed, consideration, gap, 'SKIP_' || reason from gt where reason is not null"))
+walk as (
+  select 0::bigint as i, 10 as slots, [{'key': 'BUILDING|director 1', 'filed': null, 'open': true}, {'key': 'MACHINERY|director 2', 'filed': null, 'open': true}, {'key': 'HOUSEHOLD|director 3', 'filed': date '1998-02-01', 'open': false}]::struct(key varchar, filed date, open boolean)[] as book
+  union all
+  select ps.i, s.slots - 1, list_append(s.book, {'key': ps.key, 'filed': ps.filed, 'open': true}) from (
+    select min(ps.i) as i, any_value(w.slots) as slots, any_value(w.book) as book from walk w join ps on ps.i > w.i
+    where w.slots > 0 and len(list_filter(w.book, lambda x: x.key = ps.key and (x.open or ps.filed - x.filed <= 30))) = 0) s join ps using (i)),
+decided as (select ps.*, case when w.i = ps.i then 'ENTER'
+    when len(list_filter(w.book, lambda x: x.key = ps.key and ps.filed - x.filed <= 30)) > 0 then 'SKIP_DUPLICATE'
+    when len(list_filter(w.book, lambda x: x.key = ps.key and x.open)) > 0 then 'SKIP_ALREADY_OPEN'
+    else 'SKIP_CAP' end as action from ps asof join walk w on ps.i >= w.i)"""
+
+
+@register("entry_selection", fx.oracle(*GATES, _WALK.strip(), body="select ticker, director, filed, consideration, gap, action from decided union all select ticker, director, filed, consideration, gap, 'SKIP_' || reason from gt where reason is not null", recursive=True))
 def entry_selection(spark, d):
     found = signals.select_entries(_gated(spark, d), _open(spark), _recent(spark))
     return found.withColumn("gap", F.col("gap").cast("long"))
@@ -92,11 +92,11 @@ def ledger_recent_entries(spark, d):
     return signals.replay(_ledger(spark, d), "dry")[1]
 
 
-@register("ledger_append", fx.oracle(*GATES, _WALK.strip(), body="select 'dry' as mode, case action when 'ENTER' then 'DRY_ENTER' else action end as action, count(*) as n from (select action from decided union all select 'SKIP_' || reason from gt where reason is not null union all select 'DRY_EXIT') group by all"))
+@register("ledger_append", fx.oracle(*GATES, _WALK.strip(), _CAL, f"ex as (select e from (values (date '1998-01-05'), (date '1997-02-03')) v(e) asof join cl on e <= cl.date where (select min(o) from cl where date >= date '{TODAY}') - o >= 63)", body="select 'dry' as mode, case action when 'ENTER' then 'DRY_ENTER' else action end as action, count(*) as n from (select action from decided union all select 'SKIP_' || reason from gt where reason is not null union all select 'DRY_EXIT' from ex) group by all", recursive=True))
 def ledger_append(spark, d):
     decided = signals.select_entries(_gated(spark, d), _open(spark), _recent(spark))
-    due = _open(spark).where("ticker = 'MACHINERY'")
-    rows = signals.ledger_rows(decided, due, F.lit("1998-06-01").cast("timestamp"), "dry")
+    days = returns.calendar(fx.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")))
+    rows = signals.ledger_rows(decided, signals.exits_due(_open(spark), days, TODAY), F.lit("1998-06-01").cast("timestamp"), "dry")
     return rows.groupBy("mode", "action").agg(F.count("*").alias("n"))
 
 

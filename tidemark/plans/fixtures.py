@@ -206,9 +206,9 @@ fx_result_days as (select ticker, cast({LOCAL} as date) as d from fx_announcemen
 fx_results as (select ticker, min(d) as d from fx_result_days group by ticker, year(d), month(d) > 6)"""
 
 
-def oracle(*parts: str, body: str) -> str:
+def oracle(*parts: str, body: str, recursive: bool = False) -> str:
     """A DuckDB statement over the views that the parts define, each part once and in order."""
-    return "with " + ",".join(dict.fromkeys(parts)) + "\n" + body
+    return ("with recursive " if recursive else "with ") + ",".join(dict.fromkeys(parts)) + "\n" + body
 
 
 def announcements_with_year(spark: SparkSession, sf_dir: str) -> DataFrame:

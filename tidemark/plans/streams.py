@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import streams
+from ..operators import returns, signals
+from ..streaming import positions, streams
 from . import fixtures as fx
+from .decisions import LEAST
 from .files import scratch
 from .registry import register
 
@@ -87,3 +89,81 @@ def stream_sessions(spark, d):
 )
 def stream_sliding(spark, d):
     return _run(spark, d, streams.sliding, late=True).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+#: Filings that pass the gates of their row, but for staleness, and the days of runs.
+_PASSED = (
+    fx.ANNOUNCEMENTS, fx.FILINGS, fx.RESULTS,
+    "cl as (select date, row_number() over (order by date) - 1 as o from (select distinct cast(l_shipdate as date) as date from lineitem))",
+    f"ps as (select upper(ticker) || '|' || lower(trim(director)) as key, upper(ticker) as t, director, filed, consideration from (select f.*, date_diff('day', r.d, f.filed) as gap from fx_filings f asof left join fx_results r on f.ticker = r.ticker and f.filed >= r.d) where consideration >= {LEAST} and gap > 30)",
+)
+
+#: The walk, entry by entry: the next filing in the order of runs whose slot and key are free, given the last twelve
+#: entries, newest first (the twelfth holds the slot that is freed next; older ones are closed and no longer bar their key).
+_POSITIONS = """
+seen as (select o, date, key, filed, t, director, min(consideration) as c from ps join cl on cl.date between filed and filed + 5 group by all),
+cd as (select *, row_number() over (order by o, filed, t, director, c) as i from seen),
+walk as (
+  select 0::bigint as i, []::struct(o bigint, key varchar, filed date)[] as latest
+  union all
+  select cd.i, list_prepend({'o': cd.o, 'key': cd.key, 'filed': cd.filed}, s.latest)[1:12] from (
+    select min(cd.i) as i, any_value(w.latest) as latest from walk w join cd on cd.i > w.i
+    where (len(w.latest) < 12 or cd.o > w.latest[12].o + 63)
+      and len(list_filter(w.latest, lambda x: x.key = cd.key and (cd.o <= x.o + 63 or cd.filed - x.filed <= 30))) = 0) s join cd using (i)),
+ent as (select cd.* from walk join cd using (i))"""
+
+
+def _passed(spark, d):
+    rows = signals.gated(fx.filings(spark, d), fx.results_dates(spark, d), F.col("filed"), least=LEAST)
+    return rows.where("reason is null")
+
+
+def _run_days(spark, d):
+    return returns.calendar(fx.table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")))
+
+
+def _book(spark, d):
+    """Entries and exits of the runs, delivered two years at a time; each stream goes on from the checkpoint of the one before."""
+    rows = positions.runs(_passed(spark, d), _run_days(spark, d))
+    folder, path, state, whole = (scratch(spark, name) for name in ("runs", "book", "state", "days"))
+    rows.withColumn("part", F.floor(F.year("date") / 2)).write.partitionBy("part").parquet(whole)
+    days = spark.read.parquet(whole)
+    saved = {key: spark.conf.get(key, None) for key in positions.STORE}
+    found = None
+    try:
+        for key, value in positions.STORE.items():
+            spark.conf.set(key, value)
+        for (part,) in sorted(days.select("part").distinct().collect()):  # as many as parts
+            days.where(F.col("part") == part).drop("part").write.mode("append").parquet(folder)
+            found = streams.run_available(positions.book_events(positions.read_runs(spark, folder)), spark, path, state)
+    finally:
+        for key, value in saved.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    return found
+
+
+@register("stream_positions", fx.oracle(*_PASSED, _POSITIONS.strip(), body="select e.t as ticker, director, filed, c as consideration, e.date as entry_date, x.date as exit_date from ent e left join cl x on x.o = e.o + 63", recursive=True))
+def stream_positions(spark, d):
+    return positions.positions(_book(spark, d)).drop("book", "key")
+
+
+@register(
+    "stream_run_decisions",
+    fx.oracle(
+        *_PASSED, _POSITIONS.strip(),
+        """al as (select key, t, director, filed, consideration, count(*) as n from ps group by all),
+rs as (select al.*, cd.i, cd.o, cd.date, cd.c from al join cd using (key, t, director, filed)),
+jn as (select rs.i, rs.date, rs.t, rs.director, rs.filed, rs.consideration, rs.n, any_value(rs.o) as o,
+  coalesce(bool_or(e.i = rs.i and consideration = rs.c), false) as enters, max(e.filed) as prior, coalesce(bool_or(rs.o <= e.o + 63), false) as held
+  from rs left join ent e on e.key = rs.key and e.i <= rs.i group by all),
+told as (select *, case when filed - prior <= 30 then 'SKIP_DUPLICATE' when held then 'SKIP_ALREADY_OPEN' else 'SKIP_CAP' end as skip from jn)""",
+        body="""select date, t as ticker, action, sum(n)::bigint as n from (
+select date, t, case when enters then 'ENTER' else skip end as action, case when enters then 1 else n end as n from told
+union all select date, t, 'SKIP_DUPLICATE', n - 1 from told where enters and n > 1) group by all""",
+        recursive=True,
+    ),
+)
+def stream_run_decisions(spark, d):
+    filings, days = _passed(spark, d), _run_days(spark, d)
+    found = positions.told(filings, days, positions.positions(_book(spark, d)))
+    return found.groupBy("date", "ticker", "action").agg(F.sum("n").alias("n"))
