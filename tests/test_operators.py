@@ -386,6 +386,47 @@ def test_hazard_auc_against_dense_ranks(spark):
     assert found == pytest.approx(dense) and 0.6 < found < 1
 
 
+def test_logistic_terms_against_dense_newton(spark):
+    from tidemark.operators import models
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 2, (3000, 2)) * [1, 50]
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.4 * x[:, 0] - 0.02 * x[:, 1])))).astype(float)
+    rows = spark.createDataFrame([(float(a), float(b), 7.0, float(c)) for (a, b), c in zip(x, y, strict=True)] + [(None, 1.0, 7.0, 1.0), (1.0, 1.0, 7.0, None)], "a double, b double, same double, y double")
+    z = np.column_stack([np.ones(3000), (x - x.mean(0)) / x.std(0, ddof=1)])
+    beta = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ beta))
+        info = (z * (p * (1 - p))[:, None]).T @ z
+        beta = beta + np.linalg.solve(info, z.T @ (y - p))
+    errors = np.sqrt(np.diag(np.linalg.inv(info)))
+    found = {r["term"]: r for r in models.logistic_terms(rows, "y", ["a", "b"]).collect()}
+    for term, b, e in zip(["const", "a", "b"], beta, errors, strict=True):
+        assert (found[term]["coefficient"], found[term]["se"], found[term]["z"]) == pytest.approx((b, e, b / e), rel=1e-5)
+    constant = {r["term"]: r for r in models.logistic_terms(rows, "y", ["a", "same"]).collect()}
+    assert constant["same"]["coefficient"] == 0 and constant["same"]["z"] is None and constant["a"]["z"] > 5
+    # labels that a term separates: finite, and the order of hazards is right
+    apart = spark.createDataFrame([(float(i), float(i > 50), i % 2 == 0) for i in range(100)], "a double, y double, train boolean")
+    hazards = [r["hazard"] for r in models.logistic_hazard(apart, "y", ["a"], F.col("train")).orderBy("a").collect()]
+    assert all(map(math.isfinite, hazards)) and hazards[0] < 1e-6 and hazards[-1] > 1 - 1e-6
+
+
+def test_person_periods_against_plain(spark):
+    from tidemark.operators import models
+
+    rng, start = random.Random(3), date(2024, 1, 1)
+    snaps = [(rng.choice("ABC"), start + timedelta(rng.randrange(100)), i) for i in range(120)] + [(None, start, 998), ("A", None, 999)]
+    events = [(rng.choice("AB"), start + timedelta(rng.randrange(100))) for _ in range(15)] * 2
+    until = start + timedelta(100)
+    found = models.person_periods(spark.createDataFrame(snaps, "k string, d date, id int"), spark.createDataFrame(events, "k string, d date"), ["k"], "d", 10, until)
+    wanted = {}
+    for k, d, i in snaps:
+        if k and d and d + timedelta(10) <= until:
+            own = {e for t, e in events if t == k}
+            wanted[i] = (sum(e <= d for e in own), float(any(d < e <= d + timedelta(10) for e in own)))
+    assert {r["id"]: (r["past"], r["label"]) for r in found.collect()} == wanted
+
+
 def bits(digits, *seed):
     """The generator's bits, by the standard library."""
     return int(hashlib.md5(":".join(map(str, seed)).encode()).hexdigest()[:digits], 16)

@@ -89,9 +89,74 @@ def quintile_buckets(spark, d):
     return models.quintiles(rows, "order", ["p_brand"]).groupBy("p_brand", F.col("bucket").cast("long").alias("bucket")).agg(F.count("*").alias("n"), F.min("p_retailprice").alias("lowest"))
 
 
+#: A customer's orders are snapshots, its urgent orders the events; the label is one within 63 days.
+HORIZON, LAST_TRAINED = 63, 1998
+_PERIODS = f"""
+od as (select o_custkey as k, cast(o_orderdate as date) as d, o_totalprice / 1000 as amount, o_orderpriority = '1-URGENT' as urgent from orders),
+ev as (select distinct k, d from od where urgent),
+sn as (select *, row_number() over () as i from od where d + {HORIZON} <= (select max(d) from od)),
+pp as (select sn.i, any_value(sn.d) as d, any_value(sn.amount) as x1, count(ev.d) filter (ev.d <= sn.d) as x2, coalesce(bool_or(ev.d > sn.d and ev.d <= sn.d + {HORIZON}), false)::int as y from sn left join ev using (k) group by sn.i),
+ms as (select avg(x1) as m1, stddev_samp(x1) as s1, avg(x2) as m2, stddev_samp(x2) as s2 from pp where year(d) <= {LAST_TRAINED}),
+zs as (select year(d) <= {LAST_TRAINED} as train, y, (x1 - m1) / s1 as z1, (x2 - m2) / s2 as z2 from pp, ms)"""
+
+#: Newton's steps, each from sums of weighted products, with the inverse of a symmetric matrix of three terms written out.
+_NEWTON = """
+nw as (
+  select 0 as step, 0.0::double as b0, 0.0::double as b1, 0.0::double as b2, 0.0::double as v0, 0.0::double as v1, 0.0::double as v2
+  union all
+  select step + 1, b0 + (i00 * g0 + i01 * g1 + i02 * g2) / det, b1 + (i01 * g0 + i11 * g1 + i12 * g2) / det, b2 + (i02 * g0 + i12 * g1 + i22 * g2) / det, i00 / det, i11 / det, i22 / det from (
+    select *, h11 * h22 - h12 * h12 as i00, h02 * h12 - h01 * h22 as i01, h01 * h12 - h02 * h11 as i02, h00 * h22 - h02 * h02 as i11, h01 * h02 - h00 * h12 as i12, h00 * h11 - h01 * h01 as i22,
+      h00 * (h11 * h22 - h12 * h12) + h01 * (h02 * h12 - h01 * h22) + h02 * (h01 * h12 - h02 * h11) as det from (
+      select step, b0, b1, b2, sum(p * (1 - p)) as h00, sum(p * (1 - p) * z1) as h01, sum(p * (1 - p) * z2) as h02, sum(p * (1 - p) * z1 * z1) as h11, sum(p * (1 - p) * z1 * z2) as h12, sum(p * (1 - p) * z2 * z2) as h22,
+        sum(y - p) as g0, sum((y - p) * z1) as g1, sum((y - p) * z2) as g2
+      from (select nw.*, y, z1, z2, 1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))) as p from nw, zs where train and step < 12) group by step, b0, b1, b2))),
+fin as (select * from nw where step = 12),
+hz as (select y, round(1 / (1 + exp(-(b0 + b1 * z1 + b2 * z2))), 9) as hazard from zs, fin where not train)"""
+
+
 def _hazard_rows(spark, d):
-    line = fx.table(spark, d, "lineitem")
-    return line.select(F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"), F.year("l_shipdate").alias("y"), (F.col("l_quantity") / 50 + F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) / 100 > 1.1).cast("double").alias("label"))
+    orders = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d"), (F.col("o_totalprice") / 1000).alias("x1"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    until = orders.agg(F.max("d")).first()[0]
+    found = models.person_periods(orders.drop("urgent"), orders.where("urgent"), ["k"], "d", HORIZON, until)
+    return found.withColumn("x2", F.col("past").cast("double"))
+
+
+def _hazards(spark, d):
+    found = models.logistic_hazard(_hazard_rows(spark, d), "label", ["x1", "x2"], F.year("d") <= LAST_TRAINED)
+    return found.withColumn("hazard", F.round("hazard", 9))
+
+
+@register("person_periods", fx.oracle(_PERIODS, body="select d, x2 as past, y::bigint as label, count(*) as n, round(sum(x1), 5) as amount from pp group by all"))
+def person_periods(spark, d):
+    found = _hazard_rows(spark, d).withColumn("label", F.col("label").cast("long"))
+    return found.groupBy("d", "past", "label").agg(F.count("*").alias("n"), F.round(F.sum("x1"), 5).alias("amount"))
+
+
+@register(
+    "logistic_terms",
+    fx.oracle(
+        _PERIODS, _NEWTON,
+        body="""select 'const' as term, round(b0, 6) as coefficient, round(sqrt(v0), 6) as se, round(b0 / sqrt(v0), 4) as z from fin
+union all select 'x1', round(b1, 6), round(sqrt(v1), 6), round(b1 / sqrt(v1), 4) from fin
+union all select 'x2', round(b2, 6), round(sqrt(v2), 6), round(b2 / sqrt(v2), 4) from fin""",
+        recursive=True,
+    ),
+)
+def logistic_terms(spark, d):
+    found = models.logistic_terms(_hazard_rows(spark, d).where(F.year("d") <= LAST_TRAINED), "label", ["x1", "x2"])
+    return found.select("term", F.round("coefficient", 6).alias("coefficient"), F.round("se", 6).alias("se"), F.round("z", 4).alias("z"))
+
+
+@register("logistic_hazard_auc", fx.oracle(_PERIODS, _NEWTON, "rk as (select y = 1 as y, rank() over (order by hazard) + (count(*) over (partition by hazard) - 1) / 2 as k from hz)", body="select count(*) as n, count(*) filter (y) as pos, round((sum(k) filter (y) - count(*) filter (y) * (count(*) filter (y) + 1) / 2) / (count(*) filter (y) * count(*) filter (not y)), 6) as auc from rk", recursive=True))
+def logistic_hazard_auc(spark, d):
+    found = stats.auc(_hazards(spark, d), "hazard", F.col("label") == 1)
+    return found.select("n", "pos", F.round("auc", 6).alias("auc"))
+
+
+@register("logistic_decile_lift", fx.oracle(_PERIODS, _NEWTON, "ct as (select quantile_cont(hazard, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as cuts, avg(y) as base from hz)", body="select 10 - len(list_filter(cuts, lambda c: hazard > c)) as decile, count(*) as n, round(avg(y), 9) as rate, round(avg(y) / any_value(base), 6) as lift from hz, ct group by 1", recursive=True))
+def logistic_decile_lift(spark, d):
+    found = models.decile_lift(_hazards(spark, d), "hazard", "label")
+    return found.select(F.col("decile").cast("long").alias("decile"), "n", F.round("rate", 9).alias("rate"), F.round("lift", 6).alias("lift"))
 
 
 @register("auc_rank_sum_of_prices", "with r as (select l_returnflag = 'R' as y, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2 as k from lineitem) select count(*) as n, count(*) filter (y) as pos, round((sum(k) filter (y) - count(*) filter (y) * (count(*) filter (y) + 1) / 2) / (count(*) filter (y) * count(*) filter (not y)), 9) as auc from r")
@@ -107,17 +172,6 @@ def percentiles_of_prices(spark, d):
     return spark.createDataFrame(list(zip(shares, found, strict=True)), "share double, value double").withColumn("value", F.round("value", 6))
 
 
-@register("logistic_hazard_auc")
-def logistic_hazard_auc(spark, d):
-    found = models.logistic_hazard(_hazard_rows(spark, d), "label", ["x1", "x2"], F.col("y") <= 1999)
-    return stats.auc(found.withColumn("hazard", F.round("hazard", 6)), "hazard", F.col("label") == 1)
-
-
-@register("logistic_decile_lift")
-def logistic_decile_lift(spark, d):
-    return models.decile_lift(models.logistic_hazard(_hazard_rows(spark, d), "label", ["x1", "x2"], F.col("y") <= 1999), "hazard", "label")
-
-
 def _late_rows(spark, d):
     """A label that both engines can make: lines that were dear for their quantity."""
     line = fx.table(spark, d, "lineitem")
