@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, stats
+from ..operators import evaluate, linking, stats
 from ..operators.evaluate import Field
 from . import fixtures as fx
 from .registry import register
@@ -134,6 +134,39 @@ def calibration_error(spark, d):
     return stats.expected_calibration_error(_bins(spark, d)).select(F.round("ece", 8).alias("ece"))
 
 
+#: Lines as documents that state an event of a supplier; links are of at most ten days and one per cent of the amount.
+LINK_DAYS = 10
+_LINKED = f"""
+nd as (select distinct l_suppkey as k, cast(l_shipdate as date) as d, l_extendedprice as v from lineitem),
+lk as (select a.k, a.d, a.v, b.d as d2, b.v as v2 from nd a join nd b on a.k = b.k and b.d between a.d - {LINK_DAYS} and a.d + {LINK_DAYS} and abs(a.v - b.v) <= 0.01 * greatest(a.v, b.v)),
+rc as (select k, d, v, d2, v2 from lk union select rc.k, rc.d, rc.v, lk.d2, lk.v2 from rc join lk on rc.k = lk.k and rc.d2 = lk.d and rc.v2 = lk.v),
+cs as (select k, d, v, min({{'d': d2, 'v': v2}}) as root from rc group by all)"""
+
+
+@register("linked_events", fx.oracle(_LINKED, body="select l_suppkey, cast(l_shipdate as date) as shipped, l_extendedprice, root.d as event_date, root.v as event_value, count(*) as n from lineitem join cs on l_suppkey = k and cast(l_shipdate as date) = d and l_extendedprice = v group by all", recursive=True))
+def linked_events(spark, d):
+    rows = fx.table(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("shipped"), "l_extendedprice")
+    found = linking.linked_events(rows, ["l_suppkey"], "shipped", "l_extendedprice", LINK_DAYS)
+    return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
+
+
+@register(
+    "contested_lift",
+    """with st as (select l_partkey as e, l_quantity as truth, case when (l_orderkey * 7 + l_linenumber) % 17 = 0 then l_quantity + 1 when (l_orderkey + l_linenumber) % 5 = 0 then l_quantity * 1.004 else l_quantity end as v from lineitem),
+en as (select e, truth as q, min(v) as lo, max(v) as hi, count(*) as n from st group by all having count(*) > 1),
+jd as (select st.*, case when v - lo <= 0.01 * greatest(v, lo) and hi - v <= 0.01 * greatest(v, hi) then 'corroborated' else 'contested' end as verdict, exists (select 1 from st o where o.e = st.e and o.truth = st.truth and o.v = st.truth) as found from st join en on st.e = en.e and st.truth = en.q),
+ag as (select verdict, count(*) as n, count(*) filter (v <> truth) as errors, count(*) filter (v <> truth and found) as elsewhere from jd group by 1)
+select verdict, n, errors, elsewhere, round(errors / n, 9) as error_rate, round((errors / n) / nullif((select errors / n from ag where verdict = 'corroborated'), 0), 6) as lift from ag""",
+)
+def contested_lift(spark, d):
+    """Lines of a part and quantity are statements of one quantity, some altered by one and some rounded."""
+    q = F.col("l_quantity")
+    stated = F.when((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 17 == 0, q + 1).when((F.col("l_orderkey") + F.col("l_linenumber")) % 5 == 0, q * 1.004).otherwise(q)
+    rows = fx.table(spark, d, "lineitem").select("l_partkey", q.alias("quantity"), q.alias("truth"), stated.alias("stated"))
+    found = linking.contested_lift(rows, ["l_partkey", "quantity"], "stated", "truth")
+    return found.withColumn("error_rate", F.round("error_rate", 9)).withColumn("lift", F.round("lift", 6))
+
+
 @register(
     "cross_document_agreement",
     "with v as (select l_partkey, l_suppkey, min(l_extendedprice / l_quantity) as a, max(l_extendedprice / l_quantity) as b, count(*) as n from lineitem group by all having count(*) > 1) select case when a = b then 'exact' when (b - a) / b <= 0.01 then 'within 1%' else 'disagree' end as verdict, count(*) as n from v group by all",
