@@ -411,6 +411,25 @@ def test_logistic_terms_against_dense_newton(spark):
     assert all(map(math.isfinite, hazards)) and hazards[0] < 1e-6 and hazards[-1] > 1 - 1e-6
 
 
+def test_trailing_features_on_daily_bars(spark):
+    rng = np.random.default_rng(9)
+    stock, market = rng.normal(0, 0.02, 300), rng.normal(0, 0.01, 300)
+    rows = [("AAA", date(2024, 1, 1) + timedelta(i), i, float(s), float(m)) for i, (s, m) in enumerate(zip(stock, market, strict=True))]
+    found = returns.trailing_features(spark.createDataFrame(rows, "ticker string, date date, idx int, stock double, market double")).orderBy("idx").collect()
+    level, i = np.cumsum(stock), 280
+    wanted = ((stock - market)[i - 126 : i].sum(), stock[i - 62 : i + 1].std(ddof=1), level[i] - level[i - 251 : i + 1].max(), np.abs(stock[i - 63 : i]).mean())
+    assert tuple(found[i][c] for c in ("momentum", "volatility", "from_high", "mean_abs")) == pytest.approx(wanted)
+    assert found[0]["momentum"] is None and found[0]["from_high"] == 0
+
+
+def test_distances_to_marks(spark):
+    day = lambda n: date(2024, 1, n)
+    rows = spark.createDataFrame([("A", day(5)), ("A", day(10)), ("A", day(20)), ("B", day(5)), ("A", None)], "t string, d date")
+    marks = spark.createDataFrame([("A", day(5)), ("A", day(12)), ("C", day(1))], "t string, m date")
+    found = {(r["t"], r["d"]): (r["since"], r["until"]) for r in asof.distances(rows, marks, ["t"], "d", "m").collect()}
+    assert found == {("A", day(5)): (0, 7), ("A", day(10)): (5, 2), ("A", day(20)): (8, None), ("B", day(5)): (None, None), ("A", None): (None, None)}
+
+
 def test_person_periods_against_plain(spark):
     from tidemark.operators import models
 

@@ -292,24 +292,24 @@ def test_case_folding(spark):
     assert [r[0] for r in rows.orderBy("i").select(text.folded(F.col("t"))).collect()] == [w.casefold() for w in words]
 
 
-def minimal_pdf(*pages):
-    import zlib
-
-    made = [b"%PDF-1.4"]
-    for i, page in enumerate(pages):
-        body = zlib.compress(page) if i % 2 else page
-        made.append(b"%d 0 obj << /Type /Page /Contents %d 0 R >> endobj" % (10 + i, 20 + i))
-        made.append(b"%d 0 obj << /Length %d%s >>\nstream\n%s\nendstream\nendobj" % (20 + i, len(body), b" /Filter /FlateDecode" if i % 2 else b"", body))
-    return b"\n".join([*made, b"1 0 obj << /Type /Pages >> endobj"])
-
-
 def test_pages_of_blobs(spark):
-    pdf = minimal_pdf(b"BT (First \\(one\\)) Tj ET", b"BT [(Sec) -20 (ond)] TJ (line) ' ET", b"")
-    blobs = spark.createDataFrame([("a", bytearray(pdf)), ("b", bytearray(b"no pdf")), ("c", None)], "content_hash string, content binary")
-    found = {r["content_hash"]: r for r in udfs.parse_pages(blobs, udfs.pdf_pages, "pdf-1").collect()}
-    assert found["a"]["pages"] == ["First (one)", "Second\nline", ""] and found["a"]["error"] is None and found["a"]["parser_version"] == "pdf-1"
-    assert found["b"]["error"] == "not a PDF" and found["b"]["pages"] is None and found["c"]["pages"] is None
-    assert udfs.parse_pages(blobs.where("content_hash = 'b'")).first()["pages"] == ["no pdf"]
+    def numbered_pages(content):
+        """A parser as a caller might give one: pages of a length-prefixed format."""
+        if not content.startswith(b"PAGES"):
+            raise ValueError("no pages")
+        found, at = [], 5
+        while at < len(content):
+            found.append(content[at + 1 : at + 1 + content[at]].decode())
+            at += 1 + content[at]
+        return found
+
+    rows = [("a", bytearray(b"PAGES\x05First\x00\x03two")), ("b", bytearray(b"no such format")), ("c", None)] + [(f"d{i}", bytearray(b"PAGES\x01x")) for i in range(40)]
+    blobs = spark.createDataFrame(rows, "content_hash string, content binary")
+    found = {r["content_hash"]: r for r in udfs.parse_pages(blobs, numbered_pages, "numbered-1").collect()}
+    assert found["a"]["pages"] == ["First", "", "two"] and found["a"]["error"] is None and found["a"]["parser_version"] == "numbered-1"
+    assert found["b"]["error"] == "no pages" and found["b"]["pages"] is None and found["c"]["pages"] is None and found["c"]["error"] is None
+    assert len(found) == 43 and found["d39"]["pages"] == ["x"]
+    assert udfs.parse_pages(blobs.where("content_hash = 'b'")).first()["pages"] == ["no such format"]
 
 
 def test_a_failed_rebuild_leaves_the_table(spark, tmp_path):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import zlib
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -222,30 +221,6 @@ def text_pages(content: bytes) -> list[str]:
     return content.decode("utf-8", "replace").split("\f")
 
 
-_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
-_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\]\\]|\\.)*)\]\s*TJ", re.S)
-
-
-def pdf_pages(content: bytes) -> list[str]:
-    """The pages' text of a plainly written PDF: content streams, deflated or not, with strings in parentheses. It stands
-    where a PDF library would be given to ``parse_pages``; encodings of embedded fonts are beyond it."""
-    objects = dict(re.findall(rb"(?s)(\d+) 0 obj(.*?)endobj", content))
-
-    def shown(body: bytes) -> str:
-        found = _STREAM.search(body)
-        if found is None:
-            return ""
-        stream = zlib.decompress(found[1]) if b"FlateDecode" in body else found[1]
-        strings = (m[1] if m[1] is not None else b"".join(re.findall(rb"\(((?:[^()\\]|\\.)*)\)", m[2])) for m in _SHOWN.finditer(stream))
-        return "\n".join(re.sub(rb"\\(.)", rb"\1", x).decode("latin-1") for x in strings)
-
-    if not content.startswith(b"%PDF"):
-        raise ValueError("not a PDF")
-    pages = [body for body in objects.values() if re.search(rb"/Type\s*/Page\b(?!s)", body)]
-    refs = [re.findall(rb"(\d+) 0 R", m[1]) if (m := re.search(rb"/Contents\s*(\[[^\]]*\]|\d+ 0 R)", body)) else [] for body in pages]
-    return ["\n".join(filter(None, (shown(objects.get(r, b"")) for r in own))) for own in refs]
-
-
 def parse_pages(blobs: DataFrame, parse=text_pages, version: str = "text-1") -> DataFrame:
     """content_hash, parser_version, pages, error of each blob (content_hash, content): ``parse`` turns bytes into pages. One
     that fails keeps its error. Blobs are taken a few at a time, as they may be large."""

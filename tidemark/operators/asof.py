@@ -19,6 +19,14 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_date: str, rig
     return both.withColumn(name, F.when(F.col(left_date).isNotNull(), found)).where("__left").drop("__date", "__mark", "__left")
 
 
+def distances(rows: DataFrame, marks: DataFrame, keys: list[str], date: str, mark: str) -> DataFrame:
+    """``rows`` with since (days from the latest mark on or before their date) and until (days to the first mark after it);
+    null where there is none. A mark on the day itself is the latest, not the next."""
+    found = asof(rows, marks, keys, date, mark, name="__last").withColumn("__after", F.date_add(date, 1))
+    found = asof(found, marks, keys, "__after", mark, forward=True, name="__next")
+    return found.withColumn("since", F.datediff(date, "__last")).withColumn("until", F.datediff("__next", date)).drop("__last", "__after", "__next")
+
+
 def next_on_calendar(dates: DataFrame, calendar: DataFrame, date: str, name: str = "rolled") -> DataFrame:
     """date and the first calendar day (column ``date`` of ``calendar``) on or after it, for each distinct date."""
     return asof(dates.select(date).where(F.col(date).isNotNull()).distinct(), calendar, [], date, "date", forward=True, name=name)

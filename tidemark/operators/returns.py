@@ -44,19 +44,22 @@ def coverage(bars: DataFrame, universe: DataFrame, index: str, share: float = 0.
     return universe.select("ticker").distinct().join(counts, "ticker", "left").select("ticker", rows.alias("rows"), status.alias("status"))
 
 
-def trailing_features(panel: DataFrame) -> DataFrame:
-    """Per observation of an aligned panel, known on its day: trailing momentum, volatility, distance from the high, run-up."""
+def trailing_features(panel: DataFrame, momentum: int = 126, volatility: int = 63, high: int = 252, moves: int = 63) -> DataFrame:
+    """Per observation of an aligned panel, known on its day: momentum (stock less market over the ``momentum`` observations
+    before it), volatility and distance from the high (over ``volatility`` and ``high`` observations, itself included), mean
+    size of a move (over the ``moves`` before it). At the start frames are as long as there are observations; lengths are of
+    daily bars, and half a year of weekly ones is 26."""
     window = Window.partitionBy("ticker").orderBy("idx")
     excess = F.col("stock") - F.col("market")
     level = F.sum("stock").over(window.rowsBetween(Window.unboundedPreceding, 0))
     panel = panel.withColumn("level", level)
-    high = F.max("level").over(window.rowsBetween(-51, 0))
+    top = F.max("level").over(window.rowsBetween(1 - high, 0))
     return panel.select(
         "ticker", "date", "idx",
-        F.sum(excess).over(window.rowsBetween(-26, -1)).alias("momentum"),
-        F.stddev_samp("stock").over(window.rowsBetween(-12, 0)).alias("volatility"),
-        (F.col("level") - high).alias("from_high"),
-        F.avg(F.abs("stock")).over(window.rowsBetween(-12, -1)).alias("mean_abs"),
+        F.sum(excess).over(window.rowsBetween(-momentum, -1)).alias("momentum"),
+        F.stddev_samp("stock").over(window.rowsBetween(1 - volatility, 0)).alias("volatility"),
+        (F.col("level") - top).alias("from_high"),
+        F.avg(F.abs("stock")).over(window.rowsBetween(-moves, -1)).alias("mean_abs"),
     )
 
 
@@ -67,6 +70,13 @@ def forward_car(panel: DataFrame, days: int) -> DataFrame:
     return found.where(F.col("__n") == days).select("ticker", "date", "idx", "car")
 
 
+def forward_coverage(panel: DataFrame, days: int) -> DataFrame:
+    """ticker, n, left_out: the observations of a ticker, and how many have fewer than ``days`` after them, so that
+    ``forward_car`` has no row for them. Observations are numbered without gaps, so a count tells."""
+    counts = panel.groupBy("ticker").agg(F.count("*").alias("n"))
+    return counts.select("ticker", "n", F.least("n", F.lit(days).cast("long")).alias("left_out"))
+
+
 def peer_excess(returns: DataFrame, group: str, least: int = 3) -> DataFrame:
     """Return less the mean of the group's other members on the day, null for groups of fewer than ``least``."""
     window = Window.partitionBy(group, "date")

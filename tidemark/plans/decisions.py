@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from ..operators import returns, signals
+from ..operators import asof, returns, signals
 from . import fixtures as fx
 from .registry import register
 
@@ -36,6 +36,13 @@ def gates_per_row(spark, d):
     return _gated(spark, d).groupBy(F.coalesce("reason", F.lit("PASS")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
+@register("results_distances", fx.oracle(fx.ANNOUNCEMENTS, fx.FILINGS, fx.RESULTS, "af as (select f.*, n.d as nxt from fx_filings f asof left join fx_results n on f.ticker = n.ticker and f.filed < n.d)", body="select a.ticker, filed, date_diff('day', r.d, filed) as since, date_diff('day', filed, nxt) as until, count(*) as n from af a asof left join fx_results r on a.ticker = r.ticker and a.filed >= r.d group by all"))
+def results_distances(spark, d):
+    """How far trades are from the results before and after them, by which blackouts are judged."""
+    found = asof.distances(fx.filings(spark, d), fx.results_dates(spark, d), ["ticker"], "filed", "d")
+    return found.groupBy("ticker", "filed", F.col("since").cast("long").alias("since"), F.col("until").cast("long").alias("until")).agg(F.count("*").alias("n"))
+
+
 #: The oracle walks entry by entry with the whole state: what is open or was entered, by key, and the slots left.
 _WALK = """
 ps as (select *, upper(ticker) || '|' || lower(trim(director)) as key, row_number() over (order by filed, upper(ticker), director, consideration) as i from gt where reason is null),

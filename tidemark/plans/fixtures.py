@@ -27,14 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticker, date, adj_close: one aggregation gives each segment's weeks and, by grouping sets, the pooled index."""
+def bars(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
+    """ticker, date, adj_close: one aggregation gives each segment's weeks (or days) and, by grouping sets, the pooled index."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    week = F.to_date(F.date_trunc("week", "l_shipdate"))
-    sums = rows.groupBy("c_mktsegment", week.alias("date")).agg(F.sum("p").alias("s"), F.count("p").alias("n"))
+    start = F.to_date(F.date_trunc(unit, "l_shipdate"))
+    sums = rows.groupBy("c_mktsegment", start.alias("date")).agg(F.sum("p").alias("s"), F.count("p").alias("n"))
     own = sums.select(F.col("c_mktsegment").alias("ticker"), "date", F.round(F.col("s") / F.col("n"), 6).alias("adj_close"))
     pooled = sums.groupBy("date").agg(F.round(F.sum("s") / F.sum("n"), 6).alias("adj_close"))
     return own.unionByName(pooled.select(F.lit(INDEX).alias("ticker"), "date", "adj_close"))
@@ -48,6 +48,8 @@ fx_bars as (
   select ticker, date, round(avg(p), 6) as adj_close from fx_prices group by all
   union all select '{INDEX}', date, round(avg(p), 6) from fx_prices group by date)"""
 
+DAILY_BARS = BARS.replace("'week'", "'day'")
+
 
 def announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ann_id, ticker, announced_at (UTC wall time), headline, price_sensitive."""

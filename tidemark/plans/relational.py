@@ -187,9 +187,11 @@ def agg_distinct_collapse_total(spark, d):
     return own.rollup("vertical").agg(*[F.sum(c).alias(c) for c in ("calls", "documents", "tokens")]).withColumn("vertical", F.coalesce("vertical", F.lit("TOTAL")))
 
 
-@register("agg_argmax", "select c_nationkey, arg_max(c_custkey, c_acctbal) as richest, max(c_acctbal) as balance from customer group by c_nationkey")
+@register("agg_argmax", "select c_nationkey, c_custkey as richest, c_acctbal as balance from customer where c_acctbal is not null qualify row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) = 1")
 def agg_argmax(spark, d):
-    return fx.table(spark, d, "customer").groupBy("c_nationkey").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.max("c_acctbal").alias("balance"))
+    """Of equal balances the least key wins."""
+    best = F.max(F.struct("c_acctbal", (-F.col("c_custkey")).alias("k")))
+    return fx.table(spark, d, "customer").where("c_acctbal is not null").groupBy("c_nationkey").agg(best.alias("best")).select("c_nationkey", (-F.col("best.k")).alias("richest"), F.col("best.c_acctbal").alias("balance"))
 
 
 @register("agg_quantile_median", "select l_returnflag, round(median(l_extendedprice), 6) as median, round(quantile_cont(l_extendedprice, 0.333), 6) as lower_tercile from lineitem group by l_returnflag")

@@ -161,10 +161,24 @@ feats as (select ticker, date, idx, sum(stock - market) over (partition by ticke
 
 @register("trailing_features", fx.oracle(fx.BARS, RETURNS, FEATURES, body="select ticker, date, round(momentum, 8) as momentum, round(volatility, 8) as volatility, round(from_high, 8) as from_high, round(mean_abs, 8) as mean_abs from feats"))
 def trailing_features(spark, d):
-    rows = returns.trailing_features(panel(spark, d)[0])
+    rows = returns.trailing_features(panel(spark, d)[0], momentum=26, volatility=13, high=52, moves=12)
     return rows.select("ticker", "date", *[F.round(c, 8).alias(c) for c in ("momentum", "volatility", "from_high", "mean_abs")])
 
 
+DAILY_FEATURES = FEATURES.replace("26 preceding", "126 preceding").replace("12 preceding and current", "62 preceding and current").replace("51 preceding", "251 preceding").replace("12 preceding and 1", "63 preceding and 1")
+
+
+@register("trailing_features_daily", fx.oracle(fx.DAILY_BARS, RETURNS, DAILY_FEATURES, body="select ticker, date, round(momentum, 7) as momentum, round(volatility, 7) as volatility, round(from_high, 7) as from_high, round(mean_abs, 7) as mean_abs from feats"))
+def trailing_features_daily(spark, d):
+    rows = returns.trailing_features(returns.aligned(returns.calendar_returns(fx.bars(spark, d, "day")), fx.INDEX))
+    return rows.select("ticker", "date", *[F.round(c, 7).alias(c) for c in ("momentum", "volatility", "from_high", "mean_abs")])
+
+
+@register("forward_coverage", fx.oracle(fx.BARS, RETURNS, FORWARD, body="select ticker, count(*) as n, count(*) filter (n < 21) as left_out from fwd group by ticker"))
+def forward_coverage(spark, d):
+    return returns.forward_coverage(panel(spark, d)[0], 21)
+
+
 @register("peer_basket_excess", fx.oracle(fx.BARS, RETURNS, body="select ticker, date, round(ret - (sum(ret) over w - ret) / (count(*) over w - 1), 8) as excess from rets where ticker <> 'INDEX' window w as (partition by date) qualify count(*) over w >= 3"))
 def peer_basket_excess(spark, d):
     rows = returns.calendar_returns(fx.bars(spark, d)).where(F.col("ticker") != fx.INDEX).withColumn("sector", F.lit("all"))
