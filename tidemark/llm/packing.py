@@ -7,7 +7,9 @@ and, within equal residual tokens, sorted by the rest of the norm, so the best o
 
 Pieces are dealt by hash to groups of about ``GROUP_DOCS`` documents which are packed side by side; a group costs at most
 a few bins more than packing it with all others. Null and empty texts are documents that hold the end id only; rows that
-share a doc_id are packed each on its own; an empty table gives an empty result.
+share a doc_id, or repeat whole, are packed each on its own, and are dealt apart by their place in the table's files. A very
+long text is cut into as many pieces as it needs. An empty table gives an empty result. Only the key and the text are read,
+so other columns may have any names.
 """
 
 from __future__ import annotations

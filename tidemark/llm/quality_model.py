@@ -9,6 +9,7 @@ Learnt from rows whose crc32 of the doc_id's text leaves a remainder other than
 remainders are the folds. Labels are averaged per doc_id, and null labels are left out. Up to about ``MOST_LABELS``
 labelled rows, chosen by hash over all of them, are learnt from; every document is scored, also empty and null texts.
 Without labels every score is 0.5. Repeated rows get equal scores; an empty table gives an empty result.
+Statistics are of the whole text, however long. Only the key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

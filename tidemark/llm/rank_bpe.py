@@ -4,6 +4,9 @@ The adjacent pairs of a pre-token wait in buckets, one per merge rank, which hol
 A two-level bitmap marks the buckets in use; two find-first-set steps give the lowest rank. A pair that a merge has
 changed stays in its old bucket and is skipped when its turn comes. A merge takes constant time but for the bucket's
 heap, so a pre-token of n bytes takes about n log n, however long it is.
+
+A null or empty text has no ids; a very long text is encoded whole. Rows that repeat or share an id are encoded each on
+its own, and an empty table gives an empty result. Only the key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ and the number of blocks grows with their count, which keeps an anchor's homes f
 Fingerprints: A-Z lower-cased, words split at ASCII white space, word shingles joined by a space (fewer words: the whole
 sequence), XXH64 with seed 42; a bit is set where over half of the hashes set it. No words (null or empty text): zero,
 and linked like any other. Rows of equal or null doc_id are rows like others; an empty table gives an empty result.
+Very long texts are hashed whole. Only the key and the text are read, so other columns may have any names;
+``keep_first`` returns them as they are.
 """
 
 from __future__ import annotations
