@@ -152,6 +152,9 @@ def forward_car(spark, d):
     return returns.forward_car(panel(spark, d)[0], 21).select("ticker", "date", F.round("car", 8).alias("car"))
 
 
+#: Frames of weekly bars.
+WEEKLY = {"momentum": 26, "volatility": 13, "high": 52, "moves": 12}
+
 FEATURES = """levels as (select *, sum(stock) over (partition by ticker order by idx) as level from panel),
 feats as (select ticker, date, idx, sum(stock - market) over (partition by ticker order by idx rows between 26 preceding and 1 preceding) as momentum,
   stddev_samp(stock) over (partition by ticker order by idx rows between 12 preceding and current row) as volatility,
@@ -161,7 +164,7 @@ feats as (select ticker, date, idx, sum(stock - market) over (partition by ticke
 
 @register("trailing_features", fx.oracle(fx.BARS, RETURNS, FEATURES, body="select ticker, date, round(momentum, 8) as momentum, round(volatility, 8) as volatility, round(from_high, 8) as from_high, round(mean_abs, 8) as mean_abs from feats"))
 def trailing_features(spark, d):
-    rows = returns.trailing_features(panel(spark, d)[0], momentum=26, volatility=13, high=52, moves=12)
+    rows = returns.trailing_features(panel(spark, d)[0], **WEEKLY)
     return rows.select("ticker", "date", *[F.round(c, 8).alias(c) for c in ("momentum", "volatility", "from_high", "mean_abs")])
 
 
@@ -283,7 +286,7 @@ def regime_controls(spark, d):
     window = Window.partitionBy("ticker").orderBy("idx")
     ahead = F.sum(F.col("stock") - F.col("market")).over(window.rowsBetween(1, AHEAD))
     windows = prices.select("ticker", "idx", F.lead("date", 1).over(window).alias("start"), F.lead("date", AHEAD).over(window).alias("end"), ahead.alias("car"))
-    gate = returns.trailing_features(prices).where((F.col("idx") >= 26) & (F.round("momentum", 9) >= GATE)).select("ticker", "date", "idx")
+    gate = returns.trailing_features(prices, **WEEKLY).where((F.col("idx") >= 26) & (F.round("momentum", 9) >= GATE)).select("ticker", "date", "idx")
     events = fx.results_dates(spark, d).where(F.year("d") % 3 == 0)
     free = resample.clear_of_events(gate.join(windows, ["ticker", "idx"]).where(F.col("end").isNotNull()), events, ["ticker"], "date", "d")
     return resample.disjoint(free, ["ticker"], "start", "end").select("ticker", "date", "start", "end", F.round("car", 8).alias("car"))
@@ -293,7 +296,7 @@ def regime_controls(spark, d):
     "pairs as (select t.ticker, t.date, t.momentum, c.ticker as match, row_number() over (partition by t.ticker, t.date order by abs(c.momentum - t.momentum), c.ticker) as k from f t join f c on c.date = t.date and c.ticker <> 'BUILDING' where t.ticker = 'BUILDING')",
     body="select date, momentum, match from pairs where k = 1"))
 def matched_controls(spark, d):
-    rows = returns.trailing_features(panel(spark, d)[0]).where("idx >= 26").select("ticker", "date", F.round("momentum", 9).alias("momentum"))
+    rows = returns.trailing_features(panel(spark, d)[0], **WEEKLY).where("idx >= 26").select("ticker", "date", F.round("momentum", 9).alias("momentum"))
     treated, pool = rows.where("ticker = 'BUILDING'").drop("ticker"), rows.where("ticker <> 'BUILDING'")
     return resample.nearest_match(treated, pool, ["date"], "momentum", "ticker").select("date", "momentum", "match")
 
