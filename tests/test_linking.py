@@ -60,3 +60,16 @@ def test_contested_lift(spark):
     good, bad = found["corroborated"], found["contested"]
     assert (good["n"], good["errors"], good["elsewhere"], good["error_rate"], good["lift"]) == (4, 1, 1, 0.25, 1.0)
     assert (bad["n"], bad["errors"], bad["elsewhere"]) == (3, 1, 1) and bad["lift"] == pytest.approx(4 / 3)
+
+
+def test_links_grow_with_rows_and_not_with_days(spark):
+    """Of rows that are alike on many days each makes two links at most, and rows of one day and value none; stretches and
+    ranges of values are crossed."""
+    rng = random.Random(5)
+    rows = [(rng.choice("AB"), START + timedelta(rng.randrange(400)), round(rng.choice([1, -1]) * rng.uniform(9, 9.6), 3), i) for i in range(1500)]
+    rows += [("C", START, 7.0, 2000 + i) for i in range(50)]
+    events = spark.createDataFrame(rows, SCHEMA)
+    found = linking.links(events, ["k"], "d", "v", 10).count()
+    assert 1000 < found <= 2000
+    same = linking.linked_events(events, ["k"], "d", "v", 10).collect()
+    assert sorted((r["doc"], r["event_date"], r["event_value"]) for r in same) == all_pairs(rows, 10, 0.01)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import scratch
 
@@ -18,28 +17,69 @@ def near(low: Column, high: Column, share: float) -> Column:
     return F.abs(high) - F.abs(low) <= share * F.abs(high)
 
 
+#: Days of a stretch, in multiples of the days that a link may span; stretches overlap by one such span.
+STRETCH = 32
+
+
 def links(events: DataFrame, keys: list[str], date: str, value: str, days: int, share: float = 0.01) -> DataFrame:
     """a, b (structs of keys, date, value): pairs whose classes are those of all pairs of one key and sign, at most ``days``
     apart, with values within ``share`` of the larger.
 
-    No pairs are formed. In a window of ``days`` all dates are close, so there it is enough to link neighbours by value: what
-    lies between two linked values is linked to both. A row is in ``days`` + 1 windows, which are dealt by key, first day and
-    range of values; the last of a range is linked to the first of the next.
+    No pairs are formed, and a row makes two links at most. Rows are dealt by key, range of values and stretch of days, and read
+    by ascending value. Days up to ``days`` before a row are close to one another, and so are those after it. What lies there
+    within the share of the row is thus linked already, so the last one on each side stands for the others. Rows that reach
+    the next range or are of the first ``days`` of a stretch are dealt to both.
     """
     if share >= RANGE:
         raise ValueError(f"share has to be below {RANGE}")
     node = F.struct(*keys, F.col(date).alias("date"), F.col(value).cast("double").alias("value"))
     nodes = events.dropna(subset=[*keys, date, value]).select(node.alias("node")).distinct()
-    size = F.abs("node.value")
-    spread = nodes.select("node", size.alias("size"), F.signum("node.value").alias("sign"), F.coalesce(F.floor(F.ln(F.when(size > 0, size)) / RANGE), F.lit(-(2**40))).alias("range"), F.explode(F.sequence(F.date_sub("node.date", days), "node.date")).alias("from"))
-    where = [*[F.col(f"node.{k}") for k in keys], F.col("from"), F.col("sign")]
-    window = Window.partitionBy(*where, "range").orderBy("size", "node")
-    inner = spread.select("node", F.lag("node").over(window).alias("before")).where("before is not null")
-    inner = inner.select(F.col("before").alias("a"), F.col("node").alias("b"))
-    ends = spread.groupBy(*[w.alias(f"__w{i}") for i, w in enumerate(where)], "range").agg(F.min(F.struct("size", "node")).alias("first"), F.max(F.struct("size", "node")).alias("last"))
-    names = [f"__w{i}" for i in range(len(where))]
-    across = ends.select(*names, "range", "last.node").withColumn("range", F.col("range") + 1).join(ends.select(*names, "range", F.col("first.node").alias("b")), [*names, "range"]).select(F.col("node").alias("a"), "b")
-    return inner.unionByName(across).where(near(F.col("a.value"), F.col("b.value"), share)).distinct()
+    size, day, width = F.abs("node.value"), F.unix_date("node.date"), STRETCH * (days + 1)
+    place = lambda x: F.coalesce(F.floor(F.ln(F.when(x > 0, x)) / RANGE), F.lit(-(2**40)))
+    reach = place(size / (1 - share) * (1 + 1e-9))  # a little more than needed, as it is rounded
+    sign = F.when(F.isnan("node.value"), 2).otherwise(F.signum("node.value").cast("int"))
+    spread = nodes.select("node", size.alias("size"), sign.alias("sign"), day.alias("day"), F.explode(F.sequence(place(size), reach)).alias("range"))
+    spread = spread.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("day") - days) / width), F.floor(F.col("day") / width))))
+    names = [f"k{i}" for i in range(len(keys))]
+    where = [*names, "sign", "range", "stretch"]
+    dealt = spread.select(*[F.col(f"node.{k}").alias(n) for k, n in zip(keys, names, strict=True)], "sign", "range", "stretch", "size", "day", F.col("node.value").alias("value")).repartition(*where).sortWithinPartitions(*where, "size", "day")
+    kinds = dict(dealt.dtypes)
+    schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "day_a int, value_a double, day_b int, value_b double"])
+
+    def sweep(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        group, first, at, last, known = None, 0, 0, [], []
+        for batch in batches:
+            rows, found, before, values = zip(*[batch.column(c).to_pylist() for c in where], strict=True), [], [], []
+            stretches, days_of, sizes, stated = (batch.column(c).to_pylist() for c in ("stretch", "day", "size", "value"))
+            for i, row in enumerate(rows):
+                if row != group:
+                    # for each day of the stretch the place and value of what was read last, with room on either side
+                    group, first, at = row, stretches[i] * width - days, 0
+                    last, known = [0] * (width + 3 * days + 1), {}
+                at += 1
+                d, own = days_of[i] - first, sizes[i]
+                least, seen = share * own, None
+                for low, high in ((d - days, d + 1), (d, d + days + 1)):
+                    latest = max(last[low:high])
+                    if latest:
+                        near_day = last.index(latest, low, high)
+                        other = known[near_day]
+                        # what is close to the one before it on the other side is linked to that
+                        if not own - abs(other) > least and (seen is None or near_day - seen > days):
+                            found.append(i)
+                            before.append(near_day + first)
+                            values.append(other)
+                            seen = near_day
+                last[d], known[d] = at, stated[i]
+            take = pa.array(found, pa.int64())
+            own = [batch.column(c).take(take) for c in (*names, "day", "value")]
+            yield pa.RecordBatch.from_arrays([*own[:-2], pa.array(np.array(before, np.int32)), pa.array(values, pa.float64()), *own[-2:]], [*names, "day_a", "value_a", "day_b", "value_b"])
+
+    end = lambda s: F.struct(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.date_from_unix_date(f"day_{s}").alias("date"), F.col(f"value_{s}").alias("value")).alias(s)
+    return dealt.mapInArrow(sweep, schema).select(end("a"), end("b")).where(near(F.col("a.value"), F.col("b.value"), share)).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
