@@ -140,6 +140,26 @@ def test_prices_and_symbols(spark):
     assert [r[0] for r in spark.createDataFrame([("A",), ("INDEX",)], "t string").select(readers.symbol_of(F.col("t"))).collect()] == ["A.AX", "^INDEX"]
 
 
+def test_price_frames_of_many_files(spark, tmp_path):
+    """Each file has symbols of its own, in any order of columns; what is empty, no number or NaN is no price."""
+    (tmp_path / "a.csv").write_text("date,A.AX|Close,B.AX|Close,A.AX|Volume,A.AX|Adj Close\n2024-01-02,1.5,,100.0,1.4\n2024-01-03,NaN,2.5,x,1.3\n")
+    (tmp_path / "b.csv").write_text("date,^INDEX|Close,A.AX|Close\r\n2024-01-02,7000.123456789,1.6\r\n")
+    found = readers.price_frames(spark, str(tmp_path)).collect()
+    assert sorted((r["ticker"], str(r["date"]), r["close"], r["adj_close"], r["volume"]) for r in found) == [
+        ("A", "2024-01-02", 1.5, 1.4, 100.0), ("A", "2024-01-02", 1.6, None, None), ("B", "2024-01-03", 2.5, None, None), ("INDEX", "2024-01-02", 7000.123456789, None, None),
+    ]
+
+
+def test_price_frames_are_one_plan(spark, tmp_path):
+    """Of forty frames the query's plan is no longer than of one."""
+    from tidemark.plans import registry
+
+    spark.range(10_000).selectExpr("id as s_suppkey", "double(id + 1) / 3 as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    found = registry.QUERIES["source_price_frame"].run(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("\n") < 30
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"S{i}", (i + 1) / 3) for i in range(10_000))
+
+
 def test_patience():
     tries = []
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,15 +182,14 @@ def source_binary_hash(spark, d):
 
 @register("source_price_frame", "select 'S' || s_suppkey as ticker, s_acctbal as close from supplier where s_acctbal > 0")
 def source_price_frame(spark, d):
-    """Every supplier, in wide frames of SYMBOLS symbols each."""
-    rows = fx.table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("S"), "s_suppkey", F.lit(".AX|Close")).alias("f"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
-    rows = rows.withColumn("date", F.lit("2024-01-02").cast("date"))
-    least, most = rows.agg(F.coalesce(F.min("s_suppkey"), F.lit(0)), F.coalesce(F.max("s_suppkey"), F.lit(0))).first()
-    frames = []
-    for start in range(least, most + 1, SYMBOLS):
-        wide = rows.where(F.col("s_suppkey").between(start, start + SYMBOLS - 1)).groupBy("date").pivot("f", [f"S{i}.AX|Close" for i in range(start, start + SYMBOLS)]).agg(F.first("v"))
-        frames.append(readers.prices_long(wide).select("ticker", "close"))
-    return functools.reduce(DataFrame.union, frames)
+    """Every supplier, in wide frames of about SYMBOLS symbols each, a file a frame."""
+    path, rows = scratch(spark, "frames"), fx.table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
+    cells = F.array_sort(F.collect_list(F.struct(F.concat(F.lit("S"), "s_suppkey", F.lit(".AX|Close")).alias("f"), F.coalesce(F.col("v").cast("string"), F.lit("")).alias("v"))))
+    frames = rows.where("s_suppkey is not null").groupBy(F.floor(F.col("s_suppkey") / SYMBOLS).alias("frame")).agg(cells.alias("cells"))
+    line = lambda first, field: F.concat(F.lit(first), F.array_join(F.transform("cells", lambda x: x[field]), ","))
+    shown = F.concat(line("date,", "f"), F.lit("\n"), line("2024-01-02,", "v"))
+    frames.select(shown.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return readers.price_frames(spark, path).select("ticker", "close")
 
 
 @register("source_usage_log", "select c_custkey % 100 as input_tokens, count(*) as n from customer group by 1")
