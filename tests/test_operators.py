@@ -465,6 +465,18 @@ def test_permutations_keep_the_sizes_of_the_groups(spark):
     assert [r["difference"] for r in none] == [None, None]
 
 
+def test_spearman_is_dealt_once_in_proportion_to_rows(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("id % 7 as g", "(id * 37) % 101 as a", "(id * 53) % 13 as b")
+    before = sorted((r["g"], r["n"], round(r["rho"], 9)) for r in stats.spearman(rows, "a", "b", ["g"]).collect())
+    monkeypatch.setattr(stats, "RANKED", 100)
+    found = stats.spearman(rows, "a", "b", ["g"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(g#" in plan and ", 40)" in plan
+    assert sorted((r["g"], r["n"], round(r["rho"], 9)) for r in found.collect()) == before
+    scipy_like = rows.where("g = 3").toPandas()
+    assert before[3][2] == pytest.approx(scipy_like.a.rank().corr(scipy_like.b.rank()), abs=1e-8)
+
+
 def test_placebo_and_bootstrap_against_their_picks(spark):
     values = spark.range(60).select((F.col("id") % 2).cast("string").alias("ticker"), (F.col("id") / 2).cast("int").alias("i"), F.sqrt("id").alias("value"))
     events = spark.createDataFrame([("0", 5), ("1", 6), ("1", 7), ("none", 8)], "ticker string, event_id long")

@@ -36,9 +36,16 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (tied - 1) / 2
 
 
+#: Rows that a task ranks on average.
+RANKED = 500_000
+
+
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Rank correlation within each group of ``by``."""
-    ranked = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__a", average_rank(a, by)).withColumn("__b", average_rank(b, by))
+    """Rank correlation within each group of ``by``. Rows are dealt once, by group, to tasks of about RANKED rows, so that what
+    a task sorts does not grow with the table; one group's rows are sorted on disk where they do not fit."""
+    known = rows.select(*by, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // RANKED))
+    ranked = known.repartition(parts, *by).withColumn("__a", average_rank(a, by)).withColumn("__b", average_rank(b, by))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("rho"))
 
 
