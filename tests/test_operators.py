@@ -465,6 +465,22 @@ def test_permutations_keep_the_sizes_of_the_groups(spark):
     assert [r["difference"] for r in none] == [None, None]
 
 
+def test_placebo_counts_before_it_shuffles(spark, tmp_path):
+    """What is drawn meets values as counts, not row by row, and events of one file are drawn in many tasks."""
+    spark.range(20_000).selectExpr("'t' as ticker", "id as event_id").coalesce(1).write.parquet(str(tmp_path / "e"))
+    events = spark.read.parquet(str(tmp_path / "e"))
+    values = spark.createDataFrame([("t", 0, 1.0), ("t", 1, 4.0), ("t", 2, None)], "ticker string, i int, value double")
+    found = resample.placebo(events, values, draws=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    kinds = [line.lstrip(" :+-").split(" ")[0] for line in plan]
+    assert kinds.index("Join") < kinds.index("Aggregate", kinds.index("Join")) < kinds.index("Generate") < kinds.index("RepartitionByExpression")
+    for r in found.collect():
+        picks = [bits(8, 1, r["draw"], e) * 3 >> 32 for e in range(20_000)]
+        assert r["mean"] == pytest.approx((picks.count(0) + 4 * picks.count(1)) / (20_000 - picks.count(2)))
+    none = values.withColumn("value", F.lit(None).cast("double"))
+    assert [r["mean"] for r in resample.placebo(events, none, draws=2).collect()] == [None, None]
+
+
 def test_spearman_is_dealt_once_in_proportion_to_rows(spark, monkeypatch):
     rows = spark.range(4000).selectExpr("id % 7 as g", "(id * 37) % 101 as a", "(id * 53) % 13 as b")
     before = sorted((r["g"], r["n"], round(r["rho"], 9)) for r in stats.spearman(rows, "a", "b", ["g"]).collect())

@@ -24,11 +24,16 @@ def pick(n: Column | int, *seed: Column | int) -> Column:
 
 def placebo(events: DataFrame, panel_values: DataFrame, draws: int, seed: int = 1) -> DataFrame:
     """draw, mean: for each draw every event (ticker, event_id) takes the value of a random observation of its ticker.
-    ``panel_values``: ticker, i from 0, value. Draws are a sequence per event, and values meet them by equi-join."""
+    ``panel_values``: ticker, i from 0, value. Draws are a sequence per event; what is drawn is counted before the shuffle, and
+    values meet the counts by equi-join."""
     sizes = panel_values.groupBy("ticker").agg(F.count("*").alias("n"))
-    drawn = events.join(sizes, "ticker").select("ticker", "event_id", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = events.select("ticker", "event_id").repartition(parts, "event_id")  # a file of few events is much work: of each ``draws`` hashes
+    drawn = spread.join(F.broadcast(sizes), "ticker").select("ticker", "event_id", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     drawn = drawn.withColumn("i", pick(F.col("n"), seed, F.col("draw"), F.col("event_id")))
-    return drawn.join(panel_values, ["ticker", "i"]).groupBy("draw").agg(F.avg("value").alias("mean"))
+    times = drawn.groupBy("draw", "ticker", "i").agg(F.count("*").alias("__n"))
+    mean = F.try_divide(F.sum(F.col("value") * F.col("__n")), F.sum(F.when(F.col("value").isNotNull(), F.col("__n"))))
+    return times.join(panel_values, ["ticker", "i"]).groupBy("draw").agg(mean.alias("mean"))
 
 
 def poisson_bootstrap(rows: DataFrame, value: str, key: Column, draws: int, seed: int = 1) -> DataFrame:
