@@ -140,6 +140,42 @@ def test_prices_and_symbols(spark):
     assert [r[0] for r in spark.createDataFrame([("A",), ("INDEX",)], "t string").select(readers.symbol_of(F.col("t"))).collect()] == ["A.AX", "^INDEX"]
 
 
+def test_plain_pages_are_cut_as_the_parser_cuts_them(monkeypatch):
+    """The same calls on pages of random marks, plain or not, and no parser's loop for a plain page."""
+    import random
+    from html.parser import HTMLParser
+
+    class Calls(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.calls = []
+
+        def handle_starttag(self, tag, attrs):
+            self.calls.append(("start", tag, attrs))
+
+        def handle_endtag(self, tag):
+            self.calls.append(("end", tag))
+
+        def handle_data(self, data):
+            self.calls.append(("data", data))
+
+    rng = random.Random(4)
+    plain = ["<tr>", "</tr>", "<TD>", "</td>", '<a href="/x?idsId=7" Title="t">', "</a>", "text", " &amp; ", "&lt", "a > b", "\n", "<br>", "<h2>", "é &#65;", '<a b="/x?p=1&copy=2&amp;y=&lt;">']
+    odd = ["<br/>", "<script>", "</script>", "<!-- x <td> -->", "<a href=x>", "<", "</", "<a href='y'>", "<!doctype html>", '<a b="&amp;">', "<img", "<td\n>", "</td >", "<title>", '</a x="y">', "&am", "<?x?>", "<![CDATA[x]]>", "\x00"]
+    for i in range(4000):
+        page = "".join(rng.choices(plain + odd * (i % 2), k=rng.randrange(12)))
+        one, other = Calls(), Calls()
+        udfs._fed(one, page)
+        other.feed(page)
+        assert one.calls == other.calls, page
+    fed = []
+    real = HTMLParser.feed
+    monkeypatch.setattr(HTMLParser, "feed", lambda self, text: (fed.append(text), real(self, text))[1])
+    page = '<table><tr><td> 1/02/2024<br> <span class="dates-time">9:30 am</span> </td><td></td><td><a href="/x.do?a=b&idsId=5"> Notes &amp; more<br> <span class="page">2 pages</span></a></td></tr></table>'
+    assert udfs.listing_rows(page) == [("5", "1/02/2024 9:30 AM", False, "Notes & more", 2, None)]
+    assert not fed
+
+
 def test_price_frames_of_many_files(spark, tmp_path):
     """Each file has symbols of its own, in any order of columns; what is empty, no number or NaN is no price."""
     (tmp_path / "a.csv").write_text("date,A.AX|Close,B.AX|Close,A.AX|Volume,A.AX|Adj Close\n2024-01-02,1.5,,100.0,1.4\n2024-01-03,NaN,2.5,x,1.3\n")
