@@ -30,7 +30,8 @@ def placebo(events: DataFrame, panel_values: DataFrame, draws: int, seed: int =
     parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = events.select("ticker", "event_id").repartition(parts, "event_id")  # a file of few events is much work: of each ``draws`` hashes
     drawn = spread.join(F.broadcast(sizes), "ticker").select("ticker", "event_id", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    drawn = drawn.withColumn("i", pick(F.col("n"), seed, F.col("draw"), F.col("event_id")))
+    # a pick is never null; told so, the plan need not compute each twice to leave nulls out
+    drawn = drawn.withColumn("i", F.coalesce(pick(F.col("n"), seed, F.col("draw"), F.col("event_id")), F.lit(-1)))
     times = drawn.groupBy("draw", "ticker", "i").agg(F.count("*").alias("__n"))
     mean = F.try_divide(F.sum(F.col("value") * F.col("__n")), F.sum(F.when(F.col("value").isNotNull(), F.col("__n"))))
     return times.join(panel_values, ["ticker", "i"]).groupBy("draw").agg(mean.alias("mean"))
