@@ -202,3 +202,30 @@ def test_rows_that_share_an_id_go_by_row(spark):
         kept = keep(docs).collect()
         assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(3, a), (5, b), (7, words("c")), (None, words("d"))], key=str)
         assert kept[0].asDict().keys() == {"doc_id", "text", "__row"}
+
+
+def test_anchors_cover():
+    """Every word has one home within the code's radius and visits all anchors up to the threshold; words that differ in two bits meet."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    code = np.flatnonzero(simhash_similar.syndromes(np.arange(1 << 23)) == 0)
+    assert len(code) == 4096 and len(np.unique(code >> 11)) == 4096 and np.bitwise_count(code[1:]).min() == 7
+    words = rng.integers(0, 1 << 23, 300)
+    rows, met = simhash_similar.visited(words)
+    apart = np.bitwise_count(words[:, None] ^ code)
+    assert ((apart <= 3).sum(axis=1) == 1).all()
+    wanted = {(int(i), int(code[j]) >> 11) for i, j in zip(*np.nonzero(apart <= 4), strict=True)}
+    assert len(rows) == len(wanted) and set(zip(rows.tolist(), met.tolist(), strict=True)) == wanted
+    own = [set(met[rows == i].tolist()) for i in range(40)]
+    for i, flips in itertools.product(range(40), ((0,), (3, 17), (21, 22))):
+        assert own[i] & set(simhash_similar.visited(words[i : i + 1] ^ sum(1 << f for f in flips))[1].tolist())
+    for w, chance in enumerate(simhash_similar.MEET):
+        a = rng.integers(0, 1 << 23, 3000)
+        b = a ^ np.array([sum(1 << int(i) for i in rng.choice(23, w, replace=False)) for _ in a], np.int64)
+        near = lambda x: {(int(i), int(c)) for i, c in zip(*simhash_similar.visited(x), strict=True)}
+        share = len({i for i, _ in near(a) & near(b)}) / len(a)
+        assert abs(share - chance) <= 4 * math.sqrt(chance * (1 - chance) / len(a))

@@ -1,16 +1,19 @@
-"""SimHash near-dedup at a likeness of shingle sets, for stages that must find copies with many small edits.
+"""SimHash and anchor-point covering at a likeness of shingle sets, for stages that must find copies with many small edits.
 
 At a Jaccard likeness of 0.8 two SimHashes differ in about 15 % of their bits. A covering code on all bits would have to
-replicate each fingerprint to nearly all of its anchors at that radius. So the fingerprint is longer (256 bits), and the
-anchors are those of many short codes: each table samples ``bits`` of the positions, and its anchors are all words of
-that length (covering radius 0, threshold 0), so a fingerprint has one anchor per table. Pairs that meet are compared in
-all 256 bits. The bound on these lies ``DEVIATIONS`` past the mean at the threshold, and the number of tables gives isolated
-pairs at the threshold, over all distances that they may have, a chance of ``RECALL`` to meet and to be within the bound.
+replicate each fingerprint to nearly all of its anchors at that radius. So the fingerprint is longer (256 bits), and several
+tables cover a part of its bits each. A table samples 23 positions; its anchors are the 4,096 words of the binary Golay code,
+whose covering radius there is 3: each word of 23 bits has one anchor, its home, within 3 bits. A fingerprint is replicated to
+every anchor within 3 + ``THRESHOLD`` bits, about 5 of them, so two that differ in at most two of a table's 23 bits always meet
+there, and others often do. Where many fingerprints call for more anchors, further sampled bits deal them to cells with anchors of
+their own. Pairs that meet are compared in all 256 bits. The bound on these lies ``DEVIATIONS`` past the mean at the threshold,
+and the number of tables gives isolated pairs at the threshold, over all distances that they may have, a chance of ``RECALL`` to
+meet and to be within the bound.
 
 Fingerprints only group what may be alike. Each group's shingle sets are then read from the texts, and a pair is linked
 only if the Jaccard likeness of its two sets reaches the threshold; chains of such links make the components.
 
-Distinct shingle sets alone take part, so copies cost nothing. The bits of a table grow with their count, so anchors
+Distinct shingle sets alone take part, so copies cost nothing. The cells of a table grow with their count, so anchors
 stay small but for groups of near copies. Where many of a batch share an anchor, what chains of close pairs join there is
 linked before the shuffle, and one of it stands for the rest at this anchor, as it does where a task holds ``HELD`` of an
 anchor. Each table has other anchors, so a group that large meets in many ways. Groups only say where to look; what is
@@ -37,8 +40,12 @@ from .components import connected_components
 WORDS, LIKENESS, RECALL, DEVIATIONS = 5, 0.8, 0.99, 3
 LANES, SEED = 4, 42
 BITS = 64 * LANES
-#: Average members of an anchor, the fewest and most bits of a table, and the anchors from this size on that are searched instead of compared pair by pair.
-MEMBERS, LEAST_BITS, MOST_BITS, LARGE = 16, 12, 44, 48
+#: The Golay code: length, bits of an anchor, covering radius, bits past it up to which an anchor is visited, and the generator.
+LENGTH, ANCHOR_BITS, RADIUS, THRESHOLD, GENERATOR = 23, 12, 3, 1, 0b101011100011
+#: Chance that two words of 23 bits that differ in so many have an anchor in common within 4 bits of both (those past 8 have none).
+MEET = (1.0, 1.0, 1.0, 0.5947, 0.5947, 0.189, 0.189, 0.0342, 0.0342)
+#: Average fingerprints at home with an anchor, the most bits that name an anchor and its cell, and the anchors from this size on that are searched instead of compared pair by pair.
+MEMBERS, MOST_BITS, LARGE = 16, 44, 96
 #: Fingerprints that are replicated together, and from how many of these at one anchor on one stands for all.
 REPLICATED, SAME_ANCHOR = 2048, 16
 #: Fingerprints of one anchor that a task holds at most to compare them.
@@ -64,16 +71,18 @@ def most_differing(likeness: float) -> int:
 def recall(bits: int, tables: int, likeness: float) -> float:
     """Chance that two fingerprints of sets of that likeness meet in a table and differ by no more than the bound."""
     p = differing_share(likeness)
+    others = BITS - LENGTH - (bits - ANCHOR_BITS)  # positions outside a table; those of the cell must be equal
     chance = 0.0
     for d in range(most_differing(likeness) + 1):
         share = math.comb(BITS, d) * p**d * (1 - p) ** (BITS - d)
-        chance += share * (1 - (1 - math.comb(BITS - d, bits) / math.comb(BITS, bits)) ** tables)
+        met = sum(x * math.comb(LENGTH, w) * math.comb(others, d - w) for w, x in enumerate(MEET) if w <= d) / math.comb(BITS, d)
+        chance += share * (1 - (1 - met) ** tables)
     return chance
 
 
 def tables_for(n: int, likeness: float) -> tuple[int, int]:
-    """(bits of a table, tables) for ``n`` distinct fingerprints."""
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / MEMBERS))))
+    """(bits that name an anchor and its cell, tables) for ``n`` distinct fingerprints."""
+    bits = min(MOST_BITS, max(ANCHOR_BITS, math.ceil(math.log2(max(n, 1) / MEMBERS))))
     tables = 1
     while recall(bits, tables, likeness) < RECALL:
         tables += max(1, tables // 50)
@@ -82,11 +91,45 @@ def tables_for(n: int, likeness: float) -> tuple[int, int]:
 
 @functools.lru_cache(maxsize=8)
 def sampled(bits: int, tables: int):
-    """Positions of each table's bits."""
+    """Positions of each table's bits: those that the code covers, then those of the cell."""
     import numpy as np
 
     rng = np.random.default_rng(SEED)
-    return np.stack([rng.choice(BITS, bits, replace=False) for _ in range(tables)])
+    return np.stack([rng.choice(BITS, LENGTH + bits - ANCHOR_BITS, replace=False) for _ in range(tables)])
+
+
+def syndromes(words):
+    """Remainders of words of 23 bits by the code's generator; zero for an anchor."""
+    import numpy as np
+
+    words = np.array(words, np.int64)
+    for i in range(LENGTH - 1, ANCHOR_BITS - 2, -1):
+        words ^= (words >> i & 1) * (GENERATOR << (i - ANCHOR_BITS + 1))
+    return words
+
+
+@functools.cache
+def ways():
+    """(steps, counts): for each syndrome the differences to all anchors within radius and threshold, the home first, and how many."""
+    import numpy as np
+
+    steps = np.array([sum(1 << i for i in at) for w in range(RADIUS + THRESHOLD + 1) for at in itertools.combinations(range(LENGTH), w)])
+    own = syndromes(steps)
+    order = np.argsort(own, kind="stable")
+    counts = np.bincount(own)
+    found = np.zeros((len(counts), counts.max()), np.int64)
+    found[own[order], np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)] = steps[order]
+    return found, counts
+
+
+def visited(words):
+    """(row, anchor): the rows of words of 23 bits with each anchor, by its first 12 bits, within radius and threshold."""
+    import numpy as np
+
+    steps, counts = ways()
+    own = syndromes(words)
+    rows, at = np.nonzero(np.arange(steps.shape[1]) < counts[own][:, None])
+    return rows, (words[rows] ^ steps[own[rows], at]) >> (LENGTH - ANCHOR_BITS)
 
 
 def shingle_hashes(text: str, words: int = WORDS):
@@ -187,20 +230,25 @@ def links(classes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     schema = f"anchor long, node long, {SKETCH_SCHEMA}"
 
     def replicate(batches):
-        """A row for each node and table. Rows with a negative anchor are links already: node and, as s0, what stands for it."""
+        """A row for each node, table and anchor. Rows with a negative anchor are links already: node and, as s0, what stands for it."""
         import numpy as np
         import pyarrow as pa
 
         positions = sampled(bits, tables)
-        powers = 1 << np.arange(bits, dtype=np.int64)
+        powers = 1 << np.arange(max(LENGTH, bits), dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, REPLICATED):
                 part = batch.slice(at, REPLICATED)
                 nodes = part.column("node").to_numpy()
                 lanes = np.column_stack([part.column(s).to_numpy() for s in SKETCH])
                 spread = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), -1), axis=1)
-                anchors = np.concatenate([(spread[:, p].astype(np.int64) @ powers) | (t << bits) for t, p in enumerate(positions)])
-                rows = np.tile(np.arange(len(lanes)), tables)
+                rows, anchors = [], []
+                for t, p in enumerate(positions):
+                    own, met = visited(spread[:, p[:LENGTH]].astype(np.int64) @ powers[:LENGTH])
+                    cells = spread[:, p[LENGTH:]].astype(np.int64) @ powers[: bits - ANCHOR_BITS]
+                    rows.append(own)
+                    anchors.append(met | cells[own] << ANCHOR_BITS | t << bits)
+                rows, anchors = np.concatenate(rows), np.concatenate(anchors)
                 order = np.argsort(anchors, kind="stable")
                 sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], np.diff(anchors[order]) != 0))), len(order)))
                 spare, joined = np.zeros(len(rows), bool), []
@@ -260,7 +308,7 @@ def links(classes: DataFrame, likeness: float = LIKENESS) -> DataFrame:
 
         return common.record_batches(rows(), "a long, b long", 1 << 14)
 
-    parts = max(common.shuffle_partitions(classes.sparkSession), n * tables // 1_000_000)
+    parts = max(common.shuffle_partitions(classes.sparkSession), n * tables * 5 // 1_000_000)
     return classes.select("node", *SKETCH).mapInArrow(replicate, schema).repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
