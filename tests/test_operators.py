@@ -232,6 +232,21 @@ def test_greedy_matching_against_a_walk(spark):
     assert {(r["k"], r["g"], r["p"]) for r in evaluate.match(*frames, "k", fields).collect()} == wanted
 
 
+def test_counts_of_lists(spark):
+    """What ``score_lists`` gives, counted, with equal items, unmatched ones and documents of one side; rows are made after the shuffles."""
+    fields = (evaluate.Field("n", text=True, identity=True, strong=True), evaluate.Field("d", identity=True, strong=True), evaluate.Field("q"))
+    rng = random.Random(8)
+    item = lambda: (rng.choice(["Ann", "Bob ", None]), rng.choice([date(2024, 1, 1), date(2024, 1, 2)]), rng.choice([1, 2, None]))
+    golden, stated = (spark.createDataFrame([(k, i, *item()) for k in range(50) if k % m for i in range(rng.randint(1, 5))], "k int, idx int, n string, d date, q int") for m in (7, 9))
+    wanted = evaluate.score_lists(golden, stated, "k", fields).groupBy("k", "field", "outcome").agg(F.count("*").alias("n"))
+    found = evaluate.count_lists(golden, stated, "k", fields)
+    rows = lambda frame: sorted(tuple(r) for r in frame.collect())
+    assert found.columns == wanted.columns and rows(found) == rows(wanted)
+    assert {r["outcome"] for r in found.collect()} == {*evaluate.OUTCOMES}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")
+
+
 def test_dominant_edges_against_a_walk(spark):
     """Rounds of locally dominant edges take what a walk from the best edge on takes, ties and all."""
     rng = random.Random(5)

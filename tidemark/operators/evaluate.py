@@ -74,6 +74,19 @@ def score_lists(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence
     return pairs.select(key, F.inline(scored)).unionByName(others)
 
 
+def count_lists(golden: DataFrame, stated: DataFrame, key: str, fields: Sequence[Field]) -> DataFrame:
+    """key, field, outcome, n of what ``score_lists`` gives. Pairs are counted in columns by key, and rows made of the counts,
+    so that one row a pair and not one a field goes through the shuffle."""
+    pairs, sizes = matching.match(listed(golden, key, fields), listed(stated, key, fields), [key], fields, LEAST_IDENTITY)
+    judged = pairs.select(key, *[outcome(F.col("gv")[f.name], F.col("pv")[f.name]).alias(f"__o{i}") for i, f in enumerate(fields)])
+    counted = judged.groupBy(key).agg(F.count("*").alias("__m"), *[F.count_if(F.col(f"__o{i}") == o).alias(f"__{o}{i}") for i in range(len(fields)) for o in OUTCOMES])
+    both = sizes.where("n_stated > 0").join(counted, key, "left").na.fill(0)
+    row = lambda field, what, n: F.struct(F.lit(field).alias("field"), F.lit(what).alias("outcome"), n.alias("n"))
+    detection = [row(DETECTION, "correct", F.col("__m")), row(DETECTION, "missed", F.col("n_golden") - F.col("__m")), row(DETECTION, "hallucinated", F.col("n_stated") - F.col("__m"))]
+    rows = F.array(*detection, *[row(f.name, o, F.col(f"__{o}{i}")) for i, f in enumerate(fields) for o in OUTCOMES])
+    return both.select(key, F.inline(rows)).where("n > 0")
+
+
 def tally(outcomes: DataFrame, fields: Sequence[str]) -> DataFrame:
     """position, field, the four counts, total, accuracy for every field in report order; null accuracy where nothing was scored."""
     report = outcomes.sparkSession.createDataFrame(list(enumerate(fields)), "position int, field string")

@@ -21,6 +21,9 @@ from pyspark.sql.window import Window
 
 from .. import scratch
 
+#: Items of classes of several up to which these are broadcast and not dealt by key.
+BROADCAST_ITEMS = 100_000
+
 
 def dominant(edges: DataFrame, left: list[str], right: list[str], order: list[str], most_rounds: int = 200) -> DataFrame:
     """The edges that a greedy walk in ascending ``order`` takes, where each of the ends ``left`` and ``right`` is taken once.
@@ -129,16 +132,19 @@ def match(golden: DataFrame, stated: DataFrame, keys: list[str], fields: Sequenc
     taken, rest = untied(edges, keys)
     each = equal if taken is None else equal.unionByName(taken.select(*equal.columns))
 
-    large = known.where("ta > 1 or tb > 1")
-    if large.isEmpty():  # every class is one item, named by its place
+    large = scratch.written(known.where("ta > 1 or tb > 1"), "large-classes")
+    n_large = large.agg(F.sum(F.col("ta") + F.col("tb"))).first()[0]
+    if not n_large:  # every class is one item, named by its place
         each, tied = each.select(*keys, F.col("A").alias("g"), F.col("B").alias("p"), "gv", "pv"), rest.select(*keys, F.col("A").alias("g"), F.col("B").alias("p"), "gv", "pv", "__a", "__i")
     else:
-        a, b = (places(side, large, keys, head).select(*keys, head, F.col("r").alias(r), F.col("i").alias(i)) for side, head, r, i in ((golden, "A", "ra", "g"), (stated, "B", "rb", "p")))
+        few = F.broadcast if n_large <= BROADCAST_ITEMS else lambda rows: rows  # of one row a class and item
+        a, b = (few(places(side, few(large), keys, head).select(*keys, head, F.col("r").alias(r), F.col("i").alias(i))) for side, head, r, i in ((golden, "A", "ra", "g"), (stated, "B", "rb", "p")))
         one = F.lit(1).cast("long")
         item = lambda rows: rows.withColumn("g", F.coalesce("g", "A")).withColumn("p", F.coalesce("p", "B"))
-        # the k-th free item of one class goes to the k-th of the other
-        each = each.withColumn("__k", F.explode(F.sequence(one, F.col("n")))).withColumn("ra", F.col("ua") + F.col("__k")).withColumn("rb", F.col("ub") + F.col("__k"))
-        each = item(each.join(a, [*keys, "A", "ra"], "left").join(b, [*keys, "B", "rb"], "left")).select(*keys, "g", "p", "gv", "pv")
+        # two classes of one item are named by their places; of others the k-th free item of one goes to the k-th of the other
+        alone = each.where("ta = 1 and tb = 1").select(*keys, F.col("A").alias("g"), F.col("B").alias("p"), "gv", "pv")
+        each = each.where("ta > 1 or tb > 1").withColumn("__k", F.explode(F.sequence(one, F.col("n")))).withColumn("ra", F.col("ua") + F.col("__k")).withColumn("rb", F.col("ub") + F.col("__k"))
+        each = alone.unionByName(item(each.join(a, [*keys, "A", "ra"], "left").join(b, [*keys, "B", "rb"], "left")).select(*keys, "g", "p", "gv", "pv"))
         tied = item(rest.join(a, [*keys, "A"], "left").where("ra is null or ra > ua").join(b, [*keys, "B"], "left").where("rb is null or rb > ub")).select(*keys, "g", "p", "gv", "pv", "__a", "__i")
     walked = dominant(tied, [*keys, "g"], [*keys, "p"], ["__a", "__i", "g", "p"])
     return each.unionByName(walked.select(*keys, "g", "p", "gv", "pv")), sizes

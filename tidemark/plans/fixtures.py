@@ -155,9 +155,10 @@ fx_golden as (
   from lineitem)"""
 
 
-def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The golden trades as a model might state them: some dropped, nulled, altered or invented, by modulus of a mixed key."""
-    rows = golden(spark, sf_dir).withColumn("k", F.col("ann_id") * 7 + F.col("idx"))
+def predicted(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The golden trades (``rows``, where they are at hand) as a model might state them: some dropped, nulled, altered or
+    invented, by modulus of a mixed key."""
+    rows = (golden(spark, sf_dir) if rows is None else rows).withColumn("k", F.col("ann_id") * 7 + F.col("idx"))
     stated = F.struct(
         "idx", F.when(F.col("k") % 5 == 1, F.concat(F.lit("  "), F.upper("director_name"))).when(F.col("k") % 23 == 2, F.lit("Somebody Else")).otherwise(F.col("director_name")).alias("director_name"), "trade_type", "security_class",
         F.when(F.col("k") % 13 != 0, F.col("quantity")).alias("quantity"), F.when(F.col("k") % 17 == 0, F.col("total_consideration") + 1).otherwise(F.col("total_consideration")).cast("decimal(18,2)").alias("total_consideration"), "trade_date",
