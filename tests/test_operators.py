@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import scratch
 from tidemark.functions import scalar, udfs
 from tidemark.operators import asof, dedupe, evaluate, matching, portfolio, resample, returns, signals, stats, study
 
@@ -247,6 +248,26 @@ def test_counts_of_lists(spark):
     assert plan.index("Generate") < plan.index("Aggregate")
 
 
+def test_totals_of_lists_without_a_sum_by_document(spark, monkeypatch):
+    """What ``count_lists`` gives, summed over documents, also where documents are taken for long ones; nothing is written but classes
+    and edges, and lists in one frame that is dealt by document are not dealt again."""
+    fields = (evaluate.Field("n", text=True, identity=True, strong=True), evaluate.Field("d", identity=True, strong=True), evaluate.Field("q"))
+    rng = random.Random(21)
+    item = lambda: (rng.choice(["Ann", " ann", "Bob", "Cy", None]), rng.choice([date(2024, 1, 1), date(2024, 1, 2), None]), rng.choice([1, 2, 3, None]))
+    golden, stated = (spark.createDataFrame([(k, i, *item()) for k in range(60) if k % m for i in range(rng.randint(1, 6))], "k int, idx int, n string, d date, q int") for m in (7, 9))
+    wanted = sorted(tuple(r) for r in evaluate.count_lists(golden, stated, "k", fields).groupBy("field", "outcome").agg(F.sum("n")).collect())
+    names, written = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, name: (names.append(name), written(df, name))[1])
+    both = matching.sides(golden, stated)
+    for few in (matching.FEW_CLASSES, 1):
+        monkeypatch.setattr(matching, "FEW_CLASSES", few)
+        assert sorted(tuple(r) for r in evaluate.total_lists(both, None, "k", fields).collect()) == wanted
+    assert "matched" not in names and "golden" not in names
+    dealt = evaluate.listed(both.repartition(3, "k"), None, "k", fields)
+    plan = matching.classes(dealt, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_dominant_edges_against_a_walk(spark):
     """Rounds of locally dominant edges take what a walk from the best edge on takes, ties and all."""
     rng = random.Random(5)

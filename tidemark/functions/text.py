@@ -106,6 +106,8 @@ FILTERS: dict[str, Callable[[Column, Column], Column]] = {
 #: White space as the source has it: Unicode's, and four control characters. Runs that are not a single space already.
 _SPACE = r"\s\x1c-\x1f"
 _RUNS = rf"(?: [{_SPACE}]+|[{_SPACE}&&[^ ]][{_SPACE}]*)"
+#: Found in ASCII texts where there is something to collapse; most short ones are spared the dearer replacing.
+_TO_COLLAPSE = r"[\t-\r\x1c-\x1f]|  "
 
 
 def collapse_space(text: Column) -> Column:
@@ -124,7 +126,7 @@ def folded(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """For comparison: white space collapsed, ends stripped, case folded. Plain ASCII takes a shorter way to the same."""
-    plain = F.lower(F.trim(F.regexp_replace(text, _RUNS, " ")))
+    plain = F.lower(F.trim(F.when(F.rlike(text, F.lit(_TO_COLLAPSE)), F.regexp_replace(text, _RUNS, " ")).otherwise(text)))
     return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(folded(F.trim(collapse_space(text))))
 
 

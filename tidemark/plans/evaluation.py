@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import scratch
 from ..operators import evaluate, linking, stats
 from ..operators.evaluate import Field
 from . import fixtures as fx
@@ -50,24 +49,18 @@ _OUTCOMES = (
 )
 
 
-def _both(spark, d):
-    """The labelled and the stated lists; places are numbered once and written, as matching reads both sides several times."""
-    rows = scratch.written(fx.golden(spark, d), "golden")
-    return rows, fx.predicted(spark, d, rows)
-
-
-def _lists(spark, d):
-    return evaluate.score_lists(*_both(spark, d), "ann_id", FIELDS)
+def _totals(spark, d):
+    return evaluate.total_lists(fx.lists(spark, d), None, "ann_id", FIELDS)
 
 
 @register("match_greedy", fx.oracle(*LISTS, body="select ann_id, g, p from mt"))
 def match_greedy(spark, d):
-    return evaluate.match(*_both(spark, d), "ann_id", FIELDS)
+    return evaluate.match(fx.lists(spark, d), None, "ann_id", FIELDS)
 
 
 @register("score_lists", fx.oracle(*LISTS, *_OUTCOMES, body="select ann_id, field, outcome, count(*) as n from outs group by all"))
 def score_lists(spark, d):
-    return evaluate.count_lists(*_both(spark, d), "ann_id", FIELDS)
+    return evaluate.count_lists(fx.lists(spark, d), None, "ann_id", FIELDS)
 
 
 def _counts(source: str) -> str:
@@ -76,19 +69,19 @@ def _counts(source: str) -> str:
 
 @register("score_tally", fx.oracle(*LISTS, *_OUTCOMES, _counts("outs"), body="select list_position(" + str(REPORT) + ", field) - 1 as position, *, round(correct / total, 9) as accuracy from tl"))
 def score_tally(spark, d):
-    return evaluate.tally(_lists(spark, d), REPORT).withColumn("position", F.col("position").cast("int")).withColumn("accuracy", F.round("accuracy", 9))
+    return evaluate.tally(_totals(spark, d), REPORT).withColumn("position", F.col("position").cast("int")).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @register("score_run_overall", fx.oracle(*LISTS, *_OUTCOMES, _counts("outs"), body="select round(sum(correct) / sum(total), 9) as overall_accuracy, count(*) as n_fields from tl"))
 def score_run_overall(spark, d):
-    run = evaluate.evaluation_run(evaluate.tally(_lists(spark, d), REPORT))
+    run = evaluate.evaluation_run(evaluate.tally(_totals(spark, d), REPORT))
     return run.select(F.round("overall_accuracy", 9).alias("overall_accuracy"), F.size("field_scores").cast("long").alias("n_fields"))
 
 
 @register("score_run_nested", fx.oracle(*LISTS, *_OUTCOMES, _counts("outs"), body="select (select round(sum(correct) / sum(total), 9) from tl) as overall_accuracy, list_position(" + str(REPORT) + ", field) - 1 as position, *, round(correct / total, 9) as accuracy from tl"))
 def score_run_nested(spark, d):
     """The run's nested scores, laid out again in their order."""
-    run = evaluate.evaluation_run(evaluate.tally(_lists(spark, d), REPORT))
+    run = evaluate.evaluation_run(evaluate.tally(_totals(spark, d), REPORT))
     rows = run.select(F.round("overall_accuracy", 9).alias("overall_accuracy"), F.posexplode("field_scores").alias("position", "s"))
     return rows.select("overall_accuracy", "position", "s.*").withColumn("accuracy", F.round("accuracy", 9))
 

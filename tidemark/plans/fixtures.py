@@ -5,7 +5,7 @@ Tickers are market segments, bars are weekly average prices, announcements are o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,11 +134,12 @@ GOLDEN_ORDER = ("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ann_id, idx and the typed fields of hand-labelled trades."""
-    line = table(spark, sf_dir, "lineitem")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", *GOLDEN_ORDER)
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*GOLDEN_ORDER))
-    return line.select(
+    # places first: the sort then carries what is read, and the rows stay dealt by order, which a renamed key below it would hide
+    return line.withColumn("idx", place).select(
         F.col("l_orderkey").alias("ann_id"),
-        place.alias("idx"),
+        "idx",
         F.concat(F.lit("Director "), F.col("l_suppkey")).alias("director_name"),
         F.col("l_returnflag").alias("trade_type"),
         F.lit("ordinary").alias("security_class"),
@@ -155,17 +156,29 @@ fx_golden as (
   from lineitem)"""
 
 
-def predicted(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
-    """The golden trades (``rows``, where they are at hand) as a model might state them: some dropped, nulled, altered or
-    invented, by modulus of a mixed key."""
-    rows = (golden(spark, sf_dir) if rows is None else rows).withColumn("k", F.col("ann_id") * 7 + F.col("idx"))
+def _predictions() -> tuple[Column, Column]:
+    """Of a golden trade: what a model states of it and what it invents, or null, by modulus of a mixed key."""
+    k = F.col("ann_id") * 7 + F.col("idx")
     stated = F.struct(
-        "idx", F.when(F.col("k") % 5 == 1, F.concat(F.lit("  "), F.upper("director_name"))).when(F.col("k") % 23 == 2, F.lit("Somebody Else")).otherwise(F.col("director_name")).alias("director_name"), "trade_type", "security_class",
-        F.when(F.col("k") % 13 != 0, F.col("quantity")).alias("quantity"), F.when(F.col("k") % 17 == 0, F.col("total_consideration") + 1).otherwise(F.col("total_consideration")).cast("decimal(18,2)").alias("total_consideration"), "trade_date",
+        "idx", F.when(k % 5 == 1, F.concat(F.lit("  "), F.upper("director_name"))).when(k % 23 == 2, F.lit("Somebody Else")).otherwise(F.col("director_name")).alias("director_name"), "trade_type", "security_class",
+        F.when(k % 13 != 0, F.col("quantity")).alias("quantity"), F.when(k % 17 == 0, F.col("total_consideration") + 1).otherwise(F.col("total_consideration")).cast("decimal(18,2)").alias("total_consideration"), "trade_date",
     )
     invented = F.struct((F.col("idx") + 100).alias("idx"), F.lit("Nobody").alias("director_name"), "trade_type", "security_class", "quantity", "total_consideration", F.lit("1990-01-01").cast("date").alias("trade_date"))
-    return rows.select("ann_id", F.inline(F.array(F.when(F.col("k") % 11 != 0, stated), F.when(F.col("k") % 19 == 0, invented)))).where("idx is not null")
+    return F.when(k % 11 != 0, stated), F.when(k % 19 == 0, invented)
+
+
+def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden trades as a model might state them: some dropped, nulled, altered or invented."""
+    return golden(spark, sf_dir).select("ann_id", F.inline(F.array(*_predictions()))).where("idx is not null")
+
 
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden trades (side 0) and the predicted ones (side 1), from one pass over the lines; dealt by order, as places are."""
+    rows = golden(spark, sf_dir)
+    own = F.struct(*[c for c in rows.columns if c != "ann_id"])
+    on = lambda side, row: F.struct(F.lit(side).alias("side"), row.alias("row"))
+    stated, invented = _predictions()
+    return rows.select("ann_id", F.inline(F.array(on(0, own), on(1, stated), on(1, invented)))).where("row is not null").select("ann_id", "side", "row.*")
 
 PREDICTED = """
 fx_mixed as (select *, ann_id * 7 + idx as k from fx_golden),
