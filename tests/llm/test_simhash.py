@@ -73,6 +73,18 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_no_join_is_broadcast_by_an_estimate(spark):
+    """24 visitors a fingerprint are sized as one, and files by their compressed bytes, so small estimates may hold large tables."""
+    prints = spark.range(2000).selectExpr("xxhash64(id) as fp")
+    edges = spark.range(2000).selectExpr("id as a", "id + 1 as b")
+    docs = spark.createDataFrame([(i, f"one two three {i // 2}") for i in range(20)], "doc_id long, text string")
+    for found in (simhash.links(prints), components._large_star(edges), components._small_star(edges), simhash.near_duplicates(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        found.count()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_alike_copies_meet_and_others_stay(spark):
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randint(0, 3000)}" for _ in range(n)]

@@ -104,7 +104,8 @@ def links(distinct: DataFrame, k: int = 2, n: int | None = None) -> DataFrame:
     """Pairs a < b (as longs) of distinct fingerprints ``fp`` that differ in 1 to ``k`` bits, each at least once.
 
     Each fingerprint is at home with one anchor only and visits others, and the homes and visitors of an anchor are
-    compared as they meet in the join, in the JVM; only true links come out.
+    compared as they meet in the join, in the JVM; only true links come out. The visitors are many rows a fingerprint, which
+    Spark does not see when it sizes them, so neither side is ever broadcast.
     """
     lengths = block_lengths(blocks_for(distinct.count() if n is None else n))
 
@@ -123,7 +124,7 @@ def links(distinct: DataFrame, k: int = 2, n: int | None = None) -> DataFrame:
     visitors = distinct.mapInArrow(run, "fp long, anchor long").select(F.col("fp").alias("b"), "anchor")
     at_home = distinct.select(F.col("fp").alias("a"), homes.alias("anchor"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= k)
-    return at_home.join(visitors, (at_home["anchor"] == visitors["anchor"]) & near).select("a", "b")
+    return at_home.join(visitors.hint("merge"), (at_home["anchor"] == visitors["anchor"]) & near).select("a", "b")
 
 
 def _home_sql(lengths: list[int]) -> str:
@@ -138,16 +139,17 @@ def _home_sql(lengths: list[int]) -> str:
 def near_duplicates(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id that chains of links reach, itself included.
 
-    Components are found over distinct fingerprints that have links; all others are components of their own.
+    Components are found over distinct fingerprints that have links; all others are components of their own. Joins are merges,
+    as files are sized by their compressed bytes.
     """
     prints = common.written(with_fingerprints(docs, key, text, words), "simhash")
     classes = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = connected_components(links(classes.select("fp"), k).select("a", "b"))  # node, component (of fingerprints)
-    linked = classes.join(found, F.col("fp") == F.col("node")).select("fp", "least", "component")
+    linked = classes.join(found.hint("merge"), F.col("fp") == F.col("node")).select("fp", "least", "component")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "component").select(F.col("fp").alias("linked_fp"), "component_id")
-    classes = classes.join(linked, F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    linked = linked.join(least.hint("merge"), "component").select(F.col("fp").alias("linked_fp"), "component_id")
+    classes = classes.join(linked.hint("merge"), F.col("fp") == F.col("linked_fp"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return prints.join(classes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, k: int = 2, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
