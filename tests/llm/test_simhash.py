@@ -5,7 +5,7 @@ import random
 import numpy as np
 import xxhash
 
-from tidemark.llm import components, simhash, simhash_similar
+from tidemark.llm import common, components, simhash, simhash_similar
 
 
 def plain_fingerprint(text, k=3):
@@ -73,16 +73,21 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_no_join_is_broadcast_by_an_estimate(spark):
+def test_no_join_is_broadcast_by_an_estimate(spark, monkeypatch):
     """24 visitors a fingerprint are sized as one, and files by their compressed bytes, so small estimates may hold large tables."""
-    prints = spark.range(2000).selectExpr("xxhash64(id) as fp")
-    edges = spark.range(2000).selectExpr("id as a", "id + 1 as b")
+    plans, write, names = [], common.written, ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "written", lambda df, *a, **b: plans.append(plan(df)) or write(df, *a, **b))
+    before = [spark.conf.get(n, None) for n in names]
     docs = spark.createDataFrame([(i, f"one two three {i // 2}") for i in range(20)], "doc_id long, text string")
-    for found in (simhash.links(prints), components._large_star(edges), components._small_star(edges), simhash.near_duplicates(docs)):
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    for found in (simhash.links(spark.range(2000).selectExpr("xxhash64(id) as fp")), simhash.near_duplicates(docs)):
+        assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
         found.count()
-        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan(found)
+    plans.clear()
+    assert components.connected_components(spark.range(200).selectExpr("id as a", "id + 1 as b")).where("component = 0").count() == 201
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert [spark.conf.get(n, None) for n in names] == before
 
 
 def test_alike_copies_meet_and_others_stay(spark):

@@ -90,6 +90,12 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def measured_broadcasts(spark: SparkSession):
+    """In jobs that run within the block, joins broadcast what adaptive execution has measured, and nothing by an estimate."""
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    return settings(spark, {adaptive: spark.conf.get(adaptive, None) or spark.conf.get(static), static: "-1"})
+
+
 def file_system(spark: SparkSession, path: str):
     """Hadoop's Path and FileSystem of ``path``, whatever store it is in."""
     context = spark.sparkContext

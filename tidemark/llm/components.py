@@ -12,13 +12,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbourhood."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links its smaller neighbours and itself to the least of them."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least.hint("merge"), "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    moved = edges.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
@@ -26,9 +26,14 @@ def connected_components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its least node) for every node of ``pairs`` (columns a, b).
 
     Every round is written to the shared folder. Edges become stars in a number of rounds that grows with the logarithm
-    of the largest component; the work of a round follows the edges, and none of them comes to the driver: joins are merges,
-    as Spark would broadcast by the files' compressed bytes.
+    of the largest component; the work of a round follows the edges, and none of them comes to the driver but for what adaptive
+    execution has measured to be small: files, sized by their compressed bytes, are not broadcast.
     """
+    with common.measured_broadcasts(pairs.sparkSession):
+        return _components(pairs, most_rounds)
+
+
+def _components(pairs: DataFrame, most_rounds: int) -> DataFrame:
     edges = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = common.written(edges, "edges")
     state = None
